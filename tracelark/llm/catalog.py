@@ -8,7 +8,9 @@ import importlib
 _QUERIES = (
     ("op6_chat_format", "chat_format", True),
     ("op7_packing", "packing", False),
+    ("op8_license_scan", "license_scan", False),
     ("op9_url_filter", "url_filter", True),
+    ("op10_topk_search", "topk_search", True),
 )
 
 
