@@ -6,6 +6,8 @@ import importlib
 
 #: Query name, module, and whether the module's ORACLE_SQL gives the same rows in SQL.
 _QUERIES = (
+    ("op2_quality", "quality", False),
+    ("op4_language_id", "language", False),
     ("op6_chat_format", "chat_format", True),
     ("op7_packing", "packing", False),
     ("op8_license_scan", "license_scan", False),
