@@ -8,6 +8,7 @@ import importlib
 _QUERIES = (
     ("op2_quality", "quality", False),
     ("op4_language_id", "language", False),
+    ("op5_line_dedup", "line_dedup", False),
     ("op6_chat_format", "chat_format", True),
     ("op7_packing", "packing", False),
     ("op8_license_scan", "license_scan", False),

@@ -7,12 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelark.llm.bloom import blocks_for, bloom_words, might_contain
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Four 64-bit words a block; a key sets one bit in each.
-WORDS = 4
-#: The filter never exceeds this many blocks (4 MB), whatever the list's length; a longer list only
-#: lets more false positives through to the exact join.
-MAX_BLOCKS = 1 << 17
 
 
 def url_host(url: Column) -> Column:
@@ -31,29 +28,6 @@ def _key(kind: str, host: Column, path: Column) -> Column:
     return F.concat(F.lit(kind), host, F.lit("\n"), path)
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-
-def _bit(key: Column, word: int) -> Column:
-    spread = F.xxhash64(key, F.lit(word))
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spread, F.lit(64)).cast("int"))
-
-
-def bloom_words(keys: DataFrame, blocks: int) -> DataFrame:
-    """One row, one column ``words``: the filter over column ``key`` as ``blocks * 4`` longs in order."""
-    filled = (
-        keys.select(_block(F.col("key"), blocks).alias("block"), *(_bit(F.col("key"), w).alias(f"w{w}") for w in range(WORDS)))
-        .groupBy("block")
-        .agg(*(F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)))
-    )
-    every = keys.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
-    whole = every.join(filled, "block", "left").select(
-        F.struct("block", F.array(*(F.coalesce(f"w{w}", F.lit(0).cast("bigint")) for w in range(WORDS))).alias("w")).alias("b")
-    )
-    return whole.agg(F.flatten(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["w"])).alias("words"))
-
-
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed: DataFrame, default: str = "allow") -> DataFrame:
     """Judge ``pages`` (page_id, url) by rules and by a list of canonical URLs.
 
@@ -75,8 +49,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed:
     schema = "key string, action string, rule string"
     rule_keys = spark.createDataFrame(rule_rows, schema) if rule_rows else spark.createDataFrame([], schema)
     list_keys = listed.select(_key("U", F.col("host"), F.col("path")).alias("key")).where("key is not null").distinct()
-    size = list_keys.count() + len(rule_rows)
-    blocks = min(MAX_BLOCKS, max(64, 1 << (size * 12 // (64 * WORDS)).bit_length()))
+    blocks = blocks_for(list_keys.count() + len(rule_rows))
     keys = rule_keys.unionByName(list_keys.select("key", F.lit("block").alias("action"), F.lit(None).cast("string").alias("rule")))
     words = bloom_words(keys.select("key"), blocks).scalar()
 
@@ -91,12 +64,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed:
     ]
     probes = F.concat(own, F.array_compact(F.array(*by_rule))) if by_rule else own
 
-    def possible(key: Column) -> Column:
-        at = _block(key, blocks) * WORDS
-        hit = [F.get(F.col("words"), at + w).bitwiseAND(_bit(key, w)) != 0 for w in range(WORDS)]
-        return hit[0] & hit[1] & hit[2] & hit[3]
-
-    tested = seen.withColumn("words", words).withColumn("hits", F.filter(probes, possible)).drop("words")
+    tested = seen.withColumn("words", words).withColumn("hits", F.filter(probes, lambda key: might_contain(F.col("words"), key, blocks))).drop("words")
     none = tested.where(F.size("hits") == 0).select(
         "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")
     )
