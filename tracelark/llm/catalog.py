@@ -7,6 +7,7 @@ import importlib
 #: Query name, module, and whether the module's ORACLE_SQL gives the same rows in SQL.
 _QUERIES = (
     ("op2_quality", "quality", False),
+    ("op3_decontaminate", "decontaminate", False),
     ("op4_language_id", "language", False),
     ("op5_line_dedup", "line_dedup", False),
     ("op6_chat_format", "chat_format", True),
