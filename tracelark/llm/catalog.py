@@ -6,6 +6,7 @@ import importlib
 
 #: Query name, module, and whether the module's ORACLE_SQL gives the same rows in SQL.
 _QUERIES = (
+    ("op1_ngram_join", "ngram_join", False),
     ("op2_quality", "quality", False),
     ("op3_decontaminate", "decontaminate", False),
     ("op4_language_id", "language", False),
