@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
+
 #: Query name, module, and whether the module's ORACLE_SQL gives the same rows in SQL.
 _QUERIES = (
     ("op1_ngram_join", "ngram_join", False),
@@ -24,7 +26,7 @@ def _module(name: str):
 
 
 def queries() -> dict:
-    return {name: getattr(_module(module), name) for name, module, _ in _QUERIES}
+    return {name: getattr(_module(module), name) for name, module, _ in _QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
