@@ -1,11 +1,572 @@
-"""The registry of trace queries and the SQL that each is compared with."""
+"""The registry of trace queries: what each runs over the driver's tables. The SQL to compare with is in ``sql``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelark.functions import scalars
+from tracelark.operators import aggregates as agg
+from tracelark.operators import args as arg_ops
+from tracelark.operators import concurrency as conc
+from tracelark.operators import counters as ctr
+from tracelark.operators import depth, filters, histogram, inspect, normalize, pairing, timeline, tracks
+from tracelark.plans import sql
+from tracelark.sources import adapters, trace_files
+from tracelark.sources.shared import shared_path
+from tracelark.streaming import events as streams
+
+#: The middle of the events' time range, and a window around it (µs).
+MIDDLE, WINDOW = sql.MIDDLE, (sql.T0, sql.T1)
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _queries[run.__name__] = run
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql.ORACLES[name] for name in _queries if name in sql.ORACLES}
+
+
+def six(column: str):
+    return F.round(column, 6).alias(column)
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.span_events(spark, d)
+
+
+def ordered(spark: SparkSession, d: str) -> DataFrame:
+    return depth.track_order_events(normalize.assign_track(spans(spark, d)))
+
+
+def nested(spark: SparkSession, d: str) -> DataFrame:
+    return depth.call_depth(ordered(spark, d))
+
+
+def named_tracks(spark: SparkSession, d: str) -> DataFrame:
+    return tracks.order_tracks(tracks.organize_tracks(adapters.full_trace(spark, d)))
+
+
+def counters(spark: SparkSession, d: str) -> DataFrame:
+    return arg_ops.with_args(depth.track_order_events(normalize.assign_track(adapters.counter_events(spark, d))))
+
+
+# Sources and sinks
+
+
+@_query
+def s1_read_trace(spark, d):
+    """JSON documents written from spans of one user each, read back whole."""
+    path = shared_path(spark, "documents")
+    rows = F.struct("name", "cat", "ph", "cname", "id", "ts", "dur", "pid", "tid", F.col("args_json").alias("args"))
+    doc = spans(spark, d).groupBy("tid").agg(F.to_json(F.struct(F.collect_list(rows).alias("traceEvents"))).alias("value"))
+    doc.withColumnRenamed("tid", "user").write.partitionBy("user").text(path)  # a file for each document
+    return trace_files.read_trace(spark, path, "t").select("name", "cat", "ts", "dur", "pid", "tid")
+
+
+@_query
+def s2_read_trace_lines(spark, d):
+    """Line files written from the spans, read back in blocks."""
+    path = shared_path(spark, "lines")
+    trace_files.event_lines(spans(spark, d)).write.text(path)
+    return trace_files.read_trace_lines(spark, path, "t").select("name", "cat", "ph", "ts", "dur", "pid", "tid", "args_json")
+
+
+@_query
+def s3_read_gzip(spark, d):
+    """The same lines in gzip files."""
+    path = shared_path(spark, "zipped")
+    trace_files.event_lines(spans(spark, d)).write.option("compression", "gzip").text(path)
+    return trace_files.read_gzip_trace(spark, path, "t").select("name", "ts", "dur", "pid", "tid")
+
+
+@_query
+def s4_read_trace_pair(spark, d):
+    """Line items shipped by two halves of the suppliers as two traces, totals side by side."""
+    items = adapters.line_item_events(spark, d)
+    out = agg.diff_traces(items.where("tid % 2 = 0"), items.where("tid % 2 = 1"))
+    return out.select("key", "base_dur", "base_count", "target_dur", "target_count", "delta_dur", "delta_count")
+
+
+@_query
+def s5_from_table(spark, d):
+    return spans(spark, d).select("seq", "name", "cat", "ph", "ts", "dur", "pid", "tid", "args_json")
+
+
+@_query
+def s6_write_report(spark, d):
+    path = shared_path(spark, "report")
+    trace_files.write_report(agg.aggregate_events(spans(spark, d)), path, "csv")
+    return spark.read.schema("key string, total_dur long, count long").option("header", True).csv(path)
+
+
+@_query
+def s7_write_events(spark, d):
+    """Spans stored by trace, then one thread group's read back with both time bounds pushed down."""
+    path = shared_path(spark, "stored")
+    trace_files.write_events(spans(spark, d), path)
+    stored = spark.read.parquet(path)
+    return stored.where((F.col("end_ts") >= WINDOW[0]) & (F.col("ts") <= WINDOW[1])).select("seq", "name", "ts", "dur")
+
+
+# Normalisation and pairing
+
+
+@_query
+def p1_normalize(spark, d):
+    """Numbers as text with fractions and exponents, cut toward zero and held within bounds."""
+    raw = spans(spark, d).select(
+        "trace_id", "seq", "name", "cat", "ph", "cname", "id",
+        F.concat("ts", F.lit(".75")).alias("ts"),
+        F.concat("dur", F.lit("e2")).alias("dur"),
+        F.concat(F.lit("-"), "pid", F.lit(".9")).alias("pid"),
+        F.concat("tid", F.lit("0000000000")).alias("tid"),
+        F.col("args_json").alias("args"),
+    )
+    return normalize.normalize_events(raw).select("seq", "ts", "dur", "pid", "tid")
+
+
+@_query
+def p2_pair_begin_end(spark, d):
+    return pairing.pair_begin_end(adapters.begin_end_events(spark, d)).select("seq", "name", "ph", "ts", "dur", "pid", "tid")
+
+
+@_query
+def p3_merge_args(spark, d):
+    """Begins with their end's arguments: key and value of what each ends up with."""
+    paired = pairing.pair_begin_end(adapters.begin_end_events(spark, d), keep_end_args=True).where("ph = 'B'")
+    begin = arg_ops.parse_args(F.concat(F.lit('{"b":1,'), F.substr("args_json", F.lit(2))))
+    both = arg_ops.merge_args(begin, F.coalesce(arg_ops.parse_args(F.col("end_args_json")), F.expr("array()").cast(arg_ops.ARGS_TYPE)))
+    return paired.select("seq", F.inline(both)).select("seq", "key", "num")
+
+
+@_query
+def p4_parse_args(spark, d):
+    args = F.concat(F.substr("args_json", F.lit(1), F.length("args_json") - 1), F.lit(',"s":"'), "name", F.lit('","t":true,"n":null}'))
+    return spans(spark, d).select("seq", F.inline(arg_ops.parse_args(args))).select("seq", "key", "str", "num")
+
+
+@_query
+def p5_assign_track(spark, d):
+    return normalize.assign_track(adapters.full_trace(spark, d)).groupBy("track_type", "track_id").agg(F.count("*").alias("events"))
+
+
+@_query
+def p6_display_name(spark, d):
+    return tracks.organize_tracks(adapters.full_trace(spark, d)).select("track_id", "display_name")
+
+
+@_query
+def p7_color_class(spark, d):
+    slots = normalize.color_class(spans(spark, d).withColumn("cname", F.when(F.col("seq") % 5 == 0, "rail_load").otherwise("")))
+    return slots.groupBy("name", "cname").agg(F.min("color_slot").alias("low"), F.max("color_slot").alias("high"), F.count("*").alias("events"))
+
+
+# Filters
+
+
+@_query
+def f1_match_text(spark, d):
+    return spans(spark, d).where(filters.match_text("NaV")).select("seq", "name", "cat")
+
+
+@_query
+def f2_search(spark, d):
+    """Name, category or a textual argument contains the pattern, over spans, counters and metadata but counters."""
+    events = arg_ops.with_args(adapters.full_trace(spark, d))
+    return events.where(filters.search("#00000001", counters=False)).select("seq", "name", "ph")
+
+
+@_query
+def f3_overlaps(spark, d):
+    return spans(spark, d).where(filters.overlaps(*WINDOW)).select("seq", "ts", "dur")
+
+
+@_query
+def f4_starts_in(spark, d):
+    return spans(spark, d).where(filters.starts_in(*WINDOW)).select("seq", "ts", "dur")
+
+
+@_query
+def f5_max_depth(spark, d):
+    return nested(spark, d).where(filters.max_depth(1)).select("seq", "depth")
+
+
+def _with_names(spark, d):
+    """Spans on the tracks of the full trace."""
+    return ordered(spark, d), named_tracks(spark, d)
+
+
+@_query
+def f6_on_track(spark, d):
+    events, found = _with_names(spark, d)
+    return filters.on_track(events, found, "Customer#000000008").select("seq", "name", "ts")
+
+
+@_query
+def f7_on_tracks_named(spark, d):
+    events, found = _with_names(spark, d)
+    return filters.on_tracks_named(events, found, "").select("seq", "name", "ts")
+
+
+@_query
+def f8_min_count(spark, d):
+    groups = spans(spark, d).groupBy("tid").agg(F.count("*").alias("count"))
+    return filters.skipped_count(groups, 70).crossJoin(filters.min_count(groups, 70).agg(F.sum("count").alias("kept_events")))
+
+
+@_query
+def f9_bucket_filter(spark, d):
+    events = spans(spark, d)
+    return histogram.bucket_filter(events, histogram.duration_histogram(events), 12).select("seq", "dur")
+
+
+@_query
+def f10_region_select(spark, d):
+    chosen = named_tracks(spark, d).where("pid = 1")
+    return filters.region_select(nested(spark, d), chosen, *WINDOW, 0, 1).select("seq", "ts", "depth")
+
+
+# Joins
+
+
+@_query
+def j1_diff(spark, d):
+    events = spans(spark, d)
+    out = agg.sorted_diff(agg.diff_traces(events.where(F.col("ts") < MIDDLE), events.where(F.col("ts") >= MIDDLE)))
+    return out.select("key", "base_dur", "base_count", "target_dur", "target_count", "delta_dur", "delta_count")
+
+
+@_query
+def j2_resolve_parents(spark, d):
+    return depth.resolve_parents(depth.quiescent_segments(ordered(spark, d))).select("track_id", "ord", "parent_ord")
+
+
+@_query
+def j3_children_of(spark, d):
+    return depth.children_of(nested(spark, d)).select("track_id", "parent_ord", "parent_name", "ord", "name", "dur")
+
+
+@_query
+def j4_bucket_overlap(spark, d):
+    events = spans(spark, d)
+    out = conc.bucket_overlap(events, conc.trace_bounds(events), 50)
+    return out.groupBy("bucket").agg(F.count("*").alias("events"), F.round(F.sum("overlap"), 0).alias("overlap"))
+
+
+@_query
+def j5_attach_track(spark, d):
+    events, found = _with_names(spark, d)
+    return tracks.attach_track(events, found).select("seq", "display_name", "track_order")
+
+
+@_query
+def j6_track_names(spark, d):
+    return tracks.track_names(adapters.full_trace(spark, d)).select("pid", "tid", "thread_name", "sort_index")
+
+
+@_query
+def j7_tracks_with_hits(spark, d):
+    events, found = _with_names(spark, d)
+    return filters.tracks_with_hits(found, events.where(filters.match_text("signup"))).select("track_id", "has_hit")
+
+
+def _probes(spark, d):
+    """A probe for every order: its date's instant plus its key in seconds, moved into the events' range."""
+    base = sql.START
+    return spark.read.parquet(f"{d}/orders.parquet").select(
+        F.col("o_orderkey").alias("probe_id"), F.lit("t").alias("trace_id"), (F.lit(base) + F.col("o_orderkey") * 60_000_000 % (30 * 86_400_000_000)).alias("at")
+    )
+
+
+@_query
+def j8_events_at(spark, d):
+    held = inspect.events_at(spans(spark, d).where("name = 'purchase'"), _probes(spark, d).where("probe_id % 16 = 1"), 6 * 3_600_000_000)
+    return held.groupBy("probe_id").agg(F.count("*").alias("events"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+@_query
+def j9_nearest_edge(spark, d):
+    return inspect.nearest_edge(spans(spark, d).where("name = 'purchase'"), _probes(spark, d), 300_000_000).select("probe_id", "at", "edge", "distance")
+
+
+@_query
+def j10_inspect(spark, d):
+    """The events at the busiest customer's first start, looked up by track name and time."""
+    found = named_tracks(spark, d)
+    events = depth.self_time(nested(spark, d))
+    first = events.where("pid = 0 and tid = 8").agg(F.min("ts").alias("ts")).first()["ts"]
+    out = inspect.inspect(events, found, "Customer#000000008", first or 0)
+    return out.select("seq", "name", "ts", "dur", "self_dur", "depth", "parent_name", F.size("children").alias("children"))
+
+
+# Aggregations
+
+
+@_query
+def a1_aggregate_by_name(spark, d):
+    return agg.sorted_groups(agg.aggregate_events(spans(spark, d), "name"))
+
+
+@_query
+def a1_aggregate_by_category(spark, d):
+    return agg.sorted_groups(agg.aggregate_events(spans(spark, d), "category"), "count")
+
+
+@_query
+def a2_aggregate_report(spark, d):
+    return agg.aggregate_report(spans(spark, d)).select("key", "total_dur", six("total_s"), "count", six("average_ms"))
+
+
+@_query
+def a3_summary(spark, d):
+    events = adapters.full_trace(spark, d)
+    return agg.summary(events, tracks.organize_tracks(events)).select("event_count", "track_count", "min_ts", "max_ts", six("duration_ms"))
+
+
+@_query
+def a4_organize_tracks(spark, d):
+    out = tracks.order_tracks(tracks.organize_tracks(adapters.full_trace(spark, d), nested(spark, d)))
+    return out.select("track_id", "track_type", "pid", "tid", "name", "id", "sort_index", "event_count", "max_dur", "max_depth", "track_order")
+
+
+@_query
+def a5_list_tracks(spark, d):
+    return tracks.list_tracks(named_tracks(spark, d)).drop("trace_id")
+
+
+@_query
+def a6_histogram(spark, d):
+    return histogram.duration_histogram(spans(spark, d))
+
+
+@_query
+def a7_histogram_report(spark, d):
+    """Spans of one category that start in the window."""
+    events = spans(spark, d).where(filters.match_text("nav") & filters.starts_in(*WINDOW))
+    return histogram.histogram_report(histogram.duration_histogram(events)).select("bucket", "count", six("percent"), "bar", "scale_label")
+
+
+@_query
+def a8_concurrency(spark, d):
+    events = spans(spark, d)
+    out = conc.concurrency(nested(spark, d), tracks.organize_tracks(events), conc.trace_bounds(events), 16)
+    return out.select("bucket", F.round("start_ts", 0).alias("start_ts"), six("concurrency"), F.round("percent", 4).alias("percent"), "bar", F.array_join("dominant", ",").alias("dominant"))
+
+
+@_query
+def a9_dominant_events(spark, d):
+    overlaps = conc.bucket_overlap(nested(spark, d).where("depth = 0"), conc.trace_bounds(spans(spark, d)), 16)
+    return conc.dominant_events(overlaps).select("bucket", "rank", "name", F.round("overlap", 0).alias("overlap"))
+
+
+@_query
+def a10_heatmap(spark, d):
+    return conc.heatmap(nested(spark, d), conc.trace_bounds(spans(spark, d)), 16).select("track_id", "bucket", "seq", "name", "dur", "hits")
+
+
+@_query
+def a11_counter_series(spark, d):
+    return ctr.counter_series(counters(spark, d)).select("track_id", F.array_join("series", ",").alias("series"))
+
+
+@_query
+def a12_counter_max_total(spark, d):
+    return ctr.counter_max_total(counters(spark, d)).select("track_id", six("max_total"))
+
+
+@_query
+def a13_self_time(spark, d):
+    return depth.self_time(nested(spark, d)).select("seq", "depth", "self_dur")
+
+
+@_query
+def a14_track_stats(spark, d):
+    return tracks.track_stats(ordered(spark, d), 16).select("track_id", "block", "max_dur", "events")
+
+
+@_query
+def a15_counter_totals(spark, d):
+    events = counters(spark, d)
+    return ctr.counter_totals(events, ctr.counter_series(events)).select("seq", "label", six("value"))
+
+
+@_query
+def a16_auto_bin_counts(spark, d):
+    return agg.auto_bin_counts(spans(spark, d), 30)
+
+
+# Windows
+
+
+@_query
+def w1_track_order(spark, d):
+    return ordered(spark, d).select("seq", "track_id", "ord")
+
+
+@_query
+def w2_call_depth(spark, d):
+    return nested(spark, d).select("seq", "ord", "depth", "parent_ord")
+
+
+@_query
+def w2_call_depth_long(spark, d):
+    """Line items: one long segment a supplier, nested by the stack."""
+    events = depth.track_order_events(normalize.assign_track(adapters.line_item_events(spark, d)))
+    out = depth.call_depth(events, 100)
+    return out.groupBy("tid", "depth").agg(F.count("*").alias("events"), F.sum("dur").alias("total_dur"))
+
+
+@_query
+def w3_quiescent_segments(spark, d):
+    return depth.quiescent_segments(ordered(spark, d)).groupBy("track_id").agg(F.max("seg").alias("segments"), F.max("end_ts").alias("last_end"))
+
+
+@_query
+def w4_downsample_timeline(spark, d):
+    out = timeline.downsample_timeline(nested(spark, d), *WINDOW, sql.CELL)
+    return out.select("track_id", "depth", "start_ts", "end_ts", "count", "seq", "name")
+
+
+@_query
+def w5_downsample_counters(spark, d):
+    events = counters(spark, d)
+    out = ctr.downsample_counters(events, ctr.counter_series(events), *WINDOW, sql.CELL)
+    return out.select("track_id", "cell", "start_ts", "end_ts", "series", six("peak"))
+
+
+@_query
+def w6_stack_series(spark, d):
+    events = counters(spark, d)
+    out = ctr.stack_series(ctr.downsample_counters(events, ctr.counter_series(events), *WINDOW, sql.CELL))
+    return out.select("track_id", "cell", "series", six("low"), six("high"))
+
+
+@_query
+def w7_coalesce_runs(spark, d):
+    cells = conc.heatmap(nested(spark, d), conc.trace_bounds(spans(spark, d)), 64)
+    return conc.coalesce_runs(cells, ["track_id"], "bucket", "name")
+
+
+@_query
+def w8_hottest_track_window(spark, d):
+    return tracks.hottest_track_window(named_tracks(spark, d), 25).select("track_id", "track_order", "event_count")
+
+
+# Sorts
+
+
+@_query
+def t1_query_events(spark, d):
+    events = nested(spark, d).where(filters.match_text("nav") & filters.max_depth(0) & filters.overlaps(*WINDOW))
+    on = events.join(named_tracks(spark, d).select("trace_id", "track_id", "track_order"), ["trace_id", "track_id"])
+    return agg.query_events(on, 200).select("seq", "name", "ts", "dur", "track_order")
+
+
+@_query
+def t2_sort_results(spark, d):
+    return agg.sort_results(spans(spark, d).where(filters.match_text("error")), "dur", False).select("seq", "dur")
+
+
+@_query
+def t4_order_tracks(spark, d):
+    return named_tracks(spark, d).select("track_id", "sort_index", "track_order")
+
+
+@_query
+def t5_diff_order(spark, d):
+    events = spans(spark, d)
+    out = agg.diff_traces(events.where(F.col("ts") < MIDDLE), events.where(F.col("ts") >= MIDDLE), "category")
+    return agg.sorted_diff(out, "count").select("key", "delta_dur", "delta_count")
+
+
+# Scalars
+
+
+@_query
+def c2_format_duration(spark, d):
+    return spans(spark, d).select("seq", scalars.format_duration(F.col("dur") / 7).alias("shown"), scalars.format_duration(F.col("dur") / 7, F.lit(2000.0)).alias("in_ms"))
+
+
+@_query
+def c3_nice_interval(spark, d):
+    return spans(spark, d).select("seq", scalars.nice_interval(F.col("dur").cast("double"), F.lit(1000.0), F.lit(80.0)).alias("step"))
+
+
+@_query
+def c4_bar_chars(spark, d):
+    return spans(spark, d).select("seq", scalars.bar_chars(F.col("dur") / 6e8 / 3).alias("cells"), scalars.bar(F.col("dur") / 6e8 / 3).alias("bar"))
+
+
+@_query
+def c5_leading_integer(spark, d):
+    text = F.concat(F.when(F.col("seq") % 3 == 0, "-").when(F.col("seq") % 3 == 1, "+").otherwise(""), "tid", F.lit("x9"))
+    return spans(spark, d).select("seq", tracks.leading_integer(text).alias("number"), tracks.leading_integer(F.col("name")).alias("none"))
+
+
+@_query
+def c6_units(spark, d):
+    return spans(spark, d).select("seq", scalars.us_to_ms(F.col("dur")).alias("ms"), scalars.us_to_s(F.col("dur")).alias("s"))
+
+
+@_query
+def c7_arg_lookup(spark, d):
+    events = arg_ops.with_args(spans(spark, d))
+    return events.select("seq", arg_ops.arg_value(F.col("args"), "k")["num"].alias("k"), arg_ops.arg_value(F.col("args"), "z")["num"].alias("z"))
+
+
+# Streams
+
+
+def _drained(spark, df: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives once all that lies in its folder has gone through, as a table in the shared folder."""
+    path, at = shared_path(spark, "stream"), shared_path(spark, "offsets")
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run = df.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(keep).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _landed(spark, events: DataFrame) -> str:
+    path = shared_path(spark, "landing")
+    trace_files.event_lines(events).coalesce(2).write.text(path)
+    return path
+
+
+@_query
+def st1_stream_events(spark, d):
+    return _drained(spark, streams.stream_events(spark, _landed(spark, spans(spark, d)), "t", 1)).select("name", "cat", "ts", "dur", "pid", "tid")
+
+
+@_query
+def st2_stream_pair(spark, d):
+    """Begins and ends from a stream: the spans whose end came, and other events."""
+    path = shared_path(spark, "landing")
+    adapters.begin_end_events(spark, d).coalesce(1).sortWithinPartitions("seq").write.parquet(path)
+    stream = spark.readStream.schema(streams.EVENT_SCHEMA).parquet(path)
+    return _drained(spark, streams.stream_pair_begin_end(stream)).select("seq", "name", "ph", "ts", "dur")
+
+
+@_query
+def st3_stream_totals(spark, d):
+    stream = streams.stream_events(spark, _landed(spark, spans(spark, d)), "t", 1)
+    return _drained(spark, streams.stream_totals(stream), "complete").select("key", "count", "total_dur", "min_ts", "max_ts")
