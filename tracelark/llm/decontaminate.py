@@ -17,7 +17,9 @@ SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double, answer_sha
 #: Terms are hashed to this many slots, which bounds the model's size whatever the benchmark's vocabulary.
 SLOT_BITS = 16
 #: Window lengths in words; an item is sought with the shortest that is not shorter than itself.
-LENGTHS = (16, 24, 36, 54, 80, 120)
+LENGTHS = (16, 32, 64, 128)
+#: Documents are read in segments of so many words, each overlapping the next by the longest window and its margins.
+SEGMENT = 8192
 #: Punctuation parts words here, so that a paraphrase may change it.
 _FOLD = bytes(32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else b for b in range(256))
 
@@ -141,11 +143,11 @@ def randomised_svd(items: DataFrame, weight: np.ndarray, row: np.ndarray, rank:
 
 
 class ItemIndex:
-    """A block of benchmark items, by window length."""
+    """A block of benchmark items, by window length and then by weight, lightest first."""
 
     def __init__(self, items: list[tuple[int, str]], latent: Latent):
-        self.by_length: dict[int, tuple[list[int], np.ndarray, float]] = {}
-        self.ids, self.terms, self.masks, self.answers = [], [], [], []
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.ids, self.terms, self.masks, self.answers, self.bags = [], [], [], [], []
         sought: dict[int, list[int]] = {}
         for item_id, text in items:
             hashes = term_hashes(text)
@@ -156,58 +158,109 @@ class ItemIndex:
                 self.terms.append(hashes)
                 self.masks.append(bit_masks(hashes.tolist()))
                 self.answers.append(bit_masks(term_hashes(answer_of(text)).tolist()))
+                self.bags.append({term: mask.bit_count() for term, mask in self.masks[-1].items()})
         for length, own in sought.items():
+            weights = np.array([latent.weight[slots_of(self.terms[i])].sum() for i in own])
+            order = np.argsort(weights, kind="stable")
+            own = np.array(own)[order]
             vectors = np.array([latent.vector(self.terms[i]) for i in own])
             vectors /= np.maximum(1e-12, np.sqrt((vectors**2).sum(1)))[:, None]
-            least = min(latent.weight[slots_of(self.terms[i])].sum() for i in own)
-            self.by_length[length] = (own, vectors.astype(np.float32).T.copy(), float(least))
+            self.by_length[length] = (own, vectors.astype(np.float32).T.copy(), weights[order])
+        self.longest = max(self.by_length, default=0)
 
+    def covers(self, item: int, words: set[int], share: float) -> bool:
+        """Whether ``words`` hold that share of the item's words at all, in any order."""
+        bag = self.bags[item]
+        return sum(bag[term] for term in bag.keys() & words) >= share * len(self.terms[item])
 
-def windows_of(hashes: np.ndarray, latent: Latent, index: ItemIndex, cosine: float, share: float) -> Iterator[tuple[int, int, int, float]]:
-    """(item, first word, length, cosine) of windows whose latent vector is near an item's.
 
-    A window that holds ``share`` of an item's words has that share of its weight at least, so lighter windows
-    are passed over before any vector is made.
+def windows_of(hashes: np.ndarray, edges: np.ndarray, latent: Latent, index: ItemIndex, cosine: float, share: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each window length: it, and the items, segments, first words and cosines of windows near an item.
+
+    ``hashes`` holds the words of many segments, segment k from ``edges[k]`` to ``edges[k + 1]``; no window crosses
+    an edge. Vectors of windows are differences of running sums over the words. A window that holds ``share`` of an
+    item's words has most of that share of its weight, so an item only meets windows of enough weight.
     """
     slots = slots_of(hashes)
+    known = latent.row[slots] >= 0
+    before = np.concatenate([[0], np.cumsum(known)])
+    slots = slots[known]
     weight = latent.weight[slots]
     sums = np.concatenate([[0.0], np.cumsum(weight)])
-    for length, (own, vectors, least) in index.by_length.items():
-        starts = np.arange(0, max(1, len(hashes) - length * 3 // 4), max(1, length // 4))
-        ends = np.minimum(starts + length, len(hashes))
-        starts = starts[sums[ends] - sums[starts] >= 0.8 * share * least]
-        for some in np.array_split(starts, -(-len(starts) // 1024)) if len(starts) else ():
-            at = np.minimum(some[:, None] + np.arange(length), len(hashes) - 1)
-            inside = some[:, None] + np.arange(length) < len(hashes)
-            rows = latent.row[slots[at]]
-            use = inside & (rows >= 0)
-            vector = np.einsum("wl,wlk->wk", np.where(use, weight[at], 0.0).astype(np.float32), latent.basis[np.where(use, rows, 0)])
-            vector /= np.maximum(1e-12, np.sqrt((vector**2).sum(1)))[:, None]
+    running = np.zeros((len(slots) + 1, latent.basis.shape[1]), np.float32)
+    np.cumsum(latent.basis[latent.row[slots]] * weight[:, None].astype(np.float32), axis=0, out=running[1:])
+    for length, (own, vectors, weights) in index.by_length.items():
+        stride = max(1, length // 4)
+        counts = -(-np.maximum(1, np.diff(edges) - length * 3 // 4) // stride)
+        segment = np.repeat(np.arange(len(counts)), counts)
+        starts = edges[segment] + stride * (np.arange(len(segment)) - np.repeat(np.cumsum(counts) - counts, counts))
+        a, b = before[starts], before[np.minimum(starts + length, edges[segment + 1])]
+        heavy = (sums[b] - sums[a]) / (0.8 * share)
+        some = np.flatnonzero(heavy >= weights[0])
+        for few in np.array_split(some, -(-len(some) // 4096)) if len(some) else ():
+            vector = running[b[few]] - running[a[few]]
+            norm = np.maximum(1e-12, np.sqrt(np.einsum("wk,wk->w", vector, vector)))
             near = vector @ vectors
-            for w, j in zip(*np.nonzero(near >= cosine), strict=True):
-                yield own[j], int(some[w]), length, float(near[w, j])
-
-
-def leaks_of(hashes: np.ndarray, latent: Latent, index: ItemIndex, cosine: float, share: float, answer: float) -> list[tuple[int, float, float, float, int, int]]:
-    """The best verified window of each item that a document holds."""
-    best: dict[int, tuple[float, float, float, int, int]] = {}
-    for item, start, length, near in windows_of(hashes, latent, index, cosine, share):
-        a, b = max(0, start - length // 2), start + length + length // 2
-        region = hashes[a:b].tolist()
-        got = lcs_length(region, index.masks[item]) / len(index.terms[item])
-        if got < share or (item in best and best[item][0] >= got):
-            continue
-        answered = lcs_length(region, index.answers[item]) / max(1, sum(m.bit_count() for m in index.answers[item].values()))
-        if answered >= answer:
-            best[item] = (got, near, answered, a, min(b, len(hashes)) - a)
-    return [(index.ids[i], near, got, answered, a, n) for i, (got, near, answered, a, n) in sorted(best.items())]
+            w, j = np.nonzero(near >= cosine * norm[:, None])
+            enough = weights[j] <= heavy[few[w]]
+            w, j = w[enough], j[enough]
+            yield length, own[j], segment[few[w]], starts[few[w]], near[w, j] / norm[w]
+
+
+def leaks_of(docs: list[np.ndarray], latent: Latent, index: ItemIndex, cosine: float, share: float, answer: float) -> list[tuple[int, int, float, float, float, int, int]]:
+    """The best verified window of each item in each of ``docs``: (document, item id, cosine, shares, place, size)."""
+    margin = 2 * index.longest
+    segments = [(d, at) for d, words in enumerate(docs) for at in range(0, max(1, len(words) - margin), SEGMENT) if len(words)]
+    if not segments:
+        return []
+    parts = [docs[d][at : at + SEGMENT + margin] for d, at in segments]
+    edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    lists: dict[int, tuple[list[int], set[int]]] = {}
+    held: dict[tuple[int, int], bool] = {}
+    best: dict[tuple[int, int], tuple[float, float, float, int, int]] = {}
+    for length, *found in windows_of(np.concatenate(parts), edges, latent, index, cosine, share):
+        for item, k, start, near in zip(*(x.tolist() for x in found), strict=True):
+            if k not in lists:
+                lists[k] = (words := parts[k].tolist()), set(words)
+            (words, every), (d, at) = lists[k], segments[k]
+            if (item, k) not in held:
+                held[item, k] = index.covers(item, every, share)
+            if not held[item, k]:
+                continue
+            start -= int(edges[k])
+            a, b = max(0, start - length // 2), min(start + length + length // 2, len(words))
+            region = words[a:b]
+            if not index.covers(item, set(region), share):
+                continue
+            got = lcs_length(region, index.masks[item]) / len(index.terms[item])
+            if got < share or ((d, item) in best and best[d, item][0] >= got):
+                continue
+            answered = lcs_length(region, index.answers[item]) / max(1, sum(m.bit_count() for m in index.answers[item].values()))
+            if answered >= answer:
+                best[d, item] = (got, near, answered, at + a, b - a)
+    return [(d, index.ids[i], near, got, answered, a, n) for (d, i), (got, near, answered, a, n) in sorted(best.items())]
+
+
+def grouped_words(batch: pa.RecordBatch, words: int = 1 << 16) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    """Ids and term hashes of a batch's documents, so many at a time that they hold about ``words`` words."""
+    ids: list[int | None] = []
+    docs: list[np.ndarray] = []
+    n = 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        ids.append(doc_id)
+        docs.append(term_hashes(text.as_py()))
+        n += len(docs[-1])
+        if n >= words:
+            yield ids, docs
+            ids, docs, n = [], [], 0
+    yield ids, docs
 
 
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
     rank: int = 64,
-    cosine: float = 0.5,
+    cosine: float = 0.65,
     lcs_share: float = 0.6,
     answer_share: float = 0.5,
     block_items: int = 10_000,
@@ -254,10 +307,8 @@ def find_leaks(
             latent, index = shared.value
             for batch in batches:
                 found: list[tuple] = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    hashes = term_hashes(text.as_py())
-                    if len(hashes):
-                        found += [(doc_id, *x) for x in leaks_of(hashes, latent, index, cosine, lcs_share, answer_share)]
+                for ids, some in grouped_words(batch):
+                    found += [(ids[d], *x) for d, *x in leaks_of(some, latent, index, cosine, lcs_share, answer_share)]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
                 columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "first_word", "n_words"])
