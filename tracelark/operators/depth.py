@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 TRACK = ("trace_id", "track_id")
 
@@ -25,63 +27,54 @@ def quiescent_segments(ordered: DataFrame) -> DataFrame:
     return cut.withColumn("seg", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
 
 
-def _pairs(segments: DataFrame) -> DataFrame:
-    """(child ord, candidate ord and end) on one segment: earlier events that end no sooner than the child."""
+def resolve_parents(segments: DataFrame) -> DataFrame:
+    """parent_ord of each nested event: the latest earlier one on its track that contains its end.
+
+    A containment join within segments, for tables that have these already; ``call_depth`` gives parents and depths
+    in one pass.
+    """
     key = [*TRACK, "seg"]
     child = segments.select(*key, "ord", "ts", "end_ts")
     above = segments.select(*key, F.col("ord").alias("p_ord"), F.col("end_ts").alias("p_end"))
-    return child.join(above, key).where("p_ord < ord and p_end >= end_ts and p_end > ts")
-
-
-def resolve_parents(segments: DataFrame) -> DataFrame:
-    """parent_ord of each nested event: the latest earlier one on its track that contains its end."""
-    return _pairs(segments).groupBy(*TRACK, "ord").agg(F.max("p_ord").alias("parent_ord"))
+    pairs = child.join(above, key).where("p_ord < ord and p_end >= end_ts and p_end > ts")
+    return pairs.groupBy(*TRACK, "ord").agg(F.max("p_ord").alias("parent_ord"))
 
 
-def _nest_short(segments: DataFrame) -> DataFrame:
-    pairs = _pairs(segments)
-    nearer = Window.partitionBy(*TRACK, "ord").orderBy(F.desc("p_ord")).rowsBetween(Window.unboundedPreceding, -1)
-    kept = pairs.withColumn("lid", F.max("p_end").over(nearer)).where("lid is null or p_end >= lid")
-    found = kept.groupBy(*TRACK, "ord").agg(F.max("p_ord").alias("parent_ord"), F.count("*").cast("int").alias("depth"))
-    joined = segments.join(found, [*TRACK, "ord"], "left")
-    return joined.withColumn("depth", F.coalesce("depth", F.lit(0)))
+def call_depth(track_events: DataFrame) -> DataFrame:
+    """Adds ord, end_ts, depth and parent_ord (null at the top) to track events (no metadata).
 
+    One shuffle by track, one sort, and one pass over the sorted rows with the stack of open events: memory is the
+    stack's, however long a track is. An event that its predecessor only overlaps falls back to a higher level.
+    Counter events are never nested.
+    """
+    base = track_events.drop("ord", "end_ts", "depth", "parent_ord")
+    added = [StructField("ord", IntegerType()), StructField("end_ts", LongType()), StructField("depth", IntegerType()), StructField("parent_ord", IntegerType())]
+    schema = StructType([*base.schema.fields, *added])
+    names = [f.name for f in schema.fields]
 
-def _nest_long(segments: DataFrame) -> DataFrame:
-    """The same by one pass with a stack over each segment, in order."""
-
-    def nest(table: pa.Table) -> pa.Table:
-        table = table.sort_by("ord")
-        parents: list[int | None] = []
-        depths: list[int] = []
+    def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, at = None, 0
         open_: list[tuple[int, int]] = []
-        for at, ts, end in zip(*(table[c].to_pylist() for c in ("ord", "ts", "end_ts")), strict=True):
-            while open_ and not (open_[-1][1] >= end and open_[-1][1] > ts):
-                open_.pop()
-            parents.append(open_[-1][0] if open_ else None)
-            depths.append(len(open_))
-            open_.append((at, end))
-        return table.append_column("parent_ord", pa.array(parents, pa.int32())).append_column("depth", pa.array(depths, pa.int32()))
-
-    schema = StructType([*segments.schema.fields, StructField("parent_ord", IntegerType()), StructField("depth", IntegerType())])
-    return segments.groupBy(*TRACK, "seg").applyInArrow(nest, schema)
-
-
-def call_depth(ordered: DataFrame, long_segment: int = 2000) -> DataFrame:
-    """Adds end_ts, seg, parent_ord (null at the top) and depth to ordered track events.
-
-    Segments of up to ``long_segment`` events are nested by a containment join, whose cost grows with the square
-    of a segment; longer ones by a stack over the segment, which is linear. Counter events are never nested.
-    """
-    threads = ordered.where("track_type = 'THREAD'")
-    flat = ordered.where("track_type <> 'THREAD'").withColumn("end_ts", F.col("ts") + F.col("dur"))
-    flat = flat.withColumn("seg", F.lit(0).cast("bigint")).withColumn("parent_ord", F.lit(None).cast("int")).withColumn("depth", F.lit(0))
-    segments = quiescent_segments(threads).withColumn("n", F.count("*").over(Window.partitionBy(*TRACK, "seg")))
-    alone = segments.where("n = 1").withColumn("parent_ord", F.lit(None).cast("int")).withColumn("depth", F.lit(0))
-    short = _nest_short(segments.where(F.col("n").between(2, long_segment)))
-    long = _nest_long(segments.where(F.col("n") > long_segment))
-    nested = alone.unionByName(short).unionByName(long).drop("n")
-    return nested.unionByName(flat.select(*nested.columns))
+        for batch in batches:
+            ords, ends, depths, parents = [], [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("trace_id", "track_id", "track_type", "ts", "dur"))
+            for trace_id, track_id, kind, ts, dur in zip(*columns, strict=True):
+                if (trace_id, track_id) != track:
+                    track, at, open_ = (trace_id, track_id), 0, []
+                at, end = at + 1, ts + dur
+                while open_ and not (open_[-1][1] >= end and open_[-1][1] > ts):
+                    open_.pop()
+                ords.append(at)
+                ends.append(end)
+                depths.append(len(open_))
+                parents.append(open_[-1][0] if open_ else None)
+                if kind != "COUNTER":
+                    open_.append((at, end))
+            new = [pa.array(ords, pa.int32()), pa.array(ends, pa.int64()), pa.array(depths, pa.int32()), pa.array(parents, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names)
+
+    dealt = base.repartition(*TRACK).sortWithinPartitions(*TRACK, "ts", F.desc("dur"), "seq")
+    return dealt.mapInArrow(nest, schema)
 
 
 def self_time(nested: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def ordered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nested(spark: SparkSession, d: str) -> DataFrame:
-    return depth.call_depth(ordered(spark, d))
+    return depth.call_depth(normalize.assign_track(spans(spark, d)))
 
 
 def named_tracks(spark: SparkSession, d: str) -> DataFrame:
@@ -421,9 +421,8 @@ def w2_call_depth(spark, d):
 
 @_query
 def w2_call_depth_long(spark, d):
-    """Line items: one long segment a supplier, nested by the stack."""
-    events = depth.track_order_events(normalize.assign_track(adapters.line_item_events(spark, d)))
-    out = depth.call_depth(events, 100)
+    """Line items: a thread for each supplier, on which hardly ever nothing is open."""
+    out = depth.call_depth(normalize.assign_track(adapters.line_item_events(spark, d)))
     return out.groupBy("tid", "depth").agg(F.count("*").alias("events"), F.sum("dur").alias("total_dur"))
 
 
