@@ -477,6 +477,14 @@ def t2_sort_results(spark, d):
     return agg.sort_results(spans(spark, d).where(filters.match_text("error")), "dur", False).select("seq", "dur")
 
 
+@_query
+def t3_top_names_per_bucket(spark, d):
+    """The three names with the most time in each of 60 buckets, nested or not."""
+    events = spans(spark, d)
+    out = conc.dominant_events(conc.bucket_overlap(events, conc.trace_bounds(events), 60), 3)
+    return out.select("bucket", "rank", "name", F.round("overlap", 0).alias("overlap"))
+
+
 @_query
 def t4_order_tracks(spark, d):
     return named_tracks(spark, d).select("track_id", "sort_index", "track_order")
@@ -492,6 +500,11 @@ def t5_diff_order(spark, d):
 # Scalars
 
 
+@_query
+def c1_contains(spark, d):
+    return spans(spark, d).select("seq", filters.contains_folded(F.col("name"), "CHas").alias("found"), filters.contains_folded(F.col("name"), "").alias("every"))
+
+
 @_query
 def c2_format_duration(spark, d):
     return spans(spark, d).select("seq", scalars.format_duration(F.col("dur") / 7).alias("shown"), scalars.format_duration(F.col("dur") / 7, F.lit(2000.0)).alias("in_ms"))

@@ -209,8 +209,10 @@ FROM me m WHERE m.ts = (SELECT min(ts) FROM me)""",
     "w8_hottest_track_window": _T + ", s AS (SELECT track_order, sum(event_count) OVER w AS total, count(*) OVER w AS width FROM tracks WINDOW w AS (ORDER BY track_order ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING)), best AS (SELECT track_order AS f FROM s WHERE width = 25 ORDER BY total DESC, track_order LIMIT 1) SELECT track_id, track_order, event_count FROM tracks, best WHERE track_order BETWEEN f AND f + 24",
     "t1_query_events": f"WITH {NESTED}, {TRACKS.split('FROM ev), ', 1)[1]} SELECT seq, n.name, ts, dur, track_order FROM n JOIN tracks USING (track_id) WHERE cat = 'nav' AND depth = 0 AND {MEETS_WINDOW} ORDER BY ts, track_order, ord LIMIT 200",
     "t2_sort_results": _X + "SELECT seq, dur FROM ev WHERE name = 'error'",
+    "t3_top_names_per_bucket": f"WITH {EV}, {_overlaps('ev', 60)}, r AS (SELECT CAST(bucket AS INTEGER) AS bucket, CAST(row_number() OVER (PARTITION BY bucket ORDER BY sum(overlap) DESC, name) AS INTEGER) AS rank, name, round(sum(overlap), 0) AS overlap FROM ov GROUP BY bucket, name) SELECT * FROM r WHERE rank <= 3",
     "t4_order_tracks": _T + "SELECT track_id, sort_index, track_order FROM tracks",
     "t5_diff_order": f"WITH {EV}, e1 AS (SELECT * FROM ev WHERE ts < {MIDDLE}), e2 AS (SELECT * FROM ev WHERE ts >= {MIDDLE}), {DIFF.format(key='cat', base='e1', target='e2')} SELECT key, delta_dur, delta_count FROM diff",
+    "c1_contains": _X + "SELECT seq, contains(lower(name), 'chas') AS found, true AS every FROM ev",
     "c3_nice_interval": _X + ", r AS (SELECT seq, dur / 12.0::DOUBLE AS raw FROM ev), p AS (SELECT seq, raw, pow(10.0::DOUBLE, floor(log10(raw))) AS pw FROM r WHERE raw > 0)\n"
     "SELECT seq, greatest(1.0::DOUBLE, pw * CASE WHEN raw / pw < 1.5 THEN 1 WHEN raw / pw < 3.5 THEN 2 WHEN raw / pw < 7.5 THEN 5 ELSE 10 END) AS step FROM p UNION ALL SELECT seq, 1.0 FROM r WHERE raw <= 0",
     "c4_bar_chars": _X + ", c AS (SELECT seq, CAST(greatest(0, least(20, trunc(dur / 6e8::DOUBLE / 3 / 100 * 20))) AS INTEGER) AS cells FROM ev) SELECT seq, cells, repeat('█', cells) || repeat('░', 20 - cells) AS bar FROM c",
@@ -220,4 +222,17 @@ FROM me m WHERE m.ts = (SELECT min(ts) FROM me)""",
     "st1_stream_events": _X + "SELECT name, cat, ts, dur, pid, tid FROM ev",
     "st2_stream_pair": f"WITH {BE} SELECT seq, name, ph, ts, dur::BIGINT AS dur FROM closed WHERE matched UNION ALL SELECT seq, name, ph, ts, 0 FROM be WHERE ph = 'X'",
     "st3_stream_totals": _X + "SELECT name AS key, count(*) AS count, sum(dur)::BIGINT AS total_dur, min(ts) AS min_ts, max(ts + dur) AS max_ts FROM ev GROUP BY 1",
+    "p7_color_class": _X
+    + ", h AS (SELECT *, CASE WHEN seq % 5 = 0 THEN 'rail_load' ELSE '' END AS cname, CAST(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(name, ''), lambda c: ord(c)::UBIGINT)),\n"
+    "  lambda h, b: (xor(h, b) * 16777619) % 4294967296) % 8 AS INTEGER) AS slot FROM ev), c AS (SELECT name, cname, CASE WHEN cname = 'rail_load' THEN 1 ELSE slot END AS slot FROM h)\n"
+    "SELECT name, cname, min(slot) AS low, max(slot) AS high, count(*) AS events FROM c GROUP BY 1, 2",
+    "a16_auto_bin_counts": _X
+    + ", f AS (SELECT (max(ts) - min(ts)) / 30 AS raw FROM ev), p AS (SELECT raw, pow(10.0::DOUBLE, floor(log10(raw))) AS pw FROM f),\n"
+    "w AS (SELECT CAST(greatest(1, pw * CASE WHEN raw / pw < 1.5 THEN 1 WHEN raw / pw < 3.5 THEN 2 WHEN raw / pw < 7.5 THEN 5 ELSE 10 END) AS BIGINT) AS width FROM p)\n"
+    "SELECT ts // width * width AS bin_start, count(*) AS count FROM ev, w GROUP BY 1",
+    "c2_format_duration": _X
+    + ", u AS (SELECT seq, dur / 7 AS us FROM ev), v AS (SELECT seq, us, CASE WHEN us >= 1e6 THEN us / 1e6 WHEN us >= 1e3 THEN us / 1e3 ELSE us END AS own,\n"
+    "  CASE WHEN us >= 1e6 THEN 's' WHEN us >= 1e3 THEN 'ms' ELSE 'us' END AS unit FROM u)\n"
+    "SELECT seq, CASE WHEN us = 0 THEN '0' ELSE regexp_replace(regexp_replace(printf('%.2f', own), '0+$', ''), '[.]$', '') || ' ' || unit END AS shown,\n"
+    "  CASE WHEN us = 0 THEN '0' ELSE regexp_replace(regexp_replace(printf('%.2f', us / 1e3), '0+$', ''), '[.]$', '') || ' ms' END AS in_ms FROM v",
 }
