@@ -11,20 +11,17 @@ ARGS_TYPE = "array<struct<key:string,str:string,num:double>>"
 
 def parse_args(args_json: Column) -> Column:
     """Arguments in the order of the object's keys; nested values stay JSON text. Not an object: no arguments."""
-    text = F.from_json(args_json, "map<string,string>")
-    # With every value as text, numbers and strings look alike; a second reading keeps the quotes of strings.
-    kept = F.from_json(args_json, "map<string,variant>")
-    keys = F.coalesce(F.json_object_keys(args_json), F.array().cast("array<string>"))
-
-    def arg(key: Column) -> Column:
-        value = F.try_element_at(text, key)
-        kind = F.schema_of_variant(F.try_element_at(kept, key))
-        number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT|TINYINT|SMALLINT)")
-        shown = F.when(number, F.lit("")).otherwise(F.coalesce(value, F.lit("null")))
-        num = F.when(number, value.try_cast("double")).otherwise(F.lit(0.0))
-        return F.struct(key.alias("key"), shown.alias("str"), F.coalesce(num, F.lit(0.0)).alias("num"))
-
-    return F.transform(keys, arg)
+    # One reading of the text; map entries keep its order, and repeated keys.
+    entries = F.map_entries(F.from_json(args_json, "map<string,variant>"))
+
+    def arg(entry: Column) -> Column:
+        value = entry["value"]
+        number = F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT|TINYINT|SMALLINT)")
+        text = F.coalesce(F.try_variant_get(value, "$", "string"), F.lit("null"))
+        num = F.when(number, F.try_variant_get(value, "$", "double"))
+        return F.struct(entry["key"].alias("key"), F.when(number, F.lit("")).otherwise(text).alias("str"), F.coalesce(num, F.lit(0.0)).alias("num"))
+
+    return F.coalesce(F.transform(entries, arg), F.expr("array()").cast(ARGS_TYPE))
 
 
 def with_args(events: DataFrame) -> DataFrame:

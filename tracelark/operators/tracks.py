@@ -43,14 +43,16 @@ def organize_tracks(events: DataFrame, nested: DataFrame | None = None) -> DataF
     keyed = assign_track(events)
     counter = F.col("track_type") == "COUNTER"
     own = ~is_metadata()
-    tracks = keyed.groupBy("trace_id", "track_id", "track_type").agg(
-        F.first("pid").alias("pid"),
-        F.first(F.when(counter, F.lit(-1)).otherwise(F.col("tid"))).alias("tid"),
-        F.first(F.when(counter, F.col("name")).otherwise(F.lit(""))).alias("own_name"),
-        F.first(F.when(counter, F.col("id")).otherwise(F.lit(""))).alias("id"),
-        F.count_if(own).alias("event_count"),
-        F.coalesce(F.max(F.when(own, F.col("dur"))), F.lit(0)).alias("max_dur"),
-    )
+    # All that a track id stands for is part of the key, so sums and maxima are all that is aggregated.
+    tracks = keyed.groupBy(
+        "trace_id",
+        "track_id",
+        "track_type",
+        "pid",
+        F.when(counter, F.lit(-1)).otherwise(F.col("tid")).alias("tid"),
+        F.when(counter, F.col("name")).otherwise(F.lit("")).alias("own_name"),
+        F.when(counter, F.col("id")).otherwise(F.lit("")).alias("id"),
+    ).agg(F.count_if(own).alias("event_count"), F.coalesce(F.max(F.when(own, F.col("dur"))), F.lit(0)).alias("max_dur"))
     named = tracks.join(track_names(events), [*THREAD], "left")
     name = F.when(counter, F.col("own_name")).otherwise(F.coalesce("thread_name", F.lit("")))
     out = named.select(
