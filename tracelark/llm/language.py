@@ -118,8 +118,12 @@ def identify(docs: DataFrame, per_language: int = 400, landmarks: int = 64, ridg
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    shares = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))).orderBy(*order)
+    turn = Window.partitionBy("lang").orderBy(*order)
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    # First within 64 shares of a language, so that no task sees all of a frequent one.
+    known = known.withColumn("turn", F.row_number().over(shares)).where(F.col("turn") <= per_language)
     sample = known.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= per_language).select("doc_id", "lang").distinct()
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
