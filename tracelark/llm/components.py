@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelark.llm.storage import written
+from tracelark.llm.storage import Scratch, written
 
 
 def connected(links: DataFrame) -> DataFrame | None:
@@ -14,14 +14,15 @@ def connected(links: DataFrame) -> DataFrame | None:
     Each round hooks every root to its smallest neighbour, shortens all chains by pointer jumping, and contracts
     the links to those between different roots; at least half of the roots that still have links go each round.
     """
+    scratch = Scratch(links.sparkSession)
     cur = links.where("a <> b").select("a", "b")
-    cur = written(cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    cur = scratch.written(cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = None
     while not cur.isEmpty():
-        parent = written(cur.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")), "parents")
+        parent = scratch.written(cur.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")), "parents")
         while True:
             up = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            jumped = written(parent.join(up, "p").select("a", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "parents")
+            jumped = scratch.written(parent.join(up, "p").select("a", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "parents")
             parent = jumped.select("a", "p")
             if jumped.where("moved").isEmpty():
                 break
@@ -30,7 +31,10 @@ def connected(links: DataFrame) -> DataFrame | None:
         else:
             up = parent.select(F.col("a").alias("root"), "p")
             labels = labels.join(up, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
-        labels = written(labels, "labels")
+        labels = scratch.written(labels, "labels")
         a, b = parent.select("a", F.col("p").alias("x")), parent.select(F.col("a").alias("b"), F.col("p").alias("y"))
-        cur = written(cur.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+        cur = scratch.written(cur.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+    if labels is not None:
+        labels = written(labels, "components")
+    scratch.drop()
     return labels

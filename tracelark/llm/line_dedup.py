@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelark.llm.bloom import blocks_for, bloom_words, might_contain
-from tracelark.llm.storage import written
+from tracelark.llm.storage import Scratch, written
 
 
 def _settled(df: DataFrame, **columns: Column) -> DataFrame:
@@ -43,28 +43,36 @@ def _code(at: Column, size: Column) -> Column:
     return at.cast("bigint") * (1 << 31) + size
 
 
-def repeated_chunks(docs: DataFrame, divisor: int, min_lines: int) -> DataFrame:
+def repeated_chunks(docs: DataFrame, divisor: int, min_lines: int, scratch: Scratch, often_places: int = 1000, shares: int = 64) -> DataFrame:
     """Every occurrence but the first of a chunk of at least ``min_lines`` lines that stands in more than one place.
 
     Returns doc_id and code (the place). First means by doc_id, then line. Equal hashes alone decide nothing:
-    occurrences are grouped by the chunk's bytes.
+    occurrences are grouped by the chunk's bytes. Chunks of ``often_places`` places are dealt to ``shares`` tasks.
     """
     marked = chunked(docs.select("doc_id", "text").where("text is not null"), divisor)
     long = F.filter("chunks", lambda c: c["size"] >= min_lines)
     counts = marked.select(F.explode(F.transform(long, lambda c: c["hash"])).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    repeated = written(counts.where("n > 1").select("key"), "line-dedup-hashes")
+    repeated = scratch.written(counts.where("n > 1"), "line-dedup-hashes")
     blocks = blocks_for(repeated.count())
-    words = bloom_words(repeated, blocks).scalar()
+    words = bloom_words(repeated.select("key"), blocks).scalar()
+    often = repeated.where(F.col("n") >= often_places).select("key")
+    often_blocks = blocks_for(often.count())
+    often_words = bloom_words(often, often_blocks).scalar()
     seen = marked.withColumn("words", words)
     possible = F.filter("chunks", lambda c: (c["size"] >= min_lines) & might_contain(F.col("words"), c["hash"], blocks))
     found = F.transform(
         possible,
         lambda c: F.struct(_code(c["at"], c["size"]).alias("code"), c["hash"].alias("hash"), F.array_join(F.slice("lines", c["at"], c["size"]), "\n").alias("bytes")),
     )
-    places = written(seen.select("doc_id", F.inline(found)), "line-dedup-chunks")
+    places = scratch.written(seen.select("doc_id", F.inline(found)), "line-dedup-chunks")
     # Map-side minima come first, so a chunk that very many documents share is a row for each task here.
     firsts = places.groupBy("hash", "bytes").agg(F.min(F.struct("doc_id", "code")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = places.join(firsts.select("hash", "bytes", "first"), ["hash", "bytes"])
+    # Chunks of very many places meet their first one in several shares, dealt by place.
+    hot = might_contain(often_words, F.col("hash"), often_blocks)
+    share = F.when(hot, F.pmod(F.xxhash64("doc_id", "code"), F.lit(shares)).cast("int")).otherwise(F.lit(0))
+    every = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0))))
+    firsts = firsts.select("hash", "bytes", "first", every.alias("share"))
+    again = places.withColumn("share", share).join(firsts, ["hash", "bytes", "share"])
     return again.where(~(F.struct("doc_id", "code").eqNullSafe(F.col("first")))).select("doc_id", "code")
 
 
@@ -81,7 +89,9 @@ def dedup_lines(docs: DataFrame, divisor: int = 2, min_lines: int = 2) -> DataFr
     """
     docs = docs.drop("n_lines", "n_removed")
     kept_columns = docs.columns
-    repeats = written(repeated_chunks(docs, divisor, min_lines), "line-dedup-repeats")
+    scratch = Scratch(docs.sparkSession)
+    repeats = written(repeated_chunks(docs, divisor, min_lines, scratch), "line-dedup-repeats")
+    scratch.drop()
     by_doc = repeats.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("code").alias("_codes"))
     blocks = blocks_for(by_doc.count())
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))

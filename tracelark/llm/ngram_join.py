@@ -13,15 +13,13 @@ from pyspark.sql import functions as F
 
 from tracelark.llm.bloom import blocks_for, bloom_words, might_contain
 from tracelark.llm.components import connected
-from tracelark.llm.storage import written
+from tracelark.llm.storage import Scratch, written
 from tracelark.llm.words import mix, shingle_hashes, word_hashes
 
 #: Tokens are shingle hashes cut to 48 bits; sets are counted before the cut.
 TOKEN_BITS = 48
-#: A task hands on its tokens whenever it holds so many, or so many documents.
-FLUSH_TOKENS, FLUSH_DOCS = 1 << 21, 60_000
-#: A token that so many documents of one flush hold is common: its postings stay with the documents.
-COMMON_DOCS = 256
+#: A task hands on what it has gathered at so many documents at most: they are numbered in two bytes.
+FLUSH_DOCS = 60_000
 COMMON = np.uint32(0xFFFFFFFF)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Stands for a null doc_id inside the join.
@@ -76,8 +74,8 @@ _SPREAD, _RETURNED = ([c.split()[0] for c in s.split(", ")] for s in (SPREAD, RE
 class _Flush:
     """Documents gathered by one task, handed on as blocks of sorted tokens by range of the token."""
 
-    def __init__(self, base: int, parts: int):
-        self.base, self.parts, self.held = base, parts, 0
+    def __init__(self, base: int, parts: int, tokens: int, common_docs: int):
+        self.base, self.parts, self.tokens, self.common_docs, self.held = base, parts, tokens, common_docs, 0
         self.ids: list[int] = []
         self.sizes: list[int] = []
         self.prints: list[int] = []
@@ -98,7 +96,7 @@ class _Flush:
         self.prints.append(fp - (1 << 64) if fp >> 63 else fp)
 
     def full(self) -> bool:
-        return self.held >= FLUSH_TOKENS or len(self.ids) >= FLUSH_DOCS
+        return self.held >= self.tokens or len(self.ids) >= FLUSH_DOCS
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         common_of: dict[int, bytes] = {}
@@ -108,7 +106,7 @@ class _Flush:
             order = np.argsort(tokens, kind="stable")
             tokens, owners = tokens[order], owners[order]
             starts = _starts(tokens)
-            often = np.diff(starts) >= COMMON_DOCS
+            often = np.diff(starts) >= self.common_docs
             common, counts = tokens[starts[:-1][often]], np.diff(starts)[often].astype(np.uint64)
             if len(common):
                 held = np.repeat(often, np.diff(starts))
@@ -147,17 +145,17 @@ class _Flush:
         )
 
 
-def _spread(docs: DataFrame, size: int, parts: int) -> DataFrame:
+def _spread(docs: DataFrame, size: int, parts: int, flush_tokens: int, common_docs: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        flush = _Flush((context.partitionId() if context else 0) << 40, parts)
+        flush = _Flush((context.partitionId() if context else 0) << 40, parts, flush_tokens, common_docs)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = word_hashes((text.as_py() or "").encode())
                 flush.add(NULL_ID if doc_id is None else doc_id, shingle_hashes(words, size))
                 if flush.full():
                     yield from flush.batches()
-                    flush = _Flush(flush.base + len(flush.ids), parts)
+                    flush = _Flush(flush.base + len(flush.ids), parts, flush_tokens, common_docs)
         if flush.ids:
             yield from flush.batches()
 
@@ -178,6 +176,7 @@ def _count_and_return(parts: int):
         tokens = np.concatenate([_risen(b["tokens"], 6) for b in blocks])
         rids = np.concatenate([_numbers(b["owners"], 2) + np.uint64(b["rid"]) for b in blocks])
         common = np.unique(np.concatenate([_risen(b["common"], 6) for b in blocks]))
+        del blocks, table, docs
         order = np.argsort(tokens, kind="stable")
         tokens, rids = tokens[order], rids[order]
         starts = _starts(tokens)
@@ -238,39 +237,49 @@ def prefix_size(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def _may_link(a_n: Column, b_n: Column, a_pos: Column, b_pos: Column, percent: int) -> Column:
-    """Length and positional filters for two sets that share the tokens at these positions (from 0)."""
-    need = F.ceil((a_n + b_n) * percent / (100 + percent))
-    most = F.least(a_pos, b_pos) + F.least(a_n - a_pos, b_n - b_pos)
-    return (100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n)) & (most >= need)
+def _may_link(percent: int) -> Column:
+    """Length and positional filters for two groups that share the tokens at ``at`` and ``b_at``.
+
+    ``at`` counts a group's shareable tokens from 0, of which it has ``rest``; its other tokens are in no other set,
+    so the overlap is at most what comes before the two places plus what comes from there on.
+    """
+    n, b_n = F.col("n"), F.col("b_n")
+    need = F.ceil((n + b_n) * percent / (100 + percent))
+    most = F.least("at", "b_at") + F.least(F.col("rest") - F.col("at"), F.col("b_rest") - F.col("b_at"))
+    return (100 * F.least(n, b_n) >= percent * F.greatest(n, b_n)) & (most >= need)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b), by their whole sets. ``a`` may repeat very often, ``b`` shouldn't."""
-    pairs = written(pairs.distinct(), "candidate-pairs")
-    named = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "candidate-sets")
+def _measured(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) with both, how many tokens their whole sets share, and linked. ``a`` may repeat very often, ``b`` shouldn't."""
+    pairs = scratch.written(pairs.distinct(), "candidate-pairs")
+    named = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "candidate-sets")
     blocks = blocks_for(named.count())
     own = sets.where(might_contain(bloom_words(named, blocks).scalar(), F.col("fp"), blocks)).select("fp", "n", "tokens")
     a = own.select(F.col("fp").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"))
     b = own.select(F.col("fp").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
+    shared = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.col("a_n") + F.col("b_n")).alias("sum"))
+    return scratch.written(shared.select("a", "b", "both", (100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).alias("linked")), "measured")
 
 
-def link_documents(docs: DataFrame, size: int = 5, percent: int = 75, star_rounds: int = 2) -> DataFrame:
+def link_documents(docs: DataFrame, size: int = 5, percent: int = 75, star_rounds: int = 2, flush_tokens: int = 1 << 19, common_docs: int = 256, long_list: int = 64) -> DataFrame:
     """Components of ``docs`` (doc_id, text) under Jaccard similarity of word shingles of at least ``percent`` %.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a set holds the distinct shingles of ``size`` words,
     fewer words count as one shingle, and a text without words has an empty set and no links.
 
-    1. Shingle hashes of all documents meet by ranges of the hash, as sorted blocks. Tokens of one document can't
-       link and stop there; the others go back with their document frequency, which gives one global order.
+    1. Shingle hashes of all documents meet by ranges of the hash, as sorted blocks of about ``flush_tokens`` of a
+       task's tokens. Tokens of one document can't link and stop there; the others go back with their document
+       frequency, which gives one global order. A token that ``common_docs`` documents of one block hold is common:
+       only its count is sent, its documents keep it themselves, and common tokens come last in the order. So a
+       token of very many documents burdens no task.
     2. A document whose prefix holds no returned token is done. Equal sets are one node from here on, and nodes
        of equal size and equal prefix are one group.
     3. Groups that share a prefix token are paired, under length and positional filters. First only with one pivot
        for each token (linear in the postings), twice with different pivots; then all pairs whose members are
        not yet connected. So a large family of near copies costs a few comparisons for each member, and no
-       link between different components is missed.
+       link between different components is missed. Where a token still has ``long_list`` groups, each set is
+       measured against one pivot, and what two sets share with it bounds what they can share with each other.
     4. Group pairs are expanded to members and verified on whole sets.
 
     ``docs`` must be replayable (a table scan). Null and empty texts have n_shingles 0. Repeated rows are copies;
@@ -280,60 +289,93 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 75, star_round
     Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach).
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = _spread(docs, size, parts).groupBy("part").applyInArrow(_count_and_return(parts), RETURNED)
-    every = written(spread.groupBy("part").applyInArrow(_assemble(percent), CANDIDATES), "shingle-sets")
+    # Twice the partitions, since a group of blocks is held whole by its task's Python worker.
+    parts = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = _spread(docs, size, parts, flush_tokens, common_docs).groupBy("part").applyInArrow(_count_and_return(parts), RETURNED)
+    gathered = Scratch(spark)
+    every = gathered.written(spread.groupBy("part").applyInArrow(_assemble(percent), CANDIDATES), "shingle-sets")
 
     held = every.where("tokens is not null")
     chosen = held.groupBy("fp", "n").agg(F.min("rid").alias("rid"))
-    sets = written(held.join(chosen.select("rid"), "rid", "left_semi").select("fp", "n", "uniq", "tokens"), "distinct-sets")
+    sets = scratch.written(held.join(chosen.select("rid"), "rid", "left_semi").select("fp", "n", "uniq", "tokens"), "distinct-sets")
+    every = written(every.select("doc_id", "n", "fp"), "documents")
+    gathered.drop()
     prefix = F.slice("tokens", 1, (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - F.col("uniq")).cast("int"))
     cut = sets.select("fp", "n", "uniq", prefix.alias("prefix"))
     grouped = cut.groupBy("n", "uniq", F.xxhash64("prefix").alias("h1"), F.hash("prefix").alias("h2")).agg(F.min("fp").alias("gid"))
     keyed = cut.select("fp", "n", "uniq", F.xxhash64("prefix").alias("h1"), F.hash("prefix").alias("h2"))
-    members = written(keyed.join(grouped, ["n", "uniq", "h1", "h2"]).select("fp", "gid"), "groups")
+    members = scratch.written(keyed.join(grouped, ["n", "uniq", "h1", "h2"]).select("fp", "gid"), "groups")
     leaders = cut.join(members.where("fp = gid").select("fp"), "fp")
     at = F.posexplode("prefix").alias("at", "token")
-    postings = written(leaders.select(F.col("fp").alias("gid"), "n", "uniq", at).select("token", "gid", "n", (F.col("uniq") + F.col("at")).alias("pos")), "postings")
+    postings = scratch.written(leaders.select(F.col("fp").alias("gid"), "n", (F.col("n") - F.col("uniq")).alias("rest"), at), "postings")
 
     def right(df: DataFrame, *columns: str) -> DataFrame:
         return df.select("token", *(F.col(c).alias(f"b_{c}") for c in columns))
 
-    filters = _may_link(F.col("n"), F.col("b_n"), F.col("pos"), F.col("b_pos"), percent)
+    filters = _may_link(percent)
     links, labels = None, None
     for k in range(star_rounds):
-        rank = F.struct(F.xxhash64("gid", F.lit(k)).alias("r"), "gid", "n", "pos")
-        pivots = postings.groupBy("token").agg(F.min(rank).alias("p")).select("token", F.col("p.gid").alias("b_gid"), F.col("p.n").alias("b_n"), F.col("p.pos").alias("b_pos"))
+        # First the set with the fewest tokens of its own, as the text that a family's copies come from; then any other.
+        own = F.lit(0.0) if k else 1 - F.col("rest") / F.col("n")
+        rank = F.struct(own.alias("own"), F.xxhash64("gid", F.lit(k)).alias("r"), "gid", "n", "rest", "at")
+        pivots = postings.groupBy("token").agg(F.min(rank).alias("p")).select("token", *(F.col(f"p.{c}").alias(f"b_{c}") for c in ("gid", "n", "rest", "at")))
         stars = postings.join(pivots, "token").where((F.col("gid") != F.col("b_gid")) & filters).select("gid", F.col("b_gid").alias("a"))
         pairs = stars.distinct().join(members, "gid").select("a", F.col("fp").alias("b"))
         if not k:
             pairs = pairs.unionByName(members.where("fp <> gid").select(F.col("gid").alias("a"), F.col("fp").alias("b")))
         if labels is not None:
             pairs = _apart(pairs, labels)
-        found = written(_verified(pairs, sets, percent), "links")
+        found = _measured(scratch, pairs, sets, percent).where("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
         labels = connected(links) or labels
 
     root = members if labels is None else members.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-    placed = written(root.select("fp", "gid", F.col("fp").alias("root") if labels is None else F.coalesce("root", "fp").alias("root")), "placed")
+    placed = scratch.written(root.select("fp", "gid", F.col("fp").alias("root") if labels is None else F.coalesce("root", "fp").alias("root")), "placed")
     spans = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     open_postings = postings.join(spans, "gid")
     tokens = open_postings.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-    left = written(open_postings.join(tokens, "token", "left_semi"), "open-postings")
+    left = scratch.written(open_postings.join(tokens, "token", "left_semi"), "open-postings")
+    left = scratch.written(_with_pivot(scratch, left, placed, cut, sets, percent, long_list), "bounded-postings")
     apart = ~((F.col("low") == F.col("high")) & (F.col("b_low") == F.col("b_high")) & (F.col("low") == F.col("b_low")))
-    across = left.join(right(left, "gid", "n", "pos", "low", "high"), "token").where((F.col("gid") < F.col("b_gid")) & apart & filters)
-    group_pairs = written(across.select("gid", "b_gid").distinct(), "group-pairs")
+    # Both sides share with the token's pivot what was measured: that bounds what they can share with each other.
+    need = F.ceil((F.col("n") + F.col("b_n")) * percent / (100 + percent))
+    through = F.least("held", "b_held") + F.least(F.col("rest") - F.col("held"), F.col("b_rest") - F.col("b_held"))
+    possible = filters & F.coalesce((through >= need) | F.col("held").isNull() | F.col("b_held").isNull(), F.lit(True))
+    # A pair counts at the first token that both prefixes hold; where that isn't known, at each.
+    again = F.coalesce(F.arrays_overlap("earlier", "b_earlier"), F.lit(False))
+    across = left.join(right(left, "gid", "n", "rest", "at", "low", "high", "held", "earlier"), "token")
+    across = across.where((F.col("gid") < F.col("b_gid")) & apart & possible & ~again)
+    group_pairs = scratch.written(across.select("gid", "b_gid").distinct(), "group-pairs")
     a = placed.select("gid", F.col("fp").alias("a"), F.col("root").alias("a_root"))
     b = placed.select(F.col("gid").alias("b_gid"), F.col("fp").alias("b"), F.col("root").alias("b_root"))
     pairs = group_pairs.join(a, "gid").join(b, "b_gid").where("a_root <> b_root").select("a", "b")
     split = placed.join(spans.where("low <> high").select("gid"), "gid", "left_semi")
     inside = split.select("gid", F.col("fp").alias("a"), F.col("root").alias("a_root")).join(split.select("gid", F.col("fp").alias("b"), F.col("root").alias("b_root")), "gid")
     pairs = pairs.unionByName(inside.where("a < b and a_root <> b_root").select("a", "b"))
-    found = written(_verified(pairs, sets, percent), "links")
+    found = _measured(scratch, pairs, sets, percent).where("linked").select("a", "b")
     if not found.isEmpty():
         labels = connected(found if links is None else links.unionByName(found))
-    return _answer(every.select("doc_id", "n", "fp"), labels)
+    scratch.drop()
+    return _answer(every, labels)
+
+
+def _with_pivot(scratch: Scratch, postings: DataFrame, members: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int, long_list: int) -> DataFrame:
+    """Adds held, how many tokens a group's only set shares with the pivot of its token, and earlier, its prefix before that token.
+
+    Only for tokens of at least ``long_list`` groups, where all pairs would be many; null for others.
+    """
+    many = postings.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct(1 - F.col("rest") / F.col("n"), "gid")).alias("p"))
+    many = many.where(F.col("k") >= long_list).select("token", F.col("p.gid").alias("pivot"))
+    alone = members.groupBy("gid").agg(F.count("*").alias("k")).where("k = 1").select("gid", F.lit(True).alias("single"))
+    named = postings.join(many, "token", "left").join(alone, "gid", "left")
+    pairs = named.where("single and gid <> pivot").select(F.col("pivot").alias("a"), F.col("gid").alias("b"))
+    known = _measured(scratch, pairs, sets, percent).select(F.col("a").alias("pivot"), F.col("b").alias("gid"), F.col("both").cast("long").alias("both"))
+    held = F.when(F.col("gid") == F.col("pivot"), F.col("rest")).otherwise(F.col("both"))
+    named = named.join(known, ["pivot", "gid"], "left").join(prefixes.select(F.col("fp").alias("gid"), "prefix"), "gid")
+    earlier = F.when(F.col("pivot").isNotNull(), F.slice("prefix", F.lit(1), F.col("at")))
+    return named.select(*postings.columns, F.when(F.col("single"), held).alias("held"), earlier.alias("earlier"))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -348,8 +390,11 @@ def _answer(every: DataFrame, labels: DataFrame | None) -> DataFrame:
     keyed = every.where("n > 0").withColumn("key", F.col("fp"))
     if labels is not None:
         keyed = keyed.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("key", F.coalesce("root", "fp"))
-    least = keyed.groupBy("key").agg(F.min(real).alias("component_id"))
-    linked = keyed.join(least, "key").select(real.alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    # Written, so that the join below has plain shuffles on both sides, which Spark splits where one key is hot.
+    least = keyed.groupBy("key").agg(F.min(real).alias("component_id"), F.count("*").alias("k")).where("k > 1")
+    least = written(least.select("key", "component_id"), "component-ids")
+    joined = keyed.join(least, "key", "left")
+    linked = joined.select(real.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", real).alias("component_id"))
     return linked.unionByName(every.where("n = 0").select(real.alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), real.alias("component_id")))
 
 

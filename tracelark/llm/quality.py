@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelark.llm.storage import written
+from tracelark.llm.storage import Scratch, written
 from tracelark.llm.words import word_hashes
 
 #: Statistics of a text, all computed over its whole length; text never leaves the scan.
@@ -146,7 +146,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 50_000)
     total = usable.count()
     if total > train_rows:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * train_rows / total))
-    model = fit_rules(written(usable.select("label", *STATISTICS), "quality-train"))
+    scratch = Scratch(docs.sparkSession)
+    model = fit_rules(scratch.written(usable.select("label", *STATISTICS), "quality-train"))
+    scratch.drop()
     score = stats.select("doc_id", held_out().alias("held_out"), model.score().alias("score"))
     return score.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 

@@ -17,9 +17,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _put(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: a lost executor costs a reread, not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracelark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _put(df, f"{shared_dir(df.sparkSession)}/tracelark/{name}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Written tables of one computation, dropped together once its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.count = spark, f"{shared_dir(spark)}/tracelark/scratch-{uuid.uuid4().hex}", 0
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        return _put(df, f"{self.path}/{name}-{self.count}")
+
+    def drop(self) -> None:
+        """Deletes the tables, through Spark's own file system layer."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
