@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelark.llm.batches import whole_text_batches
 from tracelark.llm.words import word_hashes
 
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long, n_words long"
@@ -280,6 +281,7 @@ def find_leaks(
     Returns the columns of SCHEMA, a row per document and item.
     """
     spark = docs.sparkSession
+    whole_text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
 

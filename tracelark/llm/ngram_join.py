@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelark.llm.batches import whole_text_batches
 from tracelark.llm.bloom import blocks_for, bloom_words, might_contain
 from tracelark.llm.components import connected
 from tracelark.llm.storage import Scratch, written
@@ -262,7 +263,7 @@ def _measured(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int)
     return scratch.written(shared.select("a", "b", "both", (100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).alias("linked")), "measured")
 
 
-def link_documents(docs: DataFrame, size: int = 5, percent: int = 75, star_rounds: int = 2, flush_tokens: int = 1 << 19, common_docs: int = 256, long_list: int = 64) -> DataFrame:
+def link_documents(docs: DataFrame, size: int = 5, percent: int = 75, star_rounds: int = 2, flush_tokens: int = 1 << 18, common_docs: int = 256, long_list: int = 64) -> DataFrame:
     """Components of ``docs`` (doc_id, text) under Jaccard similarity of word shingles of at least ``percent`` %.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a set holds the distinct shingles of ``size`` words,
@@ -289,6 +290,7 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 75, star_round
     Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach).
     """
     spark = docs.sparkSession
+    whole_text_batches(spark)
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Twice the partitions, since a group of blocks is held whole by its task's Python worker.

@@ -12,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelark.llm.batches import whole_text_batches
+
 #: ids are little-endian unsigned 32-bit numbers.
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 END_OF_TEXT = "<|endoftext|>"
@@ -140,6 +142,7 @@ def pack_documents(
         if held:
             yield flush()
 
+    whole_text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 

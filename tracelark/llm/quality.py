@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelark.llm.batches import whole_text_batches
 from tracelark.llm.storage import Scratch, written
 from tracelark.llm.words import word_hashes
 
@@ -140,6 +141,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 50_000)
 
     Returns doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.3).
     """
+    whole_text_batches(docs.sparkSession)
     stats = written(with_statistics(docs), "quality-statistics")
     marks = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("label"))
     usable = stats.where(~held_out()).join(marks, "doc_id").withColumn("label", (F.col("label") >= 0.5).cast("double"))
