@@ -41,8 +41,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated line chunks (operator 5); one of which nothing is left was a copy and goes."""
-    out = dedup_lines(docs.select(*COLUMNS))
+    """Documents without repeated runs of lines (operator 5); one of which nothing is left was a copy and goes."""
+    out = dedup_lines(docs.select(*COLUMNS), every_run=True)
     return out.where(~((F.col("n_removed") > 0) & (F.col("text") == ""))).select(*COLUMNS)
 
 

@@ -145,6 +145,44 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup_lines(table.limit(0)).count() == 0
 
 
+def brute_runs(docs, size=2):
+    """Without chunks or hashes: a line goes if a run of ``size`` lines over it also begins at an earlier place."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(docs.items()):
+        lines = None if text is None else text.split("\n")
+        gone = set()
+        for i in range(len(lines or []) - size + 1):
+            run = tuple(lines[i : i + size])
+            if run in seen:
+                gone.update(range(i, i + size))
+            seen.add(run)
+        out[doc_id] = None if lines is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("size", [2, 3])
+def test_every_repeated_run_of_lines_goes(spark, size):
+    rng = random.Random(8)
+    passages = [[f"line {p} {i}" for i in range(n)] for p, n in enumerate([*range(size, 9)] * 3)]
+    texts = list(ODD) + ["\n\n\n", "\n".join(["same"] * 40), "\n".join(["a", "b"] * 20), "b\na", "line 0 0"]
+    for i in range(150):
+        lines = [f"own {i} {k}" for k in range(rng.randrange(6))]
+        at = rng.randrange(len(lines) + 1)
+        lines[at:at] = passages[i % len(passages)]
+        texts.append("\n".join(lines))
+    docs = dict(enumerate(texts))
+    table = spark.createDataFrame([(i, t, 0) for i, t in docs.items()], "doc_id long, text string, n_chars int").repartition(3)
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(table, min_lines=size, every_run=True).collect()}
+    want = brute_runs(docs, size)
+    assert {i: r["text"] for i, r in out.items()} == want
+    for i, text in docs.items():  # every planted run but its first place is gone, whatever its length and neighbours
+        if text is not None:
+            assert out[i]["n_lines"] == len(text.split("\n")) and out[i]["n_chars"] == len(want[i])
+            assert i < len(docs) - 150 + len(passages) or "line" not in out[i]["text"]
+            if out[i]["n_removed"] < out[i]["n_lines"]:
+                assert out[i]["n_removed"] == len(text.split("\n")) - len(want[i].split("\n"))
+
+
 def test_line_dedup_keeps_copies_of_one_id_alike(spark):
     text = "\n".join(f"l{i}" for i in range(12))
     rows = [(None, text), (1, text), (1, text), (2, text)]
@@ -154,6 +192,14 @@ def test_line_dedup_keeps_copies_of_one_id_alike(spark):
     assert len(out) == 4 and ones[0] == ones[1] != text
 
 
+def test_line_dedup_keeps_texts_of_one_id_apart(spark):
+    """A repeat in one text takes nothing from another text of the same id, or of no id."""
+    rows = [(0, "a\nb"), (None, "c\nd"), (None, "e\nf"), (1, "a\nb\ng"), (1, "h\ni\nj"), (None, "a\nb")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), every_run=True).collect()
+    want = [(None, "a\nb"), (None, "c\nd"), (None, "e\nf"), (0, ""), (1, "g"), (1, "h\ni\nj")]
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted(want, key=str)
+
+
 def test_lcs():
     rng = random.Random(5)
     for _ in range(100):

@@ -38,18 +38,34 @@ def chunked(docs: DataFrame, divisor: int) -> DataFrame:
     return _settled(ends, chunks=F.transform("ends", chunk)).drop("hashes", "rolled", "ends")
 
 
+def windows(docs: DataFrame, size: int) -> DataFrame:
+    """Adds lines and chunks as ``chunked`` does, but a chunk of ``size`` lines begins at every line.
+
+    So chunks overlap, and any run of at least ``size`` lines is a union of chunks that depend on its own lines alone.
+    """
+    lines = _settled(docs, lines=F.split("text", "\n"))
+    hashed = _settled(lines, hashes=F.transform("lines", lambda line: F.xxhash64(line)))
+    starts = F.when(F.size("lines") >= size, F.sequence(F.lit(1), F.size("lines") - (size - 1))).otherwise(F.array().cast("array<int>"))
+
+    def chunk(at: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(size).alias("size"), F.xxhash64(*(F.get("hashes", at + (k - 1)) for k in range(size))).alias("hash"))
+
+    return _settled(hashed, chunks=F.transform(starts, chunk)).drop("hashes")
+
+
 def _code(at: Column, size: Column) -> Column:
     """A chunk's place as one long, so that sets of places are sets of numbers."""
     return at.cast("bigint") * (1 << 31) + size
 
 
-def repeated_chunks(docs: DataFrame, divisor: int, min_lines: int, scratch: Scratch, often_places: int = 1000, shares: int = 64) -> DataFrame:
+def repeated_chunks(docs: DataFrame, divisor: int, min_lines: int, scratch: Scratch, often_places: int = 1000, shares: int = 64, every_run: bool = False) -> DataFrame:
     """Every occurrence but the first of a chunk of at least ``min_lines`` lines that stands in more than one place.
 
-    Returns doc_id and code (the place). First means by doc_id, then line. Equal hashes alone decide nothing:
+    Chunks are those of ``windows`` if ``every_run``, else of ``chunked``. Returns doc_id, print (of the text) and code (the place). First means by doc_id, then print and line. Equal hashes alone decide nothing:
     occurrences are grouped by the chunk's bytes. Chunks of ``often_places`` places are dealt to ``shares`` tasks.
     """
-    marked = chunked(docs.select("doc_id", "text").where("text is not null"), divisor)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("print"), "text").where("text is not null")
+    marked = windows(texts, min_lines) if every_run else chunked(texts, divisor)
     long = F.filter("chunks", lambda c: c["size"] >= min_lines)
     counts = marked.select(F.explode(F.transform(long, lambda c: c["hash"])).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     repeated = scratch.written(counts.where("n > 1"), "line-dedup-hashes")
@@ -64,35 +80,40 @@ def repeated_chunks(docs: DataFrame, divisor: int, min_lines: int, scratch: Scra
         possible,
         lambda c: F.struct(_code(c["at"], c["size"]).alias("code"), c["hash"].alias("hash"), F.array_join(F.slice("lines", c["at"], c["size"]), "\n").alias("bytes")),
     )
-    places = scratch.written(seen.select("doc_id", F.inline(found)), "line-dedup-chunks")
+    places = scratch.written(seen.select("doc_id", "print", F.inline(found)), "line-dedup-chunks")
     # Map-side minima come first, so a chunk that very many documents share is a row for each task here.
-    firsts = places.groupBy("hash", "bytes").agg(F.min(F.struct("doc_id", "code")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = places.groupBy("hash", "bytes").agg(F.min(F.struct("doc_id", "print", "code")).alias("first"), F.count("*").alias("n")).where("n > 1")
     # Chunks of very many places meet their first one in several shares, dealt by place.
     hot = might_contain(often_words, F.col("hash"), often_blocks)
-    share = F.when(hot, F.pmod(F.xxhash64("doc_id", "code"), F.lit(shares)).cast("int")).otherwise(F.lit(0))
+    share = F.when(hot, F.pmod(F.xxhash64("doc_id", "print", "code"), F.lit(shares)).cast("int")).otherwise(F.lit(0))
     every = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0))))
     firsts = firsts.select("hash", "bytes", "first", every.alias("share"))
     again = places.withColumn("share", share).join(firsts, ["hash", "bytes", "share"])
-    return again.where(~(F.struct("doc_id", "code").eqNullSafe(F.col("first")))).select("doc_id", "code")
+    return again.where(~(F.struct("doc_id", "print", "code").eqNullSafe(F.col("first")))).select("doc_id", "print", "code")
 
 
-def dedup_lines(docs: DataFrame, divisor: int = 2, min_lines: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, divisor: int = 2, min_lines: int = 2, every_run: bool = False) -> DataFrame:
     """Remove globally repeated multi-line chunks from ``docs``, keeping the first place of each.
 
+    With ``every_run``, a line goes exactly if it lies in a run of ``min_lines`` or more whole lines, empty ones too,
+    that also begins at an earlier place (by doc_id, then line) of ``docs`` as they came; the two may overlap.
+    Otherwise only chunks between hash-chosen boundaries (``divisor``) are compared, which leaves most short runs.
+    Either way some place keeps each line.
+
     Adds n_lines, n_removed (lines) to the columns of ``docs`` and shortens text; n_chars follows if there is
     such a column. Only documents that may hold a repeat (by a Bloom filter of bounded size) are shuffled; all
     others stream through.
 
     A null text stays null with 0 lines; an empty one is one empty line and stays. Repeated rows with one doc_id
-    and text are one place and stay alike; a null doc_id sorts first. Clashing column names (n_lines, n_removed)
+    and text are one place and stay alike, other texts of that id are places of their own; a null doc_id sorts first. Clashing column names (n_lines, n_removed)
     are replaced. An empty table stays empty.
     """
     docs = docs.drop("n_lines", "n_removed")
     kept_columns = docs.columns
     scratch = Scratch(docs.sparkSession)
-    repeats = written(repeated_chunks(docs, divisor, min_lines, scratch), "line-dedup-repeats")
+    repeats = written(repeated_chunks(docs, divisor, min_lines, scratch, every_run=every_run), "line-dedup-repeats")
     scratch.drop()
-    by_doc = repeats.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("code").alias("_codes"))
+    by_doc = repeats.groupBy(F.col("doc_id").alias("_doc"), F.col("print").alias("_print")).agg(F.collect_set("code").alias("_codes"))
     blocks = blocks_for(by_doc.count())
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     words = bloom_words(repeats.select(key.alias("key")).distinct(), blocks).scalar()
@@ -101,7 +122,9 @@ def dedup_lines(docs: DataFrame, divisor: int = 2, min_lines: int = 2) -> DataFr
     lines = F.when(F.col("text").isNull(), 0).otherwise(lines)
     calm = tested.where(~F.col("_hit")).select(*kept_columns, lines.alias("n_lines"), F.lit(0).alias("n_removed"))
 
-    joined = tested.where("_hit").join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    joined = tested.where("_hit").join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_print")), "left")
+    if every_run:
+        return _numbered(calm.unionByName(_without_windows(joined, min_lines, kept_columns)), docs)
     marked = chunked(joined, divisor)
     code = F.transform("chunks", lambda c: _code(c["at"], c["size"]))
     none = F.array().cast("array<bigint>")
@@ -110,11 +133,26 @@ def dedup_lines(docs: DataFrame, divisor: int = 2, min_lines: int = 2) -> DataFr
     left = F.aggregate("_kept", F.lit(0).cast("bigint"), lambda a, k: a + F.pmod(k, F.lit(1 << 31)))
     columns = {c: F.col(c) for c in kept_columns} | {"text": F.array_join(texts, "\n")}
     shortened = marked.select(*(c.alias(n) for n, c in columns.items()), F.size("lines").alias("n_lines"), (F.size("lines") - left).cast("int").alias("n_removed"))
-    out = calm.unionByName(shortened)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in kept_columns else out
+    return _numbered(calm.unionByName(shortened), docs)
+
+
+def _numbered(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """``out`` with n_chars of its text, if ``docs`` has such a column."""
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def _without_windows(joined: DataFrame, size: int, kept_columns: list[str]) -> DataFrame:
+    """Rows without the lines of the windows in ``_codes``."""
+    none = F.array().cast("array<bigint>")
+    starts = F.transform(F.coalesce("_codes", none), lambda c: F.floor(c / (1 << 31)).cast("int"))
+    gone = F.flatten(F.transform(starts, lambda at: F.sequence(at, at + (size - 1))))
+    lines = _settled(joined, lines=F.split("text", "\n"))
+    left = _settled(lines, _kept=F.array_except(F.sequence(F.lit(1), F.size("lines")), gone))
+    columns = {c: F.col(c) for c in kept_columns} | {"text": F.array_join(F.transform("_kept", lambda i: F.get("lines", i - 1)), "\n")}
+    return left.select(*(c.alias(n) for n, c in columns.items()), F.size("lines").alias("n_lines"), (F.size("lines") - F.size("_kept")).alias("n_removed"))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents without repeated multi-line chunks; the text that is left as its SHA-256."""
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """All documents without repeated runs of two or more lines; the text that is left as its SHA-256."""
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), every_run=True)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
