@@ -240,6 +240,22 @@ def test_decontamination_finds_passages_and_paraphrases(spark):
     assert decontaminate.find_leaks(table, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_whole_items_of_a_large_benchmark(spark):
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(60)]
+    words = lambda n: [rng.choice(common) if rng.random() < 0.5 else f"v{int(rng.paretovariate(0.4)) % 3000}" for _ in range(n)]
+    items = [words(rng.randrange(15, 56)) for _ in range(1500)]
+    docs = []
+    for i in range(300):
+        text = words(200)
+        text[100:100] = items[i]
+        docs.append((i, " ".join(text)))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(table, bench).collect()}
+    assert {(i, i) for i in range(300)} <= found
+
+
 def test_pipeline_takes_out_what_it_should(spark, tmp_path):
     rng = random.Random(7)
     vocabulary = [f"{a}{b}{c}{d}" for a in "bcdfg" for b in "aeiou" for c in ("n", "r", "st", "lm") for d in ("", "a", "is")]

@@ -265,16 +265,20 @@ def find_leaks(
     lcs_share: float = 0.6,
     answer_share: float = 0.5,
     block_items: int = 10_000,
+    space_items: int = 250,
 ) -> DataFrame:
     """Which ``docs`` (doc_id, text) hold which ``benchmark`` items (item_id, text), also as paraphrases.
 
     1. Inverse document frequencies of the benchmark's terms over all documents. 2. A randomised SVD of the
-    items' TF-IDF passages, distributed over the items. 3. Every document is read as overlapping windows; a
-    window near an item in the latent space (``cosine``) is a candidate. 4. The longest common subsequence of
+    TF-IDF passages of about ``space_items`` items each, distributed over the items: as the benchmark grows there are
+    more latent spaces of ``rank`` dimensions, since one for all would hold ever less of an item. 3. Every document
+    is read as overlapping windows; a window near an item in the item's latent space (``cosine``) is a candidate, so
+    the space decides what is compared: few paraphrases are still lost. 4. The longest common subsequence of
     words must cover ``lcs_share`` of the item, and ``answer_share`` of its last sentence.
 
     Documents never leave their task. The index goes to the tasks in blocks of about ``block_items`` items, so its
-    size doesn't grow with the benchmark. Null and empty texts on either side hold nothing; repeated rows are
+    size doesn't grow with the benchmark; time does, with the number of spaces. Null and empty texts on either side
+    hold nothing; repeated rows are
     reported once each, so are repeated items; null ids stay null; with an empty table on either side the result is
     empty. Other columns are ignored.
 
@@ -297,20 +301,33 @@ def find_leaks(
     row[used] = np.arange(len(used))
     counts, total = document_counts(docs, row)
     weight = np.where(row >= 0, np.log((1.0 + total) / (1.0 + counts)) + 0.05, 0.0)
-    latent = Latent(weight, row, randomised_svd(items, weight, row, rank).astype(np.float32))
 
-    blocks = max(1, -(-items.count() // block_items))
+    size = min(space_items, block_items)
+    spaces = max(1, -(-items.count() // size))
+    each = max(1, block_items // size)
     out = None
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()
-        shared = spark.sparkContext.broadcast((latent, ItemIndex([(r["item_id"], r["text"]) for r in own], latent)))
+    for first in range(0, spaces, each):
+        indexes = []
+        for k in range(first, min(first + each, spaces)):
+            own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(spaces)) == k) if spaces > 1 else items
+            listed = [(r["item_id"], r["text"]) for r in own.collect()]
+            used = np.unique(slots_of(np.concatenate([np.zeros(0, np.uint64), *(term_hashes(t) for _, t in listed)])))
+            if len(used):
+                row = np.full(1 << SLOT_BITS, -1, np.int32)
+                row[used] = np.arange(len(used))
+                latent = Latent(weight, row, randomised_svd(own, weight, row, rank).astype(np.float32))
+                indexes.append((latent, ItemIndex(listed, latent)))
+        if not indexes:
+            continue
+        shared = spark.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            latent, index = shared.value
+            indexes = shared.value
             for batch in batches:
                 found: list[tuple] = []
                 for ids, some in grouped_words(batch):
-                    found += [(ids[d], *x) for d, *x in leaks_of(some, latent, index, cosine, lcs_share, answer_share)]
+                    for latent, index in indexes:
+                        found += [(ids[d], *x) for d, *x in leaks_of(some, latent, index, cosine, lcs_share, answer_share)]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
                 columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "first_word", "n_words"])
