@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import event, frame, nested, rows
 from tracelark.operators import aggregates, args, concurrency, counters, depth, filters, histogram, inspect, normalize, pairing, timeline, tracks
+from tracelark.plans import catalog, sql
 
 
 @pytest.mark.parametrize(
@@ -280,6 +281,29 @@ def test_range_and_nearest_joins(spark):
     assert near == [(1, 100), (2, 150), (3, 150), (4, -1)]
 
 
+def test_registered_joins_of_all_probes_with_all_spans(spark, tmp_path):
+    rng = random.Random(12)
+    kinds = ["purchase", "signup", "view", "error"]
+    happened = [(i, f"2024-01-{rng.randrange(1, 31):02} {rng.randrange(24):02}:{rng.randrange(60):02}:00", i % 7, rng.choice(kinds), rng.randrange(9000) / 100, "{}") for i in range(150)]
+    table = spark.createDataFrame(happened, "event_id long, at string, user_id long, event_type string, value double, props string")
+    table.withColumn("ts", F.col("at").cast("timestamp_ntz")).drop("at").write.parquet(f"file://{tmp_path}/events.parquet")
+    keys = rng.sample(range(1, 50_000), 200)
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"file://{tmp_path}/orders.parquet")
+    every, d = catalog.queries(), f"file://{tmp_path}"
+    spans = [(r["seq"], r["ts"], r["ts"] + r["dur"]) for r in catalog.spans(spark, d).collect()]
+    assert len(spans) == 150
+    at = {k: sql.START + k * 60_000_000 % (30 * 86_400_000_000) for k in keys}
+    held = {k: sorted(seq for seq, a, b in spans if a <= at[k] < b) for k in keys}
+    want = sorted((k, len(s), s[0], s[-1]) for k, s in held.items() if s)
+    assert len(want) > 100
+    assert rows(every["j8_events_at_all"](spark, d), "probe_id", "events", "first", "last") == want
+    edges = {e for _, a, b in spans for e in (a, b)}
+    near = {k: min((abs(t - e), e) for e in edges) for k, t in at.items()}
+    close = {k: (e, n) if n < 300_000_000 else (None, None) for k, (n, e) in near.items()}
+    assert {r["probe_id"]: (r["edge"], r["distance"]) for r in every["j9_nearest_edge_all"](spark, d).collect()} == close
+    assert any(e is not None for e, _ in close.values())
+
+
 def test_hottest_window(spark):
     df = spark.createDataFrame([("t", f"T:{i}", i + 1, n) for i, n in enumerate([1, 9, 2, 9, 1])], "trace_id string, track_id string, track_order int, event_count long")
     assert rows(tracks.hottest_track_window(df, 3), "track_order") == [(2,), (3,), (4,)]

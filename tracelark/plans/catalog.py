@@ -300,6 +300,19 @@ def j9_nearest_edge(spark, d):
     return inspect.nearest_edge(spans(spark, d).where("name = 'purchase'"), _probes(spark, d), 300_000_000).select("probe_id", "at", "edge", "distance")
 
 
+@_query
+def j8_events_at_all(spark, d):
+    """All probes with all spans; no SQL, since j8_events_at's holds a sixteenth of the probes and one name."""
+    held = inspect.events_at(spans(spark, d), _probes(spark, d), 6 * 3_600_000_000)
+    return held.groupBy("probe_id").agg(F.count("*").alias("events"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+@_query
+def j9_nearest_edge_all(spark, d):
+    """All probes with the edges of all spans; no SQL, since j9_nearest_edge's holds one name."""
+    return inspect.nearest_edge(spans(spark, d), _probes(spark, d), 300_000_000).select("probe_id", "at", "edge", "distance")
+
+
 @_query
 def j10_inspect(spark, d):
     """The events at the busiest customer's first start, looked up by track name and time."""
