@@ -60,11 +60,12 @@ def families(seed, n=40):
     return [" ".join(x) for x in out]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_join_equals_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "round_share", "long_list"), [(1, 0.1, 8), (2, 0.0, 2), (2, 2.0, 3), (1, 2.0, 1000)])
+def test_join_equals_brute_force(spark, seed, round_share, long_list):
+    """Whether many rounds with pivots come first, or one, and what counts as a long list, is only a matter of speed."""
     texts = dict(enumerate(ODD + families(seed)))
     docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, component_id string").repartition(3, "doc_id")
-    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_documents(docs, flush_tokens=2000).collect()}
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_documents(docs, flush_tokens=2000, round_share=round_share, long_list=long_list, part_tokens=1500).collect()}
     assert out == brute_components(texts)
 
 
@@ -72,17 +73,54 @@ def test_join_with_common_tokens_and_other_thresholds(spark):
     """What counts as common is only a matter of speed; here many a token does, but not in every block."""
     texts = dict(enumerate(families(3)))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(2)
-    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_documents(docs, percent=50, flush_tokens=3000, common_docs=3).collect()}
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_documents(docs, percent=50, flush_tokens=3000, common_docs=3, long_list=2).collect()}
     assert out == brute_components(texts, 50)
 
 
 def test_join_nulls_repeats_and_empty(spark):
     rows = [(None, "a b c d e f g"), (4, "a b c d e f g"), (4, "a b c d e f g"), (2, None), (None, None)]
     out = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["is_first"], r["component_size"]) for r in out) == [(0, False, 3), (0, True, 1), (2, True, 1), (4, True, 3), (4, True, 3)]
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=str) == sorted([(None, 3, 4), (4, 3, 4), (4, 3, 4), (2, 0, 2), (None, 0, None)], key=str)
     assert ngram_join.link_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_join_takes_each_row_as_a_document(spark):
+    """Rows of one id with different texts, the greatest and least ids there are, and null ids alone."""
+    a, b, c = ("a b c d e f g h", "h g f e d c b a", "x y z x y z z y")
+    low = -(1 << 63)
+    rows = [(3, a), (5, a), (5, b), (7, b), (low, c), (None, c), (None, "q r s t u v"), (None, "q r s t u v")]
+    out = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r["doc_id"], r["component_id"], r["is_first"]) for r in out), key=str)
+    assert got == sorted([(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False), (low, low, True), (None, low, False), (None, None, True), (None, None, True)], key=str)
+
+
+def test_join_compares_a_few_pairs_for_each_member_of_a_family(spark, monkeypatch):
+    """Near copies of a text that isn't there, with 2 to 6 edits and so hardly any links, and with 1 or 2 and so many."""
+    measured, compare = [], ngram_join._Families.compare
+
+    def counted(self, pairs):
+        compare(self, pairs)
+        measured[-1] += self.measured
+
+    monkeypatch.setattr(ngram_join._Families, "compare", counted)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    for edits in ((2, 6), (1, 2)):
+        for n in (150, 300, 600) if edits == (2, 6) else (300, 600):
+            texts = {}
+            for i in range(n):
+                copy = list(base)
+                for _ in range(rng.randint(*edits)):
+                    copy[rng.randrange(60)] = f"e{rng.randrange(200)}"
+                texts[i] = " ".join(copy)
+            measured.append(0)
+            out = ngram_join.link_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+            assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == brute_components(texts)
+            assert measured[-1] <= (4 if edits == (2, 6) else 20) * n, measured
+    assert measured[1] <= 2.6 * measured[0] and measured[2] <= 2.6 * measured[1] and measured[4] <= 2.6 * measured[3], measured
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 130)] + [(-5, 60), (200, 200)]
     out = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(pairs, "a long, b long")).collect()}

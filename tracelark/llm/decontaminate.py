@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracelark.llm.batches import whole_text_batches
 from tracelark.llm.words import word_hashes
 
-SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long, n_words long"
+SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long, n_words long, print long"
 #: Terms are hashed to this many slots, which bounds the model's size whatever the benchmark's vocabulary.
 SLOT_BITS = 16
 #: Window lengths in words; an item is sought with the shortest that is not shorter than itself.
@@ -282,11 +282,12 @@ def find_leaks(
     reported once each, so are repeated items; null ids stay null; with an empty table on either side the result is
     empty. Other columns are ignored.
 
-    Returns the columns of SCHEMA, a row per document and item.
+    Returns the columns of SCHEMA, a row per document and item; print is the xxhash64 of the document's text.
     """
     spark = docs.sparkSession
     whole_text_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("print"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,12 +326,14 @@ def find_leaks(
             indexes = shared.value
             for batch in batches:
                 found: list[tuple] = []
+                prints, at = batch.column(2).to_pylist(), 0
                 for ids, some in grouped_words(batch):
                     for latent, index in indexes:
-                        found += [(ids[d], *x) for d, *x in leaks_of(some, latent, index, cosine, lcs_share, answer_share)]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+                        found += [(ids[d], *x, prints[at + d]) for d, *x in leaks_of(some, latent, index, cosine, lcs_share, answer_share)]
+                    at += len(ids)
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "first_word", "n_words"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "first_word", "n_words", "print"])
 
         part = docs.mapInArrow(run, SCHEMA)
         out = part if out is None else out.unionByName(part)
@@ -340,4 +343,4 @@ def find_leaks(
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     """All documents against all items of ``benchmark``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+    return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")).drop("print")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelark.llm.batches import whole_text_batches
+
 #: Code 0 stands for any run of non-letters, 1 to 26 for a to z, 27 to 63 for other letters by a hash.
 CODES = 64
 #: Presence slots of trigrams, then bigrams, then single letters.
@@ -105,23 +107,26 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def identify(docs: DataFrame, per_language: int = 400, landmarks: int = 64, ridge: float = 0.1, batch: int = 256) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 400, landmarks: int = 64, ridge: float = 0.1, batch: int = 256, sample_rows: int = 40_000) -> DataFrame:
     """Predict the language of every whole text of ``docs`` (doc_id, text, lang).
 
-    Learns from at most ``per_language`` documents of each known lang that are not held out (chosen by a hash of
-    the id, so the sample is bounded by the number of languages, not by the input); the sample's n-grams, not its
+    Learns from at most ``per_language`` documents of each known lang that are not held out, fewer where that would be
+    more than ``sample_rows`` in all (but one of each lang), chosen by a hash of the id; the sample's n-grams, not its
     texts, go to the driver. Scoring reads text alone.
 
     Texts that are null, empty or without letters get ``und`` and score 0.0; so does every text if nothing can be
-    learnt. Repeated rows get the same answer each; ties between languages go to the first by name. Other columns
+    learnt. Repeated rows get the same answer each and are learnt from once, as are rows of one id and lang; ties between languages go to the first by name. Other columns
     are ignored. Returns doc_id, held_out, lang_pred, score (0 to 1).
     """
     spark = docs.sparkSession
+    whole_text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     shares = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))).orderBy(*order)
     turn = Window.partitionBy("lang").orderBy(*order)
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    languages = known.select(F.approx_count_distinct("lang").alias("n")).first()["n"]
+    per_language = max(1, min(per_language, sample_rows // max(1, languages)))
     # First within 64 shares of a language, so that no task sees all of a frequent one.
     known = known.withColumn("turn", F.row_number().over(shares)).where(F.col("turn") <= per_language)
     sample = known.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= per_language).select("doc_id", "lang").distinct()
@@ -133,7 +138,8 @@ def identify(docs: DataFrame, per_language: int = 400, landmarks: int = 64, ridg
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), found], ["doc_id", "lang", "grams"])
 
     texts = docs.join(F.broadcast(sample), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
-    rows = texts.mapInArrow(presence, "doc_id long, lang string, grams binary").where("length(grams) > 0").collect()
+    rows = texts.mapInArrow(presence, "doc_id long, lang string, grams binary").where("length(grams) > 0")
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("grams").alias("grams")).collect()
     rows = sorted(rows, key=lambda r: (r["lang"], r["doc_id"], bytes(r["grams"])))
     model = fit_kernel([r["lang"] for r in rows], [np.frombuffer(r["grams"], np.int32) for r in rows], landmarks, ridge)
     shared = spark.sparkContext.broadcast(model)

@@ -23,12 +23,12 @@ TOKEN_BITS = 48
 FLUSH_DOCS = 60_000
 COMMON = np.uint32(0xFFFFFFFF)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Stands for a null doc_id inside the join.
-NULL_ID = -(1 << 63)
+#: Tokens that one task's Python worker holds at once where blocks of a range of tokens meet (about 50 bytes each).
+PART_TOKENS = 1 << 21
 
-SPREAD = "part int, rid long, doc_id long, n long, fp long, common binary, tokens binary, owners binary, counts binary"
-RETURNED = "part int, rid long, doc_id long, n long, fp long, common binary, rids binary, tokens binary, freqs binary"
-CANDIDATES = "doc_id long, rid long, n long, fp long, uniq long, tokens array<long>"
+SPREAD = "part int, rid long, doc_id long, print long, n long, fp long, common binary, tokens binary, owners binary, counts binary"
+RETURNED = "part int, rid long, doc_id long, print long, n long, fp long, common binary, rids binary, tokens binary, freqs binary"
+CANDIDATES = "doc_id long, print long, rid long, n long, fp long, uniq long, tokens array<long>"
 
 
 def _planes(values: np.ndarray, size: int) -> bytes:
@@ -60,7 +60,7 @@ def _doc_part(rids: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _arrow_schema(names: list[str]) -> pa.Schema:
-    kinds = {"part": pa.int32(), **dict.fromkeys(("rid", "doc_id", "n", "fp"), pa.int64())}
+    kinds = {"part": pa.int32(), **dict.fromkeys(("rid", "doc_id", "print", "n", "fp"), pa.int64())}
     return pa.schema([(c, kinds.get(c, pa.binary())) for c in names])
 
 
@@ -77,14 +77,15 @@ class _Flush:
 
     def __init__(self, base: int, parts: int, tokens: int, common_docs: int):
         self.base, self.parts, self.tokens, self.common_docs, self.held = base, parts, tokens, common_docs, 0
-        self.ids: list[int] = []
+        self.ids: list[int | None] = []
+        self.texts: list[int | None] = []
         self.sizes: list[int] = []
         self.prints: list[int] = []
         self.sets: list[np.ndarray] = []
         self.owners: list[int] = []
         self.seen: set[tuple[int, int]] = set()
 
-    def add(self, doc_id: int, shingles: np.ndarray) -> None:
+    def add(self, doc_id: int | None, text: int | None, shingles: np.ndarray) -> None:
         n = len(shingles)
         fp = int(mix(np.bitwise_xor.reduce(mix(shingles), keepdims=True) * _ODD + shingles.sum(keepdims=True))[0]) if n else 0
         if n and (fp, n) not in self.seen:  # further copies in this flush bring no postings
@@ -93,6 +94,7 @@ class _Flush:
             self.owners.append(len(self.ids))
             self.held += n
         self.ids.append(doc_id)
+        self.texts.append(text)
         self.sizes.append(n)
         self.prints.append(fp - (1 << 64) if fp >> 63 else fp)
 
@@ -139,6 +141,7 @@ class _Flush:
                 "part": _doc_part(rids, self.parts).tolist(),
                 "rid": rids.tolist(),
                 "doc_id": self.ids,
+                "print": self.texts,
                 "n": self.sizes,
                 "fp": self.prints,
                 "common": [common_of.get(i) for i in range(len(self.ids))],
@@ -151,9 +154,9 @@ def _spread(docs: DataFrame, size: int, parts: int, flush_tokens: int, common_do
         context = TaskContext.get()
         flush = _Flush((context.partitionId() if context else 0) << 40, parts, flush_tokens, common_docs)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, seen in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = word_hashes((text.as_py() or "").encode())
-                flush.add(NULL_ID if doc_id is None else doc_id, shingle_hashes(words, size))
+                flush.add(doc_id, seen, shingle_hashes(words, size))
                 if flush.full():
                     yield from flush.batches()
                     flush = _Flush(flush.base + len(flush.ids), parts, flush_tokens, common_docs)
@@ -169,7 +172,7 @@ def _count_and_return(parts: int):
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         docs = table.filter(pc.is_valid(table["n"]))
         if docs.num_rows:
-            for b in docs.select(["part", "rid", "doc_id", "n", "fp", "common"]).combine_chunks().to_batches():
+            for b in docs.select(["part", "rid", "doc_id", "print", "n", "fp", "common"]).combine_chunks().to_batches():
                 yield pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(b.num_rows, pa.binary())] * 3], schema=_arrow_schema(_RETURNED))
         blocks = table.filter(pc.is_null(table["n"])).to_pylist()
         if not blocks:
@@ -208,7 +211,7 @@ def _count_and_return(parts: int):
 
 def _assemble(percent: int):
     """For one share of the documents: each one's tokens that others hold, rarest first, if its prefix reaches them."""
-    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "rid", "n", "fp", "uniq")), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "print", "rid", "n", "fp", "uniq")), ("tokens", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         docs = table.filter(pc.is_valid(table["n"]))
@@ -225,7 +228,7 @@ def _assemble(percent: int):
         uniq = n - (last - first)
         reached = (last > first) & (uniq < prefix_size(n, percent))
         sets = [tokens[a:b] if ok else None for a, b, ok in zip(first, last, reached, strict=True)]
-        columns = [docs["doc_id"].combine_chunks(), docs["rid"].combine_chunks(), docs["n"].combine_chunks(), docs["fp"].combine_chunks(), pa.array(uniq, pa.int64())]
+        columns = [*(docs[c].combine_chunks() for c in ("doc_id", "print", "rid", "n", "fp")), pa.array(uniq, pa.int64())]
         for at in range(0, len(sets), 2000):
             few = [c.slice(at, 2000) for c in columns]
             yield pa.RecordBatch.from_arrays([*few, pa.array(sets[at : at + 2000], pa.list_(pa.int64()))], schema=schema)
@@ -238,63 +241,208 @@ def prefix_size(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def _scale(percent: int) -> int:
+    return 2 * (100 + percent)
+
+
 def _may_link(percent: int) -> Column:
-    """Length and positional filters for two groups that share the tokens at ``at`` and ``b_at``.
+    """Length and positional filters for two groups at the first token that both hold.
 
-    ``at`` counts a group's shareable tokens from 0, of which it has ``rest``; its other tokens are in no other set,
-    so the overlap is at most what comes before the two places plus what comes from there on.
+    Sets link where ``s`` of both plus ``_scale`` times the tokens they share is 0 or more. A group has ``left`` tokens from
+    there on. No token before it is in both, so they can't share more than either has left. At a later common token the
+    bound may fail, but each linking pair passes at its first.
     """
     n, b_n = F.col("n"), F.col("b_n")
-    need = F.ceil((n + b_n) * percent / (100 + percent))
-    most = F.least("at", "b_at") + F.least(F.col("rest") - F.col("at"), F.col("b_rest") - F.col("b_at"))
-    return (100 * F.least(n, b_n) >= percent * F.greatest(n, b_n)) & (most >= need)
+    return (100 * F.least(n, b_n) >= percent * F.greatest(n, b_n)) & (F.col("s") + F.col("b_s") + _scale(percent) * F.least("left", "b_left") >= 0)
+
+
+def _right(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select("token", *(F.col(c).alias(f"b_{c}") for c in columns))
+
+
+class _Families:
+    """Which sets are known to be connected: a table of fp, gid and root, replaced after each round of comparisons."""
+
+    def __init__(self, scratch: Scratch, sets: DataFrame, members: DataFrame, percent: int):
+        self.scratch, self.sets, self.percent, self.measured, self.linked = scratch, sets, percent, 0, 0
+        self.placed = scratch.written(members.select("fp", "gid", F.col("fp").alias("root")), "placed")
+
+    def ungroup(self) -> None:
+        """From now on each set is a group of its own."""
+        self.placed = self.placed.withColumn("gid", F.col("fp"))
 
+    def still_open(self, postings: DataFrame) -> DataFrame:
+        """Postings of tokens whose groups aren't all connected, with the least and greatest root of each group."""
+        spans = self.placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        spanned = postings.join(spans, "gid")
+        tokens = spanned.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
+        tokens = self.scratch.written(tokens, "open-tokens")
+        return self.scratch.written(spanned.join(tokens, "token", "left_semi"), "open-postings")
 
-def _measured(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with both, how many tokens their whole sets share, and linked. ``a`` may repeat very often, ``b`` shouldn't."""
-    pairs = scratch.written(pairs.distinct(), "candidate-pairs")
-    named = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "candidate-sets")
-    blocks = blocks_for(named.count())
-    own = sets.where(might_contain(bloom_words(named, blocks).scalar(), F.col("fp"), blocks)).select("fp", "n", "tokens")
-    a = own.select(F.col("fp").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"))
-    b = own.select(F.col("fp").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
-    both = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    shared = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.col("a_n") + F.col("b_n")).alias("sum"))
-    return scratch.written(shared.select("a", "b", "both", (100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).alias("linked")), "measured")
+    def split_groups(self) -> DataFrame:
+        """Members (gid, fp, root) of groups that aren't connected within."""
+        spans = self.placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        return self.scratch.written(self.placed.join(spans.where("low <> high").select("gid"), "gid", "left_semi"), "split-groups")
 
+    def compare(self, pairs: DataFrame) -> None:
+        """Verifies ``pairs`` (a, b) of sets that no known links connect, and joins what links. ``a`` may repeat very often."""
+        a = self.placed.select(F.col("fp").alias("a"), F.col("root").alias("a_root"))
+        b = self.placed.select(F.col("fp").alias("b"), F.col("root").alias("b_root"))
+        pairs = self.scratch.written(pairs.distinct().join(a, "a").join(b, "b").where("a_root <> b_root"), "candidate-pairs")
+        self.measured, self.linked = pairs.count(), 0
+        if not self.measured:
+            return
+        named = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        named = self.scratch.written(named, "candidate-sets")
+        blocks = blocks_for(named.count())
+        own = self.sets.where(might_contain(bloom_words(named, blocks).scalar(), F.col("fp"), blocks))
+        a = own.select(F.col("fp").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"))
+        b = own.select(F.col("fp").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
+        both, either = F.size(F.array_intersect("a_tokens", "b_tokens")), F.col("a_n") + F.col("b_n")
+        found = pairs.join(a, "a").join(b, "b").where(100 * both >= self.percent * (either - both))
+        found = self.scratch.written(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), "links")
+        self.linked = found.count()
+        labels = connected(found)
+        if labels is not None:
+            up = labels.select(F.col("node").alias("root"), F.col("root").alias("to"))
+            moved = self.placed.join(up, "root", "left").select("fp", "gid", F.coalesce("to", "root").alias("root"))
+            self.placed = self.scratch.written(moved, "placed")
+
+    def rounds(self, postings: DataFrame, share: float) -> None:
+        """Rounds with pivots as long as ``share`` of the compared pairs link."""
+        k = 0
+        while not k or self.linked > 0 and self.linked >= share * self.measured:
+            _pivot_round(self, postings, k)
+            k += 1
+
+
+def _pivot_round(families: _Families, postings: DataFrame, k: int) -> None:
+    """Compares each group of an open token with one pivot for the token, and groups' members with one of them.
+
+    So a round costs one comparison a posting at most. The first takes the set of least ``own``, later ones any.
+    """
+    scratch, filters = families.scratch, _may_link(families.percent)
+    left = families.still_open(postings)
+    own = F.lit(0.0) if k else F.col("own")
+    rank = F.struct(own.alias("own"), F.xxhash64("gid", "token", F.lit(k)).alias("r"), "gid", "n", "left", "s")
+    pivots = left.groupBy("token").agg(F.min(rank).alias("p")).select("token", *(F.col(f"p.{c}").alias(f"b_{c}") for c in ("gid", "n", "left", "s")))
+    pivots = scratch.written(pivots, "pivots")
+    stars = left.join(pivots, "token").where((F.col("gid") != F.col("b_gid")) & filters).select("gid", F.col("b_gid").alias("a")).distinct()
+    pairs = stars.join(families.placed.select("gid", F.col("fp").alias("b")), "gid").select("a", "b")
+    inside = families.split_groups().select("gid", "fp")
+    heads = scratch.written(inside.groupBy("gid").agg(F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("r"), "fp")).alias("p")), "heads")
+    within = inside.join(heads, "gid").select(F.col("p.fp").alias("a"), F.col("fp").alias("b")).where("a <> b")
+    families.compare(pairs.unionByName(within))
 
-def link_documents(docs: DataFrame, size: int = 5, percent: int = 75, star_rounds: int = 2, flush_tokens: int = 1 << 18, common_docs: int = 256, long_list: int = 64) -> DataFrame:
+
+def _possible(families: _Families, postings: DataFrame) -> DataFrame:
+    """Open postings, without those that not even the best partner in their list could link with."""
+    scratch = families.scratch
+    best = scratch.written(postings.groupBy("token").agg(F.max("s").alias("best")), "best")
+    return scratch.written(postings.join(best, "token").where(F.col("s") + F.col("best") + _scale(families.percent) * F.col("left") >= 0).drop("best"), "possible-postings")
+
+
+def _banded(postings: DataFrame, percent: int) -> DataFrame:
+    """Lists cut into overlapping bands of size: sizes of linking sets differ by ``100 / percent`` at most."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.01 * 100 / percent)))
+    return postings.withColumn("band", F.explode(F.array(band, band - 1))).withColumn("token", F.xxhash64("token", "band")).drop("band")
+
+
+def _across(families: _Families, left: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in ``left`` (open postings) that may link and that the rounds have left unconnected.
+
+    Of two postings one is outside the list's largest family, so a connected family isn't compared with itself.
+    """
+    scratch, percent = families.scratch, families.percent
+    main = left.groupBy("token", "low").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "low")).alias("m"))
+    main = scratch.written(main.select("token", F.col("m.low").alias("main")), "main-families")
+    sided = scratch.written(left.join(main, "token").withColumn("inner", (F.col("low") == F.col("main")) & (F.col("high") == F.col("main"))), "sided-postings")
+    pairs = sided.where("not inner").join(_right(sided, "gid", "n", "left", "s", "low", "high", "inner"), "token")
+    apart = ~((F.col("low") == F.col("high")) & (F.col("b_low") == F.col("b_high")) & (F.col("low") == F.col("b_low")))
+    once = F.col("b_inner") | (F.col("gid") < F.col("b_gid"))
+    groups = pairs.where(once & (F.col("gid") != F.col("b_gid")) & apart & _may_link(percent)).select("gid", "b_gid").distinct()
+    groups = scratch.written(groups, "group-pairs")
+    a = families.placed.select("gid", F.col("fp").alias("a"), F.col("root").alias("a_root"))
+    b = families.placed.select(F.col("gid").alias("b_gid"), F.col("fp").alias("b"), F.col("root").alias("b_root"))
+    across = groups.join(b, "b_gid").join(a, "gid").where("a_root <> b_root").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    inside = families.split_groups()
+    x, y = (inside.select("gid", F.col("fp").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    return across.unionByName(x.join(y, "gid").where("a < b and a_root <> b_root").select("a", "b"))
+
+
+def _differences(families: _Families, long: DataFrame) -> DataFrame:
+    """Postings of what the sets of long lists have more and less than one set of the list, its centre.
+
+    Two sets share (rest - d) / 2 of each and what their ``d`` differences from a centre have in common. So those that
+    can link without a common difference link with the set nearest to the centre, which is compared here; all others
+    have a common one among their first, by how many sets have it. What a family has in common is gone from the lists.
+    """
+    scratch, percent, scale = families.scratch, families.percent, _scale(families.percent)
+    centres = scratch.written(long.groupBy("token").agg(F.min(F.struct("own", "gid")).alias("c")).select("token", F.col("c.gid").alias("centre")), "centres")
+    assigned = long.join(centres, "token").select("gid", "centre").distinct()
+    assigned = scratch.written(assigned.join(families.placed.select("gid", "fp"), "gid").select("fp", "centre").distinct(), "assigned")
+    own = families.sets.select("fp", "n", "tokens")
+    both = assigned.join(own, "fp").join(own.select(F.col("fp").alias("centre"), F.col("tokens").alias("c_tokens")), "centre")
+    less = F.transform(F.array_except("c_tokens", "tokens"), lambda t: -t - 1)
+    both = both.select("centre", "fp", "n", F.size("tokens").alias("rest"), F.concat(F.array_except("tokens", "c_tokens"), less).alias("items"))
+    s = (100 + percent) * (F.col("rest") - F.size("items")) - 2 * percent * F.col("n")
+    deltas = scratch.written(both.select("centre", "fp", "n", s.cast("long").alias("s"), "items"), "differences")
+    near = scratch.written(deltas.groupBy("centre").agg(F.max(F.struct("s", "fp")).alias("b")).select("centre", F.col("b.s").alias("best"), F.col("b.fp").alias("a")), "nearest")
+    known = deltas.join(near, "centre")
+    certain = known.where((F.col("s") + F.col("best") >= 0) & (F.col("fp") != F.col("a"))).select("a", F.col("fp").alias("b"))
+    families.ungroup()
+    families.compare(certain)
+    items = known.select("centre", "fp", "n", "s", "best", F.size("items").alias("d"), F.explode("items").alias("item"))
+    items = items.withColumn("token", F.xxhash64("centre", "item")).drop("item")
+    often = scratch.written(items.groupBy("token").agg(F.count("*").alias("k")), "difference-counts")
+    listed = F.array_sort(F.collect_list(F.struct("k", "token")))
+    ranked = items.join(often, "token").groupBy("centre", "fp").agg(*(F.first(c).alias(c) for c in ("n", "s", "best", "d")), listed.alias("listed"))
+    least = F.greatest(F.lit(1), F.ceil(-(F.col("s") + F.col("best")) / scale))
+    first = ranked.withColumn("size", (F.col("d") - least + 1).cast("int")).where("size > 0").select("fp", "n", "s", "d", F.posexplode(F.slice("listed", F.lit(1), F.col("size"))).alias("at", "x"))
+    first = first.where("x.k > 1")
+    return scratch.written(first.select(F.col("x.token").alias("token"), F.col("fp").alias("gid"), "n", (F.col("d") - F.col("at")).alias("left"), "s", (-F.col("s")).cast("double").alias("own")), "difference-postings")
+
+
+def link_documents(docs: DataFrame, size: int = 5, percent: int = 75, flush_tokens: int = 1 << 18, common_docs: int = 256, long_list: int = 8, round_share: float = 0.1, part_tokens: int = PART_TOKENS) -> DataFrame:
     """Components of ``docs`` (doc_id, text) under Jaccard similarity of word shingles of at least ``percent`` %.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a set holds the distinct shingles of ``size`` words,
     fewer words count as one shingle, and a text without words has an empty set and no links.
 
     1. Shingle hashes of all documents meet by ranges of the hash, as sorted blocks of about ``flush_tokens`` of a
-       task's tokens. Tokens of one document can't link and stop there; the others go back with their document
-       frequency, which gives one global order. A token that ``common_docs`` documents of one block hold is common:
-       only its count is sent, its documents keep it themselves, and common tokens come last in the order. So a
-       token of very many documents burdens no task.
+       task's tokens; there are so many ranges that about ``part_tokens`` meet in each. Tokens of one document can't
+       link and stop there; the others go back with their document frequency, which gives one global order. A token
+       that ``common_docs`` documents of one block hold is common: only its count is sent, its documents keep it
+       themselves, and common tokens come last in the order. So a token of very many documents burdens no task.
     2. A document whose prefix holds no returned token is done. Equal sets are one node from here on, and nodes
        of equal size and equal prefix are one group.
-    3. Groups that share a prefix token are paired, under length and positional filters. First only with one pivot
-       for each token (linear in the postings), twice with different pivots; then all pairs whose members are
-       not yet connected. So a large family of near copies costs a few comparisons for each member, and no
-       link between different components is missed. Where a token still has ``long_list`` groups, each set is
-       measured against one pivot, and what two sets share with it bounds what they can share with each other.
+    3. Groups that share a prefix token are paired, under length and positional filters, if no known links connect
+       them. First only with one pivot for each token (linear in the postings), again with other pivots as long as
+       ``round_share`` of the compared pairs link; then all that are left. Where a token still has ``long_list``
+       groups, sets are joined in the same way by their differences from one of them instead. So a large family of near
+       copies costs a few comparisons for each member, and no link between different components is missed.
     4. Group pairs are expanded to members and verified on whole sets.
 
-    ``docs`` must be replayable (a table scan). Null and empty texts have n_shingles 0. Repeated rows are copies;
-    rows with the same id and different texts share one component; null ids are kept, as one document that
-    comes last. Other columns are ignored; an empty table gives an empty result.
+    ``docs`` must be replayable (a table scan). Null and empty texts have n_shingles 0 and link with nothing. Each row
+    is a document of its own: repeated rows are copies, rows with the same id and different texts have the components
+    that their own texts reach, and null ids are kept, as documents that come last. Other columns are ignored; an empty
+    table gives an empty result.
 
-    Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach).
+    Shingles are 64-bit hashes, sets of equal size are equal if their 64-bit prints are (of 10^9 different sets, some
+    pair is taken for equal with odds of 1 in 37), and overlaps are counted on 48 bits of the hash (two sets of 1,000
+    shingles share a false one with odds of 1 in 280 million).
+
+    Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach), class_id (equal sets have equal
+    ones; null for an empty set), component_size (rows), print (xxhash64 of the text) and is_first: whether the row has the
+    id and the text that stand first in its component, by doc_id, nulls last, and print.
     """
     spark = docs.sparkSession
     whole_text_batches(spark)
     scratch = Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Twice the partitions, since a group of blocks is held whole by its task's Python worker.
-    parts = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("print"))
+    # A group of blocks is held whole by its task's Python worker, so the input's size sets how many there are.
+    about = (docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0) // 5
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-about // part_tokens), 1)
     spread = _spread(docs, size, parts, flush_tokens, common_docs).groupBy("part").applyInArrow(_count_and_return(parts), RETURNED)
     gathered = Scratch(spark)
     every = gathered.written(spread.groupBy("part").applyInArrow(_assemble(percent), CANDIDATES), "shingle-sets")
@@ -302,104 +450,48 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 75, star_round
     held = every.where("tokens is not null")
     chosen = held.groupBy("fp", "n").agg(F.min("rid").alias("rid"))
     sets = scratch.written(held.join(chosen.select("rid"), "rid", "left_semi").select("fp", "n", "uniq", "tokens"), "distinct-sets")
-    every = written(every.select("doc_id", "n", "fp"), "documents")
+    every = written(every.select("doc_id", "print", "n", "fp"), "documents")
     gathered.drop()
     prefix = F.slice("tokens", 1, (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - F.col("uniq")).cast("int"))
     cut = sets.select("fp", "n", "uniq", prefix.alias("prefix"))
-    grouped = cut.groupBy("n", "uniq", F.xxhash64("prefix").alias("h1"), F.hash("prefix").alias("h2")).agg(F.min("fp").alias("gid"))
     keyed = cut.select("fp", "n", "uniq", F.xxhash64("prefix").alias("h1"), F.hash("prefix").alias("h2"))
-    members = scratch.written(keyed.join(grouped, ["n", "uniq", "h1", "h2"]).select("fp", "gid"), "groups")
+    heads = scratch.written(keyed.groupBy("n", "uniq", "h1", "h2").agg(F.min("fp").alias("gid")), "heads")
+    members = scratch.written(keyed.join(heads, ["n", "uniq", "h1", "h2"]).select("fp", "gid"), "groups")
     leaders = cut.join(members.where("fp = gid").select("fp"), "fp")
-    at = F.posexplode("prefix").alias("at", "token")
-    postings = scratch.written(leaders.select(F.col("fp").alias("gid"), "n", (F.col("n") - F.col("uniq")).alias("rest"), at), "postings")
-
-    def right(df: DataFrame, *columns: str) -> DataFrame:
-        return df.select("token", *(F.col(c).alias(f"b_{c}") for c in columns))
-
-    filters = _may_link(percent)
-    links, labels = None, None
-    for k in range(star_rounds):
-        # First the set with the fewest tokens of its own, as the text that a family's copies come from; then any other.
-        own = F.lit(0.0) if k else 1 - F.col("rest") / F.col("n")
-        rank = F.struct(own.alias("own"), F.xxhash64("gid", F.lit(k)).alias("r"), "gid", "n", "rest", "at")
-        pivots = postings.groupBy("token").agg(F.min(rank).alias("p")).select("token", *(F.col(f"p.{c}").alias(f"b_{c}") for c in ("gid", "n", "rest", "at")))
-        stars = postings.join(pivots, "token").where((F.col("gid") != F.col("b_gid")) & filters).select("gid", F.col("b_gid").alias("a"))
-        pairs = stars.distinct().join(members, "gid").select("a", F.col("fp").alias("b"))
-        if not k:
-            pairs = pairs.unionByName(members.where("fp <> gid").select(F.col("gid").alias("a"), F.col("fp").alias("b")))
-        if labels is not None:
-            pairs = _apart(pairs, labels)
-        found = _measured(scratch, pairs, sets, percent).where("linked").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        labels = connected(links) or labels
-
-    root = members if labels is None else members.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-    placed = scratch.written(root.select("fp", "gid", F.col("fp").alias("root") if labels is None else F.coalesce("root", "fp").alias("root")), "placed")
-    spans = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    open_postings = postings.join(spans, "gid")
-    tokens = open_postings.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-    left = scratch.written(open_postings.join(tokens, "token", "left_semi"), "open-postings")
-    left = scratch.written(_with_pivot(scratch, left, placed, cut, sets, percent, long_list), "bounded-postings")
-    apart = ~((F.col("low") == F.col("high")) & (F.col("b_low") == F.col("b_high")) & (F.col("low") == F.col("b_low")))
-    # Both sides share with the token's pivot what was measured: that bounds what they can share with each other.
-    need = F.ceil((F.col("n") + F.col("b_n")) * percent / (100 + percent))
-    through = F.least("held", "b_held") + F.least(F.col("rest") - F.col("held"), F.col("b_rest") - F.col("b_held"))
-    possible = filters & F.coalesce((through >= need) | F.col("held").isNull() | F.col("b_held").isNull(), F.lit(True))
-    # A pair counts at the first token that both prefixes hold; where that isn't known, at each.
-    again = F.coalesce(F.arrays_overlap("earlier", "b_earlier"), F.lit(False))
-    across = left.join(right(left, "gid", "n", "rest", "at", "low", "high", "held", "earlier"), "token")
-    across = across.where((F.col("gid") < F.col("b_gid")) & apart & possible & ~again)
-    group_pairs = scratch.written(across.select("gid", "b_gid").distinct(), "group-pairs")
-    a = placed.select("gid", F.col("fp").alias("a"), F.col("root").alias("a_root"))
-    b = placed.select(F.col("gid").alias("b_gid"), F.col("fp").alias("b"), F.col("root").alias("b_root"))
-    pairs = group_pairs.join(a, "gid").join(b, "b_gid").where("a_root <> b_root").select("a", "b")
-    split = placed.join(spans.where("low <> high").select("gid"), "gid", "left_semi")
-    inside = split.select("gid", F.col("fp").alias("a"), F.col("root").alias("a_root")).join(split.select("gid", F.col("fp").alias("b"), F.col("root").alias("b_root")), "gid")
-    pairs = pairs.unionByName(inside.where("a < b and a_root <> b_root").select("a", "b"))
-    found = _measured(scratch, pairs, sets, percent).where("linked").select("a", "b")
-    if not found.isEmpty():
-        labels = connected(found if links is None else links.unionByName(found))
+    rest = F.col("n") - F.col("uniq")
+    at = leaders.select(F.col("fp").alias("gid"), "n", rest.alias("rest"), F.posexplode("prefix").alias("at", "token"))
+    own, s = 1 - F.col("rest") / F.col("n"), -2 * percent * F.col("n")
+    postings = scratch.written(at.select("token", "gid", "n", (F.col("rest") - F.col("at")).alias("left"), s.alias("s"), own.alias("own")), "postings")
+
+    families = _Families(scratch, sets, members, percent)
+    families.rounds(postings, round_share)
+    possible = _possible(families, _banded(families.still_open(postings), percent))
+    sizes = scratch.written(possible.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= long_list).select("token"), "long-lists")
+    families.compare(_across(families, possible.join(sizes, "token", "left_anti")))
+    if not sizes.isEmpty():
+        differences = _differences(families, possible.join(sizes, "token", "left_semi"))
+        families.rounds(differences, round_share)
+        families.compare(_across(families, _possible(families, families.still_open(differences))))
+    labels = written(families.placed.where("fp <> root").select("fp", "root"), "components")
     scratch.drop()
     return _answer(every, labels)
 
 
-def _with_pivot(scratch: Scratch, postings: DataFrame, members: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int, long_list: int) -> DataFrame:
-    """Adds held, how many tokens a group's only set shares with the pivot of its token, and earlier, its prefix before that token.
-
-    Only for tokens of at least ``long_list`` groups, where all pairs would be many; null for others.
-    """
-    many = postings.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct(1 - F.col("rest") / F.col("n"), "gid")).alias("p"))
-    many = many.where(F.col("k") >= long_list).select("token", F.col("p.gid").alias("pivot"))
-    alone = members.groupBy("gid").agg(F.count("*").alias("k")).where("k = 1").select("gid", F.lit(True).alias("single"))
-    named = postings.join(many, "token", "left").join(alone, "gid", "left")
-    pairs = named.where("single and gid <> pivot").select(F.col("pivot").alias("a"), F.col("gid").alias("b"))
-    known = _measured(scratch, pairs, sets, percent).select(F.col("a").alias("pivot"), F.col("b").alias("gid"), F.col("both").cast("long").alias("both"))
-    held = F.when(F.col("gid") == F.col("pivot"), F.col("rest")).otherwise(F.col("both"))
-    named = named.join(known, ["pivot", "gid"], "left").join(prefixes.select(F.col("fp").alias("gid"), "prefix"), "gid")
-    earlier = F.when(F.col("pivot").isNotNull(), F.slice("prefix", F.lit(1), F.col("at")))
-    return named.select(*postings.columns, F.when(F.col("single"), held).alias("held"), earlier.alias("earlier"))
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Those of ``pairs`` that no known links connect."""
-    a, b = labels.select(F.col("node").alias("a"), F.col("root").alias("x")), labels.select(F.col("node").alias("b"), F.col("root").alias("y"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").where("x is null or y is null or x <> y").select("a", "b")
-
-
-def _answer(every: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """A row for each document; the smallest doc_id of each component comes from map-side minima."""
-    real = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
-    keyed = every.where("n > 0").withColumn("key", F.col("fp"))
-    if labels is not None:
-        keyed = keyed.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("key", F.coalesce("root", "fp"))
+def _answer(every: DataFrame, labels: DataFrame) -> DataFrame:
+    """A row for each document; the first (doc_id, print) of each component comes from map-side minima."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    keyed = every.where("n > 0").join(labels, "fp", "left").withColumn("key", F.coalesce("root", "fp"))
     # Written, so that the join below has plain shuffles on both sides, which Spark splits where one key is hot.
-    least = keyed.groupBy("key").agg(F.min(real).alias("component_id"), F.count("*").alias("k")).where("k > 1")
-    least = written(least.select("key", "component_id"), "component-ids")
+    least = keyed.groupBy("key").agg(F.min(place).alias("least"), F.count("*").alias("k")).where("k > 1")
+    least = written(least.select("key", "least", "k"), "component-ids")
     joined = keyed.join(least, "key", "left")
-    linked = joined.select(real.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", real).alias("component_id"))
-    return linked.unionByName(every.where("n = 0").select(real.alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), real.alias("component_id")))
+    first = F.col("least").isNull() | place.eqNullSafe(F.col("least"))
+    linked = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"), F.col("fp").alias("class_id"), F.coalesce("k", F.lit(1)).cast("long").alias("component_size"), "print", first.alias("is_first"))
+    nothing = every.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("component_size"), "print", F.lit(True).alias("is_first"))
+    return linked.unionByName(nothing)
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     """All documents by five-word shingles and a similarity of 0.75."""
-    return link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    linked = link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return linked.select("doc_id", "n_shingles", "component_id", "class_id")

@@ -82,15 +82,16 @@ def statistics_of(text: str | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and STATISTICS of each row's whole text."""
+    """doc_id, print (xxhash64 of the text) and STATISTICS of each row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([statistics_of(text.as_py()) for text in batch.column(1)]).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in rows.T)], ["doc_id", *STATISTICS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c) for c in rows.T)], ["doc_id", "print", *STATISTICS])
 
-    schema = ", ".join(["doc_id long", *(f"{s} double" for s in STATISTICS)])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = ", ".join(["doc_id long, print long", *(f"{s} double" for s in STATISTICS)])
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("print")).mapInArrow(run, schema)
 
 
 def held_out() -> Column:
@@ -139,7 +140,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 50_000)
     their mean label, null labels not at all; a repeated document gets the same score each time. Without labels
     every score is 0.5, with one class only 0.98 or 0.02. Other columns are ignored.
 
-    Returns doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.3).
+    Returns doc_id, held_out, score (0 to 1), print (xxhash64 of the text), predicted (1 if score >= 0.3).
     """
     whole_text_batches(docs.sparkSession)
     stats = written(with_statistics(docs), "quality-statistics")
@@ -151,11 +152,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 50_000)
     scratch = Scratch(docs.sparkSession)
     model = fit_rules(scratch.written(usable.select("label", *STATISTICS), "quality-train"))
     scratch.drop()
-    score = stats.select("doc_id", held_out().alias("held_out"), model.score().alias("score"))
+    score = stats.select("doc_id", held_out().alias("held_out"), model.score().alias("score"), "print")
     return score.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     """Every document, scored by rules learnt from ``labels``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+    return score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")).drop("print")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,22 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one where that is unset and Spark is this one process."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
 def _put(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: a lost executor costs a reread, not a recomputation."""
-    return _put(df, f"{shared_dir(df.sparkSession)}/tracelark/{name}-{uuid.uuid4().hex}")
+    """``df`` as a Parquet table in the shared folder: a lost executor costs a reread, not a recomputation.
+
+    Results may read it until the application ends; then it is deleted.
+    """
+    path = f"{shared_dir(df.sparkSession)}/tracelark/{name}-{uuid.uuid4().hex}"
+    out = _put(df, path)
+    files, folder = _file_system(df.sparkSession, path)
+    files.deleteOnExit(folder)
+    return out
 
 
 class Scratch:
@@ -39,5 +54,5 @@ class Scratch:
 
     def drop(self) -> None:
         """Deletes the tables, through Spark's own file system layer."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        files, folder = _file_system(self.spark, self.path)
+        files.delete(folder, True)
