@@ -9,38 +9,75 @@ from tracelark.functions import scalars
 from tracelark.sources import trace_files
 from tracelark.streaming import events as streams
 
-ARRAY = '[{"name":"task_A","cat":"test","ph":"X","ts":1000,"dur":500,"pid":1,"tid":1},\n{"name":"task_B","ph":"B","ts":2000.7,"pid":1,"tid":1,"args":{"x":[{"y":1}]}},\n{"name":"bad","ts":"12+34"}\n]\n'
+SPANS = '[{"name":"lift","cat":"crane","ph":"X","ts":70,"dur":8,"pid":2,"tid":5},\n{"name":"lower","ph":"B","ts":91.6,"pid":2,"tid":5,"args":{"load":[{"kg":3}]}},\n{"name":"odd","ts":"9x"}\n]\n'
 
 
 def test_read_trace_roots(spark, tmp_path):
-    (tmp_path / "a.json").write_text(ARRAY)
-    (tmp_path / "b.json").write_text('{"traceEvents":[{"name":"foo"}],"other":123}')
+    (tmp_path / "a.json").write_text(SPANS)
+    (tmp_path / "b.json").write_text('{"displayTimeUnit":"ms","traceEvents":[{"name":"solo"}]}')
     (tmp_path / "c.json").write_text("[]")
     (tmp_path / "d.json").write_text('{"traceEvents":[]}')
-    (tmp_path / "e.json.gz").write_bytes(gzip.compress(b'[{"name":"zip","ts":1e2}]'))
+    (tmp_path / "e.json.gz").write_bytes(gzip.compress(b'[{"name":"zip","ts":3e2}]'))
     read = lambda name: rows(trace_files.read_trace(spark, f"file://{tmp_path}/{name}"), "name", "ts")
-    assert read("a.json") == [("task_A", 1000), ("task_B", 2000)]
-    assert read("b.json") == [("foo", 0)]
+    assert read("a.json") == [("lift", 70), ("lower", 91)]
+    assert read("b.json") == [("solo", 0)]
     assert read("c.json") == read("d.json") == []
-    assert read("e.json.gz") == [("zip", 100)]
+    assert read("e.json.gz") == [("zip", 300)]
 
 
 def test_read_lines_keeps_order_and_drops_bad_lines(spark, tmp_path):
-    (tmp_path / "a.json").write_text(ARRAY)
-    (tmp_path / "b.json").write_text('{"traceEvents":[{"name":"one"},\n{"name":"two","args":{"l":[{"z":1}]}},\nnot json,\n{"name":"three"}]}\n')
+    (tmp_path / "a.json").write_text(SPANS)
+    (tmp_path / "b.json").write_text('{"traceEvents":[{"name":"i"},{"name":"ii"},\n{"name":"iii","args":{"l":[{"z":1}]}},\nnot json,\n{"name":"iv \u2028 \x0c"},{"name":"v"}],"unit":["ms"]}\n')
     out = trace_files.read_trace_lines(spark, f"file://{tmp_path}/a.json")
-    assert rows(out, "name", "ts", "args_json") == [("task_A", 1000, ""), ("task_B", 2000, '{"x":[{"y":1}]}')]
+    assert rows(out, "name", "ts", "args_json") == [("lift", 70, ""), ("lower", 91, '{"load":[{"kg":3}]}')]
     out = trace_files.read_trace_lines(spark, f"file://{tmp_path}/b.json").orderBy("seq").collect()
-    assert [r["name"] for r in out] == ["one", "two", "three"]
+    assert [r["name"] for r in out] == ["i", "ii", "iii", "iv \u2028 \x0c", "v"]
+    assert rows(trace_files.bad_lines(spark, f"file://{tmp_path}/b.json"), "lines", "bad") == [(4, 1)]
+
+
+def test_numbers_are_unique_and_in_order_over_files_and_blocks(spark, tmp_path):
+    """Three line files in many small blocks, and documents, each as one trace."""
+    for k in range(3):
+        (tmp_path / f"part {k}.json").write_text("\n".join('{"name":"%06d"},' % (k * 1000 + i) for i in range(1000)))
+        (tmp_path / f"doc{k}.txt").write_text('{"traceEvents":[' + ",".join('{"name":"%d"}' % (2 * k + i) for i in range(2)) + "]}")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        read = trace_files.read_trace_lines(spark, f"file://{tmp_path}/*.json", "t")
+        assert read.rdd.getNumPartitions() > 6
+        out = read.select("seq", "name", "trace_id").collect()
+        docs = trace_files.read_trace(spark, f"file://{tmp_path}/*.txt", "t").select("seq", "name").collect()
+        zipped = trace_files.read_gzip_trace(spark, f"file://{tmp_path}/*.txt", "t").select("seq", "name").collect()
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    assert len({r["seq"] for r in out}) == 3000 and {r["trace_id"] for r in out} == {"t"}
+    assert [r["name"] for r in sorted(out)] == sorted(r["name"] for r in out)
+    for found in (docs, zipped):
+        assert [r["name"] for r in sorted(found)] == list("012345") and len({r["seq"] for r in found}) == 6
 
 
 def test_gzip_by_magic(spark, tmp_path):
-    (tmp_path / "x.json").write_bytes(gzip.compress(b'[{"name":"zip"},\n{"name":"zap"}]'))
+    (tmp_path / "x.json").write_bytes(gzip.compress('[{"name":"zip"},\n{"name":"z\x85p"}]'.encode()))
     (tmp_path / "y.json").write_bytes(b'[{"name":"plain"}]')
-    assert rows(trace_files.read_gzip_trace(spark, f"file://{tmp_path}"), "name") == [("plain",), ("zap",), ("zip",)]
-    (tmp_path / "x.json").write_bytes(b"\x1f\x8bgarbage")
-    with pytest.raises(Exception, match="(?i)gzip|gunzip|zlib|compress"):
-        trace_files.read_gzip_trace(spark, f"file://{tmp_path}").collect()
+    pretty = '{\n "meta": {"a": [{"name": "no"}]},\n "traceEvents": [\n  {\n   "name": "pre]tty \\"{",\n   "args": {"x": [{"y": 1}]}\n  },\n  {"name": "last"}\n ],\n "more": [{"name": "no"}]\n}'
+    (tmp_path / "z").write_bytes(gzip.compress(pretty.encode()[:90]) + gzip.compress(pretty.encode()[90:]))
+    (tmp_path / "w.json").write_bytes(b'[{"name":"before"},{"name":"cut')
+    want = [("before",), ("last",), ("plain",), ('pre]tty "{',), ("zip",), ("z\x85p",)]
+    assert rows(trace_files.read_gzip_trace(spark, f"file://{tmp_path}"), "name") == sorted(want)
+    for raw in (b"\x1f\x8bgarbage", gzip.compress(SPANS.encode())[:-9]):
+        (tmp_path / "x.json").write_bytes(raw)
+        with pytest.raises(Exception, match="gzip file"):
+            trace_files.read_gzip_trace(spark, f"file://{tmp_path}").collect()
+
+
+def test_json_events_in_pieces_of_any_size():
+    text = '{"a":"traceEvents","traceEvents":[{"n":"\\\\"},{"n":"\\"}{["},{"o":{"p":[{}]}}],"b":[{"n":0}]}'
+    for size in range(1, 9):
+        pieces = [text[i : i + size] for i in range(0, len(text), size)]
+        assert list(trace_files.json_events(iter(pieces))) == ['{"n":"\\\\"}', '{"n":"\\"}{["}', '{"o":{"p":[{}]}}']
+    assert list(trace_files.json_events(iter(['{"n":1}\n{"n":2}']))) == ['{"n":1}', '{"n":2}']
 
 
 def test_lines_round_trip_and_stored_events(spark, tmp_path):

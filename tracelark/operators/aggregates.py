@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelark.functions.scalars import nice_interval
 from tracelark.operators.filters import min_count
 from tracelark.operators.normalize import is_metadata
 
@@ -57,23 +58,10 @@ def sorted_diff(diff: DataFrame, sort: str = "duration") -> DataFrame:
     return diff.orderBy(F.desc("delta_dur" if sort == "duration" else "delta_count"), "key")
 
 
-def nice_interval(span: float, ticks: int) -> float:
-    """The step of 1, 2 or 5 times a power of ten, 1 at least, that parts ``span`` into about ``ticks``."""
-    import math
-
-    if span <= 0:
-        return 1.0
-    raw = span / max(2, ticks)
-    power = 10.0 ** math.floor(math.log10(raw))
-    lead = raw / power
-    step = 1.0 if lead < 1.5 else 2.0 if lead < 3.5 else 5.0 if lead < 7.5 else 10.0
-    return max(1.0, step * power)
-
-
 def auto_bin_counts(events: DataFrame, ticks: int = 20) -> DataFrame:
     """Events by start, in bins of a round width for the whole range: bin_start, count. Bins are multiples of the width."""
-    bounds = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    width = int(nice_interval((bounds["hi"] or 0) - (bounds["lo"] or 0), ticks))
+    span = (F.max("ts") - F.min("ts")).cast("double")
+    width = int(events.agg(F.coalesce(nice_interval(span, F.lit(float(max(2, ticks))), F.lit(1.0)), F.lit(1.0)).alias("w")).first()["w"])
     return events.groupBy((F.floor(F.col("ts") / width) * width).alias("bin_start")).agg(F.count("*").alias("count"))
 
 

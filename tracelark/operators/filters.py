@@ -55,8 +55,13 @@ def max_depth(n: int) -> Column:
 
 
 def on_track(track_events: DataFrame, tracks: DataFrame, name: str) -> DataFrame:
-    """Events of the first track, in track order, whose own name is exactly ``name``, in each trace."""
+    """Events of the first track, in track order, whose own name is exactly ``name``, in each trace.
+
+    ValueError if no trace has such a track.
+    """
     first = tracks.where(F.col("name") == name).groupBy("trace_id").agg(F.min_by("track_id", "track_order").alias("track_id"))
+    if first.isEmpty():
+        raise ValueError(f"no track is called {name!r}")
     return track_events.join(first, ["trace_id", "track_id"], "left_semi")
 
 

@@ -3,36 +3,28 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelark.functions.scalars import bar_chars
 
-BINS, MOST_BINS = 20, 32
+BINS = 20
 
 
-def bin_edges(low: int, high: int, room: int = MOST_BINS) -> tuple[list[int], bool]:
+def bin_edges(low: int, high: int) -> tuple[list[int], bool]:
     """Rising edges of the bins for durations from ``low`` to ``high`` (both above 0), and whether they are logarithmic.
 
     Twenty bins, or one for each value of a narrow range; logarithmic if the range is wide and spans more than two
     powers of ten.
     """
-    span = high - low
-    bins, log = BINS, high / low > 100.0
-    if span < bins:
-        bins, log = span + 1, False
-    bins = min(bins, room)
-    edges: list[int] = []
-    for j in range(bins + 1):
-        if j == bins:
-            edge = high + 1
-        elif log:
-            edge = math.floor(10.0 ** (math.log10(low) + j * ((math.log10(high) - math.log10(low)) / bins)) + 0.5)
-        else:
-            edge = low + span * j // bins
-        edges.append(edge if not edges or edge > edges[-1] else edges[-1] + 1)
-    return edges, log
+    if high - low < BINS:
+        return list(range(low, high + 2)), False
+    log = high / low > 100.0
+    start, power = math.log10(low), (math.log10(high) - math.log10(low)) / BINS
+    raw = [math.floor(10.0 ** (start + j * power) + 0.5) if log else low + (high - low) * j // BINS for j in range(BINS)]
+    return list(accumulate([*raw, high + 1], lambda last, edge: max(last + 1, edge))), log
 
 
 def duration_histogram(events: DataFrame) -> DataFrame:
@@ -44,7 +36,7 @@ def duration_histogram(events: DataFrame) -> DataFrame:
     buckets = [(0, 0, 0, False)] if facts["zero"] else []
     edges: list[int] = []
     if facts["low"] is not None:
-        edges, log = bin_edges(facts["low"], facts["high"], MOST_BINS - len(buckets))
+        edges, log = bin_edges(facts["low"], facts["high"])
         buckets += [(len(buckets) + j, a, b - 1, log) for j, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
     shape = spark.createDataFrame(buckets, "bucket int, min_dur long, max_dur long, is_log boolean")
     first = 1 if facts["zero"] else 0

@@ -25,12 +25,18 @@ def inspect(nested: DataFrame, tracks: DataFrame, name: str, ts: int) -> DataFra
 def events_at(events: DataFrame, probes: DataFrame, width: int) -> DataFrame:
     """Probes (probe_id, trace_id, at) with the events that cover them, ``ts <= at < ts + dur``.
 
-    A range join by buckets of ``width`` µs: choose about the usual duration. Each event is exploded over the
-    buckets that it covers, each probe falls in one.
+    A range join by buckets. Those of events up to ``width`` µs long are so wide; each doubling of the duration has its
+    own level of buckets twice as wide. So an event, however long, is in two buckets at most, and a probe in one for
+    each level that events have.
     """
-    spans = events.where("dur > 0").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("ts") / width), F.floor((F.col("ts") + F.col("dur") - 1) / width))))
-    probed = probes.withColumn("bucket", F.floor(F.col("at") / width))
-    return spans.join(probed, ["trace_id", "bucket"]).where("ts <= at and at < ts + dur").drop("bucket")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("dur") / width))).cast("int")
+    wide = F.call_function("shiftleft", F.lit(width).cast("long"), F.col("level"))
+    spans = events.where("dur > 0").withColumn("level", level)
+    levels = sorted(r["level"] for r in spans.select("level").distinct().collect()) or [0]
+    first, last = F.floor(F.col("ts") / wide), F.floor((F.col("ts") + F.col("dur") - 1) / wide)
+    spans = spans.withColumn("bucket", F.explode(F.sequence(first, last)))
+    probed = probes.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("bucket", F.floor(F.col("at") / wide))
+    return spans.join(probed, ["trace_id", "level", "bucket"]).where("ts <= at and at < ts + dur").drop("level", "bucket")
 
 
 def nearest_edge(events: DataFrame, probes: DataFrame, tolerance: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelark.functions import scalars
@@ -64,14 +64,24 @@ def counters(spark: SparkSession, d: str) -> DataFrame:
 # Sources and sinks
 
 
+def _write_documents(events: DataFrame, path: str) -> None:
+    """A JSON document of the events of each thread, in a file of its own."""
+    rows = F.struct("name", "cat", "ph", "cname", "id", "ts", "dur", "pid", "tid", F.col("args_json").alias("args"))
+    doc = events.groupBy("tid").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("seq", rows.alias("e")))).getField("e").alias("traceEvents"))).alias("value"))
+    doc.withColumnRenamed("tid", "user").write.partitionBy("user").text(path)
+
+
+def _rank(events: DataFrame) -> DataFrame:
+    """seq as its rank within the thread: 1, 2, ..."""
+    return events.withColumn("rank", F.row_number().over(Window.partitionBy("tid").orderBy("seq")))
+
+
 @_query
 def s1_read_trace(spark, d):
     """JSON documents written from spans of one user each, read back whole."""
     path = shared_path(spark, "documents")
-    rows = F.struct("name", "cat", "ph", "cname", "id", "ts", "dur", "pid", "tid", F.col("args_json").alias("args"))
-    doc = spans(spark, d).groupBy("tid").agg(F.to_json(F.struct(F.collect_list(rows).alias("traceEvents"))).alias("value"))
-    doc.withColumnRenamed("tid", "user").write.partitionBy("user").text(path)  # a file for each document
-    return trace_files.read_trace(spark, path, "t").select("name", "cat", "ts", "dur", "pid", "tid")
+    _write_documents(spans(spark, d), path)
+    return trace_files.read_trace(spark, path, "t").transform(_rank).select("rank", "name", "cat", "ts", "dur", "pid", "tid")
 
 
 @_query
@@ -79,7 +89,7 @@ def s2_read_trace_lines(spark, d):
     """Line files written from the spans, read back in blocks."""
     path = shared_path(spark, "lines")
     trace_files.event_lines(spans(spark, d)).write.text(path)
-    return trace_files.read_trace_lines(spark, path, "t").select("name", "cat", "ph", "ts", "dur", "pid", "tid", "args_json")
+    return trace_files.read_trace_lines(spark, path, "t").transform(_rank).select("rank", "name", "cat", "ph", "ts", "dur", "pid", "tid", "args_json")
 
 
 @_query
@@ -87,14 +97,17 @@ def s3_read_gzip(spark, d):
     """The same lines in gzip files."""
     path = shared_path(spark, "zipped")
     trace_files.event_lines(spans(spark, d)).write.option("compression", "gzip").text(path)
-    return trace_files.read_gzip_trace(spark, path, "t").select("name", "ts", "dur", "pid", "tid")
+    return trace_files.read_gzip_trace(spark, path, "t").transform(_rank).select("rank", "name", "ts", "dur", "pid", "tid")
 
 
 @_query
 def s4_read_trace_pair(spark, d):
-    """Line items shipped by two halves of the suppliers as two traces, totals side by side."""
+    """Line items shipped by two halves of the suppliers, written as two traces and read back, totals side by side."""
     items = adapters.line_item_events(spark, d)
-    out = agg.diff_traces(items.where("tid % 2 = 0"), items.where("tid % 2 = 1"))
+    paths = [shared_path(spark, "pair"), shared_path(spark, "pair")]
+    for half, path in enumerate(paths):
+        _write_documents(items.where(F.col("tid") % 2 == half), path)
+    out = agg.diff_traces(*trace_files.read_trace_pair(spark, *paths))
     return out.select("key", "base_dur", "base_count", "target_dur", "target_count", "delta_dur", "delta_count")
 
 
@@ -215,8 +228,9 @@ def f6_on_track(spark, d):
 
 @_query
 def f7_on_tracks_named(spark, d):
-    events, found = _with_names(spark, d)
-    return filters.on_tracks_named(events, found, "").select("seq", "name", "ts")
+    """Spans on the threads of all customers of one nation, found by the name that these share."""
+    found = tracks.order_tracks(tracks.organize_tracks(spans(spark, d).unionByName(adapters.nation_name_events(spark, d))))
+    return filters.on_tracks_named(ordered(spark, d), found, "nation 7").select("seq", "name", "ts")
 
 
 @_query
@@ -291,26 +305,28 @@ def _probes(spark, d):
 
 @_query
 def j8_events_at(spark, d):
-    held = inspect.events_at(spans(spark, d).where("name = 'purchase'"), _probes(spark, d).where("probe_id % 16 = 1"), 6 * 3_600_000_000)
+    """All probes with all spans."""
+    held = inspect.events_at(spans(spark, d), _probes(spark, d), 6 * 3_600_000_000)
     return held.groupBy("probe_id").agg(F.count("*").alias("events"), F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 
 @_query
 def j9_nearest_edge(spark, d):
-    return inspect.nearest_edge(spans(spark, d).where("name = 'purchase'"), _probes(spark, d), 300_000_000).select("probe_id", "at", "edge", "distance")
+    """All probes with the edges of all spans."""
+    return inspect.nearest_edge(spans(spark, d), _probes(spark, d), 300_000_000).select("probe_id", "at", "edge", "distance")
 
 
 @_query
 def j8_events_at_all(spark, d):
-    """All probes with all spans; no SQL, since j8_events_at's holds a sixteenth of the probes and one name."""
-    held = inspect.events_at(spans(spark, d), _probes(spark, d), 6 * 3_600_000_000)
+    """As j8_events_at, in buckets a 24th as wide, so that most spans are on higher levels."""
+    held = inspect.events_at(spans(spark, d), _probes(spark, d), 900_000_000)
     return held.groupBy("probe_id").agg(F.count("*").alias("events"), F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 
 @_query
 def j9_nearest_edge_all(spark, d):
-    """All probes with the edges of all spans; no SQL, since j9_nearest_edge's holds one name."""
-    return inspect.nearest_edge(spans(spark, d), _probes(spark, d), 300_000_000).select("probe_id", "at", "edge", "distance")
+    """As j9_nearest_edge, within a twelfth of its tolerance."""
+    return inspect.nearest_edge(spans(spark, d), _probes(spark, d), 25_000_000).select("probe_id", "at", "edge", "distance")
 
 
 @_query

@@ -135,9 +135,9 @@ _T = f"WITH {TRACKS} "
 _HEAT = "cells AS (SELECT track_id, CAST(greatest(0, least({n} - 1, floor((ts - lo) / ((hi - lo) / {n})))) AS INTEGER) AS bucket, max_by(struct_pack(seq, name, dur), struct_pack(d := dur, o := -ord)) AS best, count(*) AS hits FROM n, b WHERE depth = 0 GROUP BY ALL)"
 
 ORACLES = {
-    "s1_read_trace": _X + "SELECT name, cat, ts, dur, pid, tid FROM ev",
-    "s2_read_trace_lines": _X + "SELECT name, cat, ph, ts, dur, pid, tid, replace(args_json, ' ', '') AS args_json FROM ev",
-    "s3_read_gzip": _X + "SELECT name, ts, dur, pid, tid FROM ev",
+    "s1_read_trace": _X + "SELECT row_number() OVER (PARTITION BY tid ORDER BY seq)::INTEGER AS rank, name, cat, ts, dur, pid, tid FROM ev",
+    "s2_read_trace_lines": _X + "SELECT row_number() OVER (PARTITION BY tid ORDER BY seq)::INTEGER AS rank, name, cat, ph, ts, dur, pid, tid, replace(args_json, ' ', '') AS args_json FROM ev",
+    "s3_read_gzip": _X + "SELECT row_number() OVER (PARTITION BY tid ORDER BY seq)::INTEGER AS rank, name, ts, dur, pid, tid FROM ev",
     "s4_read_trace_pair": f"WITH {LINES}, e AS (SELECT * FROM li WHERE tid % 2 = 0), o AS (SELECT * FROM li WHERE tid % 2 = 1), {DIFF.format(key='name', base='e', target='o')} SELECT * FROM diff",
     "s5_from_table": _X + "SELECT seq, name, cat, ph, ts, dur, pid, tid, args_json FROM ev",
     "s6_write_report": _X + "SELECT name AS key, sum(dur)::BIGINT AS total_dur, count(*) AS count FROM ev GROUP BY 1",
@@ -154,7 +154,7 @@ ORACLES = {
     "f4_starts_in": _X + f"SELECT seq, ts, dur FROM ev WHERE {IN_WINDOW}",
     "f5_max_depth": _N + "SELECT seq, depth FROM n WHERE depth <= 1",
     "f6_on_track": _T + "SELECT seq, o.name, ts FROM o WHERE track_id = (SELECT min_by(track_id, track_order) FROM tracks WHERE name = 'Customer#000000008')",
-    "f7_on_tracks_named": _T + "SELECT seq, o.name, ts FROM o WHERE track_id IN (SELECT track_id FROM tracks WHERE name = '')",
+    "f7_on_tracks_named": _X + "SELECT seq, name, ts FROM ev WHERE (tid, pid) IN (SELECT (c_custkey::INTEGER, (c_custkey % 4)::INTEGER) FROM customer WHERE c_nationkey = 7)",
     "f8_min_count": _X + ", g AS (SELECT tid, count(*) AS c FROM ev GROUP BY 1) SELECT count(*) FILTER (c >= 70) AS kept, count(*) FILTER (c < 70) AS skipped, (sum(c) FILTER (c >= 70))::BIGINT AS kept_events FROM g",
     "f9_bucket_filter": f"WITH {EV}, {_histogram('ev')} SELECT seq, ev.dur FROM ev JOIN hist ON bucket = 12 AND ev.dur BETWEEN min_dur AND max_dur",
     "f10_region_select": _N + f"SELECT seq, ts, depth FROM n WHERE pid = 1 AND depth BETWEEN 0 AND 1 AND {MEETS_WINDOW}",
@@ -165,8 +165,8 @@ ORACLES = {
     "j5_attach_track": _T + "SELECT seq, display_name, track_order FROM o JOIN tracks USING (track_id)",
     "j6_track_names": f"WITH {NAMES} SELECT pid, tid, thread_name, sort_index FROM names",
     "j7_tracks_with_hits": _T + "SELECT track_id, track_id IN (SELECT track_id FROM o WHERE contains(lower(name), 'signup')) AS has_hit FROM tracks",
-    "j8_events_at": _X + f", {PROBES} SELECT probe_id, count(*) AS events, min(seq) AS first, max(seq) AS last FROM ev JOIN probes ON ts <= \"at\" AND \"at\" < ts + dur WHERE name = 'purchase' AND probe_id % 16 = 1 GROUP BY 1",
-    "j9_nearest_edge": _X + f""", {PROBES}, edges AS (SELECT DISTINCT unnest([ts, ts + dur]) AS e FROM ev WHERE name = 'purchase'),
+    "j8_events_at": _X + f", {PROBES} SELECT probe_id, count(*) AS events, min(seq) AS first, max(seq) AS last FROM ev JOIN probes ON ts <= \"at\" AND \"at\" < ts + dur GROUP BY 1",
+    "j9_nearest_edge": _X + f""", {PROBES}, edges AS (SELECT DISTINCT unnest([ts, ts + dur]) AS e FROM ev),
 before AS (SELECT probe_id, "at", e AS be FROM probes ASOF LEFT JOIN edges ON "at" >= e),
 both_ AS (SELECT before.*, e AS ae FROM before ASOF LEFT JOIN edges ON "at" <= e),
 pick AS (SELECT probe_id, "at", CASE WHEN ae IS NULL OR "at" - be <= ae - "at" THEN be ELSE ae END AS e FROM both_)
@@ -236,3 +236,5 @@ FROM me m WHERE m.ts = (SELECT min(ts) FROM me)""",
     "SELECT seq, CASE WHEN us = 0 THEN '0' ELSE regexp_replace(regexp_replace(printf('%.2f', own), '0+$', ''), '[.]$', '') || ' ' || unit END AS shown,\n"
     "  CASE WHEN us = 0 THEN '0' ELSE regexp_replace(regexp_replace(printf('%.2f', us / 1e3), '0+$', ''), '[.]$', '') || ' ms' END AS in_ms FROM v",
 }
+ORACLES["j8_events_at_all"] = ORACLES["j8_events_at"]
+ORACLES["j9_nearest_edge_all"] = ORACLES["j9_nearest_edge"].replace("300000000", "25000000")

@@ -56,6 +56,14 @@ def thread_name_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.unionByName(tenth)
 
 
+def nation_name_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata that names a thread after each customer's nation, so that many bear the same name."""
+    return from_table(
+        _table(spark, sf_dir, "customer"),
+        {"trace_id": "'t'", "seq": "1000000000 + c_custkey", "name": "'thread_name'", "ph": "'M'", "pid": "cast(c_custkey % 4 as int)", "tid": "cast(c_custkey as int)", "args_json": "concat('{\"name\":\"nation ', c_nationkey, '\"}')"},
+    )
+
+
 def full_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans, counters (seq moved up) and thread names as one trace."""
     counters = counter_events(spark, sf_dir).withColumn("seq", F.col("seq") + 3_000_000_000)
@@ -65,7 +73,7 @@ def full_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_item_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long overlapping intervals: order to shipment of every line item, a thread for each supplier.
 
-    Rows are numbered by all of what becomes of them; equal rows are interchangeable.
+    seq is by order and line, and not unique where a table repeats these.
     """
     items = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     start = "unix_micros(cast(o_orderdate as timestamp))"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import gzip
+import codecs
+import re
+import zlib
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,71 +18,168 @@ from tracelark.sources.schema import EVENT_COLUMNS, RAW_FIELDS, RAW_STRUCT
 _FIELDS = ", ".join(f"{f} string" for f in RAW_FIELDS)
 
 
-def _located(df: DataFrame, trace_id: str | None) -> DataFrame:
-    """trace_id (the file, unless given) and seq, which rises with the place in the file.
+def _bytes(text: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", text.strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
 
-    seq joins the block's place in the file with the row's in its partition, so it needs no shuffle and is the same
-    whenever the file is read in the same blocks.
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Adds where each row's block is: _path and _start."""
+    return df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
+
+
+def _in_files(events: DataFrame, paths: list[str], trace_id: str | None) -> DataFrame:
+    """trace_id (the file, unless given), and seq made unique within it by the file's number in order of path."""
+    if trace_id is None:
+        return events.withColumnRenamed("_path", "trace_id")
+    if len(paths) > 1:
+        bits = 63 - (len(paths) - 1).bit_length()
+        # Spark lists file:///a and names the same file file:/a in its metadata.
+        named = [(re.sub("^([^:/]+):///", r"\1:/", path), k << bits) for k, path in enumerate(sorted(paths))]
+        numbers = events.sparkSession.createDataFrame(named, "_path string, _file long")
+        # Some 150 bytes a file: 15 MB at most are broadcast.
+        events = events.join(F.broadcast(numbers) if len(paths) <= 100_000 else numbers, "_path").withColumn("seq", F.col("seq") + F.col("_file")).drop("_file")
+    return events.drop("_path").withColumn("trace_id", F.lit(trace_id))
+
+
+def _numbered(events: DataFrame, paths: list[str], trace_id: str | None) -> DataFrame:
+    """Adds trace_id and seq, unique within a trace, by file (in order of path) and place in it.
+
+    seq joins the file's number, its block's place and the event's in its partition, so it needs no shuffle and is the
+    same whenever the files are read in the same blocks. Files are 1 TB at most; of a million files, a partition of
+    Spark's usual size may hold 2^24 events.
     """
-    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    seq = F.floor(F.col("_metadata.file_block_start") / (1 << 20)) * (1 << 34) + row
-    return df.select("*", (F.lit(trace_id) if trace_id else F.col("_metadata.file_path")).alias("trace_id"), seq.cast("bigint").alias("seq"))
+    conf = events.sparkSession.conf
+    # Blocks begin at multiples of a size that is never below this one.
+    least = max(1, min(_bytes(conf.get(f"spark.sql.files.{c}")) for c in ("maxPartitionBytes", "openCostInBytes")))
+    bits = min(33, 63 - (len(paths) - 1).bit_length() - max(1, 41 - least.bit_length()))
+    place = F.floor(F.col("_start") / least).cast("long") * (1 << bits) + F.monotonically_increasing_id().bitwiseAND((1 << bits) - 1)
+    return _in_files(events.withColumn("seq", place).drop("_start"), paths, trace_id)
 
 
 def read_trace(spark: SparkSession, paths: str | Sequence[str], trace_id: str | None = None) -> DataFrame:
     """Events of whole JSON documents: an array of events, or an object whose ``traceEvents`` is one.
 
-    Each file is one task, and one bad byte loses its file; prefer ``read_trace_lines`` for large ones. ``.gz`` files
-    are inflated; other names aren't looked into (see ``read_gzip_trace``).
+    Each file is one task, and one bad byte loses its file: ``read_gzip_trace`` keeps what stands before it, and
+    ``read_trace_lines`` suits large files. ``.gz`` files are inflated; other names aren't looked into.
     """
     schema = f"{_FIELDS}, traceEvents array<{RAW_STRUCT}>"
-    rows = _located(spark.read.schema(schema).option("multiLine", True).json(paths), trace_id)
+    files = spark.read.schema(schema).option("multiLine", True).json(paths)
     own = F.struct(*(F.col(f) for f in RAW_FIELDS))
-    each = rows.select("trace_id", "seq", F.posexplode(F.coalesce("traceEvents", F.array(own))).alias("at", "e"))
-    found = each.where(F.coalesce(*(F.col(f"e.{f}") for f in RAW_FIELDS)).isNotNull())
-    return normalize_events(found.select("trace_id", (F.col("seq") + F.col("at")).alias("seq"), "e.*"))
+    each = _placed(files).select("_path", "_start", F.explode(F.coalesce("traceEvents", F.array(own))).alias("e"))
+    found = _numbered(each, files.inputFiles(), trace_id).where(F.coalesce(*(F.col(f"e.{f}") for f in RAW_FIELDS)).isNotNull())
+    return normalize_events(found.select("trace_id", "seq", "e.*"))
 
 
-def _parsed_lines(lines: DataFrame) -> DataFrame:
-    """Events from text lines (trace_id, seq, value), one each, between the brackets and commas of an array."""
-    body = F.regexp_replace("value", r'^\s*(\{\s*"traceEvents"\s*:\s*)?\[?\s*,?', "")
+def _line_events(value: str = "value"):
+    """The events of a text line: those between the brackets and commas of an array, however many stand there; null if
+    the line can't be read."""
+    body = F.regexp_replace(value, r'^\s*(\{\s*"traceEvents"\s*:\s*)?\[?\s*,?', "")
     mild = F.regexp_replace(body, r"\s*,?\s*$", "")
     closed = F.regexp_replace(mild, r"\s*\]\s*\}?\s*$", "")
-    schema = f"{RAW_STRUCT[:-1]},_corrupt_record:string>"
-    options = {"columnNameOfCorruptRecord": "_corrupt_record"}
-    first, second = F.from_json(mild, schema, options), F.from_json(closed, schema, options)
-    event = F.when(first["_corrupt_record"].isNull(), first).otherwise(second)
-    parsed = lines.where(F.trim(closed) != "").select("trace_id", "seq", event.alias("e"))
-    return parsed.where("e is not null and e._corrupt_record is null").select("trace_id", "seq", *(f"e.{f}" for f in RAW_FIELDS))
+    # Other keys of the root object may follow the array.
+    ended = F.regexp_replace(mild, r'(?s)(^|\})\s*\]\s*,\s*".*$', "$1")
+    return F.coalesce(*(F.from_json(F.concat(F.lit("["), c, F.lit("]")), f"array<{RAW_STRUCT}>", {"allowUnquotedControlChars": "true"}) for c in (mild, closed, ended)))
+
+
+def _parsed_lines(lines: DataFrame) -> DataFrame:
+    """Events of text lines (trace_id, seq, value); the events of one line count on from its seq."""
+    each = lines.select("trace_id", "seq", F.posexplode(_line_events()).alias("at", "e")).where("e is not null")
+    return each.select("trace_id", (F.col("seq") + F.col("at")).alias("seq"), *(f"e.{f}" for f in RAW_FIELDS))
 
 
 def read_trace_lines(spark: SparkSession, paths: str | Sequence[str], trace_id: str | None = None) -> DataFrame:
-    """Events of files that hold one a line, as an array written line by line; read in blocks by many tasks.
+    """Events of files written line by line, as an array or an object around one; read in blocks by many tasks.
 
-    A line that isn't an event is dropped, and no other.
+    A line may hold several events. One that can't be read is dropped, and no other: ``bad_lines`` counts these.
     """
-    return normalize_events(_parsed_lines(_located(spark.read.text(paths), trace_id)))
+    files = spark.read.text(paths)
+    each = _placed(files).select("_path", "_start", F.explode(_line_events()).alias("e"))
+    return normalize_events(_numbered(each, files.inputFiles(), trace_id).where("e is not null").select("trace_id", "seq", "e.*"))
+
+
+def bad_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """How many lines of each file ``read_trace_lines`` can't read: path, lines, bad."""
+    lines = _placed(spark.read.text(paths)).select(F.col("_path").alias("path"), _line_events().isNull().alias("bad"))
+    return lines.groupBy("path").agg(F.count("*").alias("lines"), F.count_if("bad").alias("bad"))
+
+
+def _pieces(raw: bytes, size: int = 1 << 20) -> Iterator[str]:
+    """The text of a file in pieces, inflated if it begins as gzip does; ValueError if that is corrupt or cut off."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    inflate = zlib.decompressobj(31) if raw[:2] == b"\x1f\x8b" else None
+    for at in range(0, len(raw), size):
+        piece = raw[at : at + size]
+        while piece:
+            if inflate and inflate.eof:  # another member of the same file
+                inflate = zlib.decompressobj(31)
+            try:
+                yield decoder.decode(inflate.decompress(piece) if inflate else piece)
+            except zlib.error as broken:
+                raise ValueError(f"the gzip file is corrupt: {broken}") from broken
+            piece = inflate.unused_data if inflate else b""
+    if inflate and not inflate.eof:
+        raise ValueError("the gzip file is cut off")
+
+
+def _tokens(pieces: Iterator[str]) -> Iterator[str]:
+    """Brackets, quotes, escapes and what is between them."""
+    rest = ""
+    for piece in pieces:
+        piece = rest + piece
+        rest = "\\" if len(piece) - len(piece.rstrip("\\")) & 1 else ""  # an escape goes on in the next piece
+        yield from re.findall(r'\\.|["\[\]{}]|[^"\\\[\]{}]+', piece[: len(piece) - len(rest)], re.DOTALL)
+
+
+def json_events(pieces: Iterator[str]) -> Iterator[str]:
+    """The JSON text of each event in a document that comes in pieces: the objects in a root array, or in the array
+    ``traceEvents`` of a root object, or one root object after another. What stands before a broken byte is given out."""
+    open_: list[str] = []  # brackets around the current place
+    around = 0  # how many there are around an event
+    held: list[str] = []
+    since, text, quoted = 0, "", False  # where the held object began; the last string
+    for token in _tokens(pieces):
+        if not quoted and token == "{" and not held and len(open_) in (0, around):
+            since = len(open_)
+            held.append("")
+        if held:
+            held.append(token)
+        if quoted:
+            quoted = token != '"'
+            text += token if quoted else ""
+        elif token == '"':
+            quoted, text = True, ""
+        elif token in ("{", "["):
+            if token == "[" and (not open_ or open_ == ["{"] and text == "traceEvents"):
+                around, held = len(open_) + 1, []
+            open_.append(token)
+        elif token in ("]", "}") and open_:
+            open_.pop()
+            if held and len(open_) <= since:
+                yield "".join(held)
+                held = []
+            if len(open_) < around:
+                around = 0
 
 
 def read_gzip_trace(spark: SparkSession, paths: str | Sequence[str], trace_id: str | None = None) -> DataFrame:
-    """Line files of which some are gzip by their first bytes, whatever their names. Corrupt gzip fails the job.
+    """Events of files in any layout of ``json_events``, on one line or many, gzip or not by their first bytes.
 
-    A file is inflated by one task, in pieces.
+    A file is read by one task and inflated in pieces; its stored bytes, 2 GB at most, are held. Corrupt gzip fails the
+    job; an event that can't be read is dropped, and so is what follows an unclosed one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = content.as_py()
-                text = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-                lines = text.decode("utf-8", "replace").splitlines()
-                for at in range(0, len(lines), 10_000):
-                    some = lines[at : at + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some)], ["trace_id", "seq", "value"])
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    lines = files.mapInArrow(run, "trace_id string, seq long, value string")
-    return normalize_events(_parsed_lines(lines.withColumn("trace_id", F.lit(trace_id)) if trace_id else lines))
+                events, at = json_events(_pieces(content.as_py())), 0
+                while some := list(islice(events, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some)], ["_path", "seq", "value"])
+                    at += len(some)
+
+    files = spark.read.format("binaryFile").load(paths)
+    found = files.select(F.col("_metadata.file_path").alias("path"), "content").mapInArrow(run, "_path string, seq long, value string")
+    return normalize_events(_parsed_lines(_in_files(found, files.inputFiles(), trace_id)))
 
 
 def read_trace_pair(spark: SparkSession, baseline: str, target: str) -> tuple[DataFrame, DataFrame]:

@@ -22,10 +22,10 @@ def stream_events(spark: SparkSession, folder: str, trace_id: str | None = None,
     """Events of line files as they land in ``folder``; each file, one write's share of a trace, is read by one task.
 
     seq rises with the file's landing time (ms) and the line, so events of a later file follow those of an earlier
-    one; a file should have less than 2^20 lines.
+    one. Files that land in the same millisecond share their numbers, and a file should have less than 2^22 lines.
     """
     files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("wholetext", True).text(folder)
-    landed = F.unix_millis("_metadata.file_modification_time") * (1 << 20)
+    landed = F.unix_millis("_metadata.file_modification_time") * (1 << 22)
     named = files.select("value", landed.alias("landed"), (F.lit(trace_id) if trace_id else F.col("_metadata.file_path")).alias("trace_id"))
     lines = named.select("trace_id", "landed", F.posexplode(F.split("value", "\n")).alias("at", "value"))
     return normalize_events(_parsed_lines(lines.select("trace_id", (F.col("landed") + F.col("at")).alias("seq"), "value")))
