@@ -14,7 +14,7 @@ from tracelark.llm.batches import whole_text_batches
 
 #: The phrases whose places are counted, and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Opening words of public license texts and notices.
+#: Opening words of public license texts and notices, then whole notices.
 TEMPLATES = (
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
@@ -26,6 +26,24 @@ TEMPLATES = (
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl-2"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "mit",
+    ),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        "apache-2",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "bsd",
+    ),
 )
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<start:long,template:int,containment:double>>"
 #: Letters A-Z become small; every other byte of a delimiter becomes a space.
@@ -57,9 +75,14 @@ def token_counts(docs: DataFrame, tokens: frozenset[bytes]) -> dict[bytes, int]:
 
 
 class TemplateIndex:
-    """Templates as token sets in global order (rarest first), reachable by the tokens of their prefixes."""
+    """Templates as token sets in global order (rarest first), reachable by the tokens of their prefixes.
 
-    def __init__(self, templates: Sequence[tuple[str, str]], counts: dict[bytes, int], threshold: float):
+    They are met in blocks of twice ``half`` words, each ``half`` words after the last, so that a span of ``half`` words
+    lies whole in some block; no template may be longer.
+    """
+
+    def __init__(self, templates: Sequence[tuple[str, str]], counts: dict[bytes, int], threshold: float, half: int):
+        self.half = half
         self.rank = {t: (counts.get(t, 0), t) for text, _ in templates for t in words_of(text)}
         self.sets, self.need, self.by_token = [], [], defaultdict(list)
         for k, (text, _) in enumerate(templates):
@@ -89,13 +112,14 @@ def scan_licenses(
     phrases: Sequence[tuple[str, str]] = PHRASES,
     templates: Sequence[tuple[str, str]] = TEMPLATES,
     threshold: float = 0.9,
-    block_words: int = 48,
+    half_words: int = 24,
 ) -> DataFrame:
     """Scan every whole text of ``docs`` (doc_id, text) for phrases and for license templates.
 
-    Phrases: all places where the words stand consecutively. Templates: a text is read as overlapping blocks of
-    ``block_words`` words, each half a block after the last, and a block matches a template if it contains
-    ``threshold`` of the template's distinct words. The join is exact: tokens are in one global order by how many
+    Phrases: all places where the words stand consecutively. Templates: a text is read as overlapping blocks, each half a
+    block after the last, and a block matches a template if it contains ``threshold`` of the template's distinct words.
+    Half a block has ``half_words`` words, doubled for longer templates until they fit, so a text block of a template's
+    length is in some block wherever it stands; templates without words match nothing. The join is exact: tokens are in one global order by how many
     documents hold them, so a matching block must hold a token of the template's prefix; only blocks around such
     tokens are looked at, length and positional bounds come next, and the rest is verified on the sets. Templates
     are a parameter of a few dozen lines, so they go to the tasks whole, and a document never leaves its task.
@@ -108,9 +132,12 @@ def scan_licenses(
     """
     whole_text_batches(docs.sparkSession)
     every = frozenset(t for text, _ in templates for t in words_of(text))
-    index = TemplateIndex(templates, token_counts(docs, every), threshold)
+    counts, by_half = token_counts(docs, every), defaultdict(list)
+    for k, (text, _) in enumerate(templates):
+        if size := len(words_of(text)):
+            by_half[half_words << max(0, math.ceil(math.log2(size / half_words)))].append(k)
+    indexes = [(keys, TemplateIndex([templates[k] for k in keys], counts, threshold, half)) for half, keys in sorted(by_half.items())]
     wanted = [(b" " + b" ".join(words_of(text)) + b" ", label) for text, label in phrases]
-    half = block_words // 2
     names = [label for _, label in templates]
 
     def scan(text: str | None) -> tuple:
@@ -127,14 +154,17 @@ def scan_licenses(
                 base.add(label)
                 at = line.find(phrase, at + 1)
         blocks = []
-        if not index.prefix.isdisjoint(words):
+        for keys, index in indexes:
+            if index.prefix.isdisjoint(words):
+                continue
+            half = index.half
             near = {b for i, w in enumerate(words) if w in index.prefix for b in (i // half - 1, i // half) if b >= 0}
             for b in sorted(near):
                 block = set(words[b * half : b * half + 2 * half])
                 for k in sorted(index.candidates(block)):
                     both = len(index.sets[k] & block)
                     if both >= index.need[k]:
-                        blocks.append({"start": b * half, "template": k, "containment": both / len(index.sets[k])})
+                        blocks.append({"start": b * half, "template": keys[k], "containment": both / len(index.sets[k])})
         labels = base | {names[x["template"]] for x in blocks}
         score = 1.0 if base else max((x["containment"] for x in blocks), default=0.0)
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, blocks
