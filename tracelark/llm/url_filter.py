@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelark.llm.bloom import blocks_for, bloom_words, might_contain
+from tracelark.llm.storage import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,8 +25,20 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _key(kind: str, host: Column, path: Column) -> Column:
-    return F.concat(F.lit(kind), host, F.lit("\n"), path)
+def canonical_host(host: Column) -> Column:
+    """Without user information, a default port or dots at the end: one form for hosts that are the same."""
+    return F.regexp_replace(F.regexp_replace(host, "^[^@]*@", ""), "[.]*(:(80|443)?)?$", "")
+
+
+def canonical_path(path: Column) -> Column:
+    """A slash for an empty path, and percent codes in capitals (``%c3%a9`` and ``%C3%A9`` are one)."""
+    pieces = F.split(path, "%")
+    coded = F.transform(pieces, lambda p, i: F.when((i > 0) & p.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.upper(F.substr(p, F.lit(1), F.lit(2))), F.substr(p, F.lit(3)))).otherwise(p))
+    return F.when(path == "", "/").otherwise(F.array_join(coded, "%"))
+
+
+def _key(host: Column, path: Column) -> Column:
+    return F.concat(canonical_host(host), F.lit("\n"), canonical_path(path))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed: DataFrame, default: str = "allow") -> DataFrame:
@@ -35,60 +48,42 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed:
     any size, repeats allowed. A rule fits its host and all subdomains where the path starts with the rule's;
     the longest wins. Without a rule, a listed URL is blocked and any other gets ``default``.
 
-    Every lookup goes the same way: the page's possible keys (its own canonical URL, and each of its host
-    suffixes with each rule's path length) are tested against the Bloom filter inside the scan, without a
-    shuffle; only pages with a possible hit are shuffled into the exact join, which drops false positives.
+    Rules are judged as column expressions in the scan. Pages that none fits are tested against the Bloom filter of
+    the list's canonical URLs, in the scan too; only possible hits are shuffled, by URL and page, into the exact join,
+    which drops false positives. A URL that very many pages have is one of the list's keys at most, so Spark splits it.
+
+    The list is compared by ``canonical_host`` and ``canonical_path``; host and path are returned as they stand.
 
     Null or odd urls give empty host and path and no rule. Repeated rows stay as they are, null ids too; an
     empty table gives an empty result; columns beyond page_id and url are ignored.
 
     Returns page_id, host, path, rule, verdict.
     """
-    spark = pages.sparkSession
-    rule_rows = [(f"R{host}\n{path}", action, f"{host}{path}") for action, host, path in rules]
-    schema = "key string, action string, rule string"
-    rule_keys = spark.createDataFrame(rule_rows, schema) if rule_rows else spark.createDataFrame([], schema)
-    list_keys = listed.select(_key("U", F.col("host"), F.col("path")).alias("key")).where("key is not null").distinct()
-    blocks = blocks_for(list_keys.count() + len(rule_rows))
-    keys = rule_keys.unionByName(list_keys.select("key", F.lit("block").alias("action"), F.lit(None).cast("string").alias("rule")))
-    words = bloom_words(keys.select("key"), blocks).scalar()
-
-    labels = max([host.count(".") + 1 for _, host, _ in rules], default=0)
-    lengths = sorted({len(path) for _, _, path in rules})
+    list_keys = listed.select(_key(F.col("host"), F.col("path")).alias("key")).where("key is not null and host != ''").distinct()
+    list_keys = written(list_keys, "listed-urls")
+    blocks = blocks_for(list_keys.count())
+    words = bloom_words(list_keys, blocks).scalar()
+
     seen = pages.select("page_id", F.col("url").cast("string").alias("url"))
     seen = seen.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    own = F.when(F.col("host") != "", F.array(_key("U", F.col("host"), F.col("path")))).otherwise(F.array().cast("array<string>"))
-    suffixes = [F.when(F.size(F.split("host", "[.]")) >= n, F.substring_index("host", ".", -n)) for n in range(1, labels + 1)]
-    by_rule = [
-        F.when(F.length("path") >= n, _key("R", s, F.substring("path", 1, n) if n else F.lit(""))) for s in suffixes for n in lengths
-    ]
-    probes = F.concat(own, F.array_compact(F.array(*by_rule))) if by_rule else own
-
-    tested = seen.withColumn("words", words).withColumn("hits", F.filter(probes, lambda key: might_contain(F.col("words"), key, blocks))).drop("words")
-    none = tested.where(F.size("hits") == 0).select(
-        "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")
-    )
-    some = tested.where(F.size("hits") > 0).withColumn("row", F.monotonically_increasing_id())
-    exact = some.select("row", "page_id", "host", "path", F.explode("hits").alias("key")).join(keys.hint("shuffle_hash"), "key", "left")
-    best = exact.groupBy("row", "page_id", "host", "path").agg(
-        F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "action"))).alias("best"),
-        F.max(F.col("rule").isNull() & F.col("action").isNotNull()).alias("is_listed"),
-    )
-    judged = best.select(
-        "page_id",
-        "host",
-        "path",
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.action", F.when(F.col("is_listed"), "block"), F.lit(default)).alias("verdict"),
-    )
-    return none.unionByName(judged)
+    # Longest first; of equally long ones the greatest.
+    best = F.lit(None).cast("struct<rule:string,action:string>")
+    for action, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2], r[0])):
+        fits = ((F.col("host") == host) | F.endswith(F.col("host"), F.lit(f".{host}"))) & F.startswith(F.col("path"), F.lit(path))
+        best = F.when(fits, F.struct(F.lit(f"{host}{path}").alias("rule"), F.lit(action).alias("action"))).otherwise(best)
+    ruled = seen.withColumn("best", best).withColumn("key", F.when(F.col("best").isNull() & (F.col("host") != ""), _key(F.col("host"), F.col("path"))))
+    tested = ruled.withColumn("hit", F.coalesce(might_contain(words, F.col("key"), blocks), F.lit(False)))
+    calm = tested.where("not hit").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    exact = tested.where("hit").join(list_keys.withColumn("listed", F.lit(True)), "key", "left")
+    rest = exact.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("listed"), "block").otherwise(default).alias("verdict"))
+    return calm.unionByName(rest)
 
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
 def tracked_urls(pages: DataFrame) -> DataFrame:
-    """The list used by the query: canonical URLs that some crawl reached through a tracking parameter."""
+    """The list used by the query: URLs that some crawl reached through a tracking parameter."""
     tagged = pages.select(F.col("url").cast("string").alias("url")).where(F.col("url").contains("utm_"))
     return tagged.select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")).where("host != ''").distinct()
 
@@ -110,12 +105,17 @@ WITH parts AS (
   FROM pages),
 rules(action, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
   ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-listed AS (SELECT DISTINCT host, path FROM parts WHERE contains(url, 'utm_') AND host <> ''),
+keyed AS (SELECT *,
+  regexp_replace(regexp_replace(host, '^[^@]*@', ''), '[.]*(:(80|443)?)?$', '') AS khost,
+  CASE WHEN path = '' THEN '/' ELSE array_to_string(list_transform(string_split(path, '%'), lambda p, i:
+    CASE WHEN i > 1 AND regexp_matches(p, '^[0-9A-Fa-f]{2}') THEN upper(p[1:2]) || p[3:] ELSE p END), '%') END AS kpath
+  FROM parts),
+listed AS (SELECT DISTINCT khost, kpath FROM keyed WHERE contains(url, 'utm_') AND host <> ''),
 best AS (
   SELECT p.*, (SELECT max(struct_pack(n := length(rhost || rpath), rule := rhost || rpath, action := action)) FROM rules
     WHERE (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath)) AS b
-  FROM parts p)
+  FROM keyed p)
 SELECT page_id, host, path, b.rule AS rule,
-  coalesce(b.action, CASE WHEN (host, path) IN (SELECT (host, path) FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(b.action, CASE WHEN host <> '' AND (khost, kpath) IN (SELECT (khost, kpath) FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM best
 """
