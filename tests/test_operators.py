@@ -187,6 +187,17 @@ def test_search(spark):
     assert df.where(filters.search("")).count() == 6
 
 
+def test_events_at_equals_brute_force(spark):
+    """Spans from 1 µs to a year, so that most are on levels of their own; both ends of each, and the instants beside them."""
+    spans = [(ts, dur) for ts in (0, 7, 1000) for dur in (0, 1, 9, 10, 11, 640, 31_536_000_000_000)]
+    events = frame(spark, [event(i, ts=ts, dur=dur) for i, (ts, dur) in enumerate(spans)])
+    ats = sorted({t + d for ts, dur in spans for t in (ts, ts + dur) for d in (-1, 0, 1)})
+    probes = spark.createDataFrame([(k, "t", at) for k, at in enumerate(ats)], "probe_id long, trace_id string, at long")
+    want = sorted((k, i) for k, at in enumerate(ats) for i, (ts, dur) in enumerate(spans) if ts <= at < ts + dur)
+    for width in (1, 10, 1_000_000):
+        assert rows(inspect.events_at(events, probes, width), "probe_id", "seq") == want
+
+
 def test_inspect(spark):
     events = frame(spark, [event(0, "parent_task", ts=1000, dur=1000), event(1, "child_task_A", ts=1100, dur=300), event(2, "child_task_B", ts=1500, dur=400), event(3, "thread_name", ph="M", args='{"name":"main"}')])
     found = tracks.order_tracks(tracks.organize_tracks(events))
@@ -194,7 +205,8 @@ def test_inspect(spark):
     assert (top["self_dur"], top["depth"], top["parent_name"], [c["name"] for c in top["children"]]) == (300, 0, None, ["child_task_A", "child_task_B"])
     child = inspect.inspect(nested(events), found, "main", 1100).first()
     assert (child["self_dur"], child["depth"], child["parent_name"], child["parent_ts"], child["children"]) == (300, 1, "parent_task", 1000, [])
-    assert inspect.inspect(nested(events), found, "none", 1000).count() == 0
+    with pytest.raises(ValueError, match="no track is called 'none'"):
+        inspect.inspect(nested(events), found, "none", 1000)
 
 
 def test_query_filters(spark):

@@ -325,8 +325,8 @@ def j8_events_at_all(spark, d):
 
 @_query
 def j9_nearest_edge_all(spark, d):
-    """As j9_nearest_edge, within a twelfth of its tolerance."""
-    return inspect.nearest_edge(spans(spark, d), _probes(spark, d), 25_000_000).select("probe_id", "at", "edge", "distance")
+    """As j9_nearest_edge, which covers whole tables too by now; kept for its name."""
+    return inspect.nearest_edge(spans(spark, d), _probes(spark, d), 300_000_000).select("probe_id", "at", "edge", "distance")
 
 
 @_query

@@ -237,4 +237,4 @@ FROM me m WHERE m.ts = (SELECT min(ts) FROM me)""",
     "  CASE WHEN us = 0 THEN '0' ELSE regexp_replace(regexp_replace(printf('%.2f', us / 1e3), '0+$', ''), '[.]$', '') || ' ms' END AS in_ms FROM v",
 }
 ORACLES["j8_events_at_all"] = ORACLES["j8_events_at"]
-ORACLES["j9_nearest_edge_all"] = ORACLES["j9_nearest_edge"].replace("300000000", "25000000")
+ORACLES["j9_nearest_edge_all"] = ORACLES["j9_nearest_edge"]
