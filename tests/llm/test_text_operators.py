@@ -255,17 +255,18 @@ def test_urls_equal_brute_force(spark):
     assert {r["verdict"] for r in url_filter.judge_urls(pages, [], table.limit(0)).collect()} == {"allow"}
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("cell_rows", [40, 100_000])
+def test_top_k_equals_brute_force(spark, cell_rows):
     rng = np.random.default_rng(7)
     vectors = [(i, rng.normal(size=8).tolist()) for i in range(700)]
     vectors += [(1000 + i, vectors[3][1]) for i in range(300)]  # many equal vectors, and ties
-    odd = [(2000, None), (2001, []), (2002, [None] * 8), (2003, [float("nan")] * 8), (2004, [float("inf")] * 8), (None, [1.0] * 8), (2005, [0.0] * 8), (2006, [1.0, 2.0])]
+    odd = [(2000, None), (2001, []), (2050, []), (2002, [None] * 8), (2003, [float("nan")] * 8), (2004, [float("inf")] * 8), (None, [1.0] * 8), (2005, [0.0] * 8), (2006, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in vectors + odd], "vec_id long, embedding array<double>, rank string")
     rows = topk_search.quantised(df)
-    assert rows.count() == 1002
+    assert rows.count() == 1004
     queries = rows.where(F.col("vec_id") % 50 == 0)
     got = {}
-    for r in topk_search.top_k(rows, queries, 10, tree_rows=150, block_rows=7).collect():
+    for r in topk_search.top_k(rows, queries.unionByName(queries), 10, tree_rows=150, block_rows=7, cell_rows=cell_rows).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     table = {r["vec_id"]: np.array(r["v"]) for r in rows.collect()}
     for q, mine in got.items():
@@ -280,10 +281,30 @@ def test_tree_prunes():
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(40, 16)) * 3
     rows = np.floor(1024 * (centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 0.05)).astype(np.int64)
-    tree = topk_search.MTree(np.arange(4000), rows, int((rows**2).sum(1).max()))
-    ids, scores = tree.search(0, rows[0], 10)
+    tree = topk_search.MTree(np.arange(4000), rows)
     best = sorted((-int(rows[0] @ v), i) for i, v in enumerate(rows) if i)[:10]
-    assert list(zip((-scores).tolist(), ids.tolist(), strict=True)) == best
+    for least in (-np.inf, float(-best[-1][0])):
+        ids, scores = tree.search(0, rows[0], 10, least)
+        assert list(zip((-scores).tolist(), ids.tolist(), strict=True)) == best
+
+
+def test_most_queries_are_not_sent_to_most_cells(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(30, 16)) * 3
+    rows = np.floor(1024 * (centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 16)) * 0.05)).astype(np.int64)
+    cells = topk_search.Cells(rows[:60].tolist())
+    cell, far = cells.nearest(rows.astype(np.float64))
+    radius = {c: float(far[cell == c].max()) for c in np.unique(cell).tolist()}
+    square = {c: float((rows[cell == c] ** 2).sum(1).max()) for c in radius}
+    asked = []
+    for q in range(0, 3000, 50):
+        scores = rows @ rows[q]
+        least = int(np.sort(np.delete(scores, q))[-10])
+        asked.append((q, rows[q].tolist(), 16, int(cell[q]), least))
+        there = set(cells.within(rows[q].astype(np.float64), least, radius, square).tolist())
+        assert there >= set(cell[scores >= least].tolist())
+    frame = spark.createDataFrame(asked, "vec_id long, v array<long>, dim int, home int, least long")
+    assert topk_search._other_cells(frame, cells, radius, square).count() < 0.1 * len(asked) * len(radius)
 
 
 def test_sha_of_turns_is_that_of_the_contract(spark):
