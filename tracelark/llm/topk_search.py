@@ -26,7 +26,7 @@ class MTree:
     leaf's pivot. Rows of a leaf are adjacent (one page).
     """
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, page: int = 64, fanout: int = 16):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, page: int = 256, fanout: int = 16):
         squares = (rows.astype(np.float64) ** 2).sum(1)
         self.bound = float(squares.max(initial=0.0))
         lift = np.sqrt(self.bound - squares)
@@ -64,7 +64,8 @@ class MTree:
                     self.children[node].append(child)
                     work.append((child, part))
         at = np.concatenate(order) if order else np.zeros(0, np.int64)
-        self.ids, self.rows = ids[at], rows[at]
+        # Sums below 2^53 are whole in doubles, whose products are faster.
+        self.ids, self.rows = ids[at], rows[at].astype(np.float64 if self.bound < 2.0**52 else np.int64)
         self.to_pivot = np.concatenate(to_pivot) if to_pivot else np.zeros(0)
         self.pivots, self.radius, self.to_parent = np.array(self.pivots), np.array(self.radius), np.array(self.to_parent)
 
@@ -84,6 +85,9 @@ class MTree:
         point = np.append(query.astype(np.float64), 0.0)
         base = float((point**2).sum()) + self.bound
         slack = 1e-6 * (1.0 + np.sqrt(base))
+        doubles = base < 2.0**53
+        rows, asked = (self.rows, query.astype(np.float64)) if doubles else (self.rows.astype(np.int64), query)
+        floor = least if doubles else -np.inf
         best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
         reach = np.sqrt(max(0.0, base - 2.0 * least)) + slack
         first = float(np.sqrt(((self.pivots[0] - point) ** 2).sum()))
@@ -104,12 +108,15 @@ class MTree:
                 continue
             a, b = self.span[node]
             keep = np.flatnonzero((np.abs(far - self.to_pivot[a:b]) <= reach) & (self.ids[a:b] != query_id)) + a
-            if len(keep):
-                best_ids = np.concatenate([best_ids, self.ids[keep]])
-                best = np.concatenate([best, self.rows[keep] @ query])
+            scores = rows[keep] @ asked
+            better = np.flatnonzero(scores >= floor)
+            if len(better):
+                best_ids = np.concatenate([best_ids, self.ids[keep[better]]])
+                best = np.concatenate([best, scores[better].astype(np.int64)])
                 top = np.lexsort((best_ids, -best))[:k]
                 best_ids, best = best_ids[top], best[top]
                 if len(best) == k:
+                    floor = max(floor, float(best[-1])) if doubles else floor
                     reach = min(reach, np.sqrt(max(0.0, base - 2.0 * float(best[-1]))) + slack)
         return best_ids, best
 
