@@ -36,19 +36,20 @@ def stack_model(spans):
     return out
 
 
-@pytest.mark.parametrize("batch", [3, 10_000])
-def test_depth_equals_a_scan_on_random_traces(spark, batch):
+@pytest.mark.parametrize(("batch", "slice_us"), [(3, None), (10_000, None), (3, 7), (10_000, 1), (10_000, 100)])
+def test_depth_equals_a_scan_on_random_traces(spark, batch, slice_us):
     rng = random.Random(3)
     traces = {t: [(rng.randrange(30), rng.choice([0, 1, 3, 8, 15])) for _ in range(rng.randrange(1, 14))] for t in range(60)}
     events = frame(spark, [event(i, ts=a, dur=b, tid=t) for t, spans in traces.items() for i, (a, b) in enumerate(spans)])
     on_tracks = normalize.assign_track(events)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    out = depth.call_depth(on_tracks).collect()
+    out = depth.call_depth(on_tracks, slice_us).collect()
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = {(r["tid"], r["seq"]): (r["parent_ord"], r["depth"]) for r in out}
     parents = depth.resolve_parents(depth.quiescent_segments(depth.track_order_events(on_tracks)))
     assert rows(parents, "track_id", "ord", "parent_ord") == sorted((r["track_id"], r["ord"], r["parent_ord"]) for r in out if r["parent_ord"])
     assert got == {(t, i): x for t, spans in traces.items() for i, x in stack_model(spans).items()}
+    assert len(out) == len(got)
 
 
 def test_pairing_nests_by_thread(spark):

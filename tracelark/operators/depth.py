@@ -40,41 +40,113 @@ def resolve_parents(segments: DataFrame) -> DataFrame:
     return pairs.groupBy(*TRACK, "ord").agg(F.max("p_ord").alias("parent_ord"))
 
 
-def call_depth(track_events: DataFrame) -> DataFrame:
+def call_depth(track_events: DataFrame, slice_us: int | None = None) -> DataFrame:
     """Adds ord, end_ts, depth and parent_ord (null at the top) to track events (no metadata).
 
     One shuffle by track, one sort, and one pass over the sorted rows with the stack of open events: memory is the
     stack's, however long a track is. An event that its predecessor only overlaps falls back to a higher level.
-    Counter events are never nested.
+    Counter events are never nested. Columns that nobody needs should be dropped before: all go through the shuffle.
+
+    With ``slice_us``, a track is dealt to tasks in slices of so many microseconds, for tracks too long for one task.
+    The result is the same. A first pass over the times alone finds what each slice leaves open.
     """
     base = track_events.drop("ord", "end_ts", "depth", "parent_ord")
     added = [StructField("ord", IntegerType()), StructField("end_ts", LongType()), StructField("depth", IntegerType()), StructField("parent_ord", IntegerType())]
     schema = StructType([*base.schema.fields, *added])
     names = [f.name for f in schema.fields]
+    kept = base.columns
+    order = ("ts", F.desc("dur"), "seq")
 
     def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        track, at = None, 0
+        key, at = None, 0
         open_: list[tuple[int, int]] = []
         for batch in batches:
-            ords, ends, depths, parents = [], [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("trace_id", "track_id", "track_type", "ts", "dur"))
-            for trace_id, track_id, kind, ts, dur in zip(*columns, strict=True):
-                if (trace_id, track_id) != track:
-                    track, at, open_ = (trace_id, track_id), 0, []
+            ords, ends, depths, parents, events = [], [], [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("trace_id", "track_id", "track_type", "ts", "dur")]
+            slices = batch.column("_slice").to_pylist() if slice_us else [0] * batch.num_rows
+            carried = batch.column("_carry").to_pylist() if slice_us else [None] * batch.num_rows
+            for i, (trace_id, track_id, kind, ts, dur, piece, carry) in enumerate(zip(*columns, slices, carried, strict=True)):
+                if (trace_id, track_id, piece) != key:
+                    key, at, open_ = (trace_id, track_id, piece), 0, []
+                if carry is not None:
+                    at, open_ = carry["before"], list(zip(carry["ords"], carry["ends"], strict=True))
+                    continue
                 at, end = at + 1, ts + dur
                 while open_ and not (open_[-1][1] >= end and open_[-1][1] > ts):
                     open_.pop()
+                events.append(i)
                 ords.append(at)
                 ends.append(end)
                 depths.append(len(open_))
                 parents.append(open_[-1][0] if open_ else None)
                 if kind != "COUNTER":
                     open_.append((at, end))
+            rows = batch.select(kept)
+            rows = rows if len(events) == batch.num_rows else rows.take(pa.array(events, pa.int64()))
             new = [pa.array(ords, pa.int32()), pa.array(ends, pa.int64()), pa.array(depths, pa.int32()), pa.array(parents, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names)
-
-    dealt = base.repartition(*TRACK).sortWithinPartitions(*TRACK, "ts", F.desc("dur"), "seq")
-    return dealt.mapInArrow(nest, schema)
+            yield pa.RecordBatch.from_arrays([*rows.columns, *new], names)
+
+    if not slice_us:
+        return base.repartition(*TRACK).sortWithinPartitions(*TRACK, *order).mapInArrow(nest, schema)
+    sliced = base.withColumn("_slice", F.floor(F.col("ts") / slice_us))
+    times = sliced.select(*TRACK, "_slice", "track_type", "ts", "dur", "seq").repartition(*TRACK, "_slice").sortWithinPartitions(*TRACK, "_slice", *order)
+    left = times.mapInArrow(_left_open, _LEFT_OPEN).repartition(*TRACK).sortWithinPartitions(*TRACK, "_slice")
+    both = sliced.unionByName(left.mapInArrow(_carried, _CARRIED), allowMissingColumns=True)
+    first = F.col("_carry").isNull()
+    return both.repartition(*TRACK, "_slice").sortWithinPartitions(*TRACK, "_slice", first, *order).mapInArrow(nest, schema)
+
+
+_LEFT_OPEN = "trace_id string, track_id string, _slice long, events int, last_end long, last_ts long, ords array<int>, ends array<long>"
+_CARRIED = "trace_id string, track_id string, _slice long, _carry struct<before: int, ords: array<int>, ends: array<long>>"
+
+
+def _left_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each slice of a track, in order: the number of events, their latest end and start, and what they leave open."""
+    fields = ("trace_id", "track_id", "_slice")
+    types = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+    names = (*fields, "events", "last_end", "last_ts", "ords", "ends")
+    key, at, last_end, last_ts = None, 0, 0, 0
+    open_: list[tuple[int, int]] = []
+
+    def rows(done: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*done, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    for batch in batches:
+        done = []
+        for trace_id, track_id, piece, kind, ts, dur in zip(*(batch.column(c).to_pylist() for c in (*fields, "track_type", "ts", "dur")), strict=True):
+            end = ts + dur
+            if (trace_id, track_id, piece) != key:
+                if key:
+                    done.append((*key, at, last_end, last_ts, [o for o, _ in open_], [e for _, e in open_]))
+                key, at, open_, last_end = (trace_id, track_id, piece), 0, [], end
+            at, last_end, last_ts = at + 1, max(last_end, end), ts
+            while open_ and not (open_[-1][1] >= end and open_[-1][1] > ts):
+                open_.pop()
+            if kind != "COUNTER":
+                open_.append((at, end))
+        yield rows(done)
+    if key:
+        yield rows([(*key, at, last_end, last_ts, [o for o, _ in open_], [e for _, e in open_])])
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is open before each slice, from what slices leave open: ends fall from the bottom of a stack to its top, so
+    a slice closes just those events below its own that end before its latest end or by its latest start."""
+    track, before = None, 0
+    open_: list[tuple[int, int]] = []
+    carry = pa.struct([("before", pa.int32()), ("ords", pa.list_(pa.int32())), ("ends", pa.list_(pa.int64()))])
+    for batch in batches:
+        found = []
+        for row in batch.to_pylist():
+            if (row["trace_id"], row["track_id"]) != track:
+                track, before, open_ = (row["trace_id"], row["track_id"]), 0, []
+            found.append({"before": before, "ords": [o for o, _ in open_], "ends": [e for _, e in open_]})
+            open_ = [(o, e) for o, e in open_ if e >= row["last_end"] and e > row["last_ts"]]
+            open_ += [(before + o, e) for o, e in zip(row["ords"], row["ends"], strict=True)]
+            before += row["events"]
+        names = ["trace_id", "track_id", "_slice"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, carry)], [*names, "_carry"])
 
 
 def self_time(nested: DataFrame) -> DataFrame:

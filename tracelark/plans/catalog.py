@@ -443,6 +443,14 @@ def w1_track_order(spark, d):
     return ordered(spark, d).select("seq", "track_id", "ord")
 
 
+def _line_item_times(spark, d):
+    return normalize.assign_track(adapters.line_item_events(spark, d)).select("trace_id", "track_id", "track_type", "tid", "seq", "ts", "dur")
+
+
+def _by_depth(nested_events):
+    return nested_events.groupBy("tid", "depth").agg(F.count("*").alias("events"), F.sum("dur").alias("total_dur"))
+
+
 @_query
 def w2_call_depth(spark, d):
     return nested(spark, d).select("seq", "ord", "depth", "parent_ord")
@@ -451,8 +459,13 @@ def w2_call_depth(spark, d):
 @_query
 def w2_call_depth_long(spark, d):
     """Line items: a thread for each supplier, on which hardly ever nothing is open."""
-    out = depth.call_depth(normalize.assign_track(adapters.line_item_events(spark, d)))
-    return out.groupBy("tid", "depth").agg(F.count("*").alias("events"), F.sum("dur").alias("total_dur"))
+    return _by_depth(depth.call_depth(_line_item_times(spark, d)))
+
+
+@_query
+def w2_call_depth_slices(spark, d):
+    """The same, with each thread dealt to tasks by years; spans are open across the cuts."""
+    return _by_depth(depth.call_depth(_line_item_times(spark, d), slice_us=365 * 86_400_000_000))
 
 
 @_query

@@ -199,6 +199,7 @@ FROM me m WHERE m.ts = (SELECT min(ts) FROM me)""",
     "w1_track_order": f"WITH {ORDERED} SELECT seq, track_id, ord FROM o",
     "w2_call_depth": _N + "SELECT seq, ord, depth, parent_ord FROM n",
     "w2_call_depth_long": f"WITH {LINES_NESTED} SELECT tid, depth, count(*) AS events, sum(dur)::BIGINT AS total_dur FROM n GROUP BY 1, 2",
+    "w2_call_depth_slices": f"WITH {LINES_NESTED} SELECT tid, depth, count(*) AS events, sum(dur)::BIGINT AS total_dur FROM n GROUP BY 1, 2",
     "w3_quiescent_segments": f"WITH {ORDERED}, m AS (SELECT *, max(end_ts) OVER (PARTITION BY track_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM o) SELECT track_id, count(*) FILTER (ts >= until) AS segments, max(end_ts) AS last_end FROM m GROUP BY 1",
     "w4_downsample_timeline": f"WITH {BLOCKS} SELECT track_id, depth, ts AS start_ts, greatest(end_ts, ts + {CELL}) AS end_ts, 1::BIGINT AS count, seq, name FROM flagged WHERE kept\n"
     f"UNION ALL SELECT track_id, depth, cell * {CELL}, (cell + 1) * {CELL}, count(*), max_by(seq, struct_pack(d := dur, o := -ord)), max_by(name, struct_pack(d := dur, o := -ord)) FROM small GROUP BY track_id, depth, cell",
