@@ -48,8 +48,10 @@ def concurrency(nested: DataFrame, tracks: DataFrame, bounds: DataFrame, n: int
     """
     spans = nested.where("depth = 0 and track_type = 'THREAD'")
     overlaps = bucket_overlap(spans, bounds, n)
-    busy = overlaps.groupBy("trace_id", "bucket").agg(F.sum(F.col("overlap") / F.col("width")).alias("concurrency"))
-    names = dominant_events(overlaps, k).groupBy("trace_id", "bucket")
+    # Both start from one small table of totals, so that spans are nested and spread once.
+    totals = overlaps.groupBy("trace_id", "bucket", "width", "name").agg(F.sum("overlap").alias("overlap"))
+    busy = totals.groupBy("trace_id", "bucket").agg(F.sum(F.col("overlap") / F.col("width")).alias("concurrency"))
+    names = dominant_events(totals, k).groupBy("trace_id", "bucket")
     dominant = names.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("dominant"))
     threads = tracks.groupBy("trace_id").agg(F.count_if(F.col("track_type") == "THREAD").alias("threads"))
     spine = bounds.join(threads, "trace_id").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
