@@ -18,6 +18,7 @@ _QUERIES = (
     ("op8_license_scan", "license_scan", False),
     ("op9_url_filter", "url_filter", True),
     ("op10_topk_search", "topk_search", True),
+    ("op11_ranked_search", "ranked_search", True),
 )
 
 
