@@ -19,6 +19,7 @@ _QUERIES = (
     ("op9_url_filter", "url_filter", True),
     ("op10_topk_search", "topk_search", True),
     ("op11_ranked_search", "ranked_search", True),
+    ("op12_conversation_repair", "conversation_repair", True),
 )
 
 
