@@ -20,6 +20,7 @@ _QUERIES = (
     ("op10_topk_search", "topk_search", True),
     ("op11_ranked_search", "ranked_search", True),
     ("op12_conversation_repair", "conversation_repair", True),
+    ("op13_fingerprints", "fingerprints", False),
 )
 
 
