@@ -21,7 +21,7 @@ _FOLDED = np.array([b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 3
 #: A text above so many bytes is read in pieces.
 PIECE = 4 << 20
 #: Documents of a shard whose bounds are kept together.
-PAGE = 1024
+PAGE = 512
 INDEX = (
     "n_docs long, n_terms long, ids array<long>, lengths array<long>, terms array<string>, dfs array<long>, docs binary, tfs binary, "
     "pages array<long>, page_docs binary, page_starts binary, page_tfs binary, page_lengths binary"
@@ -129,7 +129,7 @@ class Shard:
         return pa.RecordBatch.from_arrays([pa.array([row[n]], kinds[k]) for n, k in named], schema=pa.schema([(n, kinds[k]) for n, k in named]))
 
 
-def build_index(docs: DataFrame, shard_terms: int = 1 << 21) -> DataFrame:
+def build_index(docs: DataFrame, shard_terms: int = 1 << 19) -> DataFrame:
     """The inverted index of ``docs`` (doc_id, text): a row for about each ``shard_terms`` terms of a task's documents.
 
     A row lists its documents' ids and lengths (in terms), its distinct terms with their document frequencies, postings
