@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
 
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -127,100 +125,72 @@ def test_components_of_chains_and_stars(spark):
     assert components.connected(spark.createDataFrame([], "a long, b long")) is None
 
 
-def signed(x):
-    return x - (1 << 64) if x >> 63 else x
-
-
-def brute_chunks(text, divisor=2):
-    lines = text.split("\n")
-    hashes = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in lines]
-    cuts, start = [], 0
-    for i in range(len(lines)):
-        rolled = i and signed(xxhash.xxh64_intdigest(hashes[i].to_bytes(8, "little"), seed=xxhash.xxh64_intdigest(hashes[i - 1].to_bytes(8, "little"), seed=42))) % divisor == 0
-        if rolled or i == len(lines) - 1:
-            cuts.append((start, "\n".join(lines[start : i + 1]), i + 1 - start))
-            start = i + 1
-    return cuts
-
-
-def brute_dedup(docs):
-    counts, first = Counter(), {}
-    for doc_id, text in sorted((d for d in docs.items() if d[1] is not None), key=lambda d: d[0]):
-        for at, chunk, size in brute_chunks(text):
-            if size >= 2:
-                counts[chunk] += 1
-                first.setdefault(chunk, (doc_id, at))
-    out = {}
-    for doc_id, text in docs.items():
-        kept = None if text is None else [c for at, c, n in brute_chunks(text) if n < 2 or counts[c] < 2 or first[c] == (doc_id, at)]
-        out[doc_id] = None if kept is None else "\n".join(kept)
-    return out
-
-
-def test_line_dedup_equals_brute_force(spark):
-    rng = random.Random(4)
-    passages = [[f"line {p} {i}" for i in range(rng.randrange(2, 9))] for p in range(6)]
-    texts = list(ODD) + ["\n\n\n", "\n".join(["same"] * 40)]
-    for i in range(120):
-        lines = [f"own {i} {k}" for k in range(rng.randrange(6))]
-        for _ in range(rng.randrange(3)):
-            at = rng.randrange(len(lines) + 1)
-            lines[at:at] = rng.choice(passages)
-        texts.append("\n".join(lines))
-    docs = dict(enumerate(texts))
-    table = spark.createDataFrame([(i, t, 0, "keep") for i, t in docs.items()], "doc_id long, text string, n_chars long, n_removed string")
-    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(table).collect()}
-    want = brute_dedup(docs)
-    assert {i: r["text"] for i, r in out.items()} == want
-    assert sum(r["n_removed"] for r in out.values()) > 100
-    for i, r in out.items():
-        if docs[i] is None:
-            assert (r["n_lines"], r["n_removed"], r["n_chars"]) == (0, 0, None)
-        else:
-            assert r["n_lines"] == docs[i].count("\n") + 1 and r["n_chars"] == len(want[i])
-    assert line_dedup.dedup_lines(table.limit(0)).count() == 0
-
-
-def brute_runs(docs, size=2):
-    """Without chunks or hashes: a line goes if a run of ``size`` lines over it also begins at an earlier place."""
+def brute_runs(docs, size=2, min_bytes=16):
+    """Without chunks or hashes: lines that aren't blank go if a run of ``size`` of them also begins at an earlier place."""
     seen, out = set(), {}
     for doc_id, text in sorted(docs.items()):
         lines = None if text is None else text.split("\n")
+        told = [i for i, x in enumerate(lines or []) if x.strip(" \t\v\f\r")]
         gone = set()
-        for i in range(len(lines or []) - size + 1):
-            run = tuple(lines[i : i + size])
-            if run in seen:
-                gone.update(range(i, i + size))
-            seen.add(run)
+        for k in range(len(told) - size + 1):
+            at = told[k : k + size]
+            run = tuple(lines[i] for i in at)
+            if sum(len(x.encode()) for x in run) >= min_bytes:
+                if run in seen:
+                    gone.update(range(at[0], at[-1] + 1))
+                seen.add(run)
         out[doc_id] = None if lines is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
 
-@pytest.mark.parametrize("size", [2, 3])
-def test_every_repeated_run_of_lines_goes(spark, size):
+def planted_runs(size=2):
+    """Texts with runs of ``size`` to 8 lines between lines of their own, some with blank lines between."""
     rng = random.Random(8)
-    passages = [[f"line {p} {i}" for i in range(n)] for p, n in enumerate([*range(size, 9)] * 3)]
-    texts = list(ODD) + ["\n\n\n", "\n".join(["same"] * 40), "\n".join(["a", "b"] * 20), "b\na", "line 0 0"]
+    passages = [[f"a line {p} {i}" for i in range(n)] for p, n in enumerate([*range(size, 9)] * 3)]
+    texts = list(ODD) + ["\n\n\n", "\n".join(["the same line"] * 40), "\n".join(["a", "b"] * 20), "b\na", "a line 0 0"]
     for i in range(150):
         lines = [f"own {i} {k}" for k in range(rng.randrange(6))]
         at = rng.randrange(len(lines) + 1)
-        lines[at:at] = passages[i % len(passages)]
+        run = list(passages[i % len(passages)])
+        if rng.random() < 0.3:
+            run.insert(1, rng.choice(["", "  \t"]))
+        lines[at:at] = run
         texts.append("\n".join(lines))
-    docs = dict(enumerate(texts))
-    table = spark.createDataFrame([(i, t, 0) for i, t in docs.items()], "doc_id long, text string, n_chars int").repartition(3)
-    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(table, min_lines=size, every_run=True).collect()}
-    want = brute_runs(docs, size)
+    return passages, dict(enumerate(texts))
+
+
+@pytest.mark.parametrize(("size", "min_bytes"), [(2, 16), (2, 0), (3, 16)])
+def test_every_repeated_run_of_lines_goes(spark, size, min_bytes):
+    passages, docs = planted_runs(size)
+    table = spark.createDataFrame([(i, t, 0, "x") for i, t in docs.items()], "doc_id long, text string, n_chars int, n_removed string").repartition(3)
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(table, min_lines=size, min_bytes=min_bytes).collect()}
+    want = brute_runs(docs, size, min_bytes)
     assert {i: r["text"] for i, r in out.items()} == want
+    assert line_dedup.dedup_lines(table.limit(0)).count() == 0
     for i, text in docs.items():  # every planted run but its first place is gone, whatever its length and neighbours
-        if text is not None:
+        if text is None:
+            assert (out[i]["n_lines"], out[i]["n_removed"], out[i]["n_chars"]) == (0, 0, None)
+        else:
             assert out[i]["n_lines"] == len(text.split("\n")) and out[i]["n_chars"] == len(want[i])
             assert i < len(docs) - 150 + len(passages) or "line" not in out[i]["text"]
-            if out[i]["n_removed"] < out[i]["n_lines"]:
-                assert out[i]["n_removed"] == len(text.split("\n")) - len(want[i].split("\n"))
+
+
+def test_fewer_chunkings_find_a_share_of_the_runs(spark):
+    """Boundaries are chosen by the rolling hash: each chunking has its own, and together they have all."""
+    _, docs = planted_runs()
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    removed = [line_dedup.dedup_lines(table, divisor=4, chunkings=n).agg(F.sum("n_removed")).first()[0] for n in (1, 2, 4)]
+    assert 0 < removed[0] < removed[1] < removed[2]
+
+
+def test_paragraph_breaks_and_brackets_stay(spark):
+    texts = ["gamma three\n\n\ndelta four", "alpha one\n\n\nbeta two", "y = 2\n}\n\nbar", "x = 1\n}\n\nfoo", "}\n}\n", "}\n}"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["text"] for r in line_dedup.dedup_lines(table).orderBy("doc_id").collect()] == texts
 
 
 def test_line_dedup_keeps_copies_of_one_id_alike(spark):
-    text = "\n".join(f"l{i}" for i in range(12))
+    text = "\n".join(f"line number {i}" for i in range(12))
     rows = [(None, text), (1, text), (1, text), (2, text)]
     out = [(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert [t for d, t in out if d is None] == [text]
@@ -231,7 +201,7 @@ def test_line_dedup_keeps_copies_of_one_id_alike(spark):
 def test_line_dedup_keeps_texts_of_one_id_apart(spark):
     """A repeat in one text takes nothing from another text of the same id, or of no id."""
     rows = [(0, "a\nb"), (None, "c\nd"), (None, "e\nf"), (1, "a\nb\ng"), (1, "h\ni\nj"), (None, "a\nb")]
-    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), every_run=True).collect()
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_bytes=0).collect()
     want = [(None, "a\nb"), (None, "c\nd"), (None, "e\nf"), (0, ""), (1, "g"), (1, "h\ni\nj")]
     assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted(want, key=str)
 
