@@ -49,13 +49,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated runs of lines (operator 5); one of which nothing is left was a copy and goes.
+    """Documents without repeated runs of lines (operator 5); one of which nothing but blank lines is left was a copy and goes.
 
     Null and empty texts stay. Of equal runs the one of the smallest doc_id stays, nulls first; repeated rows of one id
     and text count as one place, lose the same lines and are left to the next stage. An empty table stays empty.
     """
-    out = dedup_lines(docs.select(*COLUMNS), every_run=True)
-    return out.where(~((F.col("n_removed") > 0) & (F.col("text") == ""))).select(*COLUMNS)
+    out = dedup_lines(docs.select(*COLUMNS))
+    return out.where(~((F.col("n_removed") > 0) & F.col("text").rlike(r"^\s*$"))).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
