@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +71,61 @@ def test_join_equals_brute_force(spark, seed, round_share, long_list):
     assert out == brute_components(texts)
 
 
+def test_join_in_levels_equals_brute_force(spark, monkeypatch):
+    """Ranges that are cut in three levels, with tokens that are common in some blocks."""
+    monkeypatch.setattr(ngram_join, "FAN", 3)
+    texts = dict(enumerate(ODD + families(5)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    found, pairs = ngram_join.link_classes(docs, flush_tokens=900, common_docs=4, part_tokens=800)
+    assert len(ngram_join._widths(-(-sum(map(len, filter(None, texts.values()))) // 4000))) >= 3
+    rows = found.collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(texts)
+    # The pairs are links, and they alone connect the classes of each component.
+    text_of = {r["class_id"]: texts[r["doc_id"]] for r in rows if r["class_id"] is not None}
+    linked = [(r["class_id"], r["other_class_id"], r["similarity"]) for r in pairs.collect()]
+    for a, b, similarity in linked:
+        x, y = shingles(text_of[a]), shingles(text_of[b])
+        assert similarity == len(x & y) / len(x | y) >= 0.75
+    root = {c: c for c in text_of}
+
+    def find(c):
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    for a, b, _ in linked:
+        root[find(a)] = find(b)
+    by_component = {}
+    for r in rows:
+        if r["class_id"] is not None:
+            by_component.setdefault(r["component_id"], set()).add(find(r["class_id"]))
+    assert all(len(roots) == 1 for roots in by_component.values())
+
+
+def test_blocks_are_as_full_at_any_number_of_ranges():
+    """Rows of the block step for one gathering of documents, and for the second level behind it."""
+    rng = np.random.default_rng(3)
+    rows, seconds = [], []
+    for parts in (1_000, 10_000, 100_000):
+        widths = ngram_join._widths(parts)
+        flush = ngram_join._Flush(0, parts, widths[0], 1 << 18, 256)
+        while not flush.full():
+            flush.add(len(flush.ids), 0, np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64) * 2))
+        began = time.perf_counter()
+        blocks = pa.Table.from_batches(list(flush.batches()))
+        seconds.append(time.perf_counter() - began)
+        blocks = blocks.filter(pc.is_null(blocks["n"]))
+        rows.append(blocks.num_rows)
+        finer = ngram_join._Regroup(parts, widths[1], 1 << 17, True)
+        cut = pa.Table.from_batches(list(finer.run(blocks.filter(pc.equal(blocks["part"], 1)).to_batches()))).to_pylist()
+        held = [(t, r) for b in cut for t, r in zip(ngram_join._risen(b["tokens"], 6).tolist(), ngram_join._owners(b).tolist(), strict=True)]
+        for b in cut:
+            assert set(ngram_join._token_part(ngram_join._risen(b["tokens"], 6), parts).tolist()) == {b["part"]}
+        want = [(int(t), i) for s, i in zip(flush.sets, flush.owners, strict=True) for t in s if ngram_join._token_part(np.array([t]), parts)[0] // widths[0] == 1]
+        assert sorted(held) == sorted(want)
+    assert max(rows) <= ngram_join.FAN and max(seconds) < 5 * min(seconds) + 0.2, (rows, seconds)
+
+
 def test_join_with_common_tokens_and_other_thresholds(spark):
     """What counts as common is only a matter of speed; here many a token does, but not in every block."""
     texts = dict(enumerate(families(3)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ COMMON = np.uint32(0xFFFFFFFF)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens that one task's Python worker holds at once where blocks of a range of tokens meet (about 50 bytes each).
 PART_TOKENS = 1 << 21
+#: A task cuts what it has gathered into so many rows at most. More ranges than that are reached in levels.
+FAN = 512
 
 SPREAD = "part int, rid long, doc_id long, print long, n long, fp long, common binary, tokens binary, owners binary, counts binary"
 RETURNED = "part int, rid long, doc_id long, print long, n long, fp long, common binary, rids binary, tokens binary, freqs binary"
@@ -59,6 +62,21 @@ def _doc_part(rids: np.ndarray, parts: int) -> np.ndarray:
     return (mix(rids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
+def _token_part(tokens: np.ndarray, parts: int) -> np.ndarray:
+    """The range of each token: ``parts`` ranges of about equal width, in order. ``parts`` is below 2^24."""
+    high, low = tokens >> np.uint64(TOKEN_BITS // 2), tokens & np.uint64((1 << TOKEN_BITS // 2) - 1)
+    whole = high * np.uint64(parts) + (low * np.uint64(parts) >> np.uint64(TOKEN_BITS // 2))
+    return (whole >> np.uint64(TOKEN_BITS // 2)).astype(np.int64)
+
+
+def _widths(parts: int) -> list[int]:
+    """How many ranges a row holds at each level, down to one; each level cuts a row into ``FAN`` at most."""
+    widths = [1]
+    while -(-parts // widths[0]) > FAN:
+        widths.insert(0, widths[0] * FAN)
+    return widths
+
+
 def _arrow_schema(names: list[str]) -> pa.Schema:
     kinds = {"part": pa.int32(), **dict.fromkeys(("rid", "doc_id", "print", "n", "fp"), pa.int64())}
     return pa.schema([(c, kinds.get(c, pa.binary())) for c in names])
@@ -75,8 +93,8 @@ _SPREAD, _RETURNED = ([c.split()[0] for c in s.split(", ")] for s in (SPREAD, RE
 class _Flush:
     """Documents gathered by one task, handed on as blocks of sorted tokens by range of the token."""
 
-    def __init__(self, base: int, parts: int, tokens: int, common_docs: int):
-        self.base, self.parts, self.tokens, self.common_docs, self.held = base, parts, tokens, common_docs, 0
+    def __init__(self, base: int, parts: int, width: int, tokens: int, common_docs: int):
+        self.base, self.parts, self.width, self.tokens, self.common_docs, self.held = base, parts, width, tokens, common_docs, 0
         self.ids: list[int | None] = []
         self.texts: list[int | None] = []
         self.sizes: list[int] = []
@@ -119,26 +137,24 @@ class _Flush:
                 for a, b in zip((s := _starts(co))[:-1], s[1:], strict=True):
                     common_of[int(co[a])] = ct[a:b].astype("<u8").tobytes()
                 tokens, owners = tokens[~held], owners[~held]
-            edges = np.array([(i << TOKEN_BITS) // self.parts for i in range(1, self.parts)], np.uint64)
-            cut = np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
-            cut_common = np.concatenate([[0], np.searchsorted(common, edges), [len(common)]])
+            own, shared = (_token_part(t, self.parts) // self.width for t in (tokens, common))
+            held = np.union1d(own, shared)  # only ranges that hold a token
+            cuts = (np.searchsorted(own, held), np.searchsorted(own, held, "right"), np.searchsorted(shared, held), np.searchsorted(shared, held, "right"))
             rows: dict[str, list] = {k: [] for k in ("part", "rid", "tokens", "owners", "common", "counts")}
-            for part in range(self.parts):
-                a, b, c, d = cut[part], cut[part + 1], cut_common[part], cut_common[part + 1]
-                if a < b or c < d:
-                    rows["part"].append(part)
-                    rows["rid"].append(self.base)
-                    rows["tokens"].append(_rising(tokens[a:b], 6))
-                    rows["owners"].append(_planes(owners[a:b], 2))
-                    rows["common"].append(_rising(common[c:d], 6))
-                    rows["counts"].append(_planes(counts[c:d], 4))
+            for part, a, b, c, d in zip(held.tolist(), *cuts, strict=True):
+                rows["part"].append(part)
+                rows["rid"].append(self.base)
+                rows["tokens"].append(_rising(tokens[a:b], 6))
+                rows["owners"].append(_planes(owners[a:b], 2))
+                rows["common"].append(_rising(common[c:d], 6))
+                rows["counts"].append(_planes(counts[c:d], 4))
             if rows["part"]:
                 yield _table(_SPREAD, rows)
         rids = self.base + np.arange(len(self.ids))
         yield _table(
             _SPREAD,
             {
-                "part": _doc_part(rids, self.parts).tolist(),
+                "part": (_doc_part(rids, self.parts) // self.width).tolist(),
                 "rid": rids.tolist(),
                 "doc_id": self.ids,
                 "print": self.texts,
@@ -150,36 +166,121 @@ class _Flush:
 
 
 def _spread(docs: DataFrame, size: int, parts: int, flush_tokens: int, common_docs: int) -> DataFrame:
+    width = _widths(parts)[0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        flush = _Flush((context.partitionId() if context else 0) << 40, parts, flush_tokens, common_docs)
+        flush = _Flush((context.partitionId() if context else 0) << 40, parts, width, flush_tokens, common_docs)
         for batch in batches:
             for doc_id, text, seen in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = word_hashes((text.as_py() or "").encode())
                 flush.add(doc_id, seen, shingle_hashes(words, size))
                 if flush.full():
                     yield from flush.batches()
-                    flush = _Flush(flush.base + len(flush.ids), parts, flush_tokens, common_docs)
+                    flush = _Flush(flush.base + len(flush.ids), parts, width, flush_tokens, common_docs)
         if flush.ids:
             yield from flush.batches()
 
     return docs.mapInArrow(run, SPREAD)
 
 
+class _Regroup:
+    """Blocks that came for wide ranges, gathered and handed on as fewer, fuller blocks for narrower ones."""
+
+    def __init__(self, parts: int, width: int, tokens: int, by_token: bool):
+        self.parts, self.width, self.tokens, self.by_token, self.held = parts, width, tokens, by_token, 0
+        self.names = _SPREAD if by_token else _RETURNED
+        self.blocks: list[dict] = []
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.filter(pc.is_valid(batch["n"]))
+            if docs.num_rows:
+                part = pa.array(_doc_part(docs["rid"].to_numpy(), self.parts) // self.width, pa.int32())
+                yield docs.set_column(0, pa.field("part", pa.int32()), part)
+            for block in batch.filter(pc.is_null(batch["n"])).to_pylist():
+                self.blocks.append(block)
+                self.held += (len(block["tokens"]) + len(block["common"] or b"")) // 6
+                if self.held >= self.tokens:
+                    yield from self.flush()
+        yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.blocks:
+            yield _table(self.names, self._by_token() if self.by_token else self._by_doc())
+        self.blocks, self.held = [], 0
+
+    def _by_token(self) -> dict[str, list]:
+        tokens = np.concatenate([_risen(b["tokens"], 6) for b in self.blocks])
+        rids = np.concatenate([_owners(b) for b in self.blocks])
+        common, counts = np.concatenate([_risen(b["common"], 6) for b in self.blocks]), np.concatenate([_numbers(b["counts"], 4) for b in self.blocks])
+        order, order_common = np.argsort(tokens, kind="stable"), np.argsort(common, kind="stable")
+        tokens, rids, common, counts = tokens[order], rids[order], common[order_common], counts[order_common]
+        own, shared = (_token_part(t, self.parts) // self.width for t in (tokens, common))
+        held = np.union1d(own, shared)
+        cuts = (np.searchsorted(own, held), np.searchsorted(own, held, "right"), np.searchsorted(shared, held), np.searchsorted(shared, held, "right"))
+        rows: dict[str, list] = {k: [] for k in ("part", "tokens", "owners", "common", "counts")}
+        for part, a, b, c, d in zip(held.tolist(), *cuts, strict=True):
+            rows["part"].append(part)
+            rows["tokens"].append(_rising(tokens[a:b], 6))
+            rows["owners"].append(_planes(rids[a:b], 8))
+            rows["common"].append(_rising(common[c:d], 6))
+            rows["counts"].append(_planes(counts[c:d], 4))
+        return rows
+
+    def _by_doc(self) -> dict[str, list]:
+        rids = np.concatenate([_risen(b["rids"], 8) for b in self.blocks])
+        tokens, freqs = np.concatenate([_numbers(b["tokens"], 6) for b in self.blocks]), np.concatenate([_numbers(b["freqs"], 4) for b in self.blocks])
+        return _by_doc(rids, tokens, freqs, self.parts, self.width, self.blocks[0]["rid"])
+
+
+def _owners(block: dict) -> np.ndarray:
+    """Documents of a block's tokens: numbered from the block's own first one, or in full once blocks were gathered."""
+    return _numbers(block["owners"], 8) if block["rid"] is None else _numbers(block["owners"], 2) + np.uint64(block["rid"])
+
+
+def _by_doc(rids: np.ndarray, tokens: np.ndarray, freqs: np.ndarray, parts: int, width: int, source: int) -> dict[str, list]:
+    """Rows of ``RETURNED`` for the shares of documents that ``rids`` lie in. ``source`` only spreads them over tasks."""
+    part = _doc_part(rids, parts) // width
+    order = np.lexsort((rids, part))
+    rids, tokens, freqs, part = rids[order], tokens[order], freqs[order], part[order]
+    rows: dict[str, list] = {k: [] for k in ("part", "rid", "rids", "tokens", "freqs")}
+    starts = _starts(part).tolist()
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        rows["part"].append(int(part[a]))
+        rows["rid"].append(source)
+        rows["rids"].append(_rising(rids[a:b], 8))
+        rows["tokens"].append(_planes(tokens[a:b], 6))
+        rows["freqs"].append(_planes(freqs[a:b], 4))
+    return rows
+
+
+def _levelled(blocks: DataFrame, parts: int, tokens: int, by_token: bool) -> DataFrame:
+    """Blocks cut level by level until each is of one range. A wide range is dealt to many tasks, by where a block came from."""
+    for width in _widths(parts)[1:]:
+        wide = -(-parts // (width * FAN))
+        shares = max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")) // wide)
+        dealt = blocks.repartition("part", F.pmod(F.xxhash64("rid"), F.lit(shares)))
+        blocks = dealt.mapInArrow(lambda batches, w=width: _Regroup(parts, w, tokens, by_token).run(batches), SPREAD if by_token else RETURNED)
+    return blocks
+
+
 def _count_and_return(parts: int):
     """For one range of tokens: drops tokens of a single document and returns the others, with their frequency, by document."""
+    width = _widths(parts)[0]
 
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         docs = table.filter(pc.is_valid(table["n"]))
         if docs.num_rows:
             for b in docs.select(["part", "rid", "doc_id", "print", "n", "fp", "common"]).combine_chunks().to_batches():
+                b = b.set_column(0, "part", pa.array(b["part"].to_numpy() // width, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(b.num_rows, pa.binary())] * 3], schema=_arrow_schema(_RETURNED))
         blocks = table.filter(pc.is_null(table["n"])).to_pylist()
         if not blocks:
             return
         tokens = np.concatenate([_risen(b["tokens"], 6) for b in blocks])
-        rids = np.concatenate([_numbers(b["owners"], 2) + np.uint64(b["rid"]) for b in blocks])
-        common = np.unique(np.concatenate([_risen(b["common"], 6) for b in blocks]))
+        rids = np.concatenate([_owners(b) for b in blocks])
+        source, common = blocks[0]["part"], np.unique(np.concatenate([_risen(b["common"], 6) for b in blocks]))
         del blocks, table, docs
         order = np.argsort(tokens, kind="stable")
         tokens, rids = tokens[order], rids[order]
@@ -192,19 +293,8 @@ def _count_and_return(parts: int):
         each = np.repeat(freqs, np.diff(starts))
         keep = each >= 2
         tokens, rids, each = tokens[keep], rids[keep], each[keep]
-        part = _doc_part(rids, parts)
-        order = np.lexsort((rids, part))
-        tokens, rids, each, part = tokens[order], rids[order], each[order], part[order]
-        edges = np.searchsorted(part, np.arange(parts + 1))
-        rows: dict[str, list] = {k: [] for k in ("part", "rids", "tokens", "freqs")}
-        for p in np.flatnonzero(np.diff(edges)).tolist():
-            a, b = edges[p], edges[p + 1]
-            rows["part"].append(p)
-            rows["rids"].append(_rising(rids[a:b], 8))
-            rows["tokens"].append(_planes(tokens[a:b], 6))
-            rows["freqs"].append(_planes(each[a:b].astype(np.uint64), 4))
-        if rows["part"]:
-            yield _table(_RETURNED, rows)
+        if len(rids):
+            yield _table(_RETURNED, _by_doc(rids, tokens, each.astype(np.uint64), parts, width, source))
 
     return lambda table: pa.Table.from_batches(run(table), _arrow_schema(_RETURNED))
 
@@ -264,7 +354,7 @@ class _Families:
     """Which sets are known to be connected: a table of fp, gid and root, replaced after each round of comparisons."""
 
     def __init__(self, scratch: Scratch, sets: DataFrame, members: DataFrame, percent: int):
-        self.scratch, self.sets, self.percent, self.measured, self.linked = scratch, sets, percent, 0, 0
+        self.scratch, self.sets, self.percent, self.measured, self.linked, self.pairs = scratch, sets, percent, 0, 0, []
         self.placed = scratch.written(members.select("fp", "gid", F.col("fp").alias("root")), "placed")
 
     def ungroup(self) -> None:
@@ -300,9 +390,10 @@ class _Families:
         b = own.select(F.col("fp").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
         both, either = F.size(F.array_intersect("a_tokens", "b_tokens")), F.col("a_n") + F.col("b_n")
         found = pairs.join(a, "a").join(b, "b").where(100 * both >= self.percent * (either - both))
-        found = self.scratch.written(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), "links")
+        found = self.scratch.written(found.select("a", "b", "a_root", "b_root", (both / (either - both)).alias("similarity")), "links")
         self.linked = found.count()
-        labels = connected(found)
+        self.pairs.append(found.select(F.least("a", "b").alias("class_id"), F.greatest("a", "b").alias("other_class_id"), "similarity"))
+        labels = connected(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
         if labels is not None:
             up = labels.select(F.col("node").alias("root"), F.col("root").alias("to"))
             moved = self.placed.join(up, "root", "left").select("fp", "gid", F.coalesce("to", "root").alias("root"))
@@ -403,14 +494,21 @@ def _differences(families: _Families, long: DataFrame) -> DataFrame:
     return scratch.written(first.select(F.col("x.token").alias("token"), F.col("fp").alias("gid"), "n", (F.col("d") - F.col("at")).alias("left"), "s", (-F.col("s")).cast("double").alias("own")), "difference-postings")
 
 
-def link_documents(docs: DataFrame, size: int = 5, percent: int = 75, flush_tokens: int = 1 << 18, common_docs: int = 256, long_list: int = 8, round_share: float = 0.1, part_tokens: int = PART_TOKENS) -> DataFrame:
+def link_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The documents of ``link_classes``, without the pairs."""
+    return link_classes(docs, **settings)[0]
+
+
+def link_classes(docs: DataFrame, size: int = 5, percent: int = 75, flush_tokens: int = 1 << 18, common_docs: int = 256, long_list: int = 8, round_share: float = 0.1, part_tokens: int = PART_TOKENS) -> tuple[DataFrame, DataFrame]:
     """Components of ``docs`` (doc_id, text) under Jaccard similarity of word shingles of at least ``percent`` %.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a set holds the distinct shingles of ``size`` words,
     fewer words count as one shingle, and a text without words has an empty set and no links.
 
     1. Shingle hashes of all documents meet by ranges of the hash, as sorted blocks of about ``flush_tokens`` of a
-       task's tokens; there are so many ranges that about ``part_tokens`` meet in each. Tokens of one document can't
+       task's tokens; there are so many ranges that about ``part_tokens`` meet in each. A task never cuts what it holds into
+       more than ``FAN`` blocks: where there are more ranges, blocks of wide ones are gathered and cut again, level by
+       level, so blocks stay as full at any number of ranges. Tokens of one document can't
        link and stop there; the others go back with their document frequency, which gives one global order. A token
        that ``common_docs`` documents of one block hold is common: only its count is sent, its documents keep it
        themselves, and common tokens come last in the order. So a token of very many documents burdens no task.
@@ -432,9 +530,11 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 75, flush_toke
     pair is taken for equal with odds of 1 in 37), and overlaps are counted on 48 bits of the hash (two sets of 1,000
     shingles share a false one with odds of 1 in 280 million).
 
-    Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach), class_id (equal sets have equal
-    ones; null for an empty set), component_size (rows), print (xxhash64 of the text) and is_first: whether the row has the
-    id and the text that stand first in its component, by doc_id, nulls last, and print.
+    Returns two tables. Documents: doc_id, n_shingles, component_id (the smallest doc_id that links reach), class_id (equal
+    sets have equal ones; null for an empty set), component_size (rows), print (xxhash64 of the text) and is_first: whether
+    the row has the id and the text that stand first in its component, by doc_id, nulls last, and print. Pairs of classes
+    that were compared and link: class_id, other_class_id (the larger) and similarity. They connect each component; pairs
+    of classes that others connect already aren't all among them.
     """
     spark = docs.sparkSession
     whole_text_batches(spark)
@@ -443,9 +543,10 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 75, flush_toke
     # A group of blocks is held whole by its task's Python worker, so the input's size sets how many there are.
     about = (docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0) // 5
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-about // part_tokens), 1)
-    spread = _spread(docs, size, parts, flush_tokens, common_docs).groupBy("part").applyInArrow(_count_and_return(parts), RETURNED)
+    spread = _levelled(_spread(docs, size, parts, flush_tokens, common_docs), parts, part_tokens, by_token=True)
+    returned = _levelled(spread.groupBy("part").applyInArrow(_count_and_return(parts), RETURNED), parts, part_tokens, by_token=False)
     gathered = Scratch(spark)
-    every = gathered.written(spread.groupBy("part").applyInArrow(_assemble(percent), CANDIDATES), "shingle-sets")
+    every = gathered.written(returned.groupBy("part").applyInArrow(_assemble(percent), CANDIDATES), "shingle-sets")
 
     held = every.where("tokens is not null")
     chosen = held.groupBy("fp", "n").agg(F.min("rid").alias("rid"))
@@ -473,8 +574,10 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 75, flush_toke
         families.rounds(differences, round_share)
         families.compare(_across(families, _possible(families, families.still_open(differences))))
     labels = written(families.placed.where("fp <> root").select("fp", "root"), "components")
+    none = spark.createDataFrame([], "class_id long, other_class_id long, similarity double")
+    pairs = written(reduce(DataFrame.unionByName, families.pairs, none).distinct(), "class-pairs")
     scratch.drop()
-    return _answer(every, labels)
+    return _answer(every, labels), pairs
 
 
 def _answer(every: DataFrame, labels: DataFrame) -> DataFrame:
