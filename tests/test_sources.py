@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import gzip
+import json
+import random
 
+import pyarrow as pa
 import pytest
 
 from tests.helpers import event, frame, rows
 from tracelark.functions import scalars
-from tracelark.sources import trace_files
+from tracelark.sources import json_ranges, trace_files
 from tracelark.streaming import events as streams
 
 SPANS = '[{"name":"lift","cat":"crane","ph":"X","ts":70,"dur":8,"pid":2,"tid":5},\n{"name":"lower","ph":"B","ts":91.6,"pid":2,"tid":5,"args":{"load":[{"kg":3}]}},\n{"name":"odd","ts":"9x"}\n]\n'
@@ -72,12 +75,68 @@ def test_gzip_by_magic(spark, tmp_path):
             trace_files.read_gzip_trace(spark, f"file://{tmp_path}").collect()
 
 
-def test_json_events_in_pieces_of_any_size():
-    text = '{"a":"traceEvents","traceEvents":[{"n":"\\\\"},{"n":"\\"}{["},{"o":{"p":[{}]}}],"b":[{"n":0}]}'
-    for size in range(1, 9):
-        pieces = [text[i : i + size] for i in range(0, len(text), size)]
-        assert list(trace_files.json_events(iter(pieces))) == ['{"n":"\\\\"}', '{"n":"\\"}{["}', '{"o":{"p":[{}]}}']
-    assert list(trace_files.json_events(iter(['{"n":1}\n{"n":2}']))) == ['{"n":1}', '{"n":2}']
+def in_ranges(text, cuts):
+    """Events of a document of which each range is a task's: what begins where is told by composing what they say alone."""
+    pieces = text.encode().split(b"}")
+    rows, place, edges = [], {"_path": "f", "file_size": len(text.encode())}, [0, *cuts, len(pieces)]
+    meta = lambda i: pa.RecordBatch.from_pylist([place | {"_start": i, "value": p} for p in pieces[edges[i] : edges[i + 1]]])
+    ranges = [i for i in range(len(edges) - 1) if edges[i] < edges[i + 1]]
+    summary = [b for i in ranges for b in json_ranges._summarised(iter([meta(i)]))]
+    for state in pa.Table.from_batches(json_ranges._composed(iter(summary))).to_pylist():
+        here = place | state
+        for fragments in (False, True):
+            rows += list(json_ranges._events_of(here, iter(pieces[edges[state["_start"]] : edges[state["_start"] + 1]]), fragments))
+    out = {}
+    for r in rows:
+        out.setdefault((r["_start"], r["at"] if r["at"] >= 0 and r["last"] and r["part"] == r["_start"] else "cut"), []).append(r)
+    events = []
+    for key in sorted(out, key=lambda k: (k[0], k[1] == "cut", k[1] if k[1] != "cut" else 0)):
+        group = sorted(out[key], key=lambda r: r["part"])
+        if any(r["last"] for r in group) and not any(r["cancelled"] for r in group):
+            events.append(b"".join(r["value"] for r in group).decode())
+    return events
+
+
+def test_documents_in_ranges_of_any_length():
+    """Strings with braces, brackets and escapes, nested arguments and other keys, cut at every brace and at random ones."""
+    rng = random.Random(2)
+    odd = ['a}b', 'x\\"}{[', "]", "\\\\", '"traceEvents":[', "}}", "\u007d"]
+    documents = []
+    for k in range(40):
+        events = []
+        for i in range(rng.randrange(12)):
+            name = json.dumps(rng.choice(odd) + str(i)) if rng.random() < 0.7 else f'"{i}"'
+            events.append('{"name":%s,"args":%s}' % (name, rng.choice(['{"x":[{"y":"}"}]}', "{}", '{"a":{"b":{"c":[]}}}', "3"])))
+        inner = rng.choice([",", ",\n", " , "]).join(events)
+        documents.append((events, [f"[{inner}]", '{"traceEvents":[%s]}' % inner, '{"m":{"traceEvents":[{"no":1}]},"z":[{"no":2}],"traceEvents" : [%s],"more":[{"no":{}}],"s":"}"}' % inner, "\n".join(events)][k % 4]))
+    for events, text in documents:
+        n = len(text.encode().split(b"}"))
+        assert in_ranges(text, []) == events
+        assert in_ranges(text, list(range(1, n))) == events
+        for _ in range(10):
+            assert in_ranges(text, sorted(rng.sample(range(1, n), min(n - 1, rng.randrange(4))))) == events, text
+
+
+def test_one_large_document_is_read_by_many_tasks(spark, tmp_path):
+    """Without a line end, and with events longer than a range; then with a broken byte and cut off."""
+    named = [f"n{i}" + "}{" * (i % 3) for i in range(3000)]
+    body = ",".join(json.dumps({"name": n, "ts": i, "args": {"k": [{"v": "x" * (9000 if i % 500 == 7 else i % 90)}]}}) for i, n in enumerate(named))
+    (tmp_path / "whole.json").write_text('{"meta":{"a":[{"name":"no"}]},"traceEvents":[' + body + '],"more":[{"name":"no"}]}')
+    (tmp_path / "broken.json").write_bytes(b"[" + body.encode()[:150_000] + b"\xff\x00][,,{{{")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in before:
+            spark.conf.set(c, "4k")
+        read = trace_files.read_trace(spark, f"file://{tmp_path}/whole.json", "t")
+        assert read.rdd.getNumPartitions() >= 8
+        out = read.orderBy("seq").select("name", "ts", "seq").collect()
+        broken = trace_files.read_trace(spark, f"file://{tmp_path}/broken.json", "t").orderBy("seq").select("name").collect()
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    assert [(r["name"], r["ts"]) for r in out] == [(n, i) for i, n in enumerate(named)] and len({r["seq"] for r in out}) == 3000
+    kept = [r["name"] for r in broken]
+    assert len(kept) > 500 and kept == named[: len(kept)]
 
 
 def test_lines_round_trip_and_stored_events(spark, tmp_path):

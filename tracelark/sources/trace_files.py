@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import codecs
 import re
-import zlib
-from collections.abc import Iterator, Sequence
-from itertools import islice
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelark.operators.normalize import normalize_events
+from tracelark.sources.json_ranges import byte_count, document_events
 from tracelark.sources.schema import EVENT_COLUMNS, RAW_FIELDS, RAW_STRUCT
 
-_FIELDS = ", ".join(f"{f} string" for f in RAW_FIELDS)
-
-
-def _bytes(text: str) -> int:
-    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", text.strip().lower()).groups()
-    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
-
-
 def _placed(df: DataFrame) -> DataFrame:
     """Adds where each row's block is: _path and _start."""
     return df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
@@ -42,33 +31,39 @@ def _in_files(events: DataFrame, paths: list[str], trace_id: str | None) -> Data
     return events.drop("_path").withColumn("trace_id", F.lit(trace_id))
 
 
-def _numbered(events: DataFrame, paths: list[str], trace_id: str | None) -> DataFrame:
-    """Adds trace_id and seq, unique within a trace, by file (in order of path) and place in it.
+def _numbered(events: DataFrame, at: Column, paths: list[str], trace_id: str | None) -> DataFrame:
+    """Adds trace_id and seq, unique within a trace, by file (in order of path), its block, and ``at``, the place there.
 
-    seq joins the file's number, its block's place and the event's in its partition, so it needs no shuffle and is the
-    same whenever the files are read in the same blocks. Files are 1 TB at most; of a million files, a partition of
-    Spark's usual size may hold 2^24 events.
+    seq needs no shuffle and is the same whenever the files are read in the same blocks. Its 63 bits are shared by the
+    number of files; of a million files, a block may hold 2^24 events and a file 1 TB. More is an error, not a number twice.
     """
     conf = events.sparkSession.conf
     # Blocks begin at multiples of a size that is never below this one.
-    least = max(1, min(_bytes(conf.get(f"spark.sql.files.{c}")) for c in ("maxPartitionBytes", "openCostInBytes")))
-    bits = min(33, 63 - (len(paths) - 1).bit_length() - max(1, 41 - least.bit_length()))
-    place = F.floor(F.col("_start") / least).cast("long") * (1 << bits) + F.monotonically_increasing_id().bitwiseAND((1 << bits) - 1)
+    least = max(1, min(byte_count(conf.get(f"spark.sql.files.{c}")) for c in ("maxPartitionBytes", "openCostInBytes")))
+    for_files = (len(paths) - 1).bit_length()
+    bits = min(33, 63 - for_files - max(1, 41 - least.bit_length()))
+    block = F.floor(F.col("_start") / least).cast("long")
+    fits = (at < (1 << bits)) & (block < (1 << (63 - for_files - bits)))
+    place = F.when(fits, block * (1 << bits) + at).otherwise(F.raise_error(F.lit("too many events in a block, or too long a file, to number them")).cast("long"))
     return _in_files(events.withColumn("seq", place).drop("_start"), paths, trace_id)
 
 
+def _row_in_partition() -> Column:
+    return F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+
+
 def read_trace(spark: SparkSession, paths: str | Sequence[str], trace_id: str | None = None) -> DataFrame:
-    """Events of whole JSON documents: an array of events, or an object whose ``traceEvents`` is one.
+    """Events of whole JSON documents: an array of events, or an object whose ``traceEvents`` is one; or objects one after another.
 
-    Each file is one task, and one bad byte loses its file: ``read_gzip_trace`` keeps what stands before it, and
-    ``read_trace_lines`` suits large files. ``.gz`` files are inflated; other names aren't looked into.
+    A document of any size is read in ranges by many tasks, whether or not it has line ends. Files that begin as gzip does
+    are inflated, whatever their name, by one task each; corrupt gzip fails the job. What stands before a broken byte, or
+    before the place where a file is cut off, is kept; an event that can't be read is dropped.
     """
-    schema = f"{_FIELDS}, traceEvents array<{RAW_STRUCT}>"
-    files = spark.read.schema(schema).option("multiLine", True).json(paths)
-    own = F.struct(*(F.col(f) for f in RAW_FIELDS))
-    each = _placed(files).select("_path", "_start", F.explode(F.coalesce("traceEvents", F.array(own))).alias("e"))
-    found = _numbered(each, files.inputFiles(), trace_id).where(F.coalesce(*(F.col(f"e.{f}") for f in RAW_FIELDS)).isNotNull())
-    return normalize_events(found.select("trace_id", "seq", "e.*"))
+    found, listed = document_events(spark, paths)
+    event = F.from_json(F.col("value").cast("string"), RAW_STRUCT, {"allowUnquotedControlChars": "true"})
+    read = _numbered(found, F.col("at"), listed, trace_id).select("trace_id", "seq", event.alias("e"))
+    named = read.where(F.coalesce(*(F.col(f"e.{f}") for f in RAW_FIELDS)).isNotNull())
+    return normalize_events(named.select("trace_id", "seq", "e.*"))
 
 
 def _line_events(value: str = "value"):
@@ -95,7 +90,7 @@ def read_trace_lines(spark: SparkSession, paths: str | Sequence[str], trace_id:
     """
     files = spark.read.text(paths)
     each = _placed(files).select("_path", "_start", F.explode(_line_events()).alias("e"))
-    return normalize_events(_numbered(each, files.inputFiles(), trace_id).where("e is not null").select("trace_id", "seq", "e.*"))
+    return normalize_events(_numbered(each, _row_in_partition(), files.inputFiles(), trace_id).where("e is not null").select("trace_id", "seq", "e.*"))
 
 
 def bad_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -104,82 +99,9 @@ def bad_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return lines.groupBy("path").agg(F.count("*").alias("lines"), F.count_if("bad").alias("bad"))
 
 
-def _pieces(raw: bytes, size: int = 1 << 20) -> Iterator[str]:
-    """The text of a file in pieces, inflated if it begins as gzip does; ValueError if that is corrupt or cut off."""
-    decoder = codecs.getincrementaldecoder("utf-8")("replace")
-    inflate = zlib.decompressobj(31) if raw[:2] == b"\x1f\x8b" else None
-    for at in range(0, len(raw), size):
-        piece = raw[at : at + size]
-        while piece:
-            if inflate and inflate.eof:  # another member of the same file
-                inflate = zlib.decompressobj(31)
-            try:
-                yield decoder.decode(inflate.decompress(piece) if inflate else piece)
-            except zlib.error as broken:
-                raise ValueError(f"the gzip file is corrupt: {broken}") from broken
-            piece = inflate.unused_data if inflate else b""
-    if inflate and not inflate.eof:
-        raise ValueError("the gzip file is cut off")
-
-
-def _tokens(pieces: Iterator[str]) -> Iterator[str]:
-    """Brackets, quotes, escapes and what is between them."""
-    rest = ""
-    for piece in pieces:
-        piece = rest + piece
-        rest = "\\" if len(piece) - len(piece.rstrip("\\")) & 1 else ""  # an escape goes on in the next piece
-        yield from re.findall(r'\\.|["\[\]{}]|[^"\\\[\]{}]+', piece[: len(piece) - len(rest)], re.DOTALL)
-
-
-def json_events(pieces: Iterator[str]) -> Iterator[str]:
-    """The JSON text of each event in a document that comes in pieces: the objects in a root array, or in the array
-    ``traceEvents`` of a root object, or one root object after another. What stands before a broken byte is given out."""
-    open_: list[str] = []  # brackets around the current place
-    around = 0  # how many there are around an event
-    held: list[str] = []
-    since, text, quoted = 0, "", False  # where the held object began; the last string
-    for token in _tokens(pieces):
-        if not quoted and token == "{" and not held and len(open_) in (0, around):
-            since = len(open_)
-            held.append("")
-        if held:
-            held.append(token)
-        if quoted:
-            quoted = token != '"'
-            text += token if quoted else ""
-        elif token == '"':
-            quoted, text = True, ""
-        elif token in ("{", "["):
-            if token == "[" and (not open_ or open_ == ["{"] and text == "traceEvents"):
-                around, held = len(open_) + 1, []
-            open_.append(token)
-        elif token in ("]", "}") and open_:
-            open_.pop()
-            if held and len(open_) <= since:
-                yield "".join(held)
-                held = []
-            if len(open_) < around:
-                around = 0
-
-
 def read_gzip_trace(spark: SparkSession, paths: str | Sequence[str], trace_id: str | None = None) -> DataFrame:
-    """Events of files in any layout of ``json_events``, on one line or many, gzip or not by their first bytes.
-
-    A file is read by one task and inflated in pieces; its stored bytes, 2 GB at most, are held. Corrupt gzip fails the
-    job; an event that can't be read is dropped, and so is what follows an unclosed one.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                events, at = json_events(_pieces(content.as_py())), 0
-                while some := list(islice(events, 10_000)):
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some)], ["_path", "seq", "value"])
-                    at += len(some)
-
-    files = spark.read.format("binaryFile").load(paths)
-    found = files.select(F.col("_metadata.file_path").alias("path"), "content").mapInArrow(run, "_path string, seq long, value string")
-    return normalize_events(_parsed_lines(_in_files(found, files.inputFiles(), trace_id)))
+    """``read_trace``, which looks into files of any name; kept for its callers."""
+    return read_trace(spark, paths, trace_id)
 
 
 def read_trace_pair(spark: SparkSession, baseline: str, target: str) -> tuple[DataFrame, DataFrame]:
