@@ -122,6 +122,7 @@ def test_one_large_document_is_read_by_many_tasks(spark, tmp_path):
     named = [f"n{i}" + "}{" * (i % 3) for i in range(3000)]
     body = ",".join(json.dumps({"name": n, "ts": i, "args": {"k": [{"v": "x" * (9000 if i % 500 == 7 else i % 90)}]}}) for i, n in enumerate(named))
     (tmp_path / "whole.json").write_text('{"meta":{"a":[{"name":"no"}]},"traceEvents":[' + body + '],"more":[{"name":"no"}]}')
+    (tmp_path / "zipped.json").write_bytes(gzip.compress((tmp_path / "whole.json").read_bytes(), 0))
     (tmp_path / "broken.json").write_bytes(b"[" + body.encode()[:150_000] + b"\xff\x00][,,{{{")
     before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
@@ -130,11 +131,13 @@ def test_one_large_document_is_read_by_many_tasks(spark, tmp_path):
         read = trace_files.read_trace(spark, f"file://{tmp_path}/whole.json", "t")
         assert read.rdd.getNumPartitions() >= 8
         out = read.orderBy("seq").select("name", "ts", "seq").collect()
+        zipped = trace_files.read_trace(spark, f"file://{tmp_path}/zipped.json", "t").orderBy("seq").select("name", "ts").collect()
         broken = trace_files.read_trace(spark, f"file://{tmp_path}/broken.json", "t").orderBy("seq").select("name").collect()
     finally:
         for c, value in before.items():
             spark.conf.set(c, value)
     assert [(r["name"], r["ts"]) for r in out] == [(n, i) for i, n in enumerate(named)] and len({r["seq"] for r in out}) == 3000
+    assert [(r["name"], r["ts"]) for r in zipped] == [(r["name"], r["ts"]) for r in out]
     kept = [r["name"] for r in broken]
     assert len(kept) > 500 and kept == named[: len(kept)]
 

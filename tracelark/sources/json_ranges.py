@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ _STRING_END = re.compile(rb'(?:[^"\\]|\\.)*+"', re.DOTALL)
 _KEY = b'"traceEvents"'
 #: Open brackets: an object, an array, the array of events, and a root object in which that array was seen.
 OBJECT, ARRAY, EVENTS, ROOT = "{", "[", "t", "R"
+#: What stands for the brackets of a file that is compressed.
+ZIPPED, MAGIC = "Z", b"\x1f\x8b"
 
 SUMMARY = "_path string, _start long, file_size long, inside boolean, size long, out_inside boolean, closes int, opens string, marks array<int>"
 STATE = "_path string, _start long, inside boolean, opens string, since array<long>, ends_closed boolean"
@@ -143,7 +145,10 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Iterator[
                 yield from run[1]
                 run = next(runs, None)
 
-        yield here, pieces()
+        own = pieces()
+        yield here, own
+        for _ in own:  # whatever was left unread
+            pass
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes]]]:
@@ -160,11 +165,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes]
 def _summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for place, pieces in _ranges(batches):
-        ways, size = [Brackets(), Brackets(inside=True)], 0
+        ways, size, zipped = [Brackets(), Brackets(inside=True)], 0, False
         for piece in pieces:
+            zipped = zipped or (not size and not place["_start"] and piece[:2] == MAGIC)
             size += len(piece) + 1
-            for way in ways:
+            for way in () if zipped else ways:
                 way.feed(piece)
+        if zipped:
+            ways = [Brackets(ZIPPED), Brackets(ZIPPED, True)]
         rows += [place | {"inside": i == 1, "size": size, "out_inside": w.inside, "closes": w.closes, "opens": "".join(w.stack), "marks": w.marks} for i, w in enumerate(ways)]
     yield pa.RecordBatch.from_pylist(rows, pa.schema([("_path", pa.string()), ("_start", pa.int64()), ("file_size", pa.int64()), ("inside", pa.bool_()), ("size", pa.int64()), ("out_inside", pa.bool_()), ("closes", pa.int32()), ("opens", pa.string()), ("marks", pa.list_(pa.int32()))]))
 
@@ -183,6 +191,8 @@ def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = (row["_path"], row["_start"])
             size += row["size"]
             out.append({"_path": path, "_start": row["_start"], "inside": inside, "opens": "".join(stack), "since": list(since), "ends_closed": size != row["file_size"] + 1})
+            if stack == [ZIPPED]:
+                continue
             for mark in row["marks"]:
                 if len(stack) - 1 == mark and stack[0] == OBJECT:
                     stack[0] = ROOT
@@ -202,6 +212,12 @@ def _events_of(place: dict, pieces: Iterator[bytes], fragments: bool) -> Iterato
     row = {"_path": place["_path"], "part": part, "last": True, "cancelled": False}
     whole, at, size = place["opens"] is None, 0, 0
     piece = next(pieces, None)
+    zipped = not here and piece is not None and piece[:2] == MAGIC
+    if place["opens"] == ZIPPED or (zipped and not whole):
+        return  # read as a whole elsewhere
+    if zipped:
+        whole, place, pieces = False, place | {"ends_closed": False}, pieces_of(_bytes(chain([piece], pieces), place["file_size"]))
+        piece = next(pieces, None)
     while piece is not None:
         size += len(piece) + 1
         following = next(pieces, None)
@@ -234,11 +250,19 @@ def _reader(fragments: bool):
     return lambda batches: _batched(row for place, pieces in _ranges(batches) for row in _events_of(place, pieces, fragments))
 
 
-def pieces_of(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+def _bytes(pieces: Iterator[bytes], file_size: int | None) -> Iterator[bytes]:
+    """What a file holds, from its pieces. Whether the last one was ended by a brace, the file's size says."""
+    size, piece = 0, next(pieces, None)
+    while piece is not None:
+        size, following = size + len(piece) + 1, next(pieces, None)
+        yield piece + b"}" if following is not None or size == file_size else piece
+        piece = following
+
+
+def pieces_of(chunks: Iterator[bytes]) -> Iterator[bytes]:
     """The pieces of a gzip file between closing braces; ValueError if it is corrupt or cut off."""
     inflate, rest = zlib.decompressobj(31), b""
-    for at in range(0, len(raw), size):
-        chunk = raw[at : at + size]
+    for chunk in chunks:
         while chunk:
             if inflate.eof:  # another member of the same file
                 inflate = zlib.decompressobj(31)
@@ -257,49 +281,32 @@ def _inflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[dict]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                place = {"_path": path, "_start": 0, "opens": "", "inside": False, "since": [], "ends_closed": False}
-                yield from _events_of(place, pieces_of(content.as_py()), False)
+                place = {"_path": path, "_start": 0, "opens": "", "inside": False, "since": [], "ends_closed": False, "file_size": None}
+                raw = content.as_py()
+                yield from _events_of(place, pieces_of(raw[i : i + (1 << 20)] for i in range(0, len(raw), 1 << 20)), False)
 
     return _batched(rows())
 
 
-def gzip_files(spark: SparkSession, paths: list[str], threads: int = 32) -> list[str]:
-    """Those of ``paths`` that begin as gzip does but aren't named ``.gz``: two bytes of each are read, as it is listed."""
-    conf, named = spark._jsc.hadoopConfiguration(), [p for p in paths if not p.endswith(".gz")]
-
-    def begins(path: str) -> bool:
-        file = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path))
-        stream = file.getFileSystem(conf).open(file)
-        try:
-            return stream.read() == 0x1F and stream.read() == 0x8B
-        finally:
-            stream.close()
-
-    with ThreadPoolExecutor(threads) as pool:
-        return [path for path, zipped in zip(named, pool.map(begins, named), strict=True) if zipped]
-
-
 def document_events(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, list[str]]:
     """The JSON text of each event in documents at ``paths`` (value), with its file (_path), the range of the file in which it
     begins (_start) and its place among the events that begin there (at). And all files.
 
     Files of one range are read once. Of others the brackets are read first, in parallel, and a row a range is stored in
-    the shared folder; then events, and apart from them the fragments of those that lie in several ranges.
+    the shared folder; then events, and apart from them the fragments of those that lie in several ranges. Files that
+    begin as gzip does are inflated by the task that reads them; one of several ranges is then read again as a whole.
     """
     listed = spark.read.text(paths).inputFiles()
-    zipped = set(gzip_files(spark, listed))
-    plain = [p for p in listed if p not in zipped]
-    out = spark.createDataFrame([], "_path string, _start long, at long, value binary")
-    if plain:
-        least = min(byte_count(spark.conf.get(f"spark.sql.files.{c}")) for c in ("maxPartitionBytes", "openCostInBytes"))
-        sized = spark.read.format("binaryFile").load(plain).select(F.col("_metadata.file_path").alias("path"), "length")
-        large = [r["path"] for r in sized.where((F.col("length") > least) & ~F.col("path").endswith(".gz")).collect()]
-        states = _states(spark, large) if large else None
-        out = out.unionByName(_whole(_pieces(spark, plain), states))
-        if states is not None:
-            out = out.unionByName(_joined(_pieces(spark, large), states))
+    least = min(byte_count(spark.conf.get(f"spark.sql.files.{c}")) for c in ("maxPartitionBytes", "openCostInBytes"))
+    sized = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"), "length")
+    large = [r["path"] for r in sized.where((F.col("length") > least) & ~F.col("path").endswith(".gz")).collect()]
+    if not large:
+        return _whole(_pieces(spark, paths), None), listed
+    states = _states(spark, large)
+    out = _whole(_pieces(spark, paths), states).unionByName(_joined(_pieces(spark, large), states))
+    zipped = [r["_path"] for r in states.where(F.col("opens") == ZIPPED).select("_path").distinct().collect()]
     if zipped:
-        content = spark.read.format("binaryFile").load(sorted(zipped)).select(F.col("_metadata.file_path").alias("path"), "content")
+        content = spark.read.format("binaryFile").load(zipped).select(F.col("_metadata.file_path").alias("path"), "content")
         out = out.unionByName(content.mapInArrow(_inflated, FOUND).select(*out.columns))
     return out, listed
 
