@@ -35,11 +35,12 @@ def simhash(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     against are 1. Votes for bits k and k + 32 are summed as the halves of one long, so a row of terms costs
     64 additions, summed where the text is before anything is shuffled.
     """
-    terms = texts.select(*keys, F.explode_outer(term_hashes(F.col(text))).alias("_a")).withColumn("_b", F.xxhash64("_a", F.lit(1)))
+    terms = texts.select(*keys, F.explode_outer(term_hashes(F.col(text))).alias("_a")).withColumn("_b", F.when(F.col("_a").isNotNull(), F.xxhash64("_a", F.lit(1))))
     votes = [F.sum(F.shiftright(F.col(c), k).bitwiseAND(F.lit(LANES))).alias(f"{c}{k}") for c in ("_a", "_b") for k in range(HALF)]
     counted = terms.groupBy(*keys).agg(F.count("_a").alias("_n"), *votes)
 
     def half(c: str) -> Column:
+        # Without terms the sums are null, and so no bit is set.
         low = [F.when(2 * F.col(f"{c}{k}").bitwiseAND(F.lit((1 << HALF) - 1)) > F.col("_n"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(HALF)]
         high = [F.when(2 * F.shiftrightunsigned(F.col(f"{c}{k}"), HALF) > F.col("_n"), F.shiftleft(F.lit(1).cast("long"), k + HALF)).otherwise(F.lit(0).cast("long")) for k in range(HALF)]
         return reduce(lambda a, b: a.bitwiseOR(b), low + high)
