@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import event, frame, nested, rows
-from tracelark.operators import aggregates, args, concurrency, counters, depth, filters, histogram, inspect, normalize, pairing, timeline, tracks
+from tracelark.operators import aggregates, args, concurrency, counters, depth, filters, histogram, inspect, normalize, pairing, slices, timeline, tracks
 from tracelark.plans import catalog, sql
 
 
@@ -36,14 +37,14 @@ def stack_model(spans):
     return out
 
 
-@pytest.mark.parametrize(("batch", "slice_us"), [(3, None), (10_000, None), (3, 7), (10_000, 1), (10_000, 100)])
-def test_depth_equals_a_scan_on_random_traces(spark, batch, slice_us):
+@pytest.mark.parametrize(("batch", "cut"), [(3, {}), (10_000, {}), (3, {"slice_us": 7}), (10_000, {"slice_us": 1}), (10_000, {"slice_us": 100}), (3, {"slice_rows": 4}), (10_000, {"slice_rows": 7})])
+def test_depth_equals_a_scan_on_random_traces(spark, batch, cut):
     rng = random.Random(3)
     traces = {t: [(rng.randrange(30), rng.choice([0, 1, 3, 8, 15])) for _ in range(rng.randrange(1, 14))] for t in range(60)}
     events = frame(spark, [event(i, ts=a, dur=b, tid=t) for t, spans in traces.items() for i, (a, b) in enumerate(spans)])
     on_tracks = normalize.assign_track(events)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    out = depth.call_depth(on_tracks, slice_us).collect()
+    out = depth.call_depth(on_tracks, **cut).collect()
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = {(r["tid"], r["seq"]): (r["parent_ord"], r["depth"]) for r in out}
     parents = depth.resolve_parents(depth.quiescent_segments(depth.track_order_events(on_tracks)))
@@ -52,6 +53,55 @@ def test_depth_equals_a_scan_on_random_traces(spark, batch, slice_us):
     assert len(out) == len(got)
 
 
+def test_nesting_of_batches_equals_a_stack():
+    """Nested and overlapping spans of a few tracks, in batches of any size, with what is open carried between them."""
+    rng = random.Random(12)
+    for _ in range(300):
+        events = []
+        for track in range(rng.randrange(1, 4)):
+            spans = [(rng.randrange(40), rng.choice([0, 0, 1, 2, 5, 9, 20, 40])) for _ in range(rng.randrange(1, 30))]
+            if rng.random() < 0.5:  # only nested ones
+                spans = sorted(spans, key=lambda s: (s[0], -s[1]))
+                spans = [s for i, s in enumerate(spans) if not any(a < s[0] < a + d < s[0] + s[1] for a, d in spans[:i])]
+            events += [(track, a, a + d, rng.random() < 0.9) for a, d in sorted(spans, key=lambda s: (s[0], -s[1]))]
+        want, stack, now, at = [], [], None, 0
+        for track, ts, end, opens in events:
+            if track != now:
+                now, stack, at = track, [], 0
+            at += 1
+            while stack and not (stack[-1][1] >= end and stack[-1][1] > ts):
+                stack.pop()
+            want.append((at, len(stack), stack[-1][0] if stack else -1))
+            if opens:
+                stack.append((at, end))
+        got, size, now, at, open_ = [], rng.choice([1, 2, 5, 1000]), None, 0, []
+        for i in range(0, len(events), size):
+            few = events[i : i + size]
+            tracks = np.cumsum([0] + [a[0] != b[0] for a, b in zip(few, few[1:])])
+            if few[0][0] != now:
+                at, open_ = 0, []
+            ts, end, opens = (np.array([e[k] for e in few]) for k in (1, 2, 3))
+            places, depths, parents, at, open_ = depth.nesting(tracks, ts, end, opens, {0: (at, open_)}, int(tracks[-1]))
+            now = few[-1][0]
+            got += list(zip(places.tolist(), depths.tolist(), parents.tolist()))
+        assert got == want, events
+
+
+def test_one_long_track_is_cut_by_a_sample(spark):
+    """Without a width: the cuts follow the rows, and slices hold about as many."""
+    rng = random.Random(1)
+    spans = [(int(rng.expovariate(1 / 50_000)), rng.randrange(200)) for _ in range(6000)]
+    on_tracks = normalize.assign_track(frame(spark, [event(i, ts=a, dur=b) for i, (a, b) in enumerate(spans)] + [event(9000, tid=2)]))
+    order = [F.col("ts"), F.negative("dur"), F.col("seq")]
+    where = slices.cuts(on_tracks, ["trace_id", "track_id"], order, 640)
+    sizes = [r["count"] for r in slices.sliced(on_tracks, where, ["trace_id", "track_id"], order).where("tid = 1").groupBy("_slice").count().collect()]
+    assert sum(sizes) == 6000 and 6 <= len(sizes) <= 14 and max(sizes) < 1500
+    assert slices.cuts(on_tracks, ["trace_id", "track_id"], order) is None
+    out = depth.call_depth(on_tracks, slice_rows=640)
+    got = {r["seq"]: (r["parent_ord"], r["depth"]) for r in out.where("tid = 1").collect()}
+    assert got == {r["seq"]: (r["parent_ord"], r["depth"]) for r in depth.call_depth(on_tracks).where("tid = 1").collect()}
+
+
 def test_pairing_nests_by_thread(spark):
     marks = [("parent", "B", 100, 1), ("other", "B", 110, 2), ("child", "B", 120, 1), ("", "E", 130, 1), ("", "E", 140, 2), ("", "E", 150, 1)]
     out = pairing.pair_begin_end(frame(spark, [event(i, n, ph=p, ts=t, tid=d) for i, (n, p, t, d) in enumerate(marks)]))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from tracelark.operators import slices
+
 TRACK = ("trace_id", "track_id")
 
 
@@ -40,55 +44,27 @@ def resolve_parents(segments: DataFrame) -> DataFrame:
     return pairs.groupBy(*TRACK, "ord").agg(F.max("p_ord").alias("parent_ord"))
 
 
-def call_depth(track_events: DataFrame, slice_us: int | None = None) -> DataFrame:
+def call_depth(track_events: DataFrame, slice_us: int | None = None, slice_rows: int = slices.SLICE_ROWS) -> DataFrame:
     """Adds ord, end_ts, depth and parent_ord (null at the top) to track events (no metadata).
 
     One shuffle by track, one sort, and one pass over the sorted rows with the stack of open events: memory is the
     stack's, however long a track is. An event that its predecessor only overlaps falls back to a higher level.
     Counter events are never nested. Columns that nobody needs should be dropped before: all go through the shuffle.
 
-    With ``slice_us``, a track is dealt to tasks in slices of so many microseconds, for tracks too long for one task.
-    The result is the same. A first pass over the times alone finds what each slice leaves open.
+    A track of more than ``slice_rows`` events is dealt to tasks in slices of about so many, cut where a sample says (with
+    ``slice_us``, every track in slices of so many microseconds). The result is the same. A first pass over the times
+    alone finds what each slice closes and leaves open, which is composed in order.
     """
     base = track_events.drop("ord", "end_ts", "depth", "parent_ord")
     added = [StructField("ord", IntegerType()), StructField("end_ts", LongType()), StructField("depth", IntegerType()), StructField("parent_ord", IntegerType())]
     schema = StructType([*base.schema.fields, *added])
-    names = [f.name for f in schema.fields]
-    kept = base.columns
     order = ("ts", F.desc("dur"), "seq")
-
-    def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, at = None, 0
-        open_: list[tuple[int, int]] = []
-        for batch in batches:
-            ords, ends, depths, parents, events = [], [], [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("trace_id", "track_id", "track_type", "ts", "dur")]
-            slices = batch.column("_slice").to_pylist() if slice_us else [0] * batch.num_rows
-            carried = batch.column("_carry").to_pylist() if slice_us else [None] * batch.num_rows
-            for i, (trace_id, track_id, kind, ts, dur, piece, carry) in enumerate(zip(*columns, slices, carried, strict=True)):
-                if (trace_id, track_id, piece) != key:
-                    key, at, open_ = (trace_id, track_id, piece), 0, []
-                if carry is not None:
-                    at, open_ = carry["before"], list(zip(carry["ords"], carry["ends"], strict=True))
-                    continue
-                at, end = at + 1, ts + dur
-                while open_ and not (open_[-1][1] >= end and open_[-1][1] > ts):
-                    open_.pop()
-                events.append(i)
-                ords.append(at)
-                ends.append(end)
-                depths.append(len(open_))
-                parents.append(open_[-1][0] if open_ else None)
-                if kind != "COUNTER":
-                    open_.append((at, end))
-            rows = batch.select(kept)
-            rows = rows if len(events) == batch.num_rows else rows.take(pa.array(events, pa.int64()))
-            new = [pa.array(ords, pa.int32()), pa.array(ends, pa.int64()), pa.array(depths, pa.int32()), pa.array(parents, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *new], names)
-
-    if not slice_us:
+    place = [F.col("ts"), F.negative("dur"), F.col("seq")]
+    cut = None if slice_us else slices.cuts(base, list(TRACK), place, slice_rows)
+    nest = _nest(base.columns, [f.name for f in schema.fields], bool(slice_us) or cut is not None)
+    if not slice_us and cut is None:
         return base.repartition(*TRACK).sortWithinPartitions(*TRACK, *order).mapInArrow(nest, schema)
-    sliced = base.withColumn("_slice", F.floor(F.col("ts") / slice_us))
+    sliced = base.withColumn("_slice", F.floor(F.col("ts") / slice_us)) if slice_us else slices.sliced(base, cut, list(TRACK), place).withColumn("_slice", F.col("_slice").cast("long"))
     times = sliced.select(*TRACK, "_slice", "track_type", "ts", "dur", "seq").repartition(*TRACK, "_slice").sortWithinPartitions(*TRACK, "_slice", *order)
     left = times.mapInArrow(_left_open, _LEFT_OPEN).repartition(*TRACK).sortWithinPartitions(*TRACK, "_slice")
     both = sliced.unionByName(left.mapInArrow(_carried, _CARRIED), allowMissingColumns=True)
@@ -96,6 +72,123 @@ def call_depth(track_events: DataFrame, slice_us: int | None = None) -> DataFram
     return both.repartition(*TRACK, "_slice").sortWithinPartitions(*TRACK, "_slice", first, *order).mapInArrow(nest, schema)
 
 
+def _nest(kept: list[str], names: list[str], with_slices: bool):
+    """The pass over sorted rows. A slice's first row may be what is open before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, at, open_ = None, 0, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = ["trace_id", "track_id", *(["_slice"] if with_slices else [])]
+            changed = np.zeros(batch.num_rows, bool)
+            for name in keys:
+                column = pc.fill_null(batch[name], 0 if name == "_slice" else "")
+                changed[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            first = tuple(batch[name][0].as_py() for name in keys)
+            if first != key:
+                at, open_ = 0, []
+            carries = np.flatnonzero(pc.is_valid(batch["_carry"]).to_numpy(zero_copy_only=False)).tolist() if with_slices else []
+            before = {i: batch["_carry"][i].as_py() for i in carries}
+            rows = batch.select(kept)
+            if before:
+                events = np.ones(batch.num_rows, bool)
+                events[carries] = False
+                rows = rows.filter(pa.array(events))
+            tracks = np.cumsum(changed)
+            starts = {0: (at, open_)} | {int(tracks[i]): (c["before"], list(zip(c["ords"], c["ends"], strict=True))) for i, c in before.items()}
+            tracks = np.delete(tracks, carries) if before else tracks
+            ts = rows["ts"].to_numpy(zero_copy_only=False)
+            end = ts + rows["dur"].to_numpy(zero_copy_only=False)
+            opens = pc.not_equal(rows["track_type"], "COUNTER").to_numpy(zero_copy_only=False)
+            ords, depths, parents, at, open_ = nesting(tracks, ts, end, opens, starts, int(np.count_nonzero(changed)))
+            key = tuple(batch[name][batch.num_rows - 1].as_py() for name in keys)
+            new = [pa.array(ords.astype(np.int32)), pa.array(end), pa.array(depths.astype(np.int32)), pa.array(parents.astype(np.int32), mask=parents < 0)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *new], names)
+
+    return run
+
+
+def nesting(tracks: np.ndarray, ts: np.ndarray, end: np.ndarray, opens: np.ndarray, starts: dict[int, tuple[int, list[tuple[int, int]]]], last: int) -> tuple:
+    """Places, depths and parents (-1 for none) of events sorted by ``tracks`` (numbers) and in order; and what is left open.
+
+    ``starts`` has, by track, how many events came before and which are open, from the bottom. Where nothing but the nested
+    is open together, the depth is the number begun less the number ended, and the parent the latest event one level up.
+    Stretches in which events only overlap go through a stack.
+    """
+    open_at = [(t, o, e) for t, (_, stack) in sorted(starts.items()) for o, e in stack]
+    n = len(open_at)
+    track = np.concatenate([np.array([t for t, _, _ in open_at], np.int64), tracks])
+    ends = np.concatenate([np.array([e for _, _, e in open_at], np.int64), end])
+    order = np.argsort(track, kind="stable")
+    track, ends = track[order], ends[order]
+    real = order >= n
+    begin = np.full(len(order), np.iinfo(np.int64).min)
+    begin[real] = ts
+    can_open = np.ones(len(order), bool)
+    can_open[real] = opens & (end > ts)
+    first = np.searchsorted(track, np.arange(last + 1))
+    before = np.array([starts.get(t, (0, []))[0] for t in range(last + 1)], np.int64)
+    real_first = np.searchsorted(tracks, np.arange(last + 1))
+    places = before[tracks] + np.arange(len(tracks)) - real_first[tracks] + 1
+    own = np.zeros(len(order), np.int64)
+    own[real] = places
+    own[~real] = [o for _, o, _ in open_at]
+    # Times as their ranks, so that track and time fit one number.
+    _, ranks = np.unique(np.concatenate([begin, ends]), return_inverse=True)
+    wide = len(ranks) + 1
+    begins, ended = track * wide + ranks[: len(order)], track * wide + ranks[len(order) :]
+    closing = np.sort(ended[can_open])
+    done = np.searchsorted(closing, begins, "right") - np.searchsorted(closing, track * wide)
+    begun = np.cumsum(can_open) - can_open
+    depth = begun - begun[first[track]] - done
+    stacked = np.flatnonzero(~real)
+    depth[stacked] = stacked - first[track[stacked]]  # what is open at the start is nested already
+    levels = track * (len(order) + 1) + np.maximum(depth, 0)
+    openers = np.flatnonzero(can_open)
+    by_level = openers[np.argsort(levels[openers], kind="stable")]
+    sought = np.searchsorted(levels[by_level] * (len(order) + 1) + by_level, (levels - 1) * (len(order) + 1) + np.arange(len(order))) - 1
+    parent = np.where(depth > 0, by_level[np.maximum(sought, 0)] if len(by_level) else -1, -1)
+    nested = (depth == 0) | ((ends[parent] >= ends) & (ends[parent] > begin) & (track[parent] == track) & (depth[parent] == depth - 1))
+    nested |= ~real
+    if not nested.all() or (depth < 0).any():
+        segment = _segments(track, begin, np.where(can_open, ended, -1), begins)
+        for s in np.unique(segment[~nested | (depth < 0)]).tolist():
+            low, high = np.searchsorted(segment, [s, s + 1])
+            _by_stack(low, high, begin, ends, can_open, real, depth, parent)
+    rows = np.flatnonzero(real)
+    parents = np.where(parent[rows] >= 0, own[parent[rows]], -1)
+    # What is open at the end: the last event that can be, and all above it.
+    at, left = starts.get(last, (0, []))
+    tail = len(order) - 1
+    if tail >= 0 and track[tail] == last and real[tail]:
+        at, left, i = int(own[tail]), [], tail if can_open[tail] else int(parent[tail])
+        while i >= 0:
+            left.append((int(own[i]), int(ends[i])))
+            i = int(parent[i])
+        left.reverse()
+    return places, depth[rows], parents, at, left
+
+
+def _segments(track: np.ndarray, begin: np.ndarray, ended: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Numbers of the stretches at whose starts nothing is open. Ends and begins are by track and rank."""
+    until = np.maximum.accumulate(ended)
+    cut = np.ones(len(track), bool)
+    cut[1:] = (track[1:] != track[:-1]) | (begins[1:] >= until[:-1])
+    return np.cumsum(cut)
+
+
+def _by_stack(low: int, high: int, begin: np.ndarray, ends: np.ndarray, can_open: np.ndarray, real: np.ndarray, depth: np.ndarray, parent: np.ndarray) -> None:
+    stack: list[int] = []
+    for i in range(low, high):
+        if real[i]:
+            while stack and not (ends[stack[-1]] >= ends[i] and ends[stack[-1]] > begin[i]):
+                stack.pop()
+        depth[i], parent[i] = len(stack), stack[-1] if stack else -1
+        if can_open[i]:
+            stack.append(i)
+
+
 _LEFT_OPEN = "trace_id string, track_id string, _slice long, events int, last_end long, last_ts long, ords array<int>, ends array<long>"
 _CARRIED = "trace_id string, track_id string, _slice long, _carry struct<before: int, ords: array<int>, ends: array<long>>"
 
