@@ -108,9 +108,11 @@ def test_pairing_nests_by_thread(spark):
     assert rows(out, "name", "dur") == [("child", 10), ("other", 30), ("parent", 50)]
 
 
-def test_pairing_equals_a_stack(spark):
+@pytest.mark.parametrize(("slice_rows", "kinds", "threads"), [(None, "BbEeX", 6), (30, "BbEeX", 6), (9, "BBBEE", 1), (9, "BEEE", 1), (200, "BE", 2)])
+def test_pairing_equals_a_stack(spark, slice_rows, kinds, threads):
+    """Also with threads in many slices, deep stacks, and more ends than begins."""
     rng = random.Random(5)
-    marks = [(i, rng.choice("BbEeX"), i * 10 + rng.randrange(-15, 15), rng.randrange(6)) for i in range(400)]
+    marks = [(i, rng.choice(kinds), i * 10 + rng.randrange(-15, 15), rng.randrange(threads)) for i in range(400)]
     want, stacks = {}, {}
     for i, ph, ts, tid in marks:
         if ph in "Bb":
@@ -122,7 +124,8 @@ def test_pairing_equals_a_stack(spark):
                 want[j] = max(0, ts - begin)
         else:
             want[i] = 0
-    out = pairing.pair_begin_end(frame(spark, [event(i, ph=p, ts=t, tid=d) for i, p, t, d in marks]))
+    rng.shuffle(marks)
+    out = pairing.pair_begin_end(frame(spark, [event(i, ph=p, ts=t, tid=d) for i, p, t, d in marks]), **({"slice_rows": slice_rows} if slice_rows else {}))
     assert rows(out, "seq", "dur") == sorted(want.items())
 
 
