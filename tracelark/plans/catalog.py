@@ -600,27 +600,36 @@ def _drained(spark, df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a file that lands.
+LANDED_ROWS = 1 << 20
+
+
+def _by_thread(events: DataFrame) -> DataFrame:
+    return events.repartition("trace_id", "pid", "tid").sortWithinPartitions("trace_id", "pid", "tid", "seq")
+
+
 def _landed(spark, events: DataFrame) -> str:
+    """Line files of bounded size, dealt by thread."""
     path = shared_path(spark, "landing")
-    trace_files.event_lines(events).coalesce(2).write.text(path)
+    trace_files.event_lines(_by_thread(events)).write.option("maxRecordsPerFile", LANDED_ROWS).text(path)
     return path
 
 
 @_query
 def st1_stream_events(spark, d):
-    return _drained(spark, streams.stream_events(spark, _landed(spark, spans(spark, d)), "t", 1)).select("name", "cat", "ts", "dur", "pid", "tid")
+    return _drained(spark, streams.stream_events(spark, _landed(spark, spans(spark, d)), "t")).select("name", "cat", "ts", "dur", "pid", "tid")
 
 
 @_query
 def st2_stream_pair(spark, d):
-    """Begins and ends from a stream: the spans whose end came, and other events."""
+    """Begins and ends from a stream of files dealt by thread: the spans whose end came, and other events."""
     path = shared_path(spark, "landing")
-    adapters.begin_end_events(spark, d).coalesce(1).sortWithinPartitions("seq").write.parquet(path)
+    _by_thread(adapters.begin_end_events(spark, d)).write.option("maxRecordsPerFile", LANDED_ROWS).parquet(path)
     stream = spark.readStream.schema(streams.EVENT_SCHEMA).parquet(path)
     return _drained(spark, streams.stream_pair_begin_end(stream)).select("seq", "name", "ph", "ts", "dur")
 
 
 @_query
 def st3_stream_totals(spark, d):
-    stream = streams.stream_events(spark, _landed(spark, spans(spark, d)), "t", 1)
+    stream = streams.stream_events(spark, _landed(spark, spans(spark, d)), "t")
     return _drained(spark, streams.stream_totals(stream), "complete").select("key", "count", "total_dur", "min_ts", "max_ts")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,68 +14,143 @@ from tracelark.operators.normalize import normalize_events
 from tracelark.operators.pairing import THREAD
 from tracelark.sources.schema import EVENT_COLUMNS
 from tracelark.sources.trace_files import _parsed_lines
+from tracelark.streaming import landing
 
 _TYPES = {"seq": "bigint", "ts": "bigint", "dur": "bigint", "pid": "int", "tid": "int"}
+_PH, _TS, _DUR = (EVENT_COLUMNS.index(c) for c in ("ph", "ts", "dur"))
 EVENT_SCHEMA = ", ".join(f"{c} {_TYPES.get(c, 'string')}" for c in EVENT_COLUMNS)
 
 
-def stream_events(spark: SparkSession, folder: str, trace_id: str | None = None, files_per_batch: int = 64) -> DataFrame:
-    """Events of line files as they land in ``folder``; each file, one write's share of a trace, is read by one task.
+def stream_events(spark: SparkSession, folder: str, trace_id: str | None = None, log: str | None = None, range_bytes: int = landing.RANGE_BYTES) -> DataFrame:
+    """Events of line files as they land in ``folder``; each file, one write's share of a trace, is read in ranges by many tasks.
 
-    seq rises with the file's landing time (ms) and the line, so events of a later file follow those of an earlier
-    one. Files that land in the same millisecond share their numbers, and a file should have less than 2^22 lines.
+    seq follows the order in which files landed, kept in ``log`` (``_landing`` in the folder unless given; one stream writes
+    there), then the place in the file: it is unique whenever files land, and the same after a restart. ``folder`` is a
+    URI that pyarrow can open where the tasks run, and files are whole when they appear.
     """
-    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("wholetext", True).text(folder)
-    landed = F.unix_millis("_metadata.file_modification_time") * (1 << 22)
-    named = files.select("value", landed.alias("landed"), (F.lit(trace_id) if trace_id else F.col("_metadata.file_path")).alias("trace_id"))
-    lines = named.select("trace_id", "landed", F.posexplode(F.split("value", "\n")).alias("at", "value"))
-    return normalize_events(_parsed_lines(lines.select("trace_id", (F.col("landed") + F.col("at")).alias("seq"), "value")))
+    spark.dataSource.register(landing.LandedLines)
+    lines = spark.readStream.format("landed_lines").option("rangeBytes", str(range_bytes))
+    lines = (lines.option("log", log) if log else lines).load(folder)
+    named = lines.select((F.lit(trace_id) if trace_id else F.col("path")).alias("trace_id"), "seq", F.col("value").cast("string").alias("value"))
+    return normalize_events(_parsed_lines(named))
 
 
 class OpenBegins(StatefulProcessor):
-    """The stack of open begins of one thread, kept between batches; a begin is given out when its end comes."""
+    """The stack of open begins of one thread, kept between batches; a begin is given out when its end comes.
 
-    def __init__(self, most_open: int = 100_000):
-        self.most_open = most_open
+    The stack lies in pages of the state, of which a batch reads those that its ends reach. With ``abandon_us``, a timer
+    gives out the oldest begins, with duration 0, once the watermark is so far behind their start.
+    """
+
+    def __init__(self, abandon_us: int | None = None, page_rows: int = 1024):
+        self.abandon_us, self.page_rows = abandon_us, page_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stack = handle.getListState("open", EVENT_SCHEMA)
+        self.handle = handle
+        self.ends = handle.getValueState("ends", "low long, high long")
+        self.pages = handle.getMapState("pages", "page long", "rows binary")
+
+    def _load(self) -> None:
+        self.low, self.high = self.ends.get() if self.ends.exists() else (0, 0)
+        self.read: dict[int, list] = {}
+        self.changed: set[int] = set()
+
+    def _page(self, page: int) -> list:
+        if page not in self.read:
+            self.read[page] = pickle.loads(self.pages.getValue((page,))[0]) if self.pages.containsKey((page,)) else []
+        return self.read[page]
+
+    def _push(self, event: tuple) -> None:
+        page, at = divmod(self.high, self.page_rows)
+        rows = self._page(page)
+        del rows[at:]
+        rows.append(event)
+        self.changed.add(page)
+        self.high += 1
+        if len(self.changed) > 64:  # what a batch opens doesn't pile up here
+            self._store(page)
+
+    def _pop(self) -> tuple:
+        self.high -= 1
+        page, at = divmod(self.high, self.page_rows)
+        return self._page(page)[at]
+
+    def _store(self, keep: int | None = None) -> None:
+        for page in sorted(self.changed):
+            if page != keep:
+                first = page * self.page_rows
+                if first < self.high and first + self.page_rows > self.low:
+                    self.pages.updateValue((page,), (pickle.dumps(self._page(page)[: self.high - first], 5),))
+                    self.read.pop(page)
+                    self.changed.discard(page)
+
+    def _save(self, before: tuple[int, int]) -> None:
+        self._store()
+        kept = range(self.low // self.page_rows, -(-self.high // self.page_rows) if self.high > self.low else self.low // self.page_rows)
+        for page in {p for p in range(before[0] // self.page_rows, -(-before[1] // self.page_rows))} | self.changed:
+            if page not in kept and self.pages.containsKey((page,)):
+                self.pages.removeKey((page,))
+        if self.high > self.low:
+            self.ends.update((self.low, self.high))
+        else:
+            self.ends.clear()
+
+    def _set_timer(self) -> None:
+        """One timer a thread: for its oldest open begin."""
+        if self.abandon_us is not None and self.high > self.low:
+            page, at = divmod(self.low, self.page_rows)
+            due = -(-(self._page(page)[at][_TS] + self.abandon_us) // 1000)
+            if due not in set(self.handle.listTimers()):
+                self.handle.registerTimer(due)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        open_ = [tuple(r) for r in self.stack.get()]
+        self._load()
+        before = (self.low, self.high)
         done: list[tuple] = []
-        ph, ts, dur = (EVENT_COLUMNS.index(c) for c in ("ph", "ts", "dur"))
         for event in frame[list(EVENT_COLUMNS)].itertuples(index=False, name=None):
-            if event[ph] in ("B", "b"):
-                open_.append(event)
-            elif event[ph] in ("E", "e"):
-                if open_:
-                    begin = list(open_.pop())
-                    begin[dur] = max(0, event[ts] - begin[ts])
+            if event[_PH] in ("B", "b"):
+                self._push(event)
+            elif event[_PH] in ("E", "e"):
+                if self.high > self.low:
+                    begin = list(self._pop())
+                    begin[_DUR] = max(0, event[_TS] - begin[_TS])
                     done.append(tuple(begin))
             else:
                 done.append(event)
-        if len(open_) > self.most_open:
-            # Abandoned begins: the oldest leave with duration 0, as at the end of a trace.
-            done += open_[: len(open_) - self.most_open]
-            open_ = open_[-self.most_open :]
-        if open_:
-            self.stack.put([Row(*r) for r in open_])
-        else:
-            self.stack.clear()
+        self._set_timer()
+        self._save(before)
+        yield pd.DataFrame(done, columns=list(EVENT_COLUMNS))
+
+    def handleExpiredTimer(self, key: tuple, timers: object, expired: object) -> Iterator[pd.DataFrame]:
+        self._load()
+        before, done, now = (self.low, self.high), [], timers.getCurrentWatermarkInMs() * 1000
+        while self.high > self.low:
+            page, at = divmod(self.low, self.page_rows)
+            begin = self._page(page)[at]
+            if begin[_TS] + self.abandon_us > now:
+                break
+            done.append(begin)
+            self.low += 1
+        self._set_timer()
+        self._save(before)
         yield pd.DataFrame(done, columns=list(EVENT_COLUMNS))
 
     def close(self) -> None:
         pass
 
 
-def stream_pair_begin_end(events: DataFrame, most_open: int = 100_000) -> DataFrame:
+def stream_pair_begin_end(events: DataFrame, abandon_us: int | None = None) -> DataFrame:
     """Spans from a stream of events, each when its end has come; other events pass.
 
-    A thread keeps at most ``most_open`` open begins. Begins still open when the stream stops stay in the state.
+    A thread may keep any number of begins open: its stack lies in pages of the state. Begins still open when the stream stops
+    stay there. With ``abandon_us``, a begin whose end hasn't come when the watermark (of the events' own times) is that far
+    past its start leaves with duration 0; an end that comes later closes the begin before it, or nothing.
     """
-    return events.groupBy(*THREAD).transformWithStateInPandas(OpenBegins(most_open), EVENT_SCHEMA, "append", "none")
+    if abandon_us is None:
+        return events.groupBy(*THREAD).transformWithStateInPandas(OpenBegins(), EVENT_SCHEMA, "append", "none")
+    timed = events.withColumn("at", F.timestamp_micros("ts")).withWatermark("at", "0 seconds")
+    return timed.groupBy(*THREAD).transformWithStateInPandas(OpenBegins(abandon_us), EVENT_SCHEMA, "append", "eventTime")
 
 
 def stream_totals(events: DataFrame, by: str = "name") -> DataFrame:
