@@ -1,16 +1,21 @@
 from __future__ import annotations
 
 import gzip
+import io
 import json
+import os
 import random
+import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import event, frame, rows
 from tracelark.functions import scalars
 from tracelark.sources import json_ranges, trace_files
 from tracelark.streaming import events as streams
+from tracelark.streaming import landing
 
 SPANS = '[{"name":"lift","cat":"crane","ph":"X","ts":70,"dur":8,"pid":2,"tid":5},\n{"name":"lower","ph":"B","ts":91.6,"pid":2,"tid":5,"args":{"load":[{"kg":3}]}},\n{"name":"odd","ts":"9x"}\n]\n'
 
@@ -172,3 +177,68 @@ def test_stream_pairs_across_batches(spark, tmp_path):
         run.trigger(availableNow=True).option("path", f"file://{tmp_path}/out").format("parquet").start().awaitTermination()
         assert spark.read.parquet(f"file://{tmp_path}/out").count() == (1, 3)[k]
     assert rows(spark.read.parquet(f"file://{tmp_path}/out"), "name", "dur") == [("inner", 20), ("outer", 80), ("point", 0)]
+
+
+def drained(stream, tmp_path, mode="append"):
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"file://{tmp_path}/at").trigger(availableNow=True).option("path", f"file://{tmp_path}/out").format("parquet").start().awaitTermination()
+
+
+def test_landed_files_are_numbered_in_order(spark, tmp_path):
+    """Two files of one instant, a restart, lines of several events, and one large file in many ranges."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name in ("b", "a"):
+        (folder / f"{name}.json").write_text("\n".join('{"name":"%s%d"},{"name":"%s%d+"},' % (name, i, name, i) for i in range(3)))
+        os.utime(folder / f"{name}.json", ns=(10**18, 10**18))
+    read = lambda: streams.stream_events(spark, f"file://{folder}", "t", range_bytes=1 << 20)
+    drained(read(), tmp_path)
+    n = 200_000
+    (folder / "0-late.json").write_text("\n".join('{"name":"n%06d","ts":%d},' % (i, i) for i in range(n)))
+    os.utime(folder / "0-late.json", ns=(1, 1))  # it lands later, whatever it says
+    (folder / "z.json.gz").write_bytes(gzip.compress(b'{"name":"zip"}\n{"name":"zap"}'))
+    drained(read(), tmp_path)
+    out = spark.read.parquet(f"file://{tmp_path}/out").orderBy("seq").select("seq", "name").collect()
+    want = [f"{f}{i}{p}" for f in "ab" for i in range(3) for p in ("", "+")] + [f"n{i:06d}" for i in range(n)] + ["zip", "zap"]
+    assert [r["name"] for r in out] == want and len({r["seq"] for r in out}) == len(want)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 50])
+def test_ranges_share_out_lines(size):
+    raw = b"one\n\ntwo three\n" + b"x" * 40 + b"\nlast"
+    want = [(m.start(), m.group()) for m in re.finditer(rb"[^\n]*(?=\n|$)", raw) if m.start() == 0 or raw[m.start() - 1 : m.start()] == b"\n"]
+    got = [x for at in range(0, len(raw), size) for x in landing.lines_between(io.BytesIO(raw), at, at + size, 3)]
+    assert got == want
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def test_any_number_of_begins_stay_open(spark, tmp_path):
+    """300,000 open begins over two batches pair as the stack says."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    n, path = 300_000, f"file://{tmp_path}/in"
+    base = spark.range(n).selectExpr("'t' trace_id", "id seq", "concat('n', id) name", "'' cat", "'B' ph", "'' cname", "'' id", "id ts", "0L dur", "1 pid", "1 tid", "'' args_json")
+    ends = base.selectExpr("trace_id", f"seq + {n} seq", "name", "cat", "'E' ph", "cname", "id", f"ts + {n} ts", "dur", "pid", "tid", "args_json")
+    for batch in (base, ends.where(f"seq < {2 * n - 10}")):
+        batch.coalesce(1).write.mode("append").parquet(path)
+        drained(streams.stream_pair_begin_end(spark.readStream.schema(streams.EVENT_SCHEMA).parquet(path)), tmp_path)
+    out = spark.read.parquet(f"file://{tmp_path}/out")
+    # The k-th end closes the k-th newest begin.
+    assert out.count() == n - 10 and out.where(f"dur <> 2 * ({n} - 1 - ts) + 1").count() == 0
+    assert out.agg(F.min("ts")).first()[0] == 10
+
+
+def test_abandoned_begins_leave_by_a_timer(spark, tmp_path):
+    """The watermark releases what is too old, also after a restart; the newer stay open."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    path = f"file://{tmp_path}/in"
+    batches = [
+        [event(1, "old", ph="B", ts=1_000_000), event(2, "older end", ph="X", ts=1_500_000)],
+        [event(3, "young", ph="B", ts=9_000_000), event(4, "far", ph="X", ts=20_000_000, tid=2)],
+        [event(5, ph="E", ts=21_000_000), event(6, ph="E", ts=22_000_000), event(7, "end", ph="X", ts=22_000_000)],
+    ]
+    for batch in batches:
+        frame(spark, batch).coalesce(1).write.mode("append").parquet(path)
+        drained(streams.stream_pair_begin_end(spark.readStream.schema(streams.EVENT_SCHEMA).parquet(path), abandon_us=15_000_000), tmp_path)
+    got = {r["name"]: r["dur"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert got == {"old": 0, "older end": 0, "far": 0, "young": 12_000_000, "end": 0}

@@ -103,7 +103,7 @@ class OpenBegins(StatefulProcessor):
             if due not in set(self.handle.listTimers()):
                 self.handle.registerTimer(due)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
         self._load()
         before = (self.low, self.high)
@@ -122,9 +122,9 @@ class OpenBegins(StatefulProcessor):
         self._save(before)
         yield pd.DataFrame(done, columns=list(EVENT_COLUMNS))
 
-    def handleExpiredTimer(self, key: tuple, timers: object, expired: object) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         self._load()
-        before, done, now = (self.low, self.high), [], timers.getCurrentWatermarkInMs() * 1000
+        before, done, now = (self.low, self.high), [], timerValues.getCurrentWatermarkInMs() * 1000
         while self.high > self.low:
             page, at = divmod(self.low, self.page_rows)
             begin = self._page(page)[at]
