@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from tests.helpers import event, frame, rows
 from tracelark.functions import scalars
+from tracelark.operators import depth, normalize, timeline
 from tracelark.sources import json_ranges, trace_files
+from tracelark.sources import stored as stored_events
 from tracelark.streaming import events as streams
 from tracelark.streaming import landing
 
@@ -159,6 +161,39 @@ def test_lines_round_trip_and_stored_events(spark, tmp_path):
         trace_files.from_table(events, {"colour": "1"})
 
 
+def shuffled(spark, n=20_000, threads=4):
+    """Events of a few threads in any order."""
+    every = spark.range(n).selectExpr("'t' trace_id", "id seq", "concat('n', id % 7) name", "'' cat", "'X' ph", "'' cname", "'' key", "id * 10 ts", "(id % 13) * 3 dur", "1 pid", f"cast(id % {threads} as int) tid", "'' args_json")
+    return every.withColumnRenamed("key", "id").repartition(8, F.rand(3))
+
+
+@pytest.mark.parametrize("by", ["time", "thread"])
+def test_a_narrow_window_opens_few_files(spark, tmp_path, by):
+    """Of events that come in any order; and the timeline of a window reads in proportion to it."""
+    events = shuffled(spark, threads=4 if by == "time" else 1)
+    path = f"file://{tmp_path}/stored"
+    trace_files.write_events(depth.call_depth(normalize.assign_track(events)).drop("end_ts"), path, by=by, files=40)
+    whole = spark.read.parquet(path)
+    assert whole.count() == 20_000 and 30 <= len(whole.inputFiles()) <= 40
+    read = []
+    for t0, t1 in ((100_000, 101_999), (50_000, 69_999), (0, 199_999), (10**9, 10**9 + 5)):
+        some = trace_files.read_events(spark, path, t0, t1)
+        want = whole.where(f"end_ts >= {t0} and ts <= {t1}")
+        assert rows(some, "seq", "ts") == rows(want, "seq", "ts")
+        read.append(len(some.inputFiles()))
+        stored, plain = timeline.stored_timeline(spark, path, t0, t1, 50), timeline.downsample_timeline(whole, t0, t1, 50)
+        columns = ("track_id", "depth", "start_ts", "end_ts", "count", "seq")
+        assert rows(stored, *columns) == rows(plain, *columns)
+    assert read[0] <= 3 and read[1] <= 8 and read[3] == 0
+    assert rows(trace_files.read_events(spark, path, min_dur=36), "seq") == rows(whole.where("dur >= 36"), "seq")
+    one = spark.createDataFrame([("t", 1, 0)], "trace_id string, pid int, tid int")
+    assert rows(trace_files.read_events(spark, path, 10, 5000, threads=one), "seq") == rows(whole.where("tid = 0 and end_ts >= 10 and ts <= 5000"), "seq")
+    held = stored_events.zones(spark, path)
+    assert held.agg(F.sum("events")).first()[0] == 20_000
+    with pytest.raises(ValueError, match="by thread or time"):
+        trace_files.write_events(events, f"{path}2", by="name")
+
+
 def test_format_duration(spark):
     df = spark.createDataFrame([(0.0,), (12.0,), (1500.0,), (1234567.0,), (-2500.0,), (999.999,)], "us double")
     shown = [r[0] for r in df.select(scalars.format_duration(df.us)).collect()]

@@ -34,15 +34,19 @@ def duration_histogram(events: DataFrame) -> DataFrame:
     seen = F.when(F.col("dur") > 0, F.col("dur"))
     facts = events.agg(F.min(seen).alias("low"), F.max(seen).alias("high"), F.count_if(F.col("dur") <= 0).alias("zero")).first()
     buckets = [(0, 0, 0, False)] if facts["zero"] else []
-    edges: list[int] = []
+    edges, log = [], False
     if facts["low"] is not None:
         edges, log = bin_edges(facts["low"], facts["high"])
         buckets += [(len(buckets) + j, a, b - 1, log) for j, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
-    shape = spark.createDataFrame(buckets, "bucket int, min_dur long, max_dur long, is_log boolean")
-    first = 1 if facts["zero"] else 0
-    place = F.lit(0)
-    for j, edge in enumerate(edges[:-1]):
-        place = F.when(F.col("dur") >= edge, first + j).otherwise(place) if j else F.when(F.col("dur") >= edge, F.lit(first)).otherwise(place)
+    if not buckets:
+        return spark.createDataFrame([], "bucket int, min_dur long, max_dur long, count long, is_log boolean")
+    fields, kinds = ("bucket", "min_dur", "max_dur", "is_log"), ("int", "long", "long", "boolean")
+    rows = (F.struct(*(F.lit(v).cast(k).alias(f) for f, k, v in zip(fields, kinds, b, strict=True))) for b in buckets)
+    shape = spark.range(1).select(F.inline(F.array(*rows)))
+    first, place = (1 if facts["zero"] else 0), F
+    for j, edge in reversed(list(enumerate(edges[:-1]))):
+        place = place.when(F.col("dur") >= edge, first + j)
+    place = F.lit(0) if place is F else place.otherwise(0)
     counts = events.groupBy(place.alias("bucket")).agg(F.count("*").alias("count"))
     return shape.join(counts, "bucket", "left").select("bucket", "min_dur", "max_dur", F.coalesce("count", F.lit(0)).alias("count"), "is_log")
 

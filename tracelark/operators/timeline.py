@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelark.sources.stored import read_events
+
 TRACK = ("trace_id", "track_id")
 
 
+def stored_timeline(spark: SparkSession, path: str, t0: int, t1: int, cell: int, always: Column | None = None) -> DataFrame:
+    """``downsample_timeline`` of nested events that ``write_events`` has stored.
+
+    The store's map says which files hold threads' events that meet the cells; no other is opened, so what is read goes
+    with the window, not with the trace.
+    """
+    first = t0 // cell * cell
+    last = first + -(-(t1 - first) // cell) * cell
+    return downsample_timeline(read_events(spark, path, min(first, t0), last), t0, t1, cell, always)
+
+
 def downsample_timeline(nested: DataFrame, t0: int, t1: int, cell: int, always: Column | None = None) -> DataFrame:
     """Blocks of thread events over cells of ``cell`` µs that meet [t0, t1).
 

@@ -125,11 +125,10 @@ def s6_write_report(spark, d):
 
 @_query
 def s7_write_events(spark, d):
-    """Spans stored by trace, then one thread group's read back with both time bounds pushed down."""
+    """Spans stored by time, then those that meet a window read back from the files that the store's map names."""
     path = shared_path(spark, "stored")
-    trace_files.write_events(spans(spark, d), path)
-    stored = spark.read.parquet(path)
-    return stored.where((F.col("end_ts") >= WINDOW[0]) & (F.col("ts") <= WINDOW[1])).select("seq", "name", "ts", "dur")
+    trace_files.write_events(spans(spark, d), path, by="time")
+    return trace_files.read_events(spark, path, *WINDOW).select("seq", "name", "ts", "dur")
 
 
 # Normalisation and pairing
@@ -248,7 +247,8 @@ def f9_bucket_filter(spark, d):
 @_query
 def f10_region_select(spark, d):
     chosen = named_tracks(spark, d).where("pid = 1")
-    return filters.region_select(nested(spark, d), chosen, *WINDOW, 0, 1).select("seq", "ts", "depth")
+    there = normalize.assign_track(spans(spark, d)).join(chosen.select("trace_id", "track_id"), ["trace_id", "track_id"], "left_semi")
+    return filters.region_select(depth.call_depth(there), chosen, *WINDOW, 0, 1).select("seq", "ts", "depth")
 
 
 # Joins
@@ -333,9 +333,10 @@ def j9_nearest_edge_all(spark, d):
 def j10_inspect(spark, d):
     """The events at the busiest customer's first start, looked up by track name and time."""
     found = named_tracks(spark, d)
-    events = depth.self_time(nested(spark, d))
-    first = events.where("pid = 0 and tid = 8").agg(F.min("ts").alias("ts")).first()["ts"]
-    out = inspect.inspect(events, found, "Customer#000000008", first or 0)
+    there = filters.on_track(normalize.assign_track(spans(spark, d)), found, "Customer#000000008")
+    first = there.agg(F.min("ts").alias("ts")).first()["ts"]
+    # Only the one track's events are nested.
+    out = inspect.inspect(depth.self_time(depth.call_depth(there)), found, "Customer#000000008", first or 0)
     return out.select("seq", "name", "ts", "dur", "self_dur", "depth", "parent_name", F.size("children").alias("children"))
 
 
@@ -479,6 +480,15 @@ def w4_downsample_timeline(spark, d):
     return out.select("track_id", "depth", "start_ts", "end_ts", "count", "seq", "name")
 
 
+@_query
+def w4_downsample_stored(spark, d):
+    """The same from stored events, of which only the files that meet the window are opened."""
+    path = shared_path(spark, "nested")
+    trace_files.write_events(nested(spark, d).drop("end_ts"), path, by="time")
+    out = timeline.stored_timeline(spark, path, *WINDOW, sql.CELL)
+    return out.select("track_id", "depth", "start_ts", "end_ts", "count", "seq", "name")
+
+
 @_query
 def w5_downsample_counters(spark, d):
     events = counters(spark, d)

@@ -239,3 +239,4 @@ FROM me m WHERE m.ts = (SELECT min(ts) FROM me)""",
 }
 ORACLES["j8_events_at_all"] = ORACLES["j8_events_at"]
 ORACLES["j9_nearest_edge_all"] = ORACLES["j9_nearest_edge"]
+ORACLES["w4_downsample_stored"] = ORACLES["w4_downsample_timeline"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracelark.operators.normalize import normalize_events
 from tracelark.sources.json_ranges import byte_count, document_events
 from tracelark.sources.schema import EVENT_COLUMNS, RAW_FIELDS, RAW_STRUCT
+from tracelark.sources.stored import read_events, write_events
 
 def _placed(df: DataFrame) -> DataFrame:
     """Adds where each row's block is: _path and _start."""
@@ -126,17 +127,11 @@ def event_lines(events: DataFrame) -> DataFrame:
     return base.select(F.concat(line, F.lit(",")).alias("value"))
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Parquet by trace, sorted within files so that row groups are skipped by thread and time.
-
-    end_ts is stored too, so that both bounds of an interval can be pushed down.
-    """
-    stored = events.withColumn("end_ts", F.col("ts") + F.col("dur"))
-    stored.sortWithinPartitions("trace_id", "pid", "tid", "ts").write.partitionBy("trace_id").parquet(path)
-
-
 def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """A result as parquet, json or csv."""
     if fmt not in ("parquet", "json", "csv"):
         raise ValueError(f"parquet, json or csv, not {fmt!r}")
     df.write.format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(path)
+
+
+__all__ = ["bad_lines", "event_lines", "from_table", "read_events", "read_gzip_trace", "read_trace", "read_trace_lines", "read_trace_pair", "write_events", "write_report"]
