@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
@@ -339,6 +340,42 @@ def test_counters(spark):
     assert shown == [("b", 4.0), ("a", 3.0), ("Total", 7.0)]
 
 
+def sequential_peaks(events, t0, t1, cell):
+    """One pass over a track's events in order, cell by cell."""
+    events = sorted(events, key=lambda e: (e[0], e[2]))
+    first_ts, last_ts = events[0][0], events[-1][0]
+    if not (t1 > first_ts and t0 < last_ts):
+        return {}
+    begin = max(t0 // cell, first_ts // cell)
+    end = min(-(-t1 // cell) - 1, max(-(-last_ts // cell) - 1, begin))
+    names = {k for _, args_, _ in events for k in args_}
+    before = [a for ts, a, _ in events if ts // cell < begin]
+    value = {n: (before[-1].get(n, 0.0) if before else 0.0) for n in names}
+    out = {}
+    for c in range(begin, end + 1):
+        start, stop = max(c * cell, first_ts, t0), min((c + 1) * cell, last_ts, t1)
+        for n in names:
+            here = [a[n] for ts, a, _ in events if ts // cell == c and n in a]
+            peak = max(here) if here else value[n]
+            value[n] = here[-1] if here else value[n]
+            if stop > start:
+                out[c, n] = (start, stop, peak)
+    return out
+
+
+def test_counter_peaks_equal_one_pass(spark):
+    rng = random.Random(14)
+    tracks_ = {t: [(rng.randrange(0, 60), {n: float(rng.randrange(-9, 9)) for n in rng.sample("abc", rng.randrange(0, 3))}, i) for i in range(rng.randrange(1, 12))] for t in range(60)}
+    events = [event(i, f"c{t}", ph="C", ts=ts, args=json.dumps(a)) for t, own in tracks_.items() for ts, a, i in own]
+    df = args.with_args(normalize.assign_track(frame(spark, events)).repartition(5))
+    names = {r["track_id"]: r["name"] for r in df.select("track_id", "name").distinct().collect()}
+    for t0, t1, cell in ((0, 100, 7), (20, 41, 3), (33, 34, 1), (70, 90, 5)):
+        got = {}
+        for r in counters.downsample_counters(df, None, t0, t1, cell).collect():
+            got.setdefault(names[r["track_id"]], {})[r["cell"], r["series"]] = (r["start_ts"], r["end_ts"], r["peak"])
+        assert got == {f"c{t}": want for t, own in tracks_.items() if (want := sequential_peaks(own, t0, t1, cell))}
+
+
 def test_range_and_nearest_joins(spark):
     events = frame(spark, [event(0, "a", ts=100, dur=50), event(1, "b", ts=120, dur=500), event(2, "c", ts=130)])
     probes = spark.createDataFrame([(1, "t", 100), (2, "t", 149), (3, "t", 150), (4, "t", 5000)], "probe_id long, trace_id string, at long")

@@ -61,6 +61,10 @@ def counters(spark: SparkSession, d: str) -> DataFrame:
     return arg_ops.with_args(depth.track_order_events(normalize.assign_track(adapters.counter_events(spark, d))))
 
 
+def counter_values(spark: SparkSession, d: str) -> DataFrame:
+    return arg_ops.with_args(normalize.assign_track(adapters.counter_events(spark, d)))
+
+
 # Sources and sinks
 
 
@@ -491,15 +495,13 @@ def w4_downsample_stored(spark, d):
 
 @_query
 def w5_downsample_counters(spark, d):
-    events = counters(spark, d)
-    out = ctr.downsample_counters(events, ctr.counter_series(events), *WINDOW, sql.CELL)
+    out = ctr.downsample_counters(counter_values(spark, d), None, *WINDOW, sql.CELL)
     return out.select("track_id", "cell", "start_ts", "end_ts", "series", six("peak"))
 
 
 @_query
 def w6_stack_series(spark, d):
-    events = counters(spark, d)
-    out = ctr.stack_series(ctr.downsample_counters(events, ctr.counter_series(events), *WINDOW, sql.CELL))
+    out = ctr.stack_series(ctr.downsample_counters(counter_values(spark, d), None, *WINDOW, sql.CELL))
     return out.select("track_id", "cell", "series", six("low"), six("high"))
 
 
