@@ -103,6 +103,17 @@ def test_one_long_track_is_cut_by_a_sample(spark):
     assert got == {r["seq"]: (r["parent_ord"], r["depth"]) for r in depth.call_depth(on_tracks).where("tid = 1").collect()}
 
 
+def test_parents_by_search_equal_the_pass(spark):
+    """Also where nothing ever closes, over three levels of blocks, and where parents are far away."""
+    rng = random.Random(4)
+    tracks_ = {1: [(i, 10_000 - 2 * i) for i in range(900)], 2: [(0, 10_000)] + [(i, 1) for i in range(1, 900)], 3: [(rng.randrange(3000), rng.choice([0, 1, 5, 100, 2000])) for _ in range(900)], 4: [(5, 0), (5, 0), (5, 3)]}
+    on_tracks = normalize.assign_track(frame(spark, [event(i, ts=a, dur=b, tid=t) for t, spans in tracks_.items() for i, (a, b) in enumerate(spans)]))
+    want = {(r["track_id"], r["ord"], r["parent_ord"]) for r in depth.call_depth(on_tracks).collect() if r["parent_ord"]}
+    ended = depth.track_order_events(on_tracks).withColumn("end_ts", F.col("ts") + F.col("dur"))
+    for fan in (8, 64):
+        assert {(r["track_id"], r["ord"], r["parent_ord"]) for r in depth.resolve_parents(ended, fan).collect()} == want
+
+
 def test_pairing_nests_by_thread(spark):
     marks = [("parent", "B", 100, 1), ("other", "B", 110, 2), ("child", "B", 120, 1), ("", "E", 130, 1), ("", "E", 140, 2), ("", "E", 150, 1)]
     out = pairing.pair_begin_end(frame(spark, [event(i, n, ph=p, ts=t, tid=d) for i, (n, p, t, d) in enumerate(marks)]))

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tracelark.operators import slices
+from tracelark.sources.shared import shared_path
 
 TRACK = ("trace_id", "track_id")
 
@@ -31,17 +32,50 @@ def quiescent_segments(ordered: DataFrame) -> DataFrame:
     return cut.withColumn("seg", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
 
 
-def resolve_parents(segments: DataFrame) -> DataFrame:
+def resolve_parents(segments: DataFrame, fan: int = 64) -> DataFrame:
     """parent_ord of each nested event: the latest earlier one on its track that contains its end.
 
-    A containment join within segments, for tables that have these already; ``call_depth`` gives parents and depths
-    in one pass.
+    A search by joins, for tables in which ``ord`` counts a track's events: ``call_depth`` gives parents and depths in one
+    pass. Ends are gathered ``fan`` in a block, the blocks' maxima again, level by level. An event looks for the last end
+    that reaches its own among those before it in its block, then among the blocks before that one, and so on up; from
+    the level where it finds one it goes down to the event. So each takes a join a level up and one down, however much is
+    open at once: the work grows with the events, on a track where nothing ever closes too.
     """
-    key = [*TRACK, "seg"]
-    child = segments.select(*key, "ord", "ts", "end_ts")
-    above = segments.select(*key, F.col("ord").alias("p_ord"), F.col("end_ts").alias("p_end"))
-    pairs = child.join(above, key).where("p_ord < ord and p_end >= end_ts and p_end > ts")
-    return pairs.groupBy(*TRACK, "ord").agg(F.max("p_ord").alias("parent_ord"))
+    spark, key = segments.sparkSession, [*TRACK, "block"]
+    events = segments.select(*TRACK, (F.col("ord") - 1).cast("long").alias("at"), "end_ts", F.greatest("end_ts", F.col("ts") + 1).alias("sought"))
+    deepest = events.agg(F.max("at").alias("at")).first()["at"]
+    if deepest is None:
+        return segments.sparkSession.createDataFrame([], "trace_id string, track_id string, ord int, parent_ord int")
+
+    def stored(df: DataFrame) -> DataFrame:
+        path = shared_path(spark, "parents")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def gathered(nodes: DataFrame) -> DataFrame:
+        """Nodes (at, end) as blocks of their ends in order."""
+        block = F.floor(F.col("at") / fan).cast("long").alias("block")
+        return nodes.groupBy(*TRACK, block).agg(F.sort_array(F.collect_list(F.struct("at", "end"))).alias("ends")).select(*key, F.transform("ends", lambda e: e["end"]).alias("ends"))
+
+    def last_before(bound: Column) -> Column:
+        """The last place below ``bound`` in the block whose end reaches what is sought."""
+        return F.when(bound > 0, F.array_max(F.filter(F.sequence(F.lit(0), bound.cast("int") - 1), lambda j: F.get("ends", j) >= F.col("sought"))))
+
+    levels = [stored(gathered(events.select(*TRACK, "at", F.col("end_ts").alias("end"))))]
+    while fan ** len(levels) <= deepest:
+        levels.append(gathered(levels[-1].select(*TRACK, F.col("block").alias("at"), F.array_max("ends").alias("end"))))
+    rising = events.select(*TRACK, "sought", F.col("at").alias("own"), "at")
+    found: list[DataFrame] = []
+    for blocks in levels:
+        placed = rising.withColumn("block", F.floor(F.col("at") / fan).cast("long")).withColumn("bound", F.col("at") % fan)
+        searched = stored(placed.join(blocks, key).select(*TRACK, "sought", "own", F.col("block").alias("at"), last_before(F.col("bound")).alias("place")))
+        found.append(searched.where("place is not null").select(*TRACK, "sought", "own", (F.col("at") * fan + F.col("place")).alias("at")))
+        rising = searched.where("place is null").drop("place")
+    falling = found[-1]
+    for blocks, here in zip(reversed(levels[:-1]), reversed(found[:-1]), strict=True):
+        below = falling.withColumnRenamed("at", "block").join(blocks, key)
+        falling = below.select(*TRACK, "sought", "own", (F.col("block") * fan + last_before(F.size("ends"))).alias("at")).unionByName(here)
+    return falling.select(*TRACK, (F.col("own") + 1).cast("int").alias("ord"), (F.col("at") + 1).cast("int").alias("parent_ord"))
 
 
 def call_depth(track_events: DataFrame, slice_us: int | None = None, slice_rows: int = slices.SLICE_ROWS) -> DataFrame:
