@@ -103,6 +103,23 @@ def test_one_long_track_is_cut_by_a_sample(spark):
     assert got == {r["seq"]: (r["parent_ord"], r["depth"]) for r in depth.call_depth(on_tracks).where("tid = 1").collect()}
 
 
+def test_order_and_segments_in_slices(spark):
+    """Tracks dealt to tasks in small slices have the same places and segments."""
+    rng = random.Random(21)
+    spans = {t: [(rng.randrange(400), rng.choice([0, 1, 2, 30])) for _ in range(n)] for t, n in ((1, 300), (2, 40), (3, 1))}
+    on_tracks = normalize.assign_track(frame(spark, [event(i, ts=a, dur=b, tid=t) for t, own in spans.items() for i, (a, b) in enumerate(own)]))
+    got = depth.quiescent_segments(depth.track_order_events(on_tracks, slice_rows=20), slice_rows=7)
+    want = []
+    for t, own in spans.items():
+        until, seg = None, 0
+        for k, i in enumerate(sorted(range(len(own)), key=lambda i: (own[i][0], -own[i][1], i))):
+            seg += until is not None and own[i][0] >= until
+            until = max(until if until is not None else -1, sum(own[i]))
+            want.append((t, i, k + 1, seg))
+    assert rows(got, "tid", "seq", "ord", "seg") == sorted(want)
+    assert rows(depth.quiescent_segments(depth.track_order_events(on_tracks)), "tid", "seq", "ord", "seg") == sorted(want)
+
+
 def test_parents_by_search_equal_the_pass(spark):
     """Also where nothing ever closes, over three levels of blocks, and where parents are far away."""
     rng = random.Random(4)
@@ -317,11 +334,12 @@ def sequential_blocks(spans, t0, t1, cell):
     return sorted(out)
 
 
-def test_downsample_timeline_equals_one_pass(spark):
+@pytest.mark.parametrize("cut", [{"slice_rows": 1 << 62}, {"slice_rows": 0, "slice_cells": 1}, {"slice_rows": 0, "slice_cells": 3}])
+def test_downsample_timeline_equals_one_pass(spark, cut):
     rng = random.Random(11)
     events = frame(spark, [event(i, ts=rng.randrange(60), dur=rng.choice([0, 1, 2, 4, 9]), tid=t) for t in range(12) for i in range(t * 100, t * 100 + 18)])
     flat = nested(events).cache()
-    out = timeline.downsample_timeline(flat, 10, 47, 3)
+    out = timeline.downsample_timeline(flat, 10, 47, 3, **cut)
     for t in range(12):
         mine = sorted((r["ord"], r["seq"], r["ts"], r["dur"], r["depth"]) for r in flat.where(F.col("tid") == t).collect())
         want = sequential_blocks([m[1:] for m in mine], 10, 47, 3)

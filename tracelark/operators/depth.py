@@ -17,19 +17,40 @@ from tracelark.sources.shared import shared_path
 TRACK = ("trace_id", "track_id")
 
 
-def track_order_events(events: DataFrame) -> DataFrame:
-    """Adds ord, from 1 within the track: by start, longer first, then seq. Takes track events (no metadata)."""
-    order = Window.partitionBy(*TRACK).orderBy("ts", F.desc("dur"), "seq")
-    return events.withColumn("ord", F.row_number().over(order))
+def track_order_events(events: DataFrame, slice_rows: int = slices.SLICE_ROWS) -> DataFrame:
+    """Adds ord, from 1 within the track: by start, longer first, then seq. Takes track events (no metadata).
 
+    A track of more than ``slice_rows`` events is counted in slices.
+    """
+    place = [F.col("ts"), F.negative("dur"), F.col("seq")]
+    cut = slices.cuts(events, list(TRACK), place, slice_rows)
+    order = ("ts", F.desc("dur"), "seq")
+    if cut is None:
+        return events.withColumn("ord", F.row_number().over(Window.partitionBy(*TRACK).orderBy(*order)))
+    sliced = slices.earlier(slices.sliced(events, cut, list(TRACK), place), list(TRACK), _before=(F.count("*"), F.sum))
+    own = F.row_number().over(Window.partitionBy(*TRACK, "_slice").orderBy(*order))
+    return sliced.withColumn("ord", (F.coalesce("_before", F.lit(0)) + own).cast("int")).select(*events.columns, "ord")
 
-def quiescent_segments(ordered: DataFrame) -> DataFrame:
-    """Adds end_ts and seg: a track is cut wherever an event starts at or after the end of all before it."""
-    order = Window.partitionBy(*TRACK).orderBy("ord")
+
+def quiescent_segments(ordered: DataFrame, slice_rows: int = slices.SLICE_ROWS) -> DataFrame:
+    """Adds end_ts and seg: a track is cut wherever an event starts at or after the end of all before it.
+
+    Tables that may hold tracks of more than ``slice_rows`` events are gone through in slices of so many.
+    """
     ended = ordered.withColumn("end_ts", F.col("ts") + F.col("dur"))
-    open_until = F.max("end_ts").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    cut = ended.withColumn("cut", F.when(F.col("ts") >= open_until, 1).otherwise(0))
-    return cut.withColumn("seg", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
+    if slices.estimated_bytes(ordered) < slice_rows:
+        order = Window.partitionBy(*TRACK).orderBy("ord")
+        open_until = F.max("end_ts").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        cut = ended.withColumn("cut", F.when(F.col("ts") >= open_until, 1).otherwise(0))
+        return cut.withColumn("seg", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
+    order = Window.partitionBy(*TRACK, "_slice").orderBy("ord")
+    sliced = ended.withColumn("_slice", F.floor((F.col("ord") - 1) / slice_rows))
+    sliced = slices.earlier(sliced, list(TRACK), _until=(F.max("end_ts"), F.max))
+    open_until = F.greatest("_until", F.max("end_ts").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    cut = sliced.withColumn("_cut", F.when(F.col("ts") >= open_until, 1).otherwise(0))
+    cut = slices.earlier(cut, list(TRACK), _cuts=(F.sum("_cut"), F.sum))
+    seg = F.coalesce("_cuts", F.lit(0)) + F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("seg", seg).select(*ended.columns, "seg")
 
 
 def resolve_parents(segments: DataFrame, fan: int = 64) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ SAMPLE = 64
 MOST_BROADCAST = 100_000
 
 
-def _estimated_bytes(df: DataFrame) -> int:
+def estimated_bytes(df: DataFrame) -> int:
     """What the optimiser takes the size of ``df`` for, as it does where it chooses joins."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
@@ -26,7 +28,7 @@ def cuts(rows: DataFrame, keys: list[str], order: list[Column], slice_rows: int
     None if no key has so many, which a table of fewer bytes than ``slice_rows`` isn't searched for. Rows are sampled by their
     hashes, so cuts depend on the rows alone. Without seeing all, about one row in ``slice_rows`` becomes a cut.
     """
-    if _estimated_bytes(rows) < slice_rows:
+    if estimated_bytes(rows) < slice_rows:
         return None
     hot = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > slice_rows)
     path = shared_path(rows.sparkSession, "long-keys")
@@ -51,3 +53,13 @@ def sliced(rows: DataFrame, where: DataFrame, keys: list[str], order: list[Colum
     joined = rows.withColumn("_place", place).join(F.broadcast(where) if number <= MOST_BROADCAST else where, keys, "left")
     slice_ = F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("_place"))), F.lit(0))
     return joined.withColumn(name, F.when(F.col("cuts").isNull(), 0).otherwise(slice_)).drop("cuts", "_place")
+
+
+def earlier(rows: DataFrame, keys: list[str], **facts: tuple[Column, Callable[[str], Column]]) -> DataFrame:
+    """Adds what the slices before a row's own amount to: each fact is an aggregate of one slice, and how those combine.
+
+    Facts are null in a key's first slice. Only a row a slice meets by key, and the join is by key and slice.
+    """
+    sums = rows.groupBy(*keys, "_slice").agg(*(own.alias(name) for name, (own, _) in facts.items()))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(sums.select(*keys, "_slice", *(combine(name).over(before).alias(name) for name, (_, combine) in facts.items())), [*keys, "_slice"])

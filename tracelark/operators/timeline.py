@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelark.operators import slices
 from tracelark.sources.stored import read_events
 
 TRACK = ("trace_id", "track_id")
@@ -21,7 +22,7 @@ def stored_timeline(spark: SparkSession, path: str, t0: int, t1: int, cell: int,
     return downsample_timeline(read_events(spark, path, min(first, t0), last), t0, t1, cell, always)
 
 
-def downsample_timeline(nested: DataFrame, t0: int, t1: int, cell: int, always: Column | None = None) -> DataFrame:
+def downsample_timeline(nested: DataFrame, t0: int, t1: int, cell: int, always: Column | None = None, slice_cells: int = 64, slice_rows: int = slices.SLICE_ROWS) -> DataFrame:
     """Blocks of thread events over cells of ``cell`` µs that meet [t0, t1).
 
     Events of at least a cell are blocks of their own, and so are those that began before the first cell and reach
@@ -29,6 +30,8 @@ def downsample_timeline(nested: DataFrame, t0: int, t1: int, cell: int, always:
     by the longest (the first of equals) with a count. A small event is left out if an earlier kept event of its
     depth started in its cell or covers the cell's end.
 
+    Tables that may hold more than ``slice_rows`` events of a track and depth are gone through in slices of ``slice_cells`` cells.
+
     Returns trace_id, track_id, depth, start_ts, end_ts, count, seq (the shown event), name.
     """
     first = t0 // cell * cell
@@ -41,8 +44,16 @@ def downsample_timeline(nested: DataFrame, t0: int, t1: int, cell: int, always:
     if always is not None:
         kept = kept | F.coalesce(always, F.lit(False))
     marked = seen.withColumn("cell", F.when(spanning, F.lit(None)).otherwise(F.floor(F.col("ts") / cell)).cast("long")).withColumn("kept", kept)
-    before = Window.partitionBy(*TRACK, "depth").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    covered = F.max(F.when(F.col("kept"), F.col("ts") + F.col("dur"))).over(before)
+    kept_end = F.max(F.when(F.col("kept"), F.col("ts") + F.col("dur")))
+    keys = [*TRACK, "depth"]
+    if slices.estimated_bytes(nested) < slice_rows:
+        before = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+        covered = kept_end.over(before)
+    else:
+        sliced = marked.withColumn("_slice", F.floor((F.greatest("ts", F.lit(first - 1)) - first) / (cell * slice_cells)))
+        marked = slices.earlier(sliced, keys, _covered=(kept_end, F.max))
+        before = Window.partitionBy(*keys, "_slice").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+        covered = F.greatest("_covered", kept_end.over(before))
     taken = F.max(F.when(F.col("kept"), F.col("cell"))).over(before)
     flagged = marked.withColumn("covered", covered).withColumn("taken", taken)
     # An event that starts in the same cell blocks it; one kept earlier blocks cells up to its end.
