@@ -342,3 +342,80 @@ def test_pipeline_takes_out_what_it_should(spark, tmp_path):
     assert not kept & set(range(120, 180))
     assert not kept & {182, 183}
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+@pytest.fixture(scope="module")
+def odd_corpus(spark, tmp_path_factory):
+    """Documents with null and repeated ids, two texts of one id, repeated rows, null, empty and very long texts, and columns
+    of any name; and the tables beside them."""
+    rng = random.Random(31)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfgklm" for b in "aeiou" for c in ("n", "r", "st", "lm", "t", "")]
+    sentence = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n)) + "."
+    good = ["\n".join(sentence(14) for _ in range(5)) for _ in range(80)]
+    junk = [" ".join(w.upper() + "!!" for w in g.split()) for g in good[:40]]
+    item = sentence(30)
+    rows = [(i, t) for i, t in enumerate(good + junk)]
+    rows += [(None, good[3]), (None, sentence(60)), (5, good[5]), (5, good[5]), (7, sentence(70)), (None, None), (500, None), (501, ""), (502, sentence(40) + "\n" + item), (503, " ".join([sentence(50)] * 400))]
+    folder = f"file://{tmp_path_factory.mktemp('odd')}"
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 9.0, "x", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, print string, predicted int")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 80), 0) for i in range(120)] + [(None, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(0, item), (1, None), (None, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder, rows, good
+
+
+STAGE_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def left(stage, spark, docs, folder):
+    out = stage(spark, docs, folder)
+    assert out.columns == STAGE_COLUMNS
+    return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+
+def test_quality_stage_with_odd_rows(spark, odd_corpus):
+    folder, rows, good = odd_corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = left(corpus_pipeline.quality_stage, spark, docs, folder)
+    of = lambda t: [d for d, x in kept if x == t]
+    assert all(i in of(t) for i, t in enumerate(good)) and of(good[5]) == [5, 5, 5] and set(of(good[3])) == {3, None}
+    assert not {d for d, _ in kept} & set(range(80, 120))
+    assert left(corpus_pipeline.quality_stage, spark, docs.limit(0), folder) == []
+
+
+def test_line_stage_with_odd_rows(spark, odd_corpus):
+    """What leaves is what the rule leaves of each text; a copy of which nothing is left goes."""
+    folder, rows, good = odd_corpus
+    kept = left(corpus_pipeline.line_stage, spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    # The null id comes first and keeps its lines, so row 3 loses all; rows of one id and text are one place.
+    assert (None, good[3]) in kept and not any(d == 3 for d, _ in kept)
+    assert [x for x in kept if x[0] == 5] == [(5, good[5])] * 3
+    assert (500, None) in kept and (501, "") in kept and len([x for x in kept if x[0] == 7]) == 2
+    assert len(kept) == len(rows) - 1
+    assert left(corpus_pipeline.line_stage, spark, spark.read.parquet(f"{folder}/documents.parquet").limit(0), folder) == []
+
+
+def test_near_duplicate_stage_with_odd_rows(spark, odd_corpus):
+    folder, rows, good = odd_corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = left(corpus_pipeline.near_duplicate_stage, spark, docs, folder)
+    want = list(rows)
+    want.remove((None, good[3]))  # the row with an id stays
+    want.remove((5, good[5]))
+    want.remove((5, good[5]))
+    assert kept == sorted(want, key=str)
+    assert left(corpus_pipeline.near_duplicate_stage, spark, docs.limit(0), folder) == []
+
+
+def test_decontamination_and_packing_stages_with_odd_rows(spark, odd_corpus, tmp_path):
+    folder, rows, _ = odd_corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = left(corpus_pipeline.decontamination_stage, spark, docs, folder)
+    assert kept == sorted((r for r in rows if r[0] != 502), key=str)
+    spark.read.parquet(f"{folder}/benchmark.parquet").limit(0).write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    assert left(corpus_pipeline.decontamination_stage, spark, docs, f"file://{tmp_path}") == sorted(rows, key=str)
+    pieces = corpus_pipeline.packing_stage(spark, docs, folder)
+    packed = pieces.groupBy("doc_id").agg(F.count_if(F.col("start") == 0).alias("texts"), F.sum("length").alias("n"))
+    got = {r["doc_id"]: r["texts"] for r in packed.collect()}
+    assert got == {d: [r[0] for r in rows].count(d) for d in {r[0] for r in rows}}
+    assert corpus_pipeline.packing_stage(spark, docs.limit(0), folder).count() == 0
