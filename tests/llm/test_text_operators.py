@@ -123,7 +123,8 @@ def test_license_scan_equals_brute_force(spark):
     filler = ["the", "license", "under", "mit", "apache", "version", "2", "cc", "by", "nc", "x", "é", "licensed"]
     texts = ODD + [" ".join(rng.choice(filler) for _ in range(rng.randrange(120))) for _ in range(150)]
     texts += ["cc by nc cc by nc", "Under THE mit-license_x", "Licensed under the GNU General Public License, version 3.", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation file"]
-    texts = [None if t is None else t for t in texts]
+    notices = [t for t, _ in license_scan.TEMPLATES]
+    texts += [f"intro {n} outro" for n in notices] + [" ".join(rng.sample(n.split(), len(n.split()))) for n in notices]
     out = {r["doc_id"]: r for r in license_scan.scan_licenses(docs_of(spark, texts)).collect()}
     for i, text in enumerate(texts):
         r = out[None if i == 3 else i]
@@ -131,15 +132,25 @@ def test_license_scan_equals_brute_force(spark):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (n, n_base, first, last, base)
         want, best = set(base.split(",")) - {""}, 1.0 if base else 0.0
         for t, label in license_scan.TEMPLATES:
-            tokens = set(t.encode().split())
-            for at in range(0, max(1, len(words)), 24):
-                share = len(tokens & set(words[at : at + 48])) / len(tokens)
-                if share >= 0.9:
+            listed, tokens = t.encode().split(), set(t.encode().split())
+            half = 24
+            while half < len(listed):
+                half *= 2
+            for at in range(0, max(1, len(words)), half):
+                share = len(tokens & set(words[at : at + 2 * half])) / len(tokens)
+                lengths = {(-1, j): 0 for j in range(-1, len(listed))}
+                for i_, word in enumerate(words[at : at + 2 * half] if share >= 0.9 and len(listed) < 12 else []):
+                    lengths[i_, -1] = 0
+                    for j, other in enumerate(listed):
+                        lengths[i_, j] = lengths[i_ - 1, j - 1] + 1 if word == other else max(lengths[i_ - 1, j], lengths[i_, j - 1])
+                if share >= 0.9 and (len(listed) >= 12 or max(lengths.values()) >= 0.9 * len(listed)):
                     want.add(label)
                     best = max(best, share)
         assert r["labels"] == ",".join(sorted(want)), i
         assert r["score"] == pytest.approx(best)
-    assert out[len(texts) - 2]["labels"] == "gpl-3"
+    assert out[texts.index("Licensed under the GNU General Public License, version 3.")]["labels"] == "gpl-3"
+    for (notice, label), at in zip(license_scan.TEMPLATES, range(len(texts) - 2 * len(notices), len(texts)), strict=False):
+        assert label in out[at]["labels"].split(",")
     assert license_scan.scan_licenses(empty_docs(spark)).count() == 0
 
 

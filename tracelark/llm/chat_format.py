@@ -69,7 +69,9 @@ def fold_events(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame, learn_role: str = "assistant") -> DataFrame:
     """One row a conversation: conv_id, formatted, and loss_spans (start from 1, length, in code points).
 
-    A span covers exactly the escaped text of one message of ``learn_role``, without its marks.
+    A span covers exactly the escaped text of one message of ``learn_role``, without its marks. Messages that are alike
+    in conv_id, message, role and text are turns of their own, next to each other; a null conv_id is a conversation; other columns are
+    ignored; without messages there are no rows. A rendered conversation is one value, 2 GB at most, whatever its turns.
     """
     head = F.concat(F.lit(HEAD), escaped_role(F.col("role")), F.lit("\n"))
     parts = messages.select("conv_id", "message", "role", head.alias("head"), escaped(F.col("text")).alias("body"))
@@ -87,7 +89,11 @@ def render(messages: DataFrame, learn_role: str = "assistant") -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Adds what the rendered text itself says: turns (role, text) and the unescaped loss_text."""
+    """Adds what the rendered text itself says: turns (role, text) and the unescaped loss_text.
+
+    Whatever a role or text holds comes back as it was. Columns of these names are replaced, others stay; a conversation
+    without turns has none; an empty table stays empty.
+    """
 
     def turn(part: Column) -> Column:
         at = F.instr(part, "\n")

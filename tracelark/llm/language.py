@@ -115,8 +115,8 @@ def identify(docs: DataFrame, per_language: int = 400, landmarks: int = 64, ridg
     texts, go to the driver. Scoring reads text alone.
 
     Texts that are null, empty or without letters get ``und`` and score 0.0; so does every text if nothing can be
-    learnt. Repeated rows get the same answer each and are learnt from once, as are rows of one id and lang; ties between languages go to the first by name. Other columns
-    are ignored. Returns doc_id, held_out, lang_pred, score (0 to 1).
+    learnt. Repeated rows get the same answer each and are learnt from once, as are rows of one id and lang; ties between languages go to the first by name. Texts of
+    any length are read whole, as a set of n-grams. An empty table gives an empty result and other columns are ignored. Returns doc_id, held_out, lang_pred, score (0 to 1).
     """
     spark = docs.sparkSession
     whole_text_batches(spark)

@@ -44,6 +44,29 @@ TEMPLATES = (
         "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
         "bsd",
     ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "isc",
+    ),
+    (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        "zlib",
+    ),
+    (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+        "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        "unlicense",
+    ),
+    (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license "
+        "to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software",
+        "bsl-1",
+    ),
+    ("under the terms of the gnu lesser general public license", "lgpl"),
+    ("under the terms of the gnu affero general public license", "agpl-3"),
+    ("to the extent possible under law the author s has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", "cc0"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
 )
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<start:long,template:int,containment:double>>"
 #: Letters A-Z become small; every other byte of a delimiter becomes a space.
@@ -74,6 +97,20 @@ def token_counts(docs: DataFrame, tokens: frozenset[bytes]) -> dict[bytes, int]:
     return {bytes(r["token"]): r["n"] for r in counted.collect()}
 
 
+#: Templates of fewer words must stand in their own order too: a few common words in any order say little.
+ORDERED_BELOW = 12
+
+
+def in_order(template: list[bytes], block: list[bytes]) -> int:
+    """How many words of ``template`` stand in ``block`` in its order: their longest common subsequence."""
+    row = [0] * (len(template) + 1)
+    for word in block:
+        before = 0
+        for j, other in enumerate(template, 1):
+            before, row[j] = row[j], before + 1 if word == other else max(row[j], row[j - 1])
+    return row[-1]
+
+
 class TemplateIndex:
     """Templates as token sets in global order (rarest first), reachable by the tokens of their prefixes.
 
@@ -85,6 +122,8 @@ class TemplateIndex:
         self.half = half
         self.rank = {t: (counts.get(t, 0), t) for text, _ in templates for t in words_of(text)}
         self.sets, self.need, self.by_token = [], [], defaultdict(list)
+        self.words = [words_of(text) for text, _ in templates]
+        self.threshold = threshold
         for k, (text, _) in enumerate(templates):
             ordered = sorted(set(words_of(text)), key=self.rank.__getitem__)
             need = math.ceil(threshold * len(ordered) - 1e-9)
@@ -107,6 +146,12 @@ class TemplateIndex:
         return found
 
 
+    def holds(self, k: int, words: list[bytes]) -> bool:
+        """Whether a block that contains enough of a template's words has them in its order, where it is short."""
+        own = self.words[k]
+        return len(own) >= ORDERED_BELOW or in_order(own, [w for w in words if w in self.sets[k]]) >= math.ceil(self.threshold * len(own) - 1e-9)
+
+
 def scan_licenses(
     docs: DataFrame,
     phrases: Sequence[tuple[str, str]] = PHRASES,
@@ -117,7 +162,8 @@ def scan_licenses(
     """Scan every whole text of ``docs`` (doc_id, text) for phrases and for license templates.
 
     Phrases: all places where the words stand consecutively. Templates: a text is read as overlapping blocks, each half a
-    block after the last, and a block matches a template if it contains ``threshold`` of the template's distinct words.
+    block after the last, and a block matches a template if it contains ``threshold`` of the template's distinct words;
+    templates of fewer than ``ORDERED_BELOW`` words must also stand in their own order, as a subsequence of that share.
     Half a block has ``half_words`` words, doubled for longer templates until they fit, so a text block of a template's
     length is in some block wherever it stands; templates without words match nothing. The join is exact: tokens are in one global order by how many
     documents hold them, so a matching block must hold a token of the template's prefix; only blocks around such
@@ -125,7 +171,7 @@ def scan_licenses(
     are a parameter of a few dozen lines, so they go to the tasks whole, and a document never leaves its task.
 
     Score is 1.0 with a base label, else the highest containment that reached the threshold, else 0.0. A null or
-    empty text has no words, no places and no labels (empty strings). Repeated rows are scanned once each, null
+    empty text has no words, no places and no labels (empty strings). A text of any length is split into words in one row. Repeated rows are scanned once each, null
     ids stay null, an empty table gives an empty result and other columns are ignored.
 
     Returns the columns of SCHEMA; ``blocks`` lists each matching block's first word, template and containment.
@@ -163,7 +209,7 @@ def scan_licenses(
                 block = set(words[b * half : b * half + 2 * half])
                 for k in sorted(index.candidates(block)):
                     both = len(index.sets[k] & block)
-                    if both >= index.need[k]:
+                    if both >= index.need[k] and index.holds(k, words[b * half : b * half + 2 * half]):
                         blocks.append({"start": b * half, "template": keys[k], "containment": both / len(index.sets[k])})
         labels = base | {names[x["template"]] for x in blocks}
         score = 1.0 if base else max((x["containment"] for x in blocks), default=0.0)

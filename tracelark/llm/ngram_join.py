@@ -523,8 +523,8 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 75, flush_tokens
 
     ``docs`` must be replayable (a table scan). Null and empty texts have n_shingles 0 and link with nothing. Each row
     is a document of its own: repeated rows are copies, rows with the same id and different texts have the components
-    that their own texts reach, and null ids are kept, as documents that come last. Other columns are ignored; an empty
-    table gives an empty result.
+    that their own texts reach, and null ids are kept, as documents that come last. A text of any length is hashed a
+    megabyte at a time. Other columns are ignored; an empty table gives an empty result.
 
     Shingles are 64-bit hashes, sets of equal size are equal if their 64-bit prints are (of 10^9 different sets, some
     pair is taken for equal with odds of 1 in 37), and overlaps are counted on 48 bits of the hash (two sets of 1,000

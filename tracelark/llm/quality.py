@@ -138,7 +138,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 50_000)
 
     Null and empty texts have all statistics 0 and get the score of that point. Rows labelled twice count by
     their mean label, null labels not at all; a repeated document gets the same score each time. Without labels
-    every score is 0.5, with one class only 0.98 or 0.02. Other columns are ignored.
+    every score is 0.5, with one class only 0.98 or 0.02. Texts of any length are counted whole, one batch at a time.
+    Other columns are ignored; an empty table gives an empty result.
 
     Returns doc_id, held_out, score (0 to 1), print (xxhash64 of the text), predicted (1 if score >= 0.3).
     """
