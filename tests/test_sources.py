@@ -104,8 +104,10 @@ def in_ranges(text, cuts):
     return events
 
 
-def test_documents_in_ranges_of_any_length():
+@pytest.mark.parametrize("chunk", [1, 200, 1 << 20])
+def test_documents_in_ranges_of_any_length(monkeypatch, chunk):
     """Strings with braces, brackets and escapes, nested arguments and other keys, cut at every brace and at random ones."""
+    monkeypatch.setattr(json_ranges, "CHUNK", chunk)
     rng = random.Random(2)
     odd = ['a}b', 'x\\"}{[', "]", "\\\\", '"traceEvents":[', "}}", "\u007d"]
     documents = []

@@ -34,6 +34,30 @@ STATE = "_path string, _start long, inside boolean, opens string, since array<lo
 FOUND = "_path string, _start long, at long, part long, value binary, last boolean, cancelled boolean"
 
 
+#: What is looked at together: about so many bytes.
+CHUNK = 1 << 20
+_STEP = np.zeros(256, np.int8)
+_STEP[list(b"{[")] = 1
+_STEP[list(b"}]")] = -1
+
+
+def structure(text: bytes, inside: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Where brackets and braces outside strings stand, whether each opens (1) or closes (-1), and whether a string is open at
+    the end, given whether one is at the start."""
+    raw = np.frombuffer(text, np.uint8)
+    quotes = raw == ord('"')
+    if b"\\" in text:
+        slashes = np.flatnonzero(raw == ord("\\"))
+        first = np.flatnonzero(np.diff(slashes, prepend=-2) != 1)
+        size = np.diff(np.append(first, len(slashes)))
+        behind = slashes[first + size - 1][size % 2 == 1] + 1  # an odd run escapes what follows
+        quotes[behind[behind < len(raw)]] = False
+    at = np.flatnonzero(quotes)
+    marks = np.flatnonzero(_STEP[raw])
+    marks = marks[(np.searchsorted(at, marks) + inside) % 2 == 0]
+    return marks, _STEP[raw[marks]].astype(np.int64), bool((len(at) + inside) % 2)
+
+
 class Brackets:
     """The brackets open at a place of a document whose pieces come in order, each ended by a closing brace."""
 
@@ -67,6 +91,29 @@ class Brackets:
             self._close()
             self.key = False
 
+    def feed_chunk(self, pieces: list[bytes]) -> None:
+        """As ``feed`` for each of ``pieces``, all at once where the key doesn't occur."""
+        text = b"}".join([*pieces, b""])
+        if _KEY in text:
+            for piece in pieces:
+                self.feed(piece)
+            return
+        marks, steps, inside = structure(text, self.inside)
+        self._move(text, marks, steps)
+        self.inside, self.key = inside, False
+
+    def _move(self, text: bytes, marks: np.ndarray, steps: np.ndarray) -> None:
+        """The stack behind ``marks``: what isn't closed on the way stays, and the last rise to each level above is open."""
+        if not len(marks):
+            return
+        depth = len(self.stack) + np.cumsum(steps)
+        low, high = min(len(self.stack), int(depth.min())), int(depth[-1])
+        last = (int(np.flatnonzero((depth == level) & (steps == 1))[-1]) for level in range(low + 1, high + 1))
+        opened = [chr(text[int(marks[i])]) for i in last]
+        self.closes += max(0, -low)
+        self.stack[max(0, low) :] = opened
+        self.since[max(0, low) :] = [self.here] * len(opened)
+
     def _open(self, kind: str, at: int) -> None:
         if kind == EVENTS:
             if not self.stack:
@@ -132,6 +179,59 @@ class Events(Brackets):
         return self.began, text
 
 
+    def take_chunk(self, pieces: list[bytes], closed: bool) -> list[tuple[int, bytes]]:
+        """As ``take`` for each of ``pieces``, all at once where the array that holds the events, or none, stays open."""
+        text = b"}".join([*pieces, b""]) if closed else b"}".join(pieces)
+        found = None if _KEY in text else self._objects(text)
+        if found is None:
+            last = len(pieces) - 1
+            found = [x for i, piece in enumerate(pieces) if (x := self.take(piece, closed or i < last))]
+        return found
+
+    def _objects(self, text: bytes) -> list[tuple[int, bytes]] | None:
+        if not self.stack or self.stack[0] == OBJECT:
+            level = 0
+        elif self.stack[0] == ROOT:
+            level = 2 if self.stack[1:2] == [EVENTS] else None
+        else:
+            level = 1
+        if level is None:
+            return None
+        marks, steps, inside = structure(text, self.inside)
+        depth = len(self.stack) + np.cumsum(steps)
+        braces = np.isin(np.frombuffer(text, np.uint8)[marks], list(b"{}"))
+        rises = (steps == 1) & (depth == level + 1)
+        if (len(depth) and depth.min() < level) or (level == 0 and (rises & ~braces).any()):
+            return None
+        starts, ends = marks[rises & braces], marks[(steps == -1) & (depth == level) & braces]
+        out, opened = [], self.level is not None
+        ending = np.argsort(np.concatenate([starts, ends]), kind="stable") >= len(starts)
+        if (ending != ((np.arange(len(ending)) + opened) % 2 == 1)).any():
+            return None  # they don't alternate: a bracket closes a brace
+        if opened and not len(ends):
+            self.held.append(text)
+        elif opened:
+            out.append((self.began, b"".join([*self.held, text[: int(ends[0]) + 1]])))
+            self.held, self.level, ends = [], None, ends[1:]
+        out += [(self.here, text[low : high + 1]) for low, high in zip(starts.tolist(), ends.tolist(), strict=False)]
+        if len(starts) > len(ends):
+            self.level, self.began, self.held = level, self.here, [text[int(starts[-1]) :]]
+        self._move(text, marks, steps)
+        self.inside, self.key = inside, False
+        return out
+
+
+def _chunks(pieces: Iterator[bytes]) -> Iterator[tuple[list[bytes], bool]]:
+    """Pieces in lists of growing size, and whether each is the last."""
+    held, size, most, piece = [], 0, CHUNK >> 6, next(pieces, None)
+    while piece is not None:
+        held.append(piece)
+        size, piece = size + len(piece) + 1, next(pieces, None)
+        if size >= most or piece is None:
+            yield held, piece is None
+            held, size, most = [], 0, min(CHUNK, 2 * most)
+
+
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Iterator[bytes]]]:
     """The ranges of a task, each with its pieces. Rows of a range are rows in a row."""
     runs = _runs(batches)
@@ -166,11 +266,11 @@ def _summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for place, pieces in _ranges(batches):
         ways, size, zipped = [Brackets(), Brackets(inside=True)], 0, False
-        for piece in pieces:
-            zipped = zipped or (not size and not place["_start"] and piece[:2] == MAGIC)
-            size += len(piece) + 1
+        for chunk, _ in _chunks(pieces):
+            zipped = zipped or (not size and not place["_start"] and chunk[0][:2] == MAGIC)
+            size += sum(map(len, chunk)) + len(chunk)
             for way in () if zipped else ways:
-                way.feed(piece)
+                way.feed_chunk(chunk)
         if zipped:
             ways = [Brackets(ZIPPED), Brackets(ZIPPED, True)]
         rows += [place | {"inside": i == 1, "size": size, "out_inside": w.inside, "closes": w.closes, "opens": "".join(w.stack), "marks": w.marks} for i, w in enumerate(ways)]
@@ -218,18 +318,16 @@ def _events_of(place: dict, pieces: Iterator[bytes], fragments: bool) -> Iterato
     if zipped:
         whole, place, pieces = False, place | {"ends_closed": False}, pieces_of(_bytes(chain([piece], pieces), place["file_size"]))
         piece = next(pieces, None)
-    while piece is not None:
-        size += len(piece) + 1
-        following = next(pieces, None)
+    for chunk, last in _chunks(chain([piece], pieces) if piece is not None else pieces):
+        size += sum(map(len, chunk)) + len(chunk)
         open_end = size == (place["file_size"] or 0) + 1 if whole else not place["ends_closed"]
-        found = scan.take(piece, following is not None or not open_end)
-        if found and (found[0] != here) == fragments:
-            yield row | {"_start": found[0], "at": at if found[0] == here else -1, "value": found[1]}
-        at += bool(found and found[0] == here)
+        for began, text in scan.take_chunk(chunk, not (last and open_end)):
+            if (began != here) == fragments:
+                yield row | {"_start": began, "at": at if began == here else -1, "value": text}
+            at += began == here
         if scan.cancelled is not None and fragments:
             yield row | {"_start": scan.cancelled, "at": -1, "value": b"", "cancelled": True}
         scan.cancelled = None
-        piece = following
     if fragments and scan.level is not None and scan.held:
         yield row | {"_start": scan.began, "at": at if scan.began == here else -1, "value": b"".join(scan.held), "last": False}
 
