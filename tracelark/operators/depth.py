@@ -38,7 +38,7 @@ def quiescent_segments(ordered: DataFrame, slice_rows: int = slices.SLICE_ROWS)
     Tables that may hold tracks of more than ``slice_rows`` events are gone through in slices of so many.
     """
     ended = ordered.withColumn("end_ts", F.col("ts") + F.col("dur"))
-    if slices.estimated_bytes(ordered) < slice_rows:
+    if not slices.may_be_long(ordered, slice_rows):
         order = Window.partitionBy(*TRACK).orderBy("ord")
         open_until = F.max("end_ts").over(order.rowsBetween(Window.unboundedPreceding, -1))
         cut = ended.withColumn("cut", F.when(F.col("ts") >= open_until, 1).otherwise(0))
@@ -234,14 +234,18 @@ def _segments(track: np.ndarray, begin: np.ndarray, ended: np.ndarray, begins: n
 
 
 def _by_stack(low: int, high: int, begin: np.ndarray, ends: np.ndarray, can_open: np.ndarray, real: np.ndarray, depth: np.ndarray, parent: np.ndarray) -> None:
-    stack: list[int] = []
-    for i in range(low, high):
-        if real[i]:
-            while stack and not (ends[stack[-1]] >= ends[i] and ends[stack[-1]] > begin[i]):
+    stack: list[tuple[int, int]] = []
+    depths, parents = [], []
+    columns = (a[low:high].tolist() for a in (begin, ends, can_open, real))
+    for i, (ts, end, opens, event) in enumerate(zip(*columns, strict=True), low):
+        if event:
+            while stack and not (stack[-1][1] >= end and stack[-1][1] > ts):
                 stack.pop()
-        depth[i], parent[i] = len(stack), stack[-1] if stack else -1
-        if can_open[i]:
-            stack.append(i)
+        depths.append(len(stack))
+        parents.append(stack[-1][0] if stack else -1)
+        if opens:
+            stack.append((i, end))
+    depth[low:high], parent[low:high] = depths, parents
 
 
 _LEFT_OPEN = "trace_id string, track_id string, _slice long, events int, last_end long, last_ts long, ords array<int>, ends array<long>"

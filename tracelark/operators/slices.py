@@ -11,24 +11,27 @@ from tracelark.sources.shared import shared_path
 
 #: Rows that one task should take of one key in order.
 SLICE_ROWS = 1 << 22
+#: A stored row takes so many bytes at least, as a rule.
+ROW_BYTES = 4
 #: Sampled rows for each slice.
 SAMPLE = 64
 #: Some 40 bytes a cut: 4 MB at most are broadcast.
 MOST_BROADCAST = 100_000
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """What the optimiser takes the size of ``df`` for, as it does where it chooses joins."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def may_be_long(df: DataFrame, slice_rows: int) -> bool:
+    """Whether a key of ``df`` could have more than ``slice_rows`` rows, by the bytes that the optimiser knows of what it reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) >= slice_rows * ROW_BYTES
 
 
 def cuts(rows: DataFrame, keys: list[str], order: list[Column], slice_rows: int = SLICE_ROWS) -> DataFrame | None:
     """Where the rows of keys with more than ``slice_rows`` rows are cut: keys and cuts, an array of places in order.
 
-    None if no key has so many, which a table of fewer bytes than ``slice_rows`` isn't searched for. Rows are sampled by their
+    None if no key has so many, which ``may_be_long`` tells of small tables without a look at their rows. Rows are sampled by their
     hashes, so cuts depend on the rows alone. Without seeing all, about one row in ``slice_rows`` becomes a cut.
     """
-    if estimated_bytes(rows) < slice_rows:
+    if not may_be_long(rows, slice_rows):
         return None
     hot = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > slice_rows)
     path = shared_path(rows.sparkSession, "long-keys")

@@ -46,7 +46,7 @@ def downsample_timeline(nested: DataFrame, t0: int, t1: int, cell: int, always:
     marked = seen.withColumn("cell", F.when(spanning, F.lit(None)).otherwise(F.floor(F.col("ts") / cell)).cast("long")).withColumn("kept", kept)
     kept_end = F.max(F.when(F.col("kept"), F.col("ts") + F.col("dur")))
     keys = [*TRACK, "depth"]
-    if slices.estimated_bytes(nested) < slice_rows:
+    if not slices.may_be_long(nested, slice_rows):
         before = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
         covered = kept_end.over(before)
     else:
