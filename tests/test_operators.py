@@ -281,6 +281,25 @@ def test_events_at_equals_brute_force(spark):
         assert rows(inspect.events_at(events, probes, width), "probe_id", "seq") == want
 
 
+@pytest.mark.parametrize("slice_rows", [1, 3, 40, 1 << 18])
+def test_events_at_totals_equal_brute_force(spark, slice_rows, monkeypatch):
+    """Nested, equal, long and empty spans of two traces, in slices of few instants: never a pair, the same totals."""
+    monkeypatch.setattr(inspect.slices, "ROW_BYTES", 0)
+    rng = random.Random(slice_rows)
+    spans = [(t, rng.randrange(0, 120), rng.choice([0, 1, 5, 40, 1000])) for t in "tu" for _ in range(60)] + [("t", 50, 10)] * 9
+    events = frame(spark, [event(i, ts=ts, dur=dur, trace=t) for i, (t, ts, dur) in enumerate(spans)])
+    asked = [(k % 150, t, rng.randrange(-5, 1200) if k % 2 else 50) for k, t in enumerate("tuv" * 70)]
+    probes = spark.createDataFrame(asked, "probe_id long, trace_id string, at long")
+    monkeypatch.setattr(inspect, "events_at", None)
+    found = rows(inspect.events_at_totals(events, probes, slice_rows), "probe_id", "trace_id", "at", "events", "first", "last")
+    want = []
+    for k, t, at in asked:
+        held = [i for i, (own, ts, dur) in enumerate(spans) if own == t and ts <= at < ts + dur]
+        want += [(k, t, at, len(held), held[0], held[-1])] if held else []
+    assert found == sorted(want)
+    assert inspect.events_at_totals(events.limit(0), probes, slice_rows).isEmpty()
+
+
 def test_inspect(spark):
     events = frame(spark, [event(0, "parent_task", ts=1000, dur=1000), event(1, "child_task_A", ts=1100, dur=300), event(2, "child_task_B", ts=1500, dur=400), event(3, "thread_name", ph="M", args='{"name":"main"}')])
     found = tracks.order_tracks(tracks.organize_tracks(events))

@@ -58,6 +58,12 @@ def sliced(rows: DataFrame, where: DataFrame, keys: list[str], order: list[Colum
     return joined.withColumn(name, F.when(F.col("cuts").isNull(), 0).otherwise(slice_)).drop("cuts", "_place")
 
 
+def slices_before(cuts: str, at: Column, most: int) -> Column:
+    """How many of the rising numbers in the array ``cuts``, ``most`` at most, are at or below ``at``; 0 where the array is null. By halving."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(most.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get(cuts, n + step - 1) <= at, step).otherwise(0))
+
+
 def earlier(rows: DataFrame, keys: list[str], **facts: tuple[Column, Callable[[str], Column]]) -> DataFrame:
     """Adds what the slices before a row's own amount to: each fact is an aggregate of one slice, and how those combine.
 
