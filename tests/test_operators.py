@@ -300,6 +300,17 @@ def test_events_at_totals_equal_brute_force(spark, slice_rows, monkeypatch):
     assert inspect.events_at_totals(events.limit(0), probes, slice_rows).isEmpty()
 
 
+def test_nearest_edge_goes_through_rows_once(spark):
+    """60,000 edges and probes in one bucket, which a shrinking window would go through 60,000 times; and ties."""
+    events = frame(spark, []).unionByName(spark.range(30_000).select(F.lit("t").alias("trace_id"), F.col("id").alias("seq"), *(F.lit("").alias(c) for c in ("name", "cat", "ph", "cname", "id", "args_json")), (F.col("id") * 4).alias("ts"), F.lit(0).cast("long").alias("dur"), F.lit(1).alias("pid"), F.lit(1).alias("tid")))
+    probes = spark.range(30_000).select(F.col("id").alias("probe_id"), F.lit("t").alias("trace_id"), (F.col("id") * 4 + F.col("id") % 4).alias("at"))
+    near = inspect.nearest_edge(events, probes, 1_000_000)
+    assert "unboundedfollowing" not in near._jdf.queryExecution().analyzed().toString().lower()
+    want = F.col("at") - F.col("at") % 4 + F.when(F.col("at") % 4 == 3, 4).otherwise(0)
+    last = 4 * 29_999
+    assert near.count() == 30_000 and near.where((F.col("edge") != F.least(want, F.lit(last))) | (F.col("distance") != F.abs(F.col("at") - F.col("edge")))).isEmpty()
+
+
 def test_inspect(spark):
     events = frame(spark, [event(0, "parent_task", ts=1000, dur=1000), event(1, "child_task_A", ts=1100, dur=300), event(2, "child_task_B", ts=1500, dur=400), event(3, "thread_name", ph="M", args='{"name":"main"}')])
     found = tracks.order_tracks(tracks.organize_tracks(events))

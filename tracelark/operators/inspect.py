@@ -146,9 +146,9 @@ def nearest_edge(events: DataFrame, probes: DataFrame, tolerance: int) -> DataFr
     reach = F.sequence(F.floor((F.col("at") - tolerance) / width), F.floor((F.col("at") + tolerance) / width))
     both = edges.select("trace_id", "at", F.col("at").alias("edge"), F.lit(None).cast("long").alias("probe_id"), F.explode(reach).alias("bucket"))
     asked = probes.select("trace_id", "at", F.lit(None).cast("long").alias("edge"), "probe_id", F.floor(F.col("at") / width).alias("bucket"))
-    order = Window.partitionBy("trace_id", "bucket").orderBy("at")
-    before = F.last("edge", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("edge", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    rising, falling = (Window.partitionBy("trace_id", "bucket").orderBy(at) for at in (F.col("at"), F.desc("at")))
+    # Both frames grow from row to row; one that shrinks toward its end would be gone through anew for each row.
+    before, after = (F.last("edge", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)) for order in (rising, falling))
     found = both.unionByName(asked).withColumn("before", before).withColumn("after", after).where("probe_id is not null")
     nearer = F.when(F.col("after").isNull() | (F.col("at") - F.col("before") <= F.col("after") - F.col("at")), F.col("before")).otherwise(F.col("after"))
     placed = found.withColumn("edge", nearer).withColumn("distance", F.abs(F.col("at") - F.col("edge")))
