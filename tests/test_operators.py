@@ -311,6 +311,19 @@ def test_nearest_edge_goes_through_rows_once(spark):
     assert near.count() == 30_000 and near.where((F.col("edge") != F.least(want, F.lit(last))) | (F.col("distance") != F.abs(F.col("at") - F.col("edge")))).isEmpty()
 
 
+def test_wide_totals_hold_what_longs_do_not(spark):
+    far = (1 << 63) - 1
+    base = frame(spark, [event(0, "a", dur=far), event(1, "a", dur=far), event(2, "b", dur=5)])
+    target = frame(spark, [event(0, "a", dur=1), event(1, "c", dur=2)])
+    wide = aggregates.narrowed(aggregates.diff_traces(base, target, wide=True))
+    assert dict(wide.dtypes)["base_dur"] == "decimal(38,0)"
+    assert rows(wide, "key", "base_dur", "target_dur", "delta_dur", "delta_count") == [("a", 2 * far, 1, 1 - 2 * far, -1), ("b", 5, 0, -5, -1), ("c", 0, 2, 2, 1)]
+    few = aggregates.narrowed(aggregates.diff_traces(base.where("seq > 0"), target, wide=True))
+    plain = aggregates.diff_traces(base.where("seq > 0"), target)
+    assert few.dtypes == plain.dtypes and sorted(few.collect()) == sorted(plain.collect())
+    assert aggregates.narrowed(aggregates.diff_traces(base.limit(0), target.limit(0), wide=True)).dtypes == plain.dtypes
+
+
 def test_inspect(spark):
     events = frame(spark, [event(0, "parent_task", ts=1000, dur=1000), event(1, "child_task_A", ts=1100, dur=300), event(2, "child_task_B", ts=1500, dur=400), event(3, "thread_name", ph="M", args='{"name":"main"}')])
     found = tracks.order_tracks(tracks.organize_tracks(events))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelark.functions.scalars import nice_interval
 from tracelark.operators.filters import min_count
 from tracelark.operators.normalize import is_metadata
+from tracelark.sources.shared import shared_path
 
 
 def group_key(by: str) -> Column:
@@ -16,9 +20,28 @@ def group_key(by: str) -> Column:
     return F.col("name" if by == "name" else "cat")
 
 
-def aggregate_events(events: DataFrame, by: str = "name") -> DataFrame:
-    """key, total_dur (µs) and count over all events, metadata and counters too."""
-    return events.groupBy(group_key(by).alias("key")).agg(F.sum("dur").alias("total_dur"), F.count("*").alias("count"))
+#: What holds any total of longs.
+WIDE = "decimal(38,0)"
+
+
+def aggregate_events(events: DataFrame, by: str = "name", wide: bool = False) -> DataFrame:
+    """key, total_dur (µs) and count over all events, metadata and counters too.
+
+    A total that doesn't fit a long (292,471 years) is an error; ``wide`` gives decimals, which hold any.
+    """
+    dur = F.col("dur").cast("decimal(19,0)") if wide else F.col("dur")
+    total = F.sum(dur).cast(WIDE) if wide else F.sum(dur)
+    return events.groupBy(group_key(by).alias("key")).agg(total.alias("total_dur"), F.count("*").alias("count"))
+
+
+def narrowed(totals: DataFrame) -> DataFrame:
+    """A small table of ``wide`` totals with longs in place of the decimals if they all fit; else as it is. Stored, so that it is computed once."""
+    path = shared_path(totals.sparkSession, "totals")
+    totals.write.parquet(path)
+    stored = totals.sparkSession.read.schema(totals.schema).parquet(path)
+    decimals = [c for c, kind in stored.dtypes if kind == WIDE]
+    fit = reduce(and_, (F.col(c).isNull() | F.col(c).between(-(1 << 63), (1 << 63) - 1) for c in decimals), F.lit(True))
+    return stored if not stored.where(~fit).isEmpty() else stored.withColumns({c: F.col(c).cast("long") for c in decimals})
 
 
 def sorted_groups(groups: DataFrame, sort: str = "duration") -> DataFrame:
@@ -43,10 +66,10 @@ def summary(events: DataFrame, tracks: DataFrame) -> DataFrame:
     return totals.join(counted, "trace_id").select("trace_id", "event_count", "track_count", "min_ts", "max_ts", ((F.col("max_ts") - F.col("min_ts")) / 1e3).alias("duration_ms"))
 
 
-def diff_traces(baseline: DataFrame, target: DataFrame, by: str = "name") -> DataFrame:
-    """Totals of two sets of events side by side, with target less baseline; a missing side counts 0."""
-    a = aggregate_events(baseline, by).select("key", F.col("total_dur").alias("base_dur"), F.col("count").alias("base_count"))
-    b = aggregate_events(target, by).select("key", F.col("total_dur").alias("target_dur"), F.col("count").alias("target_count"))
+def diff_traces(baseline: DataFrame, target: DataFrame, by: str = "name", wide: bool = False) -> DataFrame:
+    """Totals of two sets of events side by side, with target less baseline; a missing side counts 0. ``wide`` as for ``aggregate_events``."""
+    a = aggregate_events(baseline, by, wide).select("key", F.col("total_dur").alias("base_dur"), F.col("count").alias("base_count"))
+    b = aggregate_events(target, by, wide).select("key", F.col("total_dur").alias("target_dur"), F.col("count").alias("target_count"))
     both = a.join(b, "key", "full_outer").na.fill(0)
     return both.withColumn("delta_dur", F.col("target_dur") - F.col("base_dur")).withColumn("delta_count", F.col("target_count") - F.col("base_count"))
 
