@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,6 +325,30 @@ def test_wide_totals_hold_what_longs_do_not(spark):
     assert aggregates.narrowed(aggregates.diff_traces(base.limit(0), target.limit(0), wide=True)).dtypes == plain.dtypes
 
 
+@pytest.mark.parametrize("size", [1, 3, 64])
+def test_what_slices_leave_open_equals_a_stack(size):
+    """Slices within and across batches, told without a loop over events."""
+    rng = random.Random(size)
+    events = sorted((f"T:{rng.randrange(3)}", rng.randrange(3), rng.randrange(40), -rng.choice([0, 1, 5, 30]), k) for k in range(200))
+    kinds = [rng.choice(["THREAD", "THREAD", "COUNTER"]) for _ in events]
+    batches = []
+    for low in range(0, len(events), size):
+        few = events[low : low + size]
+        columns = {"trace_id": ["t"] * len(few), "track_id": [e[0] for e in few], "_slice": [e[1] for e in few], "track_type": kinds[low : low + size], "ts": [e[2] for e in few], "dur": [-e[3] for e in few]}
+        batches += pa.table(columns).to_batches()
+    want = {}
+    for (track, piece, ts, less, _), kind in zip(events, kinds, strict=True):
+        state = want.setdefault((track, piece), [0, -1, 0, []])
+        end = ts - less
+        state[:3] = [state[0] + 1, max(state[1], end), ts]
+        while state[3] and not (state[3][-1][1] >= end and state[3][-1][1] > ts):
+            state[3].pop()
+        state[3] += [(state[0], end)] if kind != "COUNTER" else []
+    found = [r for b in depth._left_open(iter(batches)) for r in b.to_pylist()]
+    assert [(r["track_id"], r["_slice"], r["events"], r["last_end"], r["last_ts"], list(zip(r["ords"], r["ends"], strict=True))) for r in found] == [(*k, *v) for k, v in want.items()]
+    assert depth._open_at_ends(batches[0], ("trace_id", "track_id", "_slice"))
+
+
 def test_inspect(spark):
     events = frame(spark, [event(0, "parent_task", ts=1000, dur=1000), event(1, "child_task_A", ts=1100, dur=300), event(2, "child_task_B", ts=1500, dur=400), event(3, "thread_name", ph="M", args='{"name":"main"}')])
     found = tracks.order_tracks(tracks.organize_tracks(events))

@@ -253,33 +253,67 @@ _CARRIED = "trace_id string, track_id string, _slice long, _carry struct<before:
 
 
 def _left_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each slice of a track, in order: the number of events, their latest end and start, and what they leave open."""
+    """Of each slice of a track, in order: the number of events, their latest end and start, and what they leave open.
+
+    An event stays open if no later one of its slice ends after it or starts at or after its end. All slices of a batch are
+    told at once; what goes on in the next batch is held.
+    """
     fields = ("trace_id", "track_id", "_slice")
     types = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
     names = (*fields, "events", "last_end", "last_ts", "ords", "ends")
-    key, at, last_end, last_ts = None, 0, 0, 0
-    open_: list[tuple[int, int]] = []
+    held: tuple | None = None
 
     def rows(done: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*done, strict=True)) or [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     for batch in batches:
-        done = []
-        for trace_id, track_id, piece, kind, ts, dur in zip(*(batch.column(c).to_pylist() for c in (*fields, "track_type", "ts", "dur")), strict=True):
-            end = ts + dur
-            if (trace_id, track_id, piece) != key:
-                if key:
-                    done.append((*key, at, last_end, last_ts, [o for o, _ in open_], [e for _, e in open_]))
-                key, at, open_, last_end = (trace_id, track_id, piece), 0, [], end
-            at, last_end, last_ts = at + 1, max(last_end, end), ts
-            while open_ and not (open_[-1][1] >= end and open_[-1][1] > ts):
-                open_.pop()
-            if kind != "COUNTER":
-                open_.append((at, end))
-        yield rows(done)
-    if key:
-        yield rows([(*key, at, last_end, last_ts, [o for o, _ in open_], [e for _, e in open_])])
+        if not batch.num_rows:
+            continue
+        found = _open_at_ends(batch, fields)
+        if held and held[:3] == found[0][:3]:
+            found[0] = _followed(held, found[0])
+        elif held:
+            found.insert(0, held)
+        held = found.pop()
+        yield rows(found)
+    if held:
+        yield rows([held])
+
+
+def _open_at_ends(batch: pa.RecordBatch, fields: tuple[str, ...]) -> list[tuple]:
+    """Rows of ``_left_open`` for the slices, or parts of them, in one batch."""
+    changed = np.ones(batch.num_rows, bool)
+    changed[1:] = False
+    for name in fields:
+        column = pc.fill_null(batch[name], 0 if name == "_slice" else "")
+        changed[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(changed)
+    last = np.append(first[1:], batch.num_rows) - 1
+    slice_ = np.cumsum(changed) - 1
+    ts = batch["ts"].to_numpy(zero_copy_only=False)
+    end = ts + batch["dur"].to_numpy(zero_copy_only=False)
+    # Ends as their ranks, those of earlier slices above all of later ones, so that one scan from the back does for all.
+    ranks = np.unique(end, return_inverse=True)[1] + (slice_[-1] - slice_) * (len(end) + 1)
+    latest = np.maximum.accumulate(ranks[::-1])[::-1]
+    stays = np.ones(len(end), bool)
+    stays[:-1] = (ranks[:-1] >= latest[1:]) & (end[:-1] > ts[last][slice_[:-1]])
+    stays[last] = True
+    stays &= pc.fill_null(pc.not_equal(batch["track_type"], "COUNTER"), True).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(stays)
+    bounds = np.searchsorted(at, np.append(first, len(end))).tolist()
+    ords, ends = (at - first[slice_[at]] + 1).tolist(), end[at].tolist()
+    keys = [batch[name].take(pa.array(first)).to_pylist() for name in fields]
+    facts = zip(*keys, (last - first + 1).tolist(), np.maximum.reduceat(end, first).tolist(), ts[last].tolist(), bounds[:-1], bounds[1:], strict=True)
+    return [(*fact, ords[a:b], ends[a:b]) for *fact, a, b in facts]
+
+
+def _followed(before: tuple, after: tuple) -> tuple:
+    """One row of ``_left_open`` for two parts of a slice."""
+    *key, events, last_end, _, ords, ends = before
+    _, _, _, more, then_end, then_ts, then_ords, then_ends = after
+    kept = [(o, e) for o, e in zip(ords, ends, strict=True) if e >= then_end and e > then_ts]
+    return (*key, events + more, max(last_end, then_end), then_ts, [o for o, _ in kept] + [events + o for o in then_ords], [e for _, e in kept] + then_ends)
 
 
 def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
