@@ -7,6 +7,7 @@ import os
 import random
 import re
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tracelark.functions import scalars
 from tracelark.operators import depth, normalize, timeline
 from tracelark.sources import json_ranges, trace_files
 from tracelark.sources import stored as stored_events
+from tracelark.sources.schema import EVENT_COLUMNS
 from tracelark.streaming import events as streams
 from tracelark.streaming import landing
 
@@ -279,3 +281,24 @@ def test_abandoned_begins_leave_by_a_timer(spark, tmp_path):
         drained(streams.stream_pair_begin_end(spark.readStream.schema(streams.EVENT_SCHEMA).parquet(path), abandon_us=15_000_000), tmp_path)
     got = {r["name"]: r["dur"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert got == {"old": 0, "older end": 0, "far": 0, "young": 12_000_000, "end": 0}
+
+
+def test_threads_with_nothing_open_ask_the_state_once():
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *args: calls.append(name)
+
+    class Handle:
+        def getValueState(self, *args):
+            return State()
+
+        getMapState = getValueState
+
+    stack = streams.OpenBegins()
+    stack.init(Handle())
+    given = pd.DataFrame([event(2, ph="E", ts=9), event(1, "a", ph="B", ts=4), event(3, "x", ts=5)], columns=list(EVENT_COLUMNS))
+    out = pd.concat(stack.handleInputRows(("t", 1, 1), iter([given]), None))
+    assert out[["seq", "name", "ph", "dur"]].values.tolist() == [[1, "a", "B", 5], [3, "x", "X", 0]]
+    assert calls == ["exists"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from tracelark.sources.trace_files import _parsed_lines
 from tracelark.streaming import landing
 
 _TYPES = {"seq": "bigint", "ts": "bigint", "dur": "bigint", "pid": "int", "tid": "int"}
-_PH, _TS, _DUR = (EVENT_COLUMNS.index(c) for c in ("ph", "ts", "dur"))
+_SEQ, _PH, _TS, _DUR = (EVENT_COLUMNS.index(c) for c in ("seq", "ph", "ts", "dur"))
 EVENT_SCHEMA = ", ".join(f"{c} {_TYPES.get(c, 'string')}" for c in EVENT_COLUMNS)
 
 
@@ -51,13 +52,16 @@ class OpenBegins(StatefulProcessor):
         self.pages = handle.getMapState("pages", "page long", "rows binary")
 
     def _load(self) -> None:
-        self.low, self.high = self.ends.get() if self.ends.exists() else (0, 0)
+        # Each look into the state is a call to the JVM, for every thread: none is made for what can't be there.
+        self.known = self.ends.exists()
+        self.low, self.high = self.ends.get() if self.known else (0, 0)
+        self.stored = set(range(self.low // self.page_rows, -(-self.high // self.page_rows))) if self.high > self.low else set()
         self.read: dict[int, list] = {}
         self.changed: set[int] = set()
 
     def _page(self, page: int) -> list:
         if page not in self.read:
-            self.read[page] = pickle.loads(self.pages.getValue((page,))[0]) if self.pages.containsKey((page,)) else []
+            self.read[page] = pickle.loads(self.pages.getValue((page,))[0]) if page in self.stored else []
         return self.read[page]
 
     def _push(self, event: tuple) -> None:
@@ -81,18 +85,20 @@ class OpenBegins(StatefulProcessor):
                 first = page * self.page_rows
                 if first < self.high and first + self.page_rows > self.low:
                     self.pages.updateValue((page,), (pickle.dumps(self._page(page)[: self.high - first], 5),))
+                    self.stored.add(page)
                     self.read.pop(page)
                     self.changed.discard(page)
 
     def _save(self, before: tuple[int, int]) -> None:
         self._store()
         kept = range(self.low // self.page_rows, -(-self.high // self.page_rows) if self.high > self.low else self.low // self.page_rows)
-        for page in {p for p in range(before[0] // self.page_rows, -(-before[1] // self.page_rows))} | self.changed:
-            if page not in kept and self.pages.containsKey((page,)):
+        for page in sorted(self.stored):
+            if page not in kept:
                 self.pages.removeKey((page,))
         if self.high > self.low:
-            self.ends.update((self.low, self.high))
-        else:
+            if (self.low, self.high) != before:
+                self.ends.update((self.low, self.high))
+        elif self.known:
             self.ends.clear()
 
     def _set_timer(self) -> None:
@@ -104,11 +110,13 @@ class OpenBegins(StatefulProcessor):
                 self.handle.registerTimer(due)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        # Tuples, sorted as such: a thread often has few rows, on which each step of pandas takes longer than all of them.
+        events = [event for frame in rows for event in zip(*(frame[c].tolist() for c in EVENT_COLUMNS), strict=True)]
+        events.sort(key=itemgetter(_SEQ))
         self._load()
         before = (self.low, self.high)
         done: list[tuple] = []
-        for event in frame[list(EVENT_COLUMNS)].itertuples(index=False, name=None):
+        for event in events:
             if event[_PH] in ("B", "b"):
                 self._push(event)
             elif event[_PH] in ("E", "e"):
@@ -120,7 +128,8 @@ class OpenBegins(StatefulProcessor):
                 done.append(event)
         self._set_timer()
         self._save(before)
-        yield pd.DataFrame(done, columns=list(EVENT_COLUMNS))
+        if done:
+            yield pd.DataFrame(done, columns=list(EVENT_COLUMNS))
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         self._load()
