@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelark.llm.bloom import blocks_for, bloom_words, might_contain
+from tracelark.llm.bloom import blocks_for, with_hits
 from tracelark.llm.decontaminate import find_leaks
 from tracelark.llm.line_dedup import dedup_lines
 from tracelark.llm.ngram_join import link_documents
 from tracelark.llm.packing import pack_documents
 from tracelark.llm.quality import score_quality
-from tracelark.llm.storage import written
+from tracelark.llm.storage import counted, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,11 +27,11 @@ def _parted(docs: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
     Ids may be null or shared by different texts: only rows with both the same are meant. Only rows that a Bloom filter
     of bounded size lets through are shuffled into the exact join.
     """
-    named = written(named.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct(), "named")
-    blocks = blocks_for(named.count())
-    words = bloom_words(named.select(F.xxhash64("_id", "_print").alias("key")), blocks).scalar()
+    named, count = counted(named.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct(), "named")
+    blocks = blocks_for(count)
     tested = docs.select(*COLUMNS).withColumn("_seen", F.xxhash64("text"))
-    tested = tested.withColumn("_hit", might_contain(words, F.xxhash64(F.col("doc_id").cast("long"), "_seen"), blocks))
+    keys = named.select(F.xxhash64("_id", "_print").alias("key"))
+    tested = with_hits(tested, keys, blocks, F.xxhash64(F.col("doc_id").cast("long"), "_seen"), "_hit")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_seen") == F.col("_print"))
     hits = tested.where("_hit")
     without = tested.where("not _hit").select(*COLUMNS).unionByName(hits.join(named, same, "left_anti").select(*COLUMNS))

@@ -395,6 +395,17 @@ def test_line_stage_with_odd_rows(spark, odd_corpus):
     assert left(corpus_pipeline.line_stage, spark, spark.read.parquet(f"{folder}/documents.parquet").limit(0), folder) == []
 
 
+def test_parted_plans_its_filter_once_for_each_side(spark):
+    """Named in a scalar subquery, the filter was planned again for each of its words and wherever the condition went."""
+    docs = spark.createDataFrame([(k, f"text {k}", "en", "web", 6) for k in range(9)], "doc_id long, text string, lang string, source string, n_chars int")
+    named = docs.where("doc_id % 3 = 0").select("doc_id", F.xxhash64("text").alias("print"))
+    without, with_ = corpus_pipeline._parted(docs, named)
+    assert sorted(r["doc_id"] for r in without.collect()) == [1, 2, 4, 5, 7, 8]
+    assert sorted(r["doc_id"] for r in with_.collect()) == [0, 3, 6]
+    plan = with_._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("bit_or(") == 8 and "subquery" not in plan.lower()
+
+
 def test_near_duplicate_stage_with_odd_rows(spark, odd_corpus):
     folder, rows, good = odd_corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet")

@@ -39,6 +39,16 @@ def bloom_words(keys: DataFrame, blocks: int) -> DataFrame:
     return whole.agg(F.flatten(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["w"])).alias("words"))
 
 
+def with_hits(rows: DataFrame, keys: DataFrame, blocks: int, key: Column, name: str) -> DataFrame:
+    """``rows`` and whether the filter over column ``key`` of ``keys`` may hold ``key``, as column ``name``.
+
+    The filter comes as a broadcast row. As a scalar subquery it would be planned anew wherever its words are named,
+    and wherever Spark copies that condition: 8 to 16 plans for each filter, all in the driver's memory.
+    """
+    words = bloom_words(keys, blocks).withColumnRenamed("words", "_words")
+    return rows.crossJoin(F.broadcast(words)).withColumn(name, might_contain(F.col("_words"), key, blocks)).drop("_words")
+
+
 def might_contain(words: Column, key: Column, blocks: int) -> Column:
     """Whether the filter in ``words`` may hold ``key``; never false for a key that it holds."""
     at = _block(key, blocks) * WORDS

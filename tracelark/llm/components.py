@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from tracelark.llm.storage import Scratch, written
 
 
-def connected(links: DataFrame) -> DataFrame | None:
+def connected(links: DataFrame, scratch: Scratch | None = None) -> DataFrame | None:
     """node and root (the smallest node it can reach) for all nodes of ``links`` (a, b longs); None without links.
 
+    The result is a table of ``scratch``, where that is given.
+
     Each round hooks every root to its smallest neighbour, shortens all chains by pointer jumping, and contracts
     the links to those between different roots; at least half of the roots that still have links go each round.
     """
-    scratch = Scratch(links.sparkSession)
+    own, scratch = scratch is None, scratch or Scratch(links.sparkSession)
     cur = links.where("a <> b").select("a", "b")
-    cur = scratch.written(cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    cur, left = scratch.counted(cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = None
-    while not cur.isEmpty():
+    while left:
         parent = scratch.written(cur.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")), "parents")
         while True:
             up = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            jumped = scratch.written(parent.join(up, "p").select("a", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "parents")
+            jumped, moved = scratch.counted(parent.join(up, "p").select("a", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "parents", "moved")
             parent = jumped.select("a", "p")
-            if jumped.where("moved").isEmpty():
+            if not moved:
                 break
         if labels is None:
             labels = parent.select(F.col("a").alias("node"), F.col("p").alias("root"))
@@ -33,8 +35,9 @@ def connected(links: DataFrame) -> DataFrame | None:
             labels = labels.join(up, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
         labels = scratch.written(labels, "labels")
         a, b = parent.select("a", F.col("p").alias("x")), parent.select(F.col("a").alias("b"), F.col("p").alias("y"))
-        cur = scratch.written(cur.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
-    if labels is not None:
-        labels = written(labels, "components")
-    scratch.drop()
+        cur, left = scratch.counted(cur.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+    if own:
+        if labels is not None:
+            labels = written(labels, "components")
+        scratch.drop()
     return labels

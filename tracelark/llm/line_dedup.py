@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelark.llm.bloom import blocks_for, bloom_words, might_contain
+from tracelark.llm.bloom import blocks_for, bloom_words, might_contain, with_hits
 from tracelark.llm.storage import Scratch, written
 
 #: What a line that counts as blank is made of.
@@ -107,8 +107,8 @@ def dedup_lines(docs: DataFrame, divisor: int = 4, chunkings: int | None = None,
     by_doc = repeats.groupBy(F.col("doc_id").alias("_doc"), F.col("print").alias("_print")).agg(F.collect_set("code").alias("_codes"))
     blocks = blocks_for(by_doc.count())
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    words = bloom_words(repeats.select(key.alias("key")).distinct(), blocks).scalar()
-    tested = docs.withColumn("_hit", might_contain(words, key, blocks) & F.col("text").isNotNull())
+    tested = with_hits(docs, repeats.select(key.alias("key")).distinct(), blocks, key, "_hit")
+    tested = tested.withColumn("_hit", F.col("_hit") & F.col("text").isNotNull())
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     calm = tested.where(~F.col("_hit")).select(*kept_columns, n_lines.alias("n_lines"), F.lit(0).alias("n_removed"))
     joined = tested.where("_hit").join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_print")), "left")

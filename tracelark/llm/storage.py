@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,12 @@ def _put(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _counted(df: DataFrame, where: str) -> tuple[DataFrame, Observation]:
+    """``df`` with an observation of how many of its rows meet ``where``, made as they are written: no job of its own."""
+    seen = Observation()
+    return df.observe(seen, F.count_if(F.expr(where)).alias("n")), seen
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: a lost executor costs a reread, not a recomputation.
 
@@ -42,6 +49,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``written``, and the number of rows."""
+    df, seen = _counted(df, "true")
+    return written(df, name), seen.get["n"]
+
+
 class Scratch:
     """Written tables of one computation, dropped together once its result is written."""
 
@@ -52,6 +65,11 @@ class Scratch:
         self.count += 1
         return _put(df, f"{self.path}/{name}-{self.count}")
 
+    def counted(self, df: DataFrame, name: str, where: str = "true") -> tuple[DataFrame, int]:
+        """``written``, and how many of its rows meet ``where``."""
+        df, seen = _counted(df, where)
+        return self.written(df, name), seen.get["n"]
+
     def drop(self) -> None:
         """Deletes the tables, through Spark's own file system layer."""
         files, folder = _file_system(self.spark, self.path)
