@@ -134,6 +134,43 @@ def test_join_with_common_tokens_and_other_thresholds(spark):
     assert out == brute_components(texts, 50)
 
 
+def test_join_keeps_one_posting_list_of_those_with_the_same_groups(spark, monkeypatch):
+    """Near copies share long runs of tokens that no other has: of these one token's postings are enough."""
+    texts, written, counts = {}, ngram_join.Scratch.written, {}
+    for k in range(0, 60, 2):
+        words = [f"w{k}x{i}" for i in range(200)]
+        texts[k] = " ".join(words)
+        texts[k + 1] = " ".join([*words, "more"])
+
+    def noted(self, df, name):
+        out = written(self, df, name)
+        counts[name] = out.count() if name == "postings" else None
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "written", noted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_documents(docs).collect()}
+    assert out == brute_components(texts)
+    assert counts["postings"] == 60
+
+
+def test_first_tokens_of_alike_lists(spark):
+    rows = [(1, 10, 4), (1, 11, 6), (2, 10, 3), (2, 11, 5), (3, 10, 7), (3, 12, 0), (4, 12, 1), (5, 10, 1), (5, 11, 2), (5, 12, 3)]
+    scratch = ngram_join.Scratch(spark)
+    out = ngram_join._first_of_alike(scratch, spark.createDataFrame(rows, "token long, gid long, at int")).collect()
+    assert sorted(map(tuple, out)) == [(2, 10), (2, 11), (3, 10), (3, 12), (5, 10), (5, 11), (5, 12)]
+    scratch.drop()
+
+
+def test_distinct_sets_keep_the_least_row_of_each(spark):
+    rows = [(fp, n, rid, 0, [fp]) for rid, (fp, n) in enumerate([(1, 5), (2, 5), (1, 5), (1, 6), (2, 5), (1, 5), (3, 5)])]
+    scratch = ngram_join.Scratch(spark)
+    held = spark.createDataFrame(rows, "fp long, n long, rid long, uniq long, tokens array<long>")
+    out = ngram_join._distinct_sets(scratch, held).collect()
+    assert sorted((r["fp"], r["n"]) for r in out) == [(1, 5), (1, 6), (2, 5), (3, 5)]
+    scratch.drop()
+
+
 def test_join_nulls_repeats_and_empty(spark):
     rows = [(None, "a b c d e f g"), (4, "a b c d e f g"), (4, "a b c d e f g"), (2, None), (None, None)]
     out = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelark.llm.batches import whole_text_batches
-from tracelark.llm.bloom import blocks_for, bloom_words, might_contain
+from tracelark.llm.bloom import blocks_for, with_hits
 from tracelark.llm.components import connected
 from tracelark.llm.storage import Scratch, written
 from tracelark.llm.words import mix, shingle_hashes, word_hashes
@@ -378,27 +378,31 @@ class _Families:
         """Verifies ``pairs`` (a, b) of sets that no known links connect, and joins what links. ``a`` may repeat very often."""
         a = self.placed.select(F.col("fp").alias("a"), F.col("root").alias("a_root"))
         b = self.placed.select(F.col("fp").alias("b"), F.col("root").alias("b_root"))
-        pairs = self.scratch.written(pairs.distinct().join(a, "a").join(b, "b").where("a_root <> b_root"), "candidate-pairs")
-        self.measured, self.linked = pairs.count(), 0
+        pairs, self.measured = self.scratch.counted(pairs.distinct().join(a, "a").join(b, "b").where("a_root <> b_root"), "candidate-pairs")
+        self.linked = 0
         if not self.measured:
             return
-        named = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        named = self.scratch.written(named, "candidate-sets")
-        blocks = blocks_for(named.count())
-        own = self.sets.where(might_contain(bloom_words(named, blocks).scalar(), F.col("fp"), blocks))
+        own = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("fp")), "candidate-sets")
         a = own.select(F.col("fp").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"))
         b = own.select(F.col("fp").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
         both, either = F.size(F.array_intersect("a_tokens", "b_tokens")), F.col("a_n") + F.col("b_n")
         found = pairs.join(a, "a").join(b, "b").where(100 * both >= self.percent * (either - both))
-        found = self.scratch.written(found.select("a", "b", "a_root", "b_root", (both / (either - both)).alias("similarity")), "links")
-        self.linked = found.count()
+        found, self.linked = self.scratch.counted(found.select("a", "b", "a_root", "b_root", (both / (either - both)).alias("similarity")), "links")
+        if not self.linked:
+            return
         self.pairs.append(found.select(F.least("a", "b").alias("class_id"), F.greatest("a", "b").alias("other_class_id"), "similarity"))
-        labels = connected(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        labels = connected(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), self.scratch)
         if labels is not None:
             up = labels.select(F.col("node").alias("root"), F.col("root").alias("to"))
             moved = self.placed.join(up, "root", "left").select("fp", "gid", F.coalesce("to", "root").alias("root"))
             self.placed = self.scratch.written(moved, "placed")
 
+    def sets_of(self, wanted: DataFrame, name: str) -> DataFrame:
+        """Sets whose fp is in ``wanted``, and a few more: those that a Bloom filter lets through, so few tokens are shuffled."""
+        wanted, count = self.scratch.counted(wanted.select(F.col("fp").alias("key")).distinct(), name)
+        blocks = blocks_for(count)
+        return with_hits(self.sets, wanted, blocks, F.col("fp"), "hit").where("hit").drop("hit")
+
     def rounds(self, postings: DataFrame, share: float) -> None:
         """Rounds with pivots as long as ``share`` of the compared pairs link."""
         k = 0
@@ -472,7 +476,7 @@ def _differences(families: _Families, long: DataFrame) -> DataFrame:
     centres = scratch.written(long.groupBy("token").agg(F.min(F.struct("own", "gid")).alias("c")).select("token", F.col("c.gid").alias("centre")), "centres")
     assigned = long.join(centres, "token").select("gid", "centre").distinct()
     assigned = scratch.written(assigned.join(families.placed.select("gid", "fp"), "gid").select("fp", "centre").distinct(), "assigned")
-    own = families.sets.select("fp", "n", "tokens")
+    own = families.sets_of(assigned.select(F.explode(F.array("fp", "centre")).alias("fp")), "assigned-sets").select("fp", "n", "tokens")
     both = assigned.join(own, "fp").join(own.select(F.col("fp").alias("centre"), F.col("tokens").alias("c_tokens")), "centre")
     less = F.transform(F.array_except("c_tokens", "tokens"), lambda t: -t - 1)
     both = both.select("centre", "fp", "n", F.size("tokens").alias("rest"), F.concat(F.array_except("tokens", "c_tokens"), less).alias("items"))
@@ -494,6 +498,39 @@ def _differences(families: _Families, long: DataFrame) -> DataFrame:
     return scratch.written(first.select(F.col("x.token").alias("token"), F.col("fp").alias("gid"), "n", (F.col("d") - F.col("at")).alias("left"), "s", (-F.col("s")).cast("double").alias("own")), "difference-postings")
 
 
+def _distinct_sets(scratch: Scratch, held: DataFrame) -> DataFrame:
+    """Of rows with equal sets (fp, n) the one of the least rid.
+
+    Two Bloom filters, of the rows that stay and of those that go, tell nearly all rows apart where they are read; only
+    rows that both may hold are shuffled, as their tokens are the bulk of what is stored.
+    """
+    ranked = held.select("fp", "n", "rid")
+    least = ranked.groupBy("fp", "n").agg(F.min("rid").alias("least"))
+    alike = ranked.join(least, ["fp", "n"])
+    alike, count = scratch.counted(alike.select("rid", (F.col("rid") == F.col("least")).alias("stays")), "copies")
+    blocks = blocks_for(count)
+    told = held.select("rid", "fp", "n", "uniq", "tokens")
+    for name, which in (("stay", "stays"), ("go", "not stays")):
+        told = with_hits(told, alike.where(which).select(F.col("rid").alias("key")), blocks, F.col("rid"), name)
+    unsure = told.where("go and stay").join(alike.where("not stays").select("rid"), "rid", "left_anti")
+    return told.where("not go").unionByName(unsure).select("fp", "n", "uniq", "tokens")
+
+
+def _first_of_alike(scratch: Scratch, postings: DataFrame) -> DataFrame:
+    """Postings of tokens that several groups hold; of tokens that the very same groups hold, only those of the first.
+
+    Tokens stand in one order in all sets, so the first token that two groups share is the first of those with its list of
+    groups: no pair is lost. Lists are alike if their least group and the xor of their groups' 64-bit hashes are. Among
+    tokens of one list the first has the least place (``at``) in any of its groups, so also the least of all.
+    """
+    lists = postings.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("gid")).alias("h"), F.min("gid").alias("gid"), F.min("at").alias("at"))
+    firsts = lists.where("k > 1").groupBy("k", "h", "gid").agg(F.min(F.struct("at", "token")).alias("f")).select(F.col("f.token").alias("token"))
+    firsts, count = scratch.counted(firsts, "first-tokens")
+    blocks = blocks_for(count)
+    likely = with_hits(postings, firsts.select(F.col("token").alias("key")), blocks, F.col("token"), "hit").where("hit")
+    return scratch.written(likely.drop("at", "hit").join(firsts, "token", "left_semi"), "postings")
+
+
 def link_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents of ``link_classes``, without the pairs."""
     return link_classes(docs, **settings)[0]
@@ -513,7 +550,7 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 75, flush_tokens
        that ``common_docs`` documents of one block hold is common: only its count is sent, its documents keep it
        themselves, and common tokens come last in the order. So a token of very many documents burdens no task.
     2. A document whose prefix holds no returned token is done. Equal sets are one node from here on, and nodes
-       of equal size and equal prefix are one group.
+       of equal size and equal prefix are one group. Of tokens that the same groups hold only the first counts from here on.
     3. Groups that share a prefix token are paired, under length and positional filters, if no known links connect
        them. First only with one pivot for each token (linear in the postings), again with other pivots as long as
        ``round_share`` of the compared pairs link; then all that are left. Where a token still has ``long_list``
@@ -548,9 +585,7 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 75, flush_tokens
     gathered = Scratch(spark)
     every = gathered.written(returned.groupBy("part").applyInArrow(_assemble(percent), CANDIDATES), "shingle-sets")
 
-    held = every.where("tokens is not null")
-    chosen = held.groupBy("fp", "n").agg(F.min("rid").alias("rid"))
-    sets = scratch.written(held.join(chosen.select("rid"), "rid", "left_semi").select("fp", "n", "uniq", "tokens"), "distinct-sets")
+    sets = scratch.written(_distinct_sets(scratch, every.where("tokens is not null")), "distinct-sets")
     every = written(every.select("doc_id", "print", "n", "fp"), "documents")
     gathered.drop()
     prefix = F.slice("tokens", 1, (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - F.col("uniq")).cast("int"))
@@ -562,14 +597,15 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 75, flush_tokens
     rest = F.col("n") - F.col("uniq")
     at = leaders.select(F.col("fp").alias("gid"), "n", rest.alias("rest"), F.posexplode("prefix").alias("at", "token"))
     own, s = 1 - F.col("rest") / F.col("n"), -2 * percent * F.col("n")
-    postings = scratch.written(at.select("token", "gid", "n", (F.col("rest") - F.col("at")).alias("left"), s.alias("s"), own.alias("own")), "postings")
+    postings = at.select("token", "gid", "n", (F.col("rest") - F.col("at")).alias("left"), s.alias("s"), own.alias("own"), "at")
+    postings = _first_of_alike(scratch, scratch.written(postings, "all-postings"))
 
     families = _Families(scratch, sets, members, percent)
     families.rounds(postings, round_share)
     possible = _possible(families, _banded(families.still_open(postings), percent))
-    sizes = scratch.written(possible.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= long_list).select("token"), "long-lists")
+    sizes, long = scratch.counted(possible.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= long_list).select("token"), "long-lists")
     families.compare(_across(families, possible.join(sizes, "token", "left_anti")))
-    if not sizes.isEmpty():
+    if long:
         differences = _differences(families, possible.join(sizes, "token", "left_semi"))
         families.rounds(differences, round_share)
         families.compare(_across(families, _possible(families, families.still_open(differences))))
