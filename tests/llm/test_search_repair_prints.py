@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -68,6 +69,27 @@ def test_ranking_equals_brute_force(spark, tmp_path, shard_terms, short_share, w
     assert got == brute_ranking(docs, items)
 
 
+def test_stored_index_is_written_and_read_row_by_row(spark, tmp_path, monkeypatch):
+    """However many shards a task's documents give, a row group holds one, or tasks hold all of theirs at once."""
+    seen, build, rank = [], ranked_search.build_index, ranked_search.ranked
+    monkeypatch.setattr(ranked_search, "build_index", lambda docs: build(docs, 100))
+    monkeypatch.setattr(ranked_search, "ranked", lambda index, items: seen.append(index) or rank(index, items))
+    docs = [(i, f"alpha w{i % 7} " * 20) for i in range(200)]
+    items = [(1, "alpha w3"), (2, "w5")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = ranked_rows(ranked_search.op11_ranked_search(spark, f"file://{tmp_path}"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == brute_ranking(docs, items)
+    footers = [pq.ParquetFile(re.sub("^file:/+", "/", f)).metadata for f in seen[0].inputFiles()]
+    assert max(m.num_rows for m in footers) > 10
+    assert all(m.row_group(g).num_rows == 1 for m in footers for g in range(m.num_row_groups))
+
+
 def test_ranking_of_empty_tables(spark, tmp_path):
     none, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
     ranked_search.build_index(none).write.parquet(f"file://{tmp_path}/index")

@@ -135,7 +135,8 @@ def build_index(docs: DataFrame, shard_terms: int = 1 << 19) -> DataFrame:
     A row lists its documents' ids and lengths (in terms), its distinct terms with their document frequencies, postings
     (document, occurrences) term by term, and for each term and page of documents the largest occurrence and the least
     length, which bound every score there. No row is shuffled. Texts without terms, null ones too, aren't listed; a
-    text of any length is read in pieces.
+    text of any length is read in pieces. A row is some MB: store it with ``written(..., most_rows=1)``, else a task holds
+    as many as its share of ``docs`` gives.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +335,7 @@ def _searcher(wanted: dict, vocabulary: pa.Array, n: int, total: int, k: int, sh
 
 def op11_ranked_search(spark, sf_dir: str) -> DataFrame:
     """The ten best of all documents for each benchmark item."""
-    index = written(build_index(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "inverted-index")
+    index = written(build_index(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "inverted-index", most_rows=1)
     return ranked(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 

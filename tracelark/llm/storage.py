@@ -26,8 +26,8 @@ def _file_system(spark: SparkSession, path: str):
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
-def _put(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def _put(df: DataFrame, path: str, most_rows: int | None = None) -> DataFrame:
+    df.write.options(**({"parquet.block.row.count.limit": str(most_rows)} if most_rows else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -37,13 +37,15 @@ def _counted(df: DataFrame, where: str) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count_if(F.expr(where)).alias("n")), seen
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: a lost executor costs a reread, not a recomputation.
 
-    Results may read it until the application ends; then it is deleted.
+    Results may read it until the application ends; then it is deleted. A task holds a row group whole when it writes it and
+    again, with its columns laid out, when it reads it, and Parquet doesn't look at its size before the 100th row; tables of
+    large rows give ``most_rows`` of one.
     """
     path = f"{shared_dir(df.sparkSession)}/tracelark/{name}-{uuid.uuid4().hex}"
-    out = _put(df, path)
+    out = _put(df, path, most_rows)
     files, folder = _file_system(df.sparkSession, path)
     files.deleteOnExit(folder)
     return out
