@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import datetime
+import glob
 import gzip
 import io
 import json
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from tests.helpers import event, frame, rows
 from tracelark.functions import scalars
 from tracelark.operators import depth, normalize, timeline
+from tracelark.plans import catalog
 from tracelark.sources import json_ranges, trace_files
 from tracelark.sources import stored as stored_events
 from tracelark.sources.schema import EVENT_COLUMNS
@@ -106,6 +109,70 @@ def in_ranges(text, cuts):
     return events
 
 
+def test_pair_is_written_in_few_whole_documents(spark, tmp_path, monkeypatch):
+    """A trace of many threads is no file a thread, and a thread's events are in order, in documents of bounded size."""
+    rng = random.Random(4)
+    order = [(k, datetime.datetime(1995, 1, 1) + datetime.timedelta(days=k)) for k in range(300)]
+    items = [(k % 300, k // 300, rng.choice([None, *range(400)]), datetime.datetime(1996, 1, 1) + datetime.timedelta(days=rng.randrange(400))) for k in range(1500)]
+    spark.createDataFrame(order, "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(f"file://{tmp_path}/orders.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_suppkey long, l_shipdate timestamp_ntz").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    seen, read = [], trace_files.read_trace_pair
+    monkeypatch.setattr(trace_files, "read_trace_pair", lambda spark, *paths: seen.extend(paths) or read(spark, *paths))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "8k")
+        out = {r["key"]: (r["base_dur"], r["base_count"], r["target_dur"], r["target_count"]) for r in catalog.queries()["s4_read_trace_pair"](spark, f"file://{tmp_path}").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    want, starts = {}, dict(order)
+    for key, line, supplier, shipped in items:
+        if supplier is not None:
+            a = want.setdefault(f"line{line}", [0, 0, 0, 0])
+            a[supplier % 2 * 2] += max(0, round((shipped - starts[key]).total_seconds() * 1e6))
+            a[supplier % 2 * 2 + 1] += 1
+    assert out == {k: tuple(a) for k, a in want.items()}
+    for half, path in enumerate(seen):
+        files = sorted(f for f in glob.glob(f"{path.removeprefix('file://')}/**", recursive=True) if os.path.basename(f).startswith("part-"))
+        assert len(files) < 30 and max(map(os.path.getsize, files)) <= 8 << 10
+        tids = [e["tid"] for f in files for e in json.load(open(f))["traceEvents"]]
+        assert set(tids) == {i[2] for i in items if i[2] is not None and i[2] % 2 == half} and len(tids) == sum(i[2] is not None and i[2] % 2 == half for i in items)
+        assert sum(a != b for a, b in zip(tids, tids[1:], strict=False)) == len(set(tids)) - 1  # each thread in a row
+
+
+def test_documents_without_events_and_long_threads(spark, tmp_path):
+    events = frame(spark, [event(seq=i, name=f"n{i}", ts=i, args='{"k":"}{"}' if i % 3 else "") for i in range(1000)])
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "4k")
+        trace_files.write_documents(events.repartition(3), f"file://{tmp_path}/long")
+        trace_files.write_documents(events.limit(0), f"file://{tmp_path}/none")
+        got = trace_files.read_trace(spark, f"file://{tmp_path}/long", "t").orderBy("seq").collect()
+        assert [(r["name"], r["ts"], r["args_json"]) for r in got] == [(f"n{i}", i, '{"k":"}{"}' if i % 3 else "") for i in range(1000)]
+        assert trace_files.read_trace(spark, f"file://{tmp_path}/none", "t").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+def test_documents_are_parsed_once_and_no_null_lists_go_to_python(spark, tmp_path, monkeypatch):
+    """A filter moved below the parsing would parse each event again; and at each row Spark asks for the size of the batch so
+    far, for which Arrow goes through all null lists."""
+    (tmp_path / "small.json").write_text('[{"name":"a"}]')
+    (tmp_path / "large.json").write_text("[" + ",".join('{"name":"%d"}' % i for i in range(3000)) + "]")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    found = json_ranges._FOUND
+    none = {"_path": "", "_start": 0, "at": 0, "part": 0, "last": True, "cancelled": False}
+    kinds = lambda _: lambda batches: (pa.RecordBatch.from_pylist([none | {"value": str(b.schema.types).encode()}], found) for b in batches)
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "4k")
+        assert trace_files.read_trace(spark, f"file://{tmp_path}/small.json", "t")._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+        monkeypatch.setattr(json_ranges, "_reader", kinds)
+        for name in ("small", "*"):
+            seen = [bytes(r["value"]) for r in json_ranges.document_events(spark, f"file://{tmp_path}/{name}.json")[0].select("value").collect()]
+            assert seen and not any(b"List" in kind for kind in seen)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
 @pytest.mark.parametrize("chunk", [1, 200, 1 << 20])
 def test_documents_in_ranges_of_any_length(monkeypatch, chunk):
     """Strings with braces, brackets and escapes, nested arguments and other keys, cut at every brace and at random ones."""

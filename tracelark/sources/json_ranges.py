@@ -306,7 +306,14 @@ _FOUND = pa.schema([("_path", pa.string()), ("_start", pa.int64()), ("at", pa.in
 
 
 def _events_of(place: dict, pieces: Iterator[bytes], fragments: bool) -> Iterator[dict]:
-    """Events of a range, or the fragments of those that also lie in others."""
+    """Events of a range, or the fragments of those that also lie in others, a row each."""
+    for row, texts in _texts_of(place, pieces, fragments):
+        yield from (row | {"at": row["at"] + i, "value": text} for i, text in enumerate(texts))
+
+
+def _texts_of(place: dict, pieces: Iterator[bytes], fragments: bool) -> Iterator[tuple[dict, list[bytes]]]:
+    """Events of a range, or the fragments of those that also lie in others: several texts with what the first one's row has
+    besides; the others count on from its place."""
     here, part = place["_start"], place["_start"]
     scan = Events(place["opens"] or "", bool(place["inside"]), place["since"], here)
     row = {"_path": place["_path"], "part": part, "last": True, "cancelled": False}
@@ -321,31 +328,46 @@ def _events_of(place: dict, pieces: Iterator[bytes], fragments: bool) -> Iterato
     for chunk, last in _chunks(chain([piece], pieces) if piece is not None else pieces):
         size += sum(map(len, chunk)) + len(chunk)
         open_end = size == (place["file_size"] or 0) + 1 if whole else not place["ends_closed"]
-        for began, text in scan.take_chunk(chunk, not (last and open_end)):
-            if (began != here) == fragments:
-                yield row | {"_start": began, "at": at if began == here else -1, "value": text}
-            at += began == here
+        found = scan.take_chunk(chunk, not (last and open_end))
+        own = [text for began, text in found if began == here]
+        if not fragments and own:
+            yield row | {"_start": here, "at": at}, own
+        elif fragments:
+            yield from ((row | {"_start": began, "at": -1}, [text]) for began, text in found if began != here)
+        at += len(own)
         if scan.cancelled is not None and fragments:
-            yield row | {"_start": scan.cancelled, "at": -1, "value": b"", "cancelled": True}
+            yield row | {"_start": scan.cancelled, "at": -1, "cancelled": True}, [b""]
         scan.cancelled = None
     if fragments and scan.level is not None and scan.held:
-        yield row | {"_start": scan.began, "at": at if scan.began == here else -1, "value": b"".join(scan.held), "last": False}
+        yield row | {"_start": scan.began, "at": at if scan.began == here else -1, "last": False}, [b"".join(scan.held)]
+
+
+def _batched(found: Iterator[tuple[dict, list[bytes]]], most: int = 4096, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    held, count, held_bytes = [], 0, 0
+    for row, texts in found:
+        for i in range(0, len(texts), most):
+            held.append((row | {"at": row["at"] + i}, texts[i : i + most]))
+            count += len(held[-1][1])
+            held_bytes += sum(map(len, held[-1][1]))
+            if count >= most or held_bytes >= size:
+                yield _rows(held)
+                held, count, held_bytes = [], 0, 0
+    if held:
+        yield _rows(held)
 
 
-def _batched(rows: Iterator[dict], most: int = 4096, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    held, held_bytes = [], 0
-    for row in rows:
-        held.append(row)
-        held_bytes += len(row["value"])
-        if len(held) >= most or held_bytes >= size:
-            yield pa.RecordBatch.from_pylist(held, _FOUND)
-            held, held_bytes = [], 0
-    if held:
-        yield pa.RecordBatch.from_pylist(held, _FOUND)
+def _rows(held: list[tuple[dict, list[bytes]]]) -> pa.RecordBatch:
+    """A row for each text."""
+    counts = np.array([len(texts) for _, texts in held])
+    which = np.repeat(np.arange(len(held)), counts)
+    columns = {c.name: pa.array([row[c.name] for row, _ in held], c.type).take(pa.array(which)) for c in _FOUND if c.name != "value"}
+    columns["at"] = pa.array(columns["at"].to_numpy() + np.arange(len(which)) - (np.cumsum(counts) - counts)[which])
+    columns["value"] = pa.array(chain.from_iterable(texts for _, texts in held), pa.binary())
+    return pa.RecordBatch.from_arrays([columns[c] for c in _FOUND.names], schema=_FOUND)
 
 
 def _reader(fragments: bool):
-    return lambda batches: _batched(row for place, pieces in _ranges(batches) for row in _events_of(place, pieces, fragments))
+    return lambda batches: _batched(found for place, pieces in _ranges(batches) for found in _texts_of(place | {"since": [int(x) for x in (place["since"] or "").split()]}, pieces, fragments))
 
 
 def _bytes(pieces: Iterator[bytes], file_size: int | None) -> Iterator[bytes]:
@@ -376,14 +398,14 @@ def pieces_of(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def _inflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[dict]:
+    def found() -> Iterator[tuple[dict, list[bytes]]]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 place = {"_path": path, "_start": 0, "opens": "", "inside": False, "since": [], "ends_closed": False, "file_size": None}
                 raw = content.as_py()
-                yield from _events_of(place, pieces_of(raw[i : i + (1 << 20)] for i in range(0, len(raw), 1 << 20)), False)
+                yield from _texts_of(place, pieces_of(raw[i : i + (1 << 20)] for i in range(0, len(raw), 1 << 20)), False)
 
-    return _batched(rows())
+    return _batched(found())
 
 
 def document_events(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, list[str]]:
@@ -395,7 +417,7 @@ def document_events(spark: SparkSession, paths: str | list[str]) -> tuple[DataFr
     begin as gzip does are inflated by the task that reads them; one of several ranges is then read again as a whole.
     """
     listed = spark.read.text(paths).inputFiles()
-    least = min(byte_count(spark.conf.get(f"spark.sql.files.{c}")) for c in ("maxPartitionBytes", "openCostInBytes"))
+    least = whole_file_bytes(spark)
     sized = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"), "length")
     large = [r["path"] for r in sized.where((F.col("length") > least) & ~F.col("path").endswith(".gz")).collect()]
     if not large:
@@ -409,6 +431,11 @@ def document_events(spark: SparkSession, paths: str | list[str]) -> tuple[DataFr
     return out, listed
 
 
+def whole_file_bytes(spark: SparkSession) -> int:
+    """A file of no more bytes is never cut into ranges."""
+    return min(byte_count(spark.conf.get(f"spark.sql.files.{c}")) for c in ("maxPartitionBytes", "openCostInBytes"))
+
+
 def byte_count(text: str) -> int:
     number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", text.strip().lower()).groups()
     return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
@@ -429,7 +456,11 @@ def _states(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _with_states(pieces: DataFrame, states: DataFrame, how: str) -> DataFrame:
-    """Pieces in order, each with where its range begins; some 200 bytes a range, so 20 MB at most are broadcast."""
+    """Pieces in order, each with where its range begins; some 200 bytes a range, so 20 MB at most are broadcast.
+
+    ``since`` as text: Spark asks for a batch's size at each row, for which Arrow goes through all null lists so far.
+    """
+    states = states.withColumn("since", F.array_join("since", " "))
     if states.count() <= 100_000:
         return pieces.join(F.broadcast(states), ["_path", "_start"], how)
     placed = pieces.withColumn("_row", F.monotonically_increasing_id()).join(states, ["_path", "_start"], how)
@@ -440,7 +471,7 @@ def _whole(pieces: DataFrame, states: DataFrame | None) -> DataFrame:
     """Events that lie in one range."""
     if states is None:
         nothing = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in STATE.split(", ")[2:]}
-        placed = pieces.withColumns(nothing)
+        placed = pieces.withColumns(nothing | {"since": F.lit(None).cast("string")})
     else:
         placed = _with_states(pieces, states, "left")
     # A compressed file's size says nothing of its text's.

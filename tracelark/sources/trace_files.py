@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelark.operators.normalize import normalize_events
-from tracelark.sources.json_ranges import byte_count, document_events
+from tracelark.sources.json_ranges import byte_count, document_events, whole_file_bytes
 from tracelark.sources.schema import EVENT_COLUMNS, RAW_FIELDS, RAW_STRUCT
 from tracelark.sources.stored import read_events, write_events
 
@@ -62,9 +64,9 @@ def read_trace(spark: SparkSession, paths: str | Sequence[str], trace_id: str |
     """
     found, listed = document_events(spark, paths)
     event = F.from_json(F.col("value").cast("string"), RAW_STRUCT, {"allowUnquotedControlChars": "true"})
-    read = _numbered(found, F.col("at"), listed, trace_id).select("trace_id", "seq", event.alias("e"))
-    named = read.where(F.coalesce(*(F.col(f"e.{f}") for f in RAW_FIELDS)).isNotNull())
-    return normalize_events(named.select("trace_id", "seq", "e.*"))
+    # A generator, since a filter by fields of the struct itself would be moved below it and parse each event once more.
+    read = _numbered(found, F.col("at"), listed, trace_id).select("trace_id", "seq", F.inline(F.array(event)))
+    return normalize_events(read.where(F.coalesce(*RAW_FIELDS).isNotNull()))
 
 
 def _line_events(value: str = "value"):
@@ -127,6 +129,34 @@ def event_lines(events: DataFrame) -> DataFrame:
     return base.select(F.concat(line, F.lit(",")).alias("value"))
 
 
+def _documents(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """A task's event lines as documents of at most about ``most`` bytes, a row each."""
+    held, size = [], 0
+
+    def document() -> pa.RecordBatch:
+        text = '{"traceEvents":[\n' + "\n".join(held).removesuffix(",") + "\n]}"
+        return pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["value"])
+
+    for batch in batches:
+        for line, length in zip(batch["value"].to_pylist(), pc.binary_length(batch["value"]).to_pylist(), strict=True):
+            if held and size + length > most:
+                yield document()
+                held, size = [], 0
+            held.append(line)
+            size += length + 1
+    if held:
+        yield document()
+
+
+def write_documents(events: DataFrame, path: str) -> None:
+    """Events as JSON documents with ``traceEvents``, a file each, which ``read_trace`` reads: the events of a thread one after
+    the other in order of seq, as many threads in a document as fit in what ``read_trace`` never cuts (4 MB at most), and
+    long threads in several."""
+    most = min(4 << 20, whole_file_bytes(events.sparkSession)) - 64
+    threads = events.repartition("trace_id", "pid", "tid").sortWithinPartitions("trace_id", "pid", "tid", "seq")
+    event_lines(threads).mapInArrow(lambda batches: _documents(batches, most), "value string").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """A result as parquet, json or csv."""
     if fmt not in ("parquet", "json", "csv"):
@@ -134,4 +164,4 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(path)
 
 
-__all__ = ["bad_lines", "event_lines", "from_table", "read_events", "read_gzip_trace", "read_trace", "read_trace_lines", "read_trace_pair", "write_events", "write_report"]
+__all__ = ["bad_lines", "event_lines", "from_table", "read_events", "read_gzip_trace", "read_trace", "read_trace_lines", "read_trace_pair", "write_documents", "write_events", "write_report"]
