@@ -87,7 +87,9 @@ def test_stored_index_is_written_and_read_row_by_row(spark, tmp_path, monkeypatc
     assert got == brute_ranking(docs, items)
     footers = [pq.ParquetFile(re.sub("^file:/+", "/", f)).metadata for f in seen[0].inputFiles()]
     assert max(m.num_rows for m in footers) > 10
-    assert all(m.row_group(g).num_rows == 1 for m in footers for g in range(m.num_row_groups))
+    groups = [m.row_group(g) for m in footers for g in range(m.num_row_groups)]
+    assert all(g.num_rows == 1 for g in groups)
+    assert not any(g.column(c).is_stats_set for g in groups for c in range(g.num_columns))  # a task keeps them until it closes the file
 
 
 def test_ranking_of_empty_tables(spark, tmp_path):

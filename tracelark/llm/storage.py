@@ -27,7 +27,8 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def _put(df: DataFrame, path: str, most_rows: int | None = None) -> DataFrame:
-    df.write.options(**({"parquet.block.row.count.limit": str(most_rows)} if most_rows else {})).parquet(path)
+    large = {"parquet.block.row.count.limit": str(most_rows), "parquet.column.statistics.enabled": "false", "parquet.size.statistics.enabled": "false"}
+    df.write.options(**(large if most_rows else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -42,7 +43,8 @@ def written(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame
 
     Results may read it until the application ends; then it is deleted. A task holds a row group whole when it writes it and
     again, with its columns laid out, when it reads it, and Parquet doesn't look at its size before the 100th row; tables of
-    large rows give ``most_rows`` of one.
+    large rows give ``most_rows`` of one. These are written without statistics, whose least and greatest values stay whole in
+    the heap until the file is closed.
     """
     path = f"{shared_dir(df.sparkSession)}/tracelark/{name}-{uuid.uuid4().hex}"
     out = _put(df, path, most_rows)
